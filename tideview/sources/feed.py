@@ -306,3 +306,26 @@ def _entries(m: Column, render, nulls: bool, rename) -> Column:
 
 def write_changes(df: DataFrame, path: str, options: OutputOptions | None = None, mode: str = "append") -> None:
     to_change_json(df, options).write.mode(mode).text(path)
+
+
+def parse_schema_events(lines: DataFrame) -> DataFrame:
+    """Schema events among JSON lines, in the columns of ``DELTA`` with ts, sql and old."""
+    from tideview.operators.schema_history import COLUMN_DEF, SCHEMA_EVENT_TYPES
+
+    fields = "type string, database string, `table` string, charset string, ts bigint, sql string, position string"
+    table = f"struct<database:string,`table`:string,charset:string,columns:array<{COLUMN_DEF}>>"
+    mine = lines.filter(F.get_json_object("value", "$.type").isin(*SCHEMA_EVENT_TYPES))
+    j = mine.select(F.from_json("value", f"{fields}, def {table}, old {table}").alias("j")).select("j.*")
+    return j.select(
+        parse_position(F.col("position")).alias("position"),
+        "type",
+        "database",
+        "table",
+        F.col("def.database").alias("new_database"),
+        F.col("def.table").alias("new_table"),
+        F.coalesce("charset", "def.charset").alias("charset"),
+        F.col("def.columns").alias("def"),
+        F.col("old.columns").alias("old"),
+        "ts",
+        "sql",
+    )
