@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _MODE, _PADDING, _IV_BYTES = F.lit("CBC"), F.lit("PKCS"), 16
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line; Spark's own function may break long text into lines."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def _key(secret: str) -> Column:
     if len(secret.encode()) not in (16, 24, 32):
         raise ValueError("the secret key must have 16, 24 or 32 bytes")
@@ -24,8 +29,8 @@ def encrypted_object(text: Column, secret: str) -> Column:
     made = F.transform(
         F.array(sealed),
         lambda b: F.concat(
-            F.lit('{"iv":"'), F.base64(b.substr(F.lit(1), F.lit(_IV_BYTES))),
-            F.lit('","bytes":"'), F.base64(b.substr(F.lit(_IV_BYTES + 1), F.length(b))), F.lit('"}'),
+            F.lit('{"iv":"'), base64_text(b.substr(F.lit(1), F.lit(_IV_BYTES))),
+            F.lit('","bytes":"'), base64_text(b.substr(F.lit(_IV_BYTES + 1), F.length(b))), F.lit('"}'),
         ),
     )
     return made[0]

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideview.functions.crypt import base64_text
+
 ZERO_DATE = "0000-00-00"
 ZERO_DATETIME = "0000-00-00 00:00:00"
 # The raw value that stands for a zero date.
@@ -175,7 +177,7 @@ def unsigned(col: Column, bits: int) -> Column:
     """A signed raw value read as unsigned: below zero, add 2^bits."""
     if bits == 64:
         v = col.cast("decimal(20,0)")
-        return F.when(v < 0, (v + F.lit(2**64).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(v)
+        return F.when(v < 0, (v + F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(v)
     v = col.cast("bigint")
     return F.when(v < 0, v + 2**bits).otherwise(v)
 
@@ -383,7 +385,7 @@ def normalize_columns(
                     F.lit(schema.table).alias("table"),
                     F.lit(c.name).alias("column"),
                     F.lit(c.type).alias("type"),
-                    (F.base64(F.col(f"`{c.name}`")) if isinstance(types[c.name], T.BinaryType) else F.col(f"`{c.name}`").cast("string")).alias("value"),
+                    (base64_text(F.col(f"`{c.name}`")) if isinstance(types[c.name], T.BinaryType) else F.col(f"`{c.name}`").cast("string")).alias("value"),
                 ),
             )
             for c in present

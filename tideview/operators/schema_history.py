@@ -381,9 +381,10 @@ def schema_feed(events: DataFrame, rules: str | list[Rule] | None = None) -> Dat
     df = events.filter(F.col("type").isin(*SCHEMA_EVENT_TYPES))
     if rules is not None:
         rules = [r for r in (parse_rules(rules) if isinstance(rules, str) else rules) if r.column is None]
-        df = df.filter(feed_filter(rules))
-        renamed = df.withColumn("_old_table", F.col("table")).withColumn("table", F.coalesce("new_table", "table"))
-        df = renamed.filter(feed_filter(rules)).withColumn("table", F.col("_old_table")).drop("_old_table")
+        # a database event has no table; its name then counts as empty
+        for name in ("table", "new_table"):
+            named = df.withColumn("_table", F.col("table")).withColumn("table", F.coalesce(name, "table", F.lit("")))
+            df = named.filter(feed_filter(rules)).withColumn("table", F.col("_table")).drop("_table")
     p = F.col("position")
     body = F.struct(
         "type",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideview.functions.crypt import base64_text
+
 POSITION = "struct<file:string,file_seq:bigint,offset:bigint>"
 
 # Fixed names: the fields of a change row, in writing order.
@@ -116,7 +118,7 @@ def text_of(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return col
     if isinstance(dtype, T.BinaryType):
-        return F.base64(col)
+        return base64_text(col)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(col)
     return col.cast("string")

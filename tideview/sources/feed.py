@@ -55,14 +55,20 @@ def parse_changes(
     values that are objects or arrays: ``text`` keeps their JSON text (json and set columns),
     ``skip`` leaves them out of the images. ``carry`` names input columns to keep.
     """
-    parsed = _parse(lines, key, nested, carry)
-    good = parsed.filter(F.col("_reason").isNull())
-    bad = parsed.filter(F.col("_reason").isNotNull())
-    changes = as_changes(good.select("_row.*", *carry))
-    return changes, bad.select("value", F.col("_reason").alias("reason"), *carry)
+    return split_parsed(parse_lines(lines, key=key, nested=nested, carry=carry), carry)
 
 
-def _parse(lines: DataFrame, key: str | None, nested: str, carry: tuple[str, ...]) -> DataFrame:
+def split_parsed(parsed: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(changes, rejects) from the rows of ``parse_lines``."""
+    changes = as_changes(parsed.filter(F.col("reason").isNull()).select("row.*", *carry))
+    return changes, parsed.filter(F.col("reason").isNotNull()).select("value", "reason", *carry)
+
+
+def parse_lines(
+    lines: DataFrame, *, key: str | None = None, nested: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per line: (row, reason, value, <carry>). ``reason`` and ``value``, the text
+    itself, are given only for lines that are rejected."""
     if nested not in ("text", "skip"):
         raise ValueError("nested must be text or skip")
     fields = [T.StructField(n, T.StringType()) for n in _SCALARS]
@@ -73,24 +79,24 @@ def _parse(lines: DataFrame, key: str | None, nested: str, carry: tuple[str, ...
         T.StructField("_broken", T.StringType()),
     ]
     how = {"columnNameOfCorruptRecord": "_broken"}
-    df = lines.select("value", *carry, F.from_json("value", T.StructType(fields), how).alias("j"))
+    df = _once(lines, F.col("value"), "value", carry)
+    df = _once(df, F.from_json("value", T.StructType(fields), how), "j", ("value", *carry))
     if key is not None:
         # decrypted fields are laid over the row's own
-        hidden = F.from_json(
-            crypt.decrypt_text(F.col("j.encrypted.bytes"), F.col("j.encrypted.iv"), key), T.StructType(fields), how
-        )
-        df = df.withColumn("h", F.when(F.col("j.encrypted").isNotNull(), hidden))
+        opened = crypt.decrypt_text(F.col("j.encrypted.bytes"), F.col("j.encrypted.iv"), key)
+        hidden = F.when(F.col("j.encrypted").isNotNull(), F.from_json(opened, T.StructType(fields), how))
+        df = _once(df, hidden, "h", ("value", "j", *carry))
         merged = [
             F.when(F.col("h").isNotNull(), F.coalesce(f"h.{f.name}", f"j.{f.name}")).otherwise(F.col(f"j.{f.name}")).alias(f.name)
             for f in fields
-            if f.name != "encrypted"
         ]
-        merged.append(F.lit(None).cast("struct<iv:string,bytes:string>").alias("encrypted"))
-        df = df.withColumn("j", F.struct(*merged))
+        df = df.select("value", *carry, F.struct(*merged).alias("j"))
 
     known = [*_SCALARS, "data", "old", "primary_key_columns", "encrypted", "_broken"]
     j = {n: F.col(f"j.{n}") for n in known}
-    data, old = _image(j["data"], nested), _image(j["old"], nested)
+    images = F.struct(_image(j["data"], nested).alias("data"), _image(j["old"], nested).alias("old"))
+    df = _once(df, images, "images", ("value", "j", *carry))
+    data, old = F.col("images.data"), F.col("images.old")
     reason = F.when(j["_broken"].isNotNull() | F.col("j").isNull(), F.lit("broken JSON"))
     for n in _REQUIRED:
         missing = j[n].isNull() | (F.is_variant_null(j[n]) if n == "data" else F.lit(False))
@@ -112,12 +118,20 @@ def _parse(lines: DataFrame, key: str | None, nested: str, carry: tuple[str, ...
     row["data"] = data
     row["old"] = F.coalesce(old, F.create_map().cast("map<string,string>"))
     row["extra"] = _extras(F.col("value"), known)
-    return df.select(
-        "value",
-        *carry,
-        reason.alias("_reason"),
-        F.struct(*[v.cast(CHANGE[n].dataType).alias(n) for n, v in row.items()]).alias("_row"),
+    out = F.struct(
+        F.struct(*[v.cast(CHANGE[n].dataType).alias(n) for n, v in row.items()]).alias("row"), reason.alias("reason")
     )
+    done = _once(df, out, "r", ("value", *carry))
+    return done.select("r.row", "r.reason", F.when(F.col("r.reason").isNotNull(), F.col("value")).alias("value"), *carry)
+
+
+def _once(df: DataFrame, col: Column, name: str, keep: tuple[str, ...]) -> DataFrame:
+    """Add a costly column behind a generator of one row.
+
+    The optimizer copies a column's expression into every filter and field that uses it; it
+    does not do so across a generator, so JSON is parsed and text opened once per line.
+    """
+    return df.select(*keep, F.explode(F.array(col)).alias(name))
 
 
 def _image(v: Column, nested: str) -> Column:

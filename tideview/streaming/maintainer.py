@@ -19,7 +19,7 @@ from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_delta
 from tideview.plans.build import UPDATED_TIME, build_view, count_source
 from tideview.plans.spec import VIEW_KEY, ViewSpec, source_columns
 from tideview.sources.change import CHANGE, after_position, after_positions
-from tideview.sources.feed import parse_changes, parse_schema_events
+from tideview.sources.feed import parse_changes, parse_lines, parse_schema_events, split_parsed
 from tideview.sources.tables import read_table
 from tideview.streaming.store import Commit, Store
 
@@ -257,11 +257,12 @@ class Maintainer:
             return
         # The batch is written once to the shared store: later steps read it several times, and
         # they run in the main session, where adaptive execution is on.
-        raw = c.scratch("lines", lines.select("value"))
-        events = parse_schema_events(raw)
-        kind = F.get_json_object("value", "$.type")
-        changes, rejects = parse_changes(raw.filter(~F.coalesce(kind.isin(*SCHEMA_EVENT_TYPES), F.lit(False))), key=self.secret_key)
-        lost = breaking_deltas(events, self.columns).limit(1).collect()
+        parsed = c.scratch("parsed", parse_lines(lines.select("value"), key=self.secret_key))
+        # schema events have no row image, so they are among the lines that are no row changes
+        about_schema = F.coalesce(F.get_json_object("value", "$.type").isin(*SCHEMA_EVENT_TYPES), F.lit(False))
+        changes, others = split_parsed(parsed)
+        rejects = others.filter(~about_schema)
+        lost = breaking_deltas(parse_schema_events(others), self.columns).limit(1).collect()
         if lost:
             raise SchemaChanged(f"{lost[0]['table']}: {lost[0]['reason']}")
         if self.rules is not None:

@@ -6,8 +6,6 @@ SQL side of each query is a full build on that state.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,26 +73,25 @@ ALL_M = (DELETE, PRICE, LEAVE, ENTER, MOVE, COPY, LATE, TWICE)
 
 
 def feed_m(orders: DataFrame, rules: tuple[int, ...] = ALL_M, database: str = "shop") -> DataFrame:
-    """Changes of orders by ``o_orderkey % 20``."""
-    key = F.col("o_orderkey")
-    of = lambda residue: orders.filter(F.pmod(key, F.lit(20)) == residue)
-    big = lambda n: F.lit(n).cast("bigint")
-    parts = {
-        DELETE: lambda: [_delete(of(DELETE), "orders", 0)],
-        PRICE: lambda: [_update(of(PRICE), "orders", 0, o_totalprice=F.col("o_totalprice") + 100)],
-        LEAVE: lambda: [_update(of(LEAVE), "orders", 0, o_orderdate=_ts("1995-06-01"))],
-        ENTER: lambda: [_update(of(ENTER), "orders", 0, o_orderdate=_ts("2000-01-01"))],
-        MOVE: lambda: [_update(of(MOVE), "orders", 0, o_orderkey=key + big(10_000_000))],
-        COPY: lambda: [_insert(of(COPY), "orders", 0, o_orderkey=key + big(20_000_000), o_orderstatus=F.lit("N"))],
-        LATE: lambda: [_update(of(LATE), "orders", 0, o_custkey=big(-1))],
-        TWICE: lambda: [
-            _update(of(TWICE), "orders", 0, o_totalprice=F.col("o_totalprice") + 1),
-            _update(of(TWICE), "orders", 1, base={"o_totalprice": F.col("o_totalprice") + 1}, o_totalprice=F.col("o_totalprice") + 2),
-            _insert(of(TWICE), "orders", 2, o_orderkey=key + big(30_000_000)),
-            _delete(of(TWICE).withColumn("_k", key).withColumn("o_orderkey", key + big(30_000_000)), "orders", 3),
+    """Changes of orders by ``o_orderkey % 20``, made in one pass over the table."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    copied = {"o_orderkey": key + _big(30_000_000)}
+    made = {
+        DELETE: [("delete", 0, {})],
+        PRICE: [("update", 0, {"o_totalprice": price + 100})],
+        LEAVE: [("update", 0, {"o_orderdate": _ts("1995-06-01")})],
+        ENTER: [("update", 0, {"o_orderdate": _ts("2000-01-01")})],
+        MOVE: [("update", 0, {"o_orderkey": key + _big(10_000_000)})],
+        COPY: [("insert", 0, {"o_orderkey": key + _big(20_000_000), "o_orderstatus": F.lit("N")})],
+        LATE: [("update", 0, {"o_custkey": _big(-1)})],
+        TWICE: [
+            ("update", 0, {"o_totalprice": price + 1}),
+            ("update", 1, {"o_totalprice": price + 2}, {"o_totalprice": price + 1}),
+            ("insert", 2, copied),
+            ("delete", 3, copied),
         ],
-    }
-    return _stamp([p for r in rules for p in parts[r]()], "o_orderkey", database)
+    }
+    return _changes(orders, F.pmod(key, F.lit(20)), {r: made[r] for r in rules}, "orders", "o_orderkey", database)
 
 
 # -- rules of feed L on customer: residue of c_custkey % 10 ------------------------------------
@@ -106,84 +103,68 @@ ALL_L = (GONE, CHANGED, REKEY, NULLED, ARRIVE)
 def feed_l(customer: DataFrame, rules: tuple[int, ...] = ALL_L, database: str = "shop") -> DataFrame:
     """Changes of customer by ``c_custkey % 10``, and one customer that arrives late."""
     key = F.col("c_custkey")
-    of = lambda residue: customer.filter(F.pmod(key, F.lit(10)) == residue)
-    none = F.lit(None).cast("string")
-
-    def arrive() -> DataFrame:
-        row = customer.sparkSession.range(1).select(
-            F.lit(-1).cast("bigint").alias("c_custkey"), F.lit("Customer#LATE").alias("c_name"),
-            F.lit(0).cast("int").alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"), F.lit("LATE").alias("c_mktsegment"),
-        )
-        return _insert(row, "customer", 9)
-
-    parts = {
-        GONE: lambda: _delete(of(GONE), "customer", 0),
-        CHANGED: lambda: _update(of(CHANGED), "customer", 0, c_mktsegment=F.lit("CHANGED")),
-        REKEY: lambda: _update(of(REKEY), "customer", 0, c_custkey=key + F.lit(10_000_000).cast("bigint")),
-        NULLED: lambda: _update(of(NULLED), "customer", 0, c_mktsegment=none),
-        ARRIVE: arrive,
+    made = {
+        GONE: [("delete", 0, {})],
+        CHANGED: [("update", 0, {"c_mktsegment": F.lit("CHANGED")})],
+        REKEY: [("update", 0, {"c_custkey": key + _big(10_000_000)})],
+        NULLED: [("update", 0, {"c_mktsegment": F.lit(None).cast("string")})],
+        ARRIVE: [("insert", 9, {})],
     }
-    return _stamp([parts[r]() for r in rules], "c_custkey", database, LOOKUP_BASE)
-
-
-def _ts(day: str) -> Column:
-    return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
-
-
-def _image(rows: DataFrame, sets: dict[str, Column]) -> DataFrame:
-    cols = [c for c in rows.columns if not c.startswith("_")]
-    return rows.select(*[sets.get(c, F.col(c)).cast(rows.schema[c].dataType).alias(c) for c in cols], *_keys(rows))
-
-
-def _keys(rows: DataFrame) -> list[Column]:
-    first = rows.columns[0]
-    return [(F.col("_k") if "_k" in rows.columns else F.col(first)).alias("_key")]
-
-
-def _event(rows: DataFrame, kind: str, name: str, step: int) -> DataFrame:
-    body = [f for f in rows.schema.fields if not f.name.startswith("_")]
-    return rows.select(
-        F.lit(name).alias("table"), F.lit(kind).alias("type"), F.col("_key"), F.lit(step).alias("_step"),
-        image_map(StructType(body)).alias("data"), F.create_map().cast("map<string,string>").alias("old"),
+    late = customer.sparkSession.range(1).select(
+        _big(-1).alias("c_custkey"), F.lit("Customer#LATE").alias("c_name"), F.lit(0).cast("int").alias("c_nationkey"),
+        F.lit(0.0).alias("c_acctbal"), F.lit("LATE").alias("c_mktsegment"),
     )
+    rows = customer.unionAll(late) if ARRIVE in rules else customer
+    residue = F.when(key == -1, F.lit(ARRIVE).cast("bigint")).otherwise(F.pmod(key, F.lit(10)))
+    return _changes(rows, residue, {r: made[r] for r in rules}, "customer", "c_custkey", database, LOOKUP_BASE)
 
 
-def _insert(rows: DataFrame, name: str, step: int, **sets: Column) -> DataFrame:
-    return _event(_image(rows, sets), "insert", name, step)
-
-
-def _delete(rows: DataFrame, name: str, step: int) -> DataFrame:
-    return _event(_image(rows, {}), "delete", name, step)
+def _big(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
-def _update(rows: DataFrame, name: str, step: int, base: dict[str, Column] | None = None, **sets: Column) -> DataFrame:
-    old = rows.select(*[(base or {}).get(c, F.col(c)).alias(f"o_{c}") for c in sets], *rows.columns)
-    was = StructType([rows.schema[c] for c in sets])
-    entries = []
-    for f in was.fields:
-        entries += [F.lit(f.name), text_of(F.col(f"o_{f.name}"), f.dataType)]
-    image = old.withColumn("_old", F.create_map(*entries))
-    new = image.select(
-        *[sets.get(c, F.col(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], "_old", F.col(rows.columns[0]).alias("_key")
-    )
-    body = StructType([f for f in new.schema.fields if not f.name.startswith("_")])
-    return new.select(
-        F.lit(name).alias("table"), F.lit("update").alias("type"), F.col("_key"), F.lit(step).alias("_step"),
-        image_map(body).alias("data"), F.col("_old").alias("old"),
-    )
+def _ts(day: str) -> Column:
+    return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
 
 
-def _stamp(parts: list[DataFrame], pk: str, database: str, base: int = 0) -> DataFrame:
-    """Positions, transactions and times that follow from key and step."""
-    rows = reduce(DataFrame.unionAll, parts)
-    offset = F.lit(base).cast("bigint") + F.col("_key") * 10 + F.col("_step")
-    seconds = F.lit(1_700_000_000).cast("bigint") + F.col("_key") % 1000
+def _changes(
+    rows: DataFrame, residue: Column, made: dict[int, list[tuple]], name: str, pk: str, database: str, base: int = 0
+) -> DataFrame:
+    """Changes of each row by its residue: a list of (type, step, columns set, their old values).
+
+    Positions, transactions and times follow from the row's key and the step.
+    """
+    steps = None
+    for r, parts in made.items():
+        out = F.array(*[F.struct(F.lit(p[0]).alias("type"), F.lit(p[1]).alias("step")) for p in parts])
+        steps = F.when(residue == r, out) if steps is None else steps.when(residue == r, out)
+    rows = rows.withColumn("_r", residue).filter(F.col("_r").isin(list(made))).select("*", F.inline(steps).alias("_type", "_step"))
+    events = [(r, *p) for r, parts in made.items() for p in parts]
+
+    def at(r: int, step: int) -> Column:
+        return (F.col("_r") == r) & (F.col("_step") == step)
+
+    image, old = [], F.create_map().cast("map<string,string>")
+    for f in rows.schema.fields:
+        if f.name.startswith("_"):
+            continue
+        value = F.col(f.name)
+        for r, _, step, sets, *_ in events:
+            if f.name in sets:
+                value = F.when(at(r, step), sets[f.name].cast(f.dataType)).otherwise(value)
+        image += [F.lit(f.name), text_of(value, f.dataType)]
+    for r, kind, step, sets, *was in events:
+        if kind == "update":
+            before = [x for n in sets for x in (F.lit(n), text_of((was[0] if was else {}).get(n, F.col(n)), rows.schema[n].dataType))]
+            old = F.when(at(r, step), F.create_map(*before)).otherwise(old)
+    key, offset = F.col(pk), _big(base) + F.col(pk) * 10 + F.col("_step")
+    seconds = _big(1_700_000_000) + key % 1000
     return as_changes(
         rows.select(
-            F.lit(database).alias("database"), "table", "type", seconds.alias("ts"), (seconds * 1000).alias("ts_ms"),
-            F.floor(F.col("_key") / 4).cast("bigint").alias("xid"), F.lit(True).alias("commit"),
-            position_struct(F.lit(FILE), offset).alias("position"), F.lit(1).cast("bigint").alias("server_id"),
-            F.array(F.lit(pk)).alias("primary_key_columns"), "data", "old",
+            F.lit(database).alias("database"), F.lit(name).alias("table"), F.col("_type").alias("type"), seconds.alias("ts"),
+            (seconds * 1000).alias("ts_ms"), F.floor(key / 4).cast("bigint").alias("xid"), F.lit(True).alias("commit"),
+            position_struct(F.lit(FILE), offset).alias("position"), _big(1).alias("server_id"),
+            F.array(F.lit(pk)).alias("primary_key_columns"), F.create_map(*image).alias("data"), old.alias("old"),
         )
     )
 
@@ -317,5 +298,5 @@ def feed_l_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-FEED_E_SQL = """SELECT event_id, event_id AS off, day(ts) AS seq, event_id // 5 AS xid, epoch_ms(ts) AS ts_ms, event_type,
+FEED_E_SQL = """SELECT event_id, event_id AS off, day(ts) AS seq, event_id // 5 AS xid, epoch_us(ts) // 1000 AS ts_ms, event_type,
     user_id, value FROM events"""
