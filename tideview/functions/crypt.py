@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MODE, _PADDING, _IV_BYTES = F.lit("CBC"), F.lit("PKCS"), 16
+_MODE, _PADDING, _IV_BYTES = "CBC", "PKCS", 16
 
 
 def base64_text(data: Column) -> Column:
@@ -24,7 +24,7 @@ def encrypted_object(text: Column, secret: str) -> Column:
 
     One sealed value holds both parts, the iv first, so it is made once and then split.
     """
-    sealed = F.aes_encrypt(text.cast("binary"), _key(secret), _MODE, _PADDING)
+    sealed = F.aes_encrypt(text.cast("binary"), _key(secret), F.lit(_MODE), F.lit(_PADDING))
     # one array element keeps the random value from being evaluated twice
     made = F.transform(
         F.array(sealed),
@@ -39,4 +39,4 @@ def encrypted_object(text: Column, secret: str) -> Column:
 def decrypt_text(data: Column, iv: Column, secret: str) -> Column:
     """Open base64 ``data`` with base64 ``iv``; NULL when key or data do not fit."""
     sealed = F.concat(F.unbase64(iv), F.unbase64(data))
-    return F.try_aes_decrypt(sealed, _key(secret), _MODE, _PADDING).cast("string")
+    return F.try_aes_decrypt(sealed, _key(secret), F.lit(_MODE), F.lit(_PADDING)).cast("string")

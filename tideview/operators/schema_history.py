@@ -14,9 +14,18 @@ COLUMN_DEF = (
     "struct<name:string,position:int,type:string,charset:string,signed:boolean,labels:array<string>,"
     "length:int,pk_position:int>"
 )
-SCHEMA_COLUMNS = T.StructType.fromDDL(
-    "database string, `table` string, name string, position int, type string, charset string, signed boolean, "
-    "labels array<string>, length int, pk_position int"
+SCHEMA_COLUMNS = (
+    T.StructType()
+    .add("database", T.StringType())
+    .add("table", T.StringType())
+    .add("name", T.StringType())
+    .add("position", T.IntegerType())
+    .add("type", T.StringType())
+    .add("charset", T.StringType())
+    .add("signed", T.BooleanType())
+    .add("labels", T.ArrayType(T.StringType()))
+    .add("length", T.IntegerType())
+    .add("pk_position", T.IntegerType())
 )
 # Fixed names: kinds of schema events.
 SCHEMA_EVENT_TYPES = (
@@ -27,10 +36,8 @@ SCHEMA_EVENT_TYPES = (
     "database-alter",
     "database-drop",
 )
-DELTA = T.StructType.fromDDL(
-    "position struct<file:string,file_seq:bigint,offset:bigint>, type string, database string, `table` string, "
-    f"new_database string, new_table string, charset string, def array<{COLUMN_DEF}>"
-)
+# Columns of a schema event: position (as in a change row), type, database, table,
+# new_database, new_table, charset and def (an array of COLUMN_DEF).
 
 
 def schema_rows(
@@ -375,7 +382,7 @@ def conform(changes: DataFrame, versions: DataFrame) -> DataFrame:
 def schema_feed(events: DataFrame, rules: str | list[Rule] | None = None) -> DataFrame:
     """Schema events as JSON: type, names, old and new definition, time, statement, position.
 
-    ``events``: ``DELTA`` columns and ``ts``, ``sql``, ``old``. A table event passes the rules
+    ``events``: the columns of a schema event and ``ts``, ``sql``, ``old``. A table event passes the rules
     only when they let both its old and its new name through.
     """
     df = events.filter(F.col("type").isin(*SCHEMA_EVENT_TYPES))

@@ -10,29 +10,31 @@ from tideview.functions.crypt import base64_text
 
 POSITION = "struct<file:string,file_seq:bigint,offset:bigint>"
 
+_TEXT, _LONG, _TEXT_MAP = T.StringType(), T.LongType(), T.MapType(T.StringType(), T.StringType())
+
 # Fixed names: the fields of a change row, in writing order.
-CHANGE_FIELDS = {
-    "database": "string",
-    "table": "string",
-    "type": "string",
-    "ts": "bigint",
-    "ts_ms": "bigint",
-    "xid": "bigint",
-    "xoffset": "bigint",
-    "commit": "boolean",
-    "position": POSITION,
-    "gtid": "string",
-    "server_id": "bigint",
-    "thread_id": "bigint",
-    "schema_id": "bigint",
-    "query": "string",
-    "comment": "string",
-    "primary_key_columns": "array<string>",
-    "data": "map<string,string>",
-    "old": "map<string,string>",
-    "extra": "map<string,string>",
-}
-CHANGE = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in CHANGE_FIELDS.items()))
+CHANGE = (
+    T.StructType()
+    .add("database", _TEXT)
+    .add("table", _TEXT)
+    .add("type", _TEXT)
+    .add("ts", _LONG)
+    .add("ts_ms", _LONG)
+    .add("xid", _LONG)
+    .add("xoffset", _LONG)
+    .add("commit", T.BooleanType())
+    .add("position", T.StructType().add("file", _TEXT).add("file_seq", _LONG).add("offset", _LONG))
+    .add("gtid", _TEXT)
+    .add("server_id", _LONG)
+    .add("thread_id", _LONG)
+    .add("schema_id", _LONG)
+    .add("query", _TEXT)
+    .add("comment", _TEXT)
+    .add("primary_key_columns", T.ArrayType(_TEXT))
+    .add("data", _TEXT_MAP)
+    .add("old", _TEXT_MAP)
+    .add("extra", _TEXT_MAP)
+)
 
 ROW_TYPES = ("insert", "update", "delete")
 
@@ -42,10 +44,10 @@ def as_changes(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(
         *[
-            (F.col(f"`{name}`") if name in have else F.lit(None)).cast(dtype).alias(name)
-            for name, dtype in CHANGE_FIELDS.items()
+            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in CHANGE.fields
         ],
-        *[F.col(f"`{c}`") for c in df.columns if c not in CHANGE_FIELDS],
+        *[F.col(f"`{c}`") for c in df.columns if c not in CHANGE.names],
     )
 
 

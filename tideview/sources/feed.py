@@ -323,7 +323,7 @@ def write_changes(df: DataFrame, path: str, options: OutputOptions | None = None
 
 
 def parse_schema_events(lines: DataFrame) -> DataFrame:
-    """Schema events among JSON lines, in the columns of ``DELTA`` with ts, sql and old."""
+    """Schema events among JSON lines, with the columns of one, and ts, sql and old."""
     from tideview.operators.schema_history import COLUMN_DEF, SCHEMA_EVENT_TYPES
 
     fields = "type string, database string, `table` string, charset string, ts bigint, sql string, position string"

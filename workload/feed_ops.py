@@ -17,7 +17,8 @@ from workload import feeds as fd
 from workload.registry import query
 from workload.views import every_feed
 
-OFF = F.col("position.offset").alias("off")
+def _off() -> Column:
+    return F.col("position.offset").alias("off")
 
 
 def _m(spark: SparkSession, sf: str, rules=fd.ALL_M) -> DataFrame:
@@ -272,7 +273,7 @@ _MIXED_SQL = f"""SELECT 'orders' AS tbl, off, 'db' || off % 4 AS db, status, CAS
 def _verdict(name: str, rules, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         kept = _mixed(spark, sf).filter(fl.feed_filter(rules))
-        return kept.select(F.col("database").alias("db"), F.col("table").alias("tbl"), OFF)
+        return kept.select(F.col("database").alias("db"), F.col("table").alias("tbl"), _off())
 
     query(name, f"SELECT db, tbl, off FROM ({_MIXED_SQL}) WHERE {sql}")(run)
 
@@ -309,7 +310,7 @@ _verdict(
 )
 def table_step(spark: SparkSession, sf: str) -> DataFrame:
     rules = "exclude: *.*, include: db1.orders.o_orderstatus=P, include: *.events.event_type=/i/"
-    return _mixed(spark, sf).filter(fl.table_filter(rules)).select(F.col("database").alias("db"), F.col("table").alias("tbl"), OFF)
+    return _mixed(spark, sf).filter(fl.table_filter(rules)).select(F.col("database").alias("db"), F.col("table").alias("tbl"), _off())
 
 
 @query(
@@ -334,7 +335,7 @@ def built_in(spark: SparkSession, sf: str) -> DataFrame:
 def dropped_columns(spark: SparkSession, sf: str) -> DataFrame:
     out = fl.drop_columns(_m(spark, sf), "o_totalprice, /o_order[dps].*/")
     names = lambda c: F.array_join(F.sort_array(F.map_keys(c)), ",")
-    return out.select(OFF, names("data").alias("kept"), names("old").alias("kept_old"))
+    return out.select(_off(), names("data").alias("kept"), names("old").alias("kept_old"))
 
 
 # -- images --------------------------------------------------------------------------------
@@ -512,7 +513,7 @@ def row_keys(spark: SparkSession, sf: str) -> DataFrame:
     schemas = {"orders": fd.table(spark, sf, "orders").schema}
     h = ky.row_key(_m(spark, sf), "hash", schemas).withColumnRenamed("row_key", "hash_key")
     a = ky.row_key(h, "array", schemas).withColumnRenamed("row_key", "array_key")
-    return a.select(OFF, "hash_key", "array_key")
+    return a.select(_off(), "hash_key", "array_key")
 
 
 @query(
@@ -538,7 +539,7 @@ def row_identities(spark: SparkSession, sf: str) -> DataFrame:
 )
 def partition_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _m(spark, sf).select(
-        OFF,
+        _off(),
         ky.partition_key().alias("by_database"),
         ky.partition_key("table").alias("by_table"),
         ky.partition_key("primary_key").alias("by_key"),
@@ -599,7 +600,7 @@ def hook(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     out = drop_suppressed(with_hook(_m(spark, sf), edit, ("insert", "update")))
-    return out.select(OFF, F.col("type").alias("typ"), F.col("data")["o_orderstatus"].alias("status"), "topic")
+    return out.select(_off(), F.col("type").alias("typ"), F.col("data")["o_orderstatus"].alias("status"), "topic")
 
 
 @query(
