@@ -19,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     session = builder.getOrCreate()
     if session.conf.get("spark.checkpoint.dir", None) is None:

@@ -93,5 +93,33 @@ class Source:
         return spark.createDataFrame(rows, CHANGE)
 
 
+class Shifted:
+    """A part of a source for one scenario: its keys are moved by ``base`` so that many
+    scenarios fit into one feed."""
+
+    KEYS = {"login": ("id", "user_id", "role_id"), "user": ("id",), "role": ("id",)}
+
+    def __init__(self, source, base):
+        self.source, self.base = source, base
+        for t, rows in ROWS.items():
+            for row in rows.values():
+                moved = self._row(t, row)
+                source.rows[t][moved[0]] = moved
+
+    def _row(self, t, row):
+        at = {NAMES[t].index(k) for k in self.KEYS[t]}
+        return tuple(v + self.base if i in at and v is not None else v for i, v in enumerate(row))
+
+    def insert(self, t, *row):
+        self.source.insert(t, *self._row(t, row))
+
+    def delete(self, t, key):
+        self.source.delete(t, key + self.base)
+
+    def update(self, t, key, **sets):
+        moved = {c: v + self.base if c in self.KEYS[t] and v is not None else v for c, v in sets.items()}
+        self.source.update(t, key + self.base, **moved)
+
+
 def rows_by_id(df):
     return {r["id"]: r.asDict() for r in df.collect()}

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideview.operators.ordered import SLOT, row_index
-from tideview.sources.change import ROW_TYPES, as_changes, image_map, position_key, typed_value
+from tideview.sources.change import (
+    POSITION_KEY,
+    ROW_TYPES,
+    as_changes,
+    entry_sql,
+    image_map,
+    literal,
+    quoted,
+    typed_sql,
+)
 
 _EMPTY = "map<string,string>"
 _CELLS = "array<struct<col:string,val:string>>"
@@ -161,32 +170,28 @@ def keyed_changes(
     An update that moves the key becomes a delete of the old key and an upsert of the new one
     at the same position. ``whole_moves`` makes a move that lacks columns an error.
     """
-    dtype = schema[key].dataType
-    rows = changes.filter((F.col("table") == table) & F.col("type").isin(*ROW_TYPES))
-    now = typed_value(F.col("data")[key], dtype)
-    was = typed_value(F.col("old")[key], dtype)
-    had_key = F.coalesce(F.map_contains_key("old", F.lit(key)), F.lit(False)) & (F.col("type") == "update")
-    moved = had_key & ~was.eqNullSafe(now)
-    image = F.col("data")
+    name, dtype = literal(key), schema[key].dataType
+    now, was = (typed_sql(entry_sql(image, key), dtype) for image in ("data", "old"))
+    moved = f"(type = 'update' AND coalesce(map_contains_key(old, {name}), false) AND NOT ({was} <=> {now}))"
+    image = "data"
     if whole_moves:
-        lacking = F.size(F.array_except(F.array(*[F.lit(n) for n in schema.names]), F.map_keys("data"))) > 0
-        image = F.when(
-            moved & lacking,
-            F.raise_error(F.lit(f"a key change of {table} must carry the whole row")).cast(_EMPTY),
-        ).otherwise(image)
-
-    def part(k: Column, deleted: Column, step: int) -> Column:
-        return F.struct(
-            k.alias("_key"),
-            deleted.alias("_deleted"),
-            F.struct(position_key().alias("pos"), F.lit(step).alias("step")).alias("_at"),
-            F.when(~deleted, image).alias("data"),
-        )
-
-    gone = F.col("type") == "delete"
-    parts = F.when(moved, F.array(part(was, F.lit(True), 0), part(now, F.lit(False), 1))).otherwise(F.array(part(now, gone, 1)))
+        every = ", ".join(literal(n) for n in schema.names)
+        lacking = f"size(array_except(array({every}), map_keys(data))) > 0"
+        error = literal(f"a key change of {table} must carry the whole row")
+        image = f"CASE WHEN {moved} AND {lacking} THEN cast(raise_error({error}) AS {_EMPTY}) ELSE data END"
+
+    def part(k: str, deleted: str, step: int) -> str:
+        at = f"struct({POSITION_KEY} AS pos, {step} AS step)"
+        row = f"CASE WHEN NOT {deleted} THEN {image} END"
+        return f"struct({k} AS _key, {deleted} AS _deleted, {at} AS _at, {row} AS data)"
+
+    kinds = ", ".join(f"'{t}'" for t in ROW_TYPES)
+    rows = changes.filter(f"`table` = {literal(table)} AND type IN ({kinds})")
+    both = f"array({part(was, 'true', 0)}, {part(now, 'false', 1)})"
+    gone = "(type = 'delete')"
+    one = f"array({part(now, gone, 1)})"
     # a row without a key can be neither stored nor looked up
-    return rows.select(F.inline(parts)).filter(F.col("_key").isNotNull())
+    return rows.selectExpr(f"inline(CASE WHEN {moved} THEN {both} ELSE {one} END)").filter("_key IS NOT NULL")
 
 
 def net_changes(
@@ -203,10 +208,10 @@ def net_changes(
     if current is None:
         parts = keyed_changes(changes, table, key, schema)
         last = parts.groupBy("_key").agg(F.max_by(F.struct("_deleted", "data"), "_at").alias("_l"))
-        return last.select(
+        return last.selectExpr(
             "_key",
-            F.col("_l._deleted").alias("_deleted"),
-            *[typed_value(F.col("_l.data")[f.name], f.dataType).alias(f.name) for f in schema.fields],
+            "_l._deleted AS _deleted",
+            *[f"{typed_sql(entry_sql('_l.data', f.name), f.dataType)} AS {quoted(f.name)}" for f in schema.fields],
         )
     return _fold_partial(keyed_changes(changes, table, key, schema, whole_moves=True), key, schema, current)
 
@@ -246,8 +251,9 @@ def _fold_partial(parts: DataFrame, key: str, schema: T.StructType, current: Dat
     # a row that was deleted and put back takes nothing from what is stored
     joined = folded.join(stored, (F.col("_key") == F.col("_stored_key")) & F.col("_continues"), "left")
 
-    def value(f: T.StructField) -> Column:
-        known = F.map_contains_key("data", F.lit(f.name))
-        return F.when(known, typed_value(F.col("data")[f.name], f.dataType)).otherwise(F.col("_stored")[f.name]).alias(f.name)
+    def value(f: T.StructField) -> str:
+        given = typed_sql(entry_sql("data", f.name), f.dataType)
+        known = f"map_contains_key(data, {literal(f.name)})"
+        return f"CASE WHEN {known} THEN {given} ELSE _stored.{quoted(f.name)} END AS {quoted(f.name)}"
 
-    return joined.select("_key", "_deleted", *[value(f) for f in schema.fields])
+    return joined.selectExpr("_key", "_deleted", *[value(f) for f in schema.fields])

@@ -8,8 +8,10 @@ after each batch the view equals a full build, whatever the kinds and order of t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,6 @@ from tideview.operators.feed import net_changes
 from tideview.operators.filters import touches_view, used_by_views
 from tideview.plans.build import build_view
 from tideview.plans.spec import VIEW_KEY, ViewSpec
-from tideview.sources.change import typed_value
 
 
 def relevant_changes(changes: DataFrame, specs: Iterable[ViewSpec], tables: dict[str, DataFrame]) -> DataFrame:
@@ -99,19 +100,28 @@ def apply_changes(
     changes: DataFrame,
     *,
     full_images: bool = True,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Bring a view and its source tables up to date: (view after, tables after).
 
     ``view`` is a build with ``match_columns=True`` on ``tables``, the tables before the
-    changes; the result can be passed in again with the next batch. Persist ``changes`` when
-    they are costly to read: they are used once per table and once per affected-key set.
+    changes; the result can be passed in again with the next batch.
+
+    The net changes and the affected ids are each used several times. ``cut`` stores such a
+    frame and returns it as a source, for example ``lambda df: df.checkpoint()``; without it
+    they are computed again at each use, which suits small batches only.
     """
     changes = relevant_changes(changes, [spec], tables)
     net = net_by_table(spec, tables, changes, full_images=full_images)
+    if cut is not None:
+        stored = inheritable_thread_target(changes.sparkSession)(cut)
+        with ThreadPoolExecutor(len(net)) as pool:
+            net = dict(zip(net, pool.map(stored, net.values())))
     after = dict(tables)
     for t in spec.tables:
         after[t] = update_table(tables[t], net[t], spec.row_key(t))
     ids = affected_ids(spec, view, changes, tables, net=net)
+    ids = cut(ids) if cut is not None else ids
     rows = build_view(spec, after, keys=ids, match_columns=True)
     touched = ids.select(F.col(VIEW_KEY).alias("_touched"))
     kept = view.join(touched, F.col(VIEW_KEY) == F.col("_touched"), "left_anti")
@@ -164,9 +174,7 @@ def lookup_guard(spec: ViewSpec, tables: dict[str, DataFrame], *, mode: str = "f
     out = dict(tables)
     for lk in spec.lookups:
         t = tables[lk.table]
-        keys = dup.filter(F.col("lookup") == lk.table).select(
-            typed_value(F.col("key"), t.schema[lk.key].dataType).alias("_dup")
-        )
+        keys = dup.filter(F.col("lookup") == lk.table).select(F.col("key").cast(t.schema[lk.key].dataType).alias("_dup"))
         out[lk.table] = t.join(keys, F.col(lk.key) == F.col("_dup"), "left_anti")
     return out
 

@@ -68,20 +68,17 @@ def parse_position(text: Column) -> Column:
     return F.when(offset.isNotNull(), position_struct(file, offset))
 
 
+POSITION_KEY = f"""struct(position.file_seq AS file_seq, position.offset AS offset,
+    coalesce(ts_ms, ts * 1000) AS ts_ms, xid AS xid, coalesce(xoffset, {2**63 - 1}L) AS xoffset)"""
+
+
 def position_key() -> Column:
     """Sort key of a change: file number, offset, then place in the transaction.
 
     The closing row of a transaction may carry no ``xoffset``; it sorts last. Feeds without
     positions fall back to time and transaction order.
     """
-    last = F.lit(2**63 - 1).cast("bigint")
-    return F.struct(
-        F.col("position.file_seq").alias("file_seq"),
-        F.col("position.offset").alias("offset"),
-        F.coalesce("ts_ms", F.col("ts") * 1000).alias("ts_ms"),
-        F.col("xid").alias("xid"),
-        F.coalesce("xoffset", last).alias("xoffset"),
-    )
+    return F.expr(POSITION_KEY)
 
 
 def after_position(df: DataFrame, position: tuple[int, int] | None) -> DataFrame:
@@ -126,20 +123,37 @@ def text_of(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
-def typed_value(text: Column, dtype: T.DataType) -> Column:
-    """Change-row text as a typed value; NULL when it does not fit."""
+def typed_sql(text: str, dtype: T.DataType) -> str:
+    """SQL for change-row text (itself SQL) as a typed value; NULL when it does not fit."""
+    kind = dtype.simpleString()
     if isinstance(dtype, T.StringType):
         return text
     if isinstance(dtype, T.BinaryType):
-        return F.unbase64(text)
+        return f"unbase64({text})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.from_json(text, dtype.simpleString() if not isinstance(dtype, T.StructType) else dtype)
+        return f"from_json({text}, '{kind}')"
     if isinstance(dtype, T.IntegralType):
         # booleans arrive as words, whole numbers may arrive as 1.0 or 1E3
-        return F.coalesce(
-            text.try_cast(dtype), text.try_cast("decimal(38,0)").try_cast(dtype), text.try_cast("boolean").cast(dtype)
+        return (
+            f"coalesce(try_cast({text} AS {kind}), try_cast(try_cast({text} AS decimal(38,0)) AS {kind}), "
+            f"cast(try_cast({text} AS boolean) AS {kind}))"
         )
-    return text.try_cast(dtype)
+    return f"try_cast({text} AS {kind})"
+
+
+def entry_sql(image: str, name: str) -> str:
+    """SQL for one column's text in a map image."""
+    return f"{image}[{literal(name)}]"
+
+
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted(name: str) -> str:
+    """A SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def image_map(df_schema: T.StructType, prefix: str = "") -> Column:
@@ -163,12 +177,11 @@ def typed_changes(changes: DataFrame, table: str, schema: T.StructType, image: s
 
 
 def typed_image(change: str, schema: T.StructType, image: str = "data") -> list[Column]:
-    data = F.col(f"{change}.data")
-    old = F.col(f"{change}.old")
     out = []
     for f in schema.fields:
-        text = data[f.name]
+        text = entry_sql(f"{change}.data", f.name)
         if image == "before":
-            text = F.when(F.map_contains_key(old, F.lit(f.name)), old[f.name]).otherwise(text)
-        out.append(typed_value(text, f.dataType).alias(f.name))
+            had = f"map_contains_key({change}.old, {literal(f.name)})"
+            text = f"CASE WHEN {had} THEN {entry_sql(f'{change}.old', f.name)} ELSE {text} END"
+        out.append(F.expr(f"{typed_sql(text, f.dataType)} AS {quoted(f.name)}"))
     return out

@@ -357,7 +357,7 @@ class Maintainer:
             stored = c.read_loose(name, [VIEW_KEY, lk.match_column])
             hit = stored.join(keys, F.col(lk.match_column) == F.col("_lk"), "left_semi")
             ids = ids.unionAll(hit.select(VIEW_KEY))
-        ids = c.scratch(f"ids_{spec.name}", ids.distinct())
+        ids = c.scratch(f"ids_{spec.name}", ids)
         # only buckets that hold a touched key are read
         touched = c.touched(VIEW_KEY, ids)
         master = c.scratch(f"master_{spec.name}", c.read(_MIRROR + spec.master, ids, touched=touched))

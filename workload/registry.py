@@ -30,3 +30,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="tideview-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def shared_cut(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Store a frame in the shared folder and read it back, so that it is computed once."""
+    root = scratch(spark, name)
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return cut

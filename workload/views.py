@@ -13,7 +13,7 @@ from tideview.plans.spec import ViewSpec
 from tideview.sources.tables import read_table
 from tideview.streaming.store import Store
 from workload import feeds as fd
-from workload.registry import query, scratch
+from workload.registry import query, scratch, shared_cut
 
 
 @query(
@@ -317,7 +317,7 @@ def _apply(spark: SparkSession, sf: str, changes_of) -> DataFrame:
     """Build on the original tables, apply changes incrementally, show the view."""
     t = fd.tables(spark, sf, fd.ORDERS)
     view = pb.build_view(fd.ORDERS, t, match_columns=True)
-    after, _ = mt.apply_changes(fd.ORDERS, view, t, changes_of(t))
+    after, _ = mt.apply_changes(fd.ORDERS, view, t, changes_of(t), cut=shared_cut(spark, "e"))
     return mt.visible(after)
 
 
@@ -356,7 +356,7 @@ def many_views(spark: SparkSession, sf: str) -> DataFrame:
     for spec, name in ((fd.ORDERS, "customer_name"), (fd.EVENTS, "customer_name"), (fd.CUSTOMER, "name")):
         t = fd.tables(spark, sf, spec)
         view = pb.build_view(spec, t, match_columns=True)
-        after, _ = mt.apply_changes(spec, view, t, fd.feed_l(t["customer"]))
+        after, _ = mt.apply_changes(spec, view, t, fd.feed_l(t["customer"]), cut=shared_cut(spark, "e9"))
         rows = after.select(F.lit(spec.name).alias("view_name"), "id", F.col(name).alias("name"))
         out = rows if out is None else out.unionAll(rows)
     return out
@@ -367,8 +367,10 @@ def two_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Orders first, then customers: the second batch starts from the first one's result."""
     t = fd.tables(spark, sf, fd.ORDERS)
     view = pb.build_view(fd.ORDERS, t, match_columns=True)
-    view, after = mt.apply_changes(fd.ORDERS, view, t, fd.feed_m(t["orders"]))
-    view, _ = mt.apply_changes(fd.ORDERS, view, after, fd.feed_l(t["customer"]))
+    cut = shared_cut(spark, "e10")
+    view, after = mt.apply_changes(fd.ORDERS, view, t, fd.feed_m(t["orders"]), cut=cut)
+    view, after = cut(view), {n: cut(df) for n, df in after.items()}
+    view, _ = mt.apply_changes(fd.ORDERS, view, after, fd.feed_l(t["customer"]), cut=cut)
     return mt.visible(view)
 
 
@@ -381,7 +383,7 @@ def partial_images(spark: SparkSession, sf: str) -> DataFrame:
     slim = F.map_filter("data", lambda k, v: (k == "o_orderkey") | F.map_contains_key("old", k))
     m = m.withColumn("data", F.when(F.col("type") == "update", slim).otherwise(F.col("data")))
     view = pb.build_view(fd.ORDERS, t, match_columns=True)
-    after, _ = mt.apply_changes(fd.ORDERS, view, t, m, full_images=False)
+    after, _ = mt.apply_changes(fd.ORDERS, view, t, m, full_images=False, cut=shared_cut(spark, "e10"))
     return mt.visible(after)
 
 
