@@ -35,7 +35,8 @@ def build_view(
     if spec.where:
         master = master.filter(F.expr(spec.where))
     if keys is not None:
-        wanted = keys.select(F.col(keys.columns[0]).alias("_wanted"))
+        # repeats are folded before the shuffle, so a key asked for very often costs little
+        wanted = keys.select(F.col(keys.columns[0]).alias("_wanted")).distinct()
         master = master.join(wanted, F.col(f"{spec.master}.{spec.pk}") == F.col("_wanted"), "left_semi")
 
     lookups = [lk for lk in spec.lookups if any(c.table == lk.table for c in out)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,7 +18,7 @@ from tideview.operators.hooks import drop_suppressed, with_hook
 from tideview.operators.maintain import lookup_guard, relevant_changes, visible
 from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_deltas
 from tideview.plans.build import UPDATED_TIME, build_view, count_source
-from tideview.plans.spec import VIEW_KEY, ViewSpec, source_columns
+from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, source_columns
 from tideview.sources.change import CHANGE, after_position, after_positions
 from tideview.sources.feed import parse_changes, parse_lines, parse_schema_events, split_parsed
 from tideview.sources.tables import read_table
@@ -257,14 +258,18 @@ class Maintainer:
             return
         # The batch is written once to the shared store: later steps read it several times, and
         # they run in the main session, where adaptive execution is on.
-        parsed = c.scratch("parsed", parse_lines(lines.select("value"), key=self.secret_key))
-        # schema events have no row image, so they are among the lines that are no row changes
-        about_schema = F.coalesce(F.get_json_object("value", "$.type").isin(*SCHEMA_EVENT_TYPES), F.lit(False))
-        changes, others = split_parsed(parsed)
-        rejects = others.filter(~about_schema)
-        lost = breaking_deltas(parse_schema_events(others), self.columns).limit(1).collect()
-        if lost:
-            raise SchemaChanged(f"{lost[0]['table']}: {lost[0]['reason']}")
+        seen = Observation()
+        rows = parse_lines(lines.select("value"), key=self.secret_key).observe(
+            seen, F.count_if(F.col("reason").isNotNull()).alias("others")
+        )
+        changes, others = split_parsed(c.scratch("parsed", rows))
+        if seen.get["others"]:
+            # schema events have no row image, so they are among the lines that are no row changes
+            lost = breaking_deltas(parse_schema_events(others), self.columns).limit(1).collect()
+            if lost:
+                raise SchemaChanged(f"{lost[0]['table']}: {lost[0]['reason']}")
+            about_schema = F.coalesce(F.get_json_object("value", "$.type").isin(*SCHEMA_EVENT_TYPES), F.lit(False))
+            c.log("_rejects", others.filter(~about_schema))
         if self.rules is not None:
             changes = changes.filter(feed_filter(self.rules))
         changes = self._not_seen(c, changes)
@@ -276,16 +281,20 @@ class Maintainer:
         held = c.read_log("_pending")
         if held is not None:
             changes = held.unionAll(changes)
-        changes = c.scratch("changes", changes)
+        if self.hook is not None:
+            changes = c.scratch("changes", changes)
         ready, pending = committed_only(changes)
+        if pending.limit(1).count():
+            c.log("_pending", pending, append=False)
+        else:
+            c.m["logs"].pop("_pending", None)
+            ready = changes
         ready.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._apply(c, relevant_changes(drop_suppressed(ready), self.specs, self._mirrors(c)))
             for p in committed_position(ready).collect():
                 if p["file_seq"] is not None:
                     c.state.setdefault("positions", {})[str(p["server_id"])] = [p["file"], p["file_seq"], p["offset"]]
-            c.log("_pending", pending, append=False)
-            c.log("_rejects", rejects)
+            self._apply(c, relevant_changes(drop_suppressed(ready), self.specs, self._mirrors(c)))
             c.state.setdefault("batches", {})[source] = batch_id
             if self.dry_run:
                 return
@@ -312,60 +321,61 @@ class Maintainer:
         return after_positions(named, positions)
 
     def _apply(self, c: Commit, changes: DataFrame) -> None:
-        net = {}
-        for t in self.columns:
-            schema = c.schema(_MIRROR + t)
-            current = None
+        """Net changes into the mirrors, then each view that reads a changed table."""
+        found = [r["table"] for r in changes.select("table").distinct().collect()]
+
+        def mirror(t: str) -> DataFrame:
+            schema, key, current = c.schema(_MIRROR + t), self.keys[t], None
             if not self.full_images:
-                key = self.keys[t]
                 mine = changes.filter(F.col("table") == t)
                 ids = mine.select(F.col("data")[key].try_cast(schema[key].dataType).alias("k"))
-                current = c.read(_MIRROR + t, ids)
-            rows = net_changes(changes, t, self.keys[t], schema, current=current)
-            net[t] = c.scratch(f"net_{t}", rows)
-        # join keys that a lookup row is about to give up, read before its mirror moves on
-        before = {}
-        for s in self.specs:
-            for lk in s.lookups:
-                if lk.row_key != lk.key:
-                    rows = c.read(_MIRROR + lk.table, net[lk.table].select("_key")).select(F.col(lk.key).alias("_lk"))
-                    before[s.name, lk.table] = c.scratch(f"keys_{s.name}_{lk.table}", rows)
-        for t, rows in net.items():
-            c.change(_MIRROR + t, rows.filter(~F.col("_deleted")), rows.filter("_deleted").select("_key"))
+                current = c.before.read(_MIRROR + t, ids)
+            return c.change_net(_MIRROR + t, net_changes(changes, t, key, schema, current=current))
 
         def one(spec: ViewSpec) -> None:
             try:
-                self._apply_view(c, spec, net, before)
+                self._apply_view(c, spec, net)
             except Exception as e:
                 e.view = spec.name
                 raise
 
+        touched = [s for s in self.specs if set(s.tables) & set(found)]
         with ThreadPoolExecutor(self.workers) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(self._pooled(one)), self.specs))
+            thread = inheritable_thread_target(self.spark)
+            net = dict(zip(found, pool.map(thread(mirror), found)))
+            list(pool.map(thread(self._pooled(one)), touched))
 
-    def _apply_view(self, c: Commit, spec: ViewSpec, net: dict[str, DataFrame], before: dict) -> None:
+    def _apply_view(self, c: Commit, spec: ViewSpec, net: dict[str, DataFrame]) -> None:
         name = _VIEW + spec.name
-        ids = net[spec.master].select(F.col("_key").alias(VIEW_KEY))
+        parts = []
+        if spec.master in net:
+            parts.append(net[spec.master].select(F.col("_key").alias(VIEW_KEY)))
         for lk in spec.lookups:
-            keys = net[lk.table].select(F.col("_key").alias("_lk"))
-            if lk.row_key != lk.key:
-                after = net[lk.table].filter(~F.col("_deleted")).select(F.col(lk.key).alias("_lk"))
-                keys = before[spec.name, lk.table].unionAll(after)
-                now = c.read(_MIRROR + lk.table).join(after, F.col(lk.key) == F.col("_lk"), "left_semi")
-                if now.groupBy(lk.key).count().filter("count > 1").limit(1).collect():
-                    raise ValueError(f"lookup keys of {lk.table}.{lk.key} are not unique any more")
-            stored = c.read_loose(name, [VIEW_KEY, lk.match_column])
-            hit = stored.join(keys, F.col(lk.match_column) == F.col("_lk"), "left_semi")
-            ids = ids.unionAll(hit.select(VIEW_KEY))
-        ids = c.scratch(f"ids_{spec.name}", ids)
+            if lk.table in net:
+                keys = self._changed_keys(c, lk, net[lk.table])
+                stored = c.read_loose(name, [VIEW_KEY, lk.match_column])
+                hit = stored.join(keys, F.col(lk.match_column) == F.col("_lk"), "left_semi")
+                parts.append(hit.select(VIEW_KEY))
+        ids = c.scratch(f"ids_{spec.name}", reduce(DataFrame.unionAll, parts))
         # only buckets that hold a touched key are read
         touched = c.touched(VIEW_KEY, ids)
         master = c.scratch(f"master_{spec.name}", c.read(_MIRROR + spec.master, ids, touched=touched))
         tables = {spec.master: master}
         for lk in spec.lookups:
-            if lk.row_key == lk.key:
-                tables[lk.table] = c.read(_MIRROR + lk.table, master.select(lk.master_column))
-            else:
-                tables[lk.table] = c.read(_MIRROR + lk.table)
+            # a mirror is keyed by its own key, so it can be narrowed only where that is the join key
+            wanted = master.select(lk.master_column) if lk.row_key == lk.key else None
+            tables[lk.table] = c.read(_MIRROR + lk.table, wanted)
         rows = self._stamped(build_view(spec, tables, match_columns=True))
         c.change(name, rows, ids)
+
+    @staticmethod
+    def _changed_keys(c: Commit, lk: LookupSpec, net: DataFrame) -> DataFrame:
+        """Join keys that lookup rows had before the batch or have after it."""
+        if lk.row_key == lk.key:
+            return net.select(F.col("_key").alias("_lk"))
+        before = c.before.read(_MIRROR + lk.table, net.select("_key")).select(F.col(lk.key).alias("_lk"))
+        after = net.filter(~F.col("_deleted")).select(F.col(lk.key).alias("_lk"))
+        now = c.read(_MIRROR + lk.table).join(after, F.col(lk.key) == F.col("_lk"), "left_semi")
+        if now.groupBy(lk.key).count().filter("count > 1").limit(1).collect():
+            raise ValueError(f"lookup keys of {lk.table}.{lk.key} are not unique any more")
+        return before.unionAll(after)

@@ -56,17 +56,17 @@ class Store:
         live: set[str] = set()
         for n in names[-keep:]:
             m = json.loads(self.files.read(f"manifests/{n}"))
-            for t in m["tables"].values():
-                live |= set(t["base"].values()) | set(t["deltas"])
-            for runs in m["logs"].values():
-                live |= set(runs["runs"])
+            for name, t in m["tables"].items():
+                live |= {f"{name}/base/run={r}" for r in t["base"].values()} | {f"{name}/delta/run={r}" for r in t["deltas"]}
+            for name, log in m["logs"].items():
+                live |= {f"{name}/log/run={r}" for r in log["runs"]}
         newest = int(names[-1].split(".")[0])
         gone = []
         for top in self.files.names("data"):
             for part in self.files.names(f"data/{top}"):
                 for run in self.files.names(f"data/{top}/{part}"):
                     version = int(run.removeprefix("run=r").split("-")[0])
-                    if run.removeprefix("run=") not in live and version <= newest:
+                    if f"{top}/{part}/{run}" not in live and version <= newest:
                         self.files.delete(f"data/{top}/{part}/{run}")
                         gone.append(f"{top}/{part}/{run}")
         return gone
@@ -118,7 +118,8 @@ class _View:
         key = t["key"]
         base, deltas = self._base(name, touched), self._deltas(name)
         if keys is not None:
-            wanted = keys.select(F.col(keys.columns[0]).alias("_wanted"))
+            # repeats are folded before the shuffle, so a key asked for very often costs little
+            wanted = keys.select(F.col(keys.columns[0]).alias("_wanted")).distinct()
             base = base.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
             if deltas is not None:
                 deltas = deltas.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
@@ -154,18 +155,20 @@ class _View:
 class Commit(_View):
     """One set of writes that becomes visible at once by ``publish``.
 
-    Reads through a commit see its own writes.
+    Reads through a commit see its own writes; ``before`` reads what it started from.
     """
 
     def __init__(self, store: Store):
         super().__init__(store, store.manifest())
+        self.before = _View(store, self.m)
         self.m = json.loads(json.dumps(self.m))
         self.version = self.m["version"] + 1
         self.run = f"r{self.version}-{uuid.uuid4().hex[:12]}"
         self.state = self.m["state"]
 
     def scratch(self, name: str, df: DataFrame) -> DataFrame:
-        """Write an intermediate result to the shared store and read it back."""
+        """Write an intermediate result to the shared store and read it back. The files of
+        earlier commits' scratch are left to ``vacuum``."""
         path = self.store.files.path(f"data/_work/{name}/run={self.run}")
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -198,8 +201,19 @@ class Commit(_View):
                     F.lit(True).alias("_deleted"),
                 )
             )
-        out.write.mode("overwrite").parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
-        t["deltas"].append(self.run)
+        self._write_delta(name, out)
+
+    def change_net(self, name: str, net: DataFrame) -> DataFrame:
+        """Add net changes, (_key, _deleted, <columns>), as a delta and give them back as stored."""
+        t, schema = self.m["tables"][name], self.schema(name)
+        self._write_delta(name, net.select(*[F.col("_key" if n == t["key"] else n).alias(n) for n in schema.names], "_deleted"))
+        stored = T.StructType([*schema.fields, T.StructField("_deleted", T.BooleanType())])
+        df = self.spark.read.schema(stored).parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
+        return df.withColumn("_key", F.col(t["key"]))
+
+    def _write_delta(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
+        self.m["tables"][name]["deltas"].append(self.run)
 
     def compact(self, name: str, *, force: bool = False) -> bool:
         """Fold the deltas into the buckets they touch once there are enough of them."""
