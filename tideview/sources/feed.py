@@ -17,6 +17,7 @@ _SCALARS = (
     "database", "table", "type", "ts", "ts_ms", "xid", "xoffset", "commit", "position", "gtid",
     "server_id", "thread_id", "schema_id", "query", "comment",
 )
+_NEEDS_ESCAPE = r"""[\x00-\x1f"\\]"""
 # Fixed names: fields a row must have, in the order they are checked.
 _REQUIRED = ("type", "database", "table", "ts", "data")
 # Fixed names: an extra attribute must not take one of these.
@@ -286,9 +287,13 @@ def bare_columns(tables: dict[str, T.StructType]) -> Column | None:
 
 
 def json_text(col: Column) -> Column:
-    """A string as a quoted JSON string; NULL stays NULL."""
+    """A string as a quoted JSON string; NULL stays NULL.
+
+    Only text with a quote, a backslash or a control character needs the JSON writer.
+    """
     inside = F.to_json(F.array(col))
-    return F.when(col.isNotNull(), F.substring(inside, F.lit(2), F.length(inside) - 2))
+    escaped = F.substring(inside, F.lit(2), F.length(inside) - 2)
+    return F.when(col.rlike(_NEEDS_ESCAPE), escaped).otherwise(F.concat(F.lit('"'), col, F.lit('"')))
 
 
 def camel_key(k: Column) -> Column:

@@ -14,7 +14,7 @@ from tideview.plans.build import build_view
 from tideview.sources import feed as src
 from tideview.sources.change import after_positions, position_struct, typed_changes
 from workload import feeds as fd
-from workload.registry import query
+from workload.registry import query, scratch
 from workload.views import every_feed
 
 def _off() -> Column:
@@ -49,7 +49,9 @@ def read_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The feed written as JSON lines and read back, values cast to the table's types."""
     orders = fd.table(spark, sf, "orders")
     options = src.OutputOptions(position=True, server_id=True, primary_key_columns=True, tables={"orders": orders.schema})
-    changes, _ = src.parse_changes(src.to_change_json(_m(spark, sf), options))
+    path = scratch(spark, "a2")
+    src.write_changes(_m(spark, sf), path, options)
+    changes, _ = src.read_changes(spark, path)
     rows = typed_changes(changes, "orders", orders.schema)
     return rows.select(
         F.col("_change.position.offset").alias("off"),
