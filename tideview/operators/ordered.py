@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tideview.sources.change import position_key
 
-SLOT = 1 << 22
+# 64 MiB of log: some million rows at most, and a summary of about 1.6 million rows for 100 TB.
+SLOT = 1 << 26
 
 _SLOT_COLUMNS = ["_file", "_slot"]
 

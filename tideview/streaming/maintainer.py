@@ -28,6 +28,11 @@ _MIRROR = "src_"
 _VIEW = "mv_"
 
 
+def _index(spec: ViewSpec, lk: LookupSpec) -> str:
+    """Finds view rows by the lookup key of their master row."""
+    return f"ix_{spec.name}_{lk.table}"
+
+
 class BuildError(RuntimeError):
     def __init__(self, view: str, cause: Exception):
         super().__init__(f"building {view} failed: {cause}")
@@ -141,6 +146,9 @@ class Maintainer:
                 seen = Observation()
                 rows = build_view(spec, mirrors, match_columns=True).observe(seen, F.count(F.lit(1)).alias("n"))
                 c.replace(_VIEW + spec.name, self._stamped(rows), VIEW_KEY)
+                for lk in spec.lookups:
+                    pairs = c.read(_VIEW + spec.name).select(VIEW_KEY, lk.match_column)
+                    c.replace_index(_index(spec, lk), pairs.filter(F.col(lk.match_column).isNotNull()), lk.match_column)
                 return {
                     "view_id": spec.id, "view": spec.name, "status": "complete", "total_rows": total,
                     "inserted_rows": seen.get["n"], "started_at": started, "completed_at": time.time(),
@@ -353,20 +361,30 @@ class Maintainer:
         for lk in spec.lookups:
             if lk.table in net:
                 keys = self._changed_keys(c, lk, net[lk.table])
-                stored = c.read_loose(name, [VIEW_KEY, lk.match_column])
+                stored = c.read_index(_index(spec, lk), keys)
                 hit = stored.join(keys, F.col(lk.match_column) == F.col("_lk"), "left_semi")
                 parts.append(hit.select(VIEW_KEY))
         ids = c.scratch(f"ids_{spec.name}", reduce(DataFrame.unionAll, parts))
-        # only buckets that hold a touched key are read
-        touched = c.touched(VIEW_KEY, ids)
-        master = c.scratch(f"master_{spec.name}", c.read(_MIRROR + spec.master, ids, touched=touched))
+        master = c.scratch(f"master_{spec.name}", self._narrowed(c, spec.master, ids))
         tables = {spec.master: master}
         for lk in spec.lookups:
             # a mirror is keyed by its own key, so it can be narrowed only where that is the join key
-            wanted = master.select(lk.master_column) if lk.row_key == lk.key else None
-            tables[lk.table] = c.read(_MIRROR + lk.table, wanted)
-        rows = self._stamped(build_view(spec, tables, match_columns=True))
-        c.change(name, rows, ids)
+            if lk.row_key == lk.key:
+                tables[lk.table] = self._narrowed(c, lk.table, master.select(lk.master_column))
+            else:
+                tables[lk.table] = c.read(_MIRROR + lk.table)
+        c.change(name, self._stamped(build_view(spec, tables, match_columns=True)), ids)
+        if spec.master in net:
+            # only a change of the master row can give it another lookup key
+            written = c.own_delta(name).filter(~F.col("_deleted"))
+            moved = written.join(net[spec.master].select("_key"), F.col(VIEW_KEY) == F.col("_key"), "left_semi")
+            for lk in spec.lookups:
+                c.change(_index(spec, lk), moved.filter(F.col(lk.match_column).isNotNull()))
+
+    @staticmethod
+    def _narrowed(c: Commit, table: str, keys: DataFrame) -> DataFrame:
+        """A mirror's rows with the given keys; only buckets that hold one of them are read."""
+        return c.read(_MIRROR + table, keys, touched=c.touched(_MIRROR + table, keys))
 
     @staticmethod
     def _changed_keys(c: Commit, lk: LookupSpec, net: DataFrame) -> DataFrame:

@@ -109,9 +109,24 @@ class _View:
             "_version", F.regexp_extract(F.col("_metadata.file_path"), r"/run=r(\d+)-", 1).cast("bigint")
         ).select(*schema.names, "_version")
 
-    def touched(self, key: str, keys: DataFrame) -> set[int]:
-        """Buckets a set of keys falls in; at most as many numbers as there are buckets."""
-        return {r[0] for r in keys.select(self.bucket(F.col(key)).alias("b")).distinct().collect()}
+    def touched(self, name: str, keys: DataFrame) -> set[int] | None:
+        """Buckets of a table that a set of keys (one column) falls in: at most as many numbers as
+        there are buckets. None, for all of them, when the keys are of another kind of type."""
+        want, have = self.schema(name)[self._by(name)].dataType, keys.schema[0].dataType
+        if want != have and not (isinstance(want, T.IntegralType) and isinstance(have, T.IntegralType)):
+            return None
+        key = F.col(keys.columns[0]).try_cast(want)
+        return {r[0] for r in keys.select(self.bucket(key).alias("b")).distinct().collect()}
+
+    def _by(self, name: str) -> str:
+        """The column a table's buckets are cut by."""
+        t = self.m["tables"][name]
+        return t.get("by") or t["key"]
+
+    def read_index(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of an index that may hold the given keys: only the buckets those fall in."""
+        base, deltas = self._base(name, self.touched(name, keys)), self._deltas(name)
+        return base if deltas is None else base.unionAll(deltas.select(*base.columns))
 
     def read(self, name: str, keys: DataFrame | None = None, *, touched: set[int] | None = None) -> DataFrame:
         t = self.m["tables"][name]
@@ -134,15 +149,6 @@ class _View:
         kept = base.join(latest.select("_k"), F.col(key) == F.col("_k"), "left_anti")
         return kept.unionAll(latest.filter(~F.col("_l._deleted")).select(*[F.col(f"_l.{n}").alias(n) for n in names]))
 
-    def read_loose(self, name: str, columns: list[str]) -> DataFrame:
-        """Some columns of every stored row version that may still be current.
-
-        Base and written delta rows without folding, so without any shuffle: enough to find
-        which keys may be concerned, where a few too many do no harm.
-        """
-        base, deltas = self._base(name, None).select(*columns), self._deltas(name)
-        return base if deltas is None else base.unionAll(deltas.filter(~F.col("_deleted")).select(*columns))
-
     def read_log(self, name: str) -> DataFrame | None:
         log = self.m["logs"].get(name)
         if not log or not log["runs"]:
@@ -178,12 +184,23 @@ class Commit(_View):
         self.m["tables"][name] = {"key": key, "schema": json.dumps(df.schema.jsonValue()), "base": {}, "deltas": []}
         self._write_base(name, df)
 
+    def replace_index(self, name: str, df: DataFrame, by: str) -> None:
+        """Set an index: rows found by ``by``, which need not be unique.
+
+        Entries are only ever added, so it may hold some that no longer apply; readers use it to
+        find rows that may be concerned.
+        """
+        schema = json.dumps(df.schema.jsonValue())
+        self.m["tables"][name] = {"key": df.columns[0], "by": by, "schema": schema, "base": {}, "deltas": []}
+        self._write_base(name, df)
+
     def _write_base(self, name: str, df: DataFrame) -> None:
         t = self.m["tables"][name]
         rel = f"data/{name}/base/run={self.run}"
-        out = df.withColumn("_bucket", self.bucket(F.col(t["key"])))
+        by = self._by(name)
+        out = df.withColumn("_bucket", self.bucket(F.col(by)))
         # rebalancing keeps a bucket together unless it is too large for one task
-        out = out.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", t["key"])
+        out = out.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", by)
         out.write.mode("overwrite").partitionBy("_bucket").parquet(self.store.files.path(rel))
         for n in self.store.files.names(rel):
             if n.startswith("_bucket="):
@@ -205,11 +222,15 @@ class Commit(_View):
 
     def change_net(self, name: str, net: DataFrame) -> DataFrame:
         """Add net changes, (_key, _deleted, <columns>), as a delta and give them back as stored."""
-        t, schema = self.m["tables"][name], self.schema(name)
-        self._write_delta(name, net.select(*[F.col("_key" if n == t["key"] else n).alias(n) for n in schema.names], "_deleted"))
-        stored = T.StructType([*schema.fields, T.StructField("_deleted", T.BooleanType())])
-        df = self.spark.read.schema(stored).parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
-        return df.withColumn("_key", F.col(t["key"]))
+        key = self.m["tables"][name]["key"]
+        names = self.schema(name).names
+        self._write_delta(name, net.select(*[F.col("_key" if n == key else n).alias(n) for n in names], "_deleted"))
+        return self.own_delta(name).withColumn("_key", F.col(key))
+
+    def own_delta(self, name: str) -> DataFrame:
+        """The delta this commit wrote, with ``_deleted``."""
+        stored = T.StructType([*self.schema(name).fields, T.StructField("_deleted", T.BooleanType())])
+        return self.spark.read.schema(stored).parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
 
     def _write_delta(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self.store.files.path(f"data/{name}/delta/run={self.run}"))
@@ -220,8 +241,12 @@ class Commit(_View):
         t = self.m["tables"][name]
         if not t["deltas"] or (len(t["deltas"]) < self.store.compact_after and not force):
             return False
-        touched = self.touched(t["key"], self._deltas(name).select(t["key"]))
-        merged = self.read(name, touched=touched)
+        touched = self.touched(name, self._deltas(name).select(self._by(name)))
+        if t.get("by"):
+            base = self._base(name, touched)
+            merged = base.unionAll(self._deltas(name).select(*base.columns)).distinct()
+        else:
+            merged = self.read(name, touched=touched)
         t["base"] = {b: r for b, r in t["base"].items() if int(b) not in touched}
         deltas, t["deltas"] = t["deltas"], []
         try:

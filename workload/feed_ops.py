@@ -438,11 +438,7 @@ def giant_transaction(spark: SparkSession, sf: str) -> DataFrame:
 )
 def committed(spark: SparkSession, sf: str) -> DataFrame:
     """Every seventh transaction has no commit row yet."""
-    n, x = F.col("position.offset"), F.col("xid")
-    e = _e(spark, sf).withColumn("commit", (n % 5 == 4) & (x % 7 != 3))
-    # the table may end inside a transaction; its last row then closes it
-    last = e.agg(F.max(n).alias("_last"))
-    e = e.crossJoin(F.broadcast(last)).withColumn("commit", F.col("commit") | ((n == F.col("_last")) & (x % 7 != 3))).drop("_last")
+    e = op.assemble_transactions(_e(spark, sf)).withColumn("commit", F.col("commit") & (F.col("xid") % 7 != 3))
     ready, pending = op.committed_only(e)
     return ready.select(_id(), F.lit("ready").alias("state")).unionAll(pending.select(_id(), F.lit("pending").alias("state")))
 
