@@ -258,6 +258,29 @@ def test_start_stop_resume(spark, folder):
     check(spark, m, source)
 
 
+def test_resume_in_another_servers_feed(spark, folder):
+    """The new feed repeats what was applied; it is taken up behind the last heartbeat read."""
+    source = Source()
+    m = maintainer(spark, source, folder)
+    m.build()
+    beat = lambda server, at, h: json.dumps(
+        {"database": "d", "table": "h", "type": "heartbeat", "ts": 1, "position": at, "server_id": server, "data": {"heartbeat": h}}
+    )
+    m.apply_batch(spark.createDataFrame([(beat(1, "log.000009:50", 77),)], "value string"), 0)
+    assert m.store.state()["heartbeat"] == 77
+    with pytest.raises(RuntimeError):
+        m.recover(78)
+    source.update("login", 1, login_note="after")
+    from pyspark.sql import functions as F
+
+    old = json.dumps({"database": "shop", "table": "login", "type": "delete", "ts": 1, "position": "new.000001:3", "server_id": 2, "data": {"id": "3"}})
+    put(folder, [old, beat(2, "new.000001:5", 77)])
+    assert m.recover() == (1, 5)
+    deliver(spark, source, folder, 1, lambda df: df.withColumn("server_id", F.lit(2).cast("bigint")))
+    m.apply_batch(spark.read.text(f"{folder}/feed"), 1)
+    check(spark, m, source)
+
+
 def test_second_writer_is_refused(spark, folder):
     store = Store(spark, f"{folder}/s", buckets=2)
     a, b = store.begin(), store.begin()

@@ -81,9 +81,17 @@ def forget_other_servers(positions: DataFrame, server_id: int, client_id: str) -
     return positions.filter(~F.coalesce(other, F.lit(False)))
 
 
+def progress(df: DataFrame) -> DataFrame:
+    """Per server the newest position at which a transaction ended, where a restart resumes, and
+    the newest heartbeat: (server_id, file, file_seq, offset, heartbeat)."""
+    done = F.coalesce("commit", F.lit(False)) | F.col("xid").isNull()
+    beat = F.when(F.col("type") == "heartbeat", F.coalesce(F.col("data")["heartbeat"].try_cast("bigint"), F.col("ts_ms")))
+    at = F.max_by(F.when(done, F.col("position")), F.when(done, position_key()))
+    return df.groupBy(F.coalesce("server_id", F.lit(0).cast("bigint")).alias("server_id")).agg(
+        at.alias("position"), F.max(beat).alias("heartbeat")
+    ).select("server_id", "position.file", "position.file_seq", "position.offset", "heartbeat")
+
+
 def committed_position(df: DataFrame) -> DataFrame:
-    """Per server the newest position at which a transaction ended: where a restart resumes."""
-    done = df.filter(F.coalesce("commit", F.lit(False)) | F.col("xid").isNull())
-    return done.groupBy(F.coalesce("server_id", F.lit(0).cast("bigint")).alias("server_id")).agg(
-        F.max_by("position", position_key()).alias("position")
-    ).select("server_id", "position.file", "position.file_seq", "position.offset")
+    """Per server the newest position at which a transaction ended."""
+    return progress(df).drop("heartbeat").filter(F.col("file").isNotNull())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideview.operators.feed import committed_only, net_changes
 from tideview.operators.filters import Rule, feed_filter
-from tideview.operators.heartbeats import committed_position
+from tideview.operators.heartbeats import RecoveryError, committed_position, progress, recover_position
 from tideview.operators.hooks import drop_suppressed, with_hook
 from tideview.operators.maintain import lookup_guard, relevant_changes, visible
 from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_deltas
@@ -191,6 +191,19 @@ class Maintainer:
         row = committed_position(changes).orderBy(F.desc("file_seq"), F.desc("offset")).first()
         return (row["file_seq"], row["offset"]) if row and row["file_seq"] is not None else None
 
+    def recover(self, heartbeat: int | None = None) -> tuple[int, int]:
+        """After a fail-over to another server: resume where its feed, now in the feed folder,
+        holds the last heartbeat that was read."""
+        c = self.store.begin()
+        want = heartbeat if heartbeat is not None else c.state.get("heartbeat")
+        changes, _ = parse_changes(self.spark.read.text(self.feed), key=self.secret_key)
+        found = recover_position(changes, want).first() if want is not None else None
+        if found is None:
+            raise RecoveryError(f"the feed does not hold heartbeat {want}")
+        c.state["start"], c.state["positions"] = [found["file_seq"], found["offset"]], {}
+        c.publish()
+        return found["file_seq"], found["offset"]
+
     # -- following the feed ------------------------------------------------------------
 
     def _lines(self) -> DataFrame:
@@ -299,9 +312,11 @@ class Maintainer:
             ready = changes
         ready.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for p in committed_position(ready).collect():
+            for p in progress(ready).collect():
                 if p["file_seq"] is not None:
                     c.state.setdefault("positions", {})[str(p["server_id"])] = [p["file"], p["file_seq"], p["offset"]]
+                if p["heartbeat"] is not None:
+                    c.state["heartbeat"] = max(p["heartbeat"], c.state.get("heartbeat", 0))
             self._apply(c, relevant_changes(drop_suppressed(ready), self.specs, self._mirrors(c)))
             c.state.setdefault("batches", {})[source] = batch_id
             if self.dry_run:

@@ -81,6 +81,28 @@ _PK_AGAIN = ViewSpec.load(
 )
 
 
+_HOT = ViewSpec.load(
+    dict(
+        id=10, name="hot", master="orders", pk="o_orderkey", columns=fd._columns(customer_name="customer.c_name"),
+        lookups=[dict(table="customer", master_column="o_custkey", key="c_custkey", salt=8)],
+    )
+)
+
+
+@query(
+    "d1_hot_and_null_lookup_keys",
+    """SELECT o_orderkey AS id, c_name AS customer_name, c_custkey AS customer_c_custkey FROM
+           (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE o_custkey END AS k FROM orders)
+       LEFT JOIN customer ON k = c_custkey""",
+)
+def hot_lookup_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the orders point at one customer and a third at none; the key is salted."""
+    t = fd.tables(spark, sf, _HOT)
+    r = F.col("o_orderkey") % 3
+    key = F.when(r == 0, F.lit(7).cast("bigint")).when(r == 1, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey"))
+    return pb.build_view(_HOT, {**t, "orders": t["orders"].withColumn("o_custkey", key)})
+
+
 @query(
     "b3_projection_and_rename",
     "SELECT o_orderkey AS id, o_orderpriority AS priority, c_custkey AS who FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
