@@ -22,8 +22,6 @@ def spark():
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     session = builder.getOrCreate()
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tideview-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

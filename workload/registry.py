@@ -23,12 +23,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_FALLBACK: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place the cluster names; a temporary one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="tideview-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # only without a cluster: one temporary folder per process
+        if not _FALLBACK:
+            _FALLBACK.append(tempfile.mkdtemp(prefix="tideview-"))
+        root = _FALLBACK[0]
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
