@@ -403,12 +403,16 @@ def schema_feed(events: DataFrame, rules: str | list[Rule] | None = None) -> Dat
     return df.select("type", "database", "table", "position", F.to_json(body).alias("value"))
 
 
-def breaking_deltas(deltas: DataFrame, used: dict[str, list[str]]) -> DataFrame:
+def breaking_deltas(deltas: DataFrame, used: dict[str, list[str]] | DataFrame) -> DataFrame:
     """Schema events that views cannot survive: a used table dropped or renamed, a used column
-    gone from its new definition."""
-    spark = deltas.sparkSession
-    need = spark.createDataFrame([(t, cols) for t, cols in used.items()], "_table string, _used array<string>")
-    joined = deltas.join(F.broadcast(need), F.col("table") == F.col("_table"))
+    gone from its new definition. ``used`` is the columns per table that views need, as a dict
+    from the view configuration or as a frame (table, columns)."""
+    if isinstance(used, DataFrame):
+        need = used.select(F.col("table").alias("_table"), F.col("columns").alias("_used"))
+    else:
+        rows = [(t, cols) for t, cols in used.items()]
+        need = deltas.sparkSession.createDataFrame(rows, "_table string, _used array<string>")
+    joined = deltas.join(need, F.col("table") == F.col("_table"))
     names = F.transform("def", lambda c: F.lower(c["name"]))
     lost = F.filter("_used", lambda c: ~F.array_contains(names, F.lower(c)))
     dropped = F.col("type") == "table-drop"

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tideview.plans.spec import ViewSpec, load_views
 from tideview.sources.change import as_changes, image_map, position_struct, text_of
