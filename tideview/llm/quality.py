@@ -2,7 +2,8 @@
 
 One linear score per document, shared by all grades, and ordered thresholds between the grades:
 P(grade <= k) = sigmoid(threshold_k - score). The score adds a weight for each distinct hashed feature:
-words, and the shapes of tokens (case, trailing marks), the latter also by their share of the text.
+words, the shapes of tokens (case, trailing marks; also those of a tenth of the text or more), and how much of
+the text repeats.
 
 The model is fitted on at most ``sample`` labelled documents per grade, taken by a hash of the id;
 executors turn them into feature numbers, and only these few MB reach the driver.
@@ -24,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.texts import column, names, pieces, words
+from tideview.llm.texts import column, mix, names, pieces, words
 
 #: Labelled documents per grade that a fit uses at most.
 SAMPLE = 4000
 BITS = 18
+#: Standard errors by which a feature's mean grade must differ from the sample's.
+CHANCE = 5.0
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -59,7 +62,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     many = counts * 10 >= np.bincount(of)[text]
     plain_form = ((style * np.uint64(2654435761)) & mask).astype(np.int64)[form]
     main_form = ((style * np.uint64(2246822519) + np.uint64(97)) & mask).astype(np.int64)[form[many]]
-    pairs = np.concatenate((pairs, (text << BITS) | plain_form, (text[many] << BITS) | main_form))
+    # the share of words that repeat the one before, and of lines that repeat
+    present, n_words = np.unique(of, return_counts=True)
+    again = np.bincount(of[1:][(codes[1:] == codes[:-1]) & (of[1:] == of[:-1])], minlength=len(texts))[present]
+    repeats = (mix((10 * again // n_words).astype(np.uint64)) & mask).astype(np.int64)
+    lines = [t.split("\n") for t in texts.to_pylist()]
+    same = np.array([(1 - len(set(x)) / len(x)) * 5 if len(x) > 2 else 0 for x in lines])[present].astype(np.int64)
+    lined = (mix(same.astype(np.uint64) + np.uint64(1 << 40)) & mask).astype(np.int64)
+    pairs = np.concatenate((pairs, (text << BITS) | plain_form, (text[many] << BITS) | main_form, (present << BITS) | repeats, (present << BITS) | lined))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -76,8 +86,10 @@ class Ordinal:
 def fit(rows: np.ndarray, feats: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 150, shrink: float = 2e-4) -> Ordinal:
     """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over the whole sample."""
     n = len(grade)
+    # only features whose documents' grades differ from the rest beyond chance; the others would fit noise
     df = np.bincount(feats, minlength=1 << BITS)
-    used = df[feats] >= 3  # a feature of one or two documents says nothing about others
+    lift = np.bincount(feats, weights=(grade - grade.mean())[rows], minlength=1 << BITS) / np.sqrt(np.maximum(df, 1)) / max(grade.std(), 1e-9)
+    used = ((np.abs(lift) >= CHANCE) & (df >= 3))[feats]
     rows, feats = rows[used], feats[used]
     share = np.bincount(grade, minlength=n_grades) / n
     balance = (1 / np.maximum(share, 1e-9) / n_grades)[grade] / n
@@ -138,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
     return fit(rows, np.concatenate(each), np.array([g for g, _ in got]), 3)
 
 
-def classify(docs: DataFrame, model: Ordinal | None, at_least: int = 2, probability: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: Ordinal | None, at_least: int = 2, probability: float = 0.4) -> DataFrame:
     """``docs`` with expected_grade, tail_prob (of grade ``at_least`` or more) and selected added."""
     fields = {"expected_grade": "double", "tail_prob": "double", "selected": "boolean"}
     kept = docs.drop(*fields)

@@ -54,6 +54,28 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+#: The url rules that the query applies.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op5_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are those that a rule decides."""
+    from tideview.llm.urls import apply_rules, judge, train
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = apply_rules(pages, URL_RULES).where("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").cast("int").alias("allowed"))
+    return judge(pages, URL_RULES, train(labelled))
+
+
+@query("op6_topk")
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideview.llm.topk import search, whole_numbers
+
+    vectors = whole_numbers(table(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query("op7_pii")
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideview.llm.pii import KINDS, find_pii, listed
@@ -63,6 +85,28 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@query("op8_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled findings are those whose format is certain, in four fifths of the documents."""
+    from tideview.llm.secrets import candidates, frequent_words, known_formats, scan, train
+    from tideview.llm.shared import keep
+
+    docs = table(spark, sf_dir, "documents")
+    found = keep(candidates(docs, frequent_words(docs)), "candidates")
+    model = train(known_formats(found.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0)) != 0)))
+    return scan(found, model).select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability")
+
+
+@query("op9_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideview.llm.language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    made = identify(docs, train(docs.where(~out)))
+    return made.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query("op10_quality")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its expected grade, the probability of the best grade, and the decision."""
