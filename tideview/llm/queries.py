@@ -39,6 +39,14 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_lm_mixing")
+def lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideview.llm.language import held_out
+    from tideview.llm.lm_mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
 @query("op3_pack")
 def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideview.llm.packing import pack as packed
