@@ -3,7 +3,8 @@
 All sets are sorted by one order, rare shingles first. If two sets are similar enough, then for every m up to
 the required overlap their prefixes of n - ceil(t n) + m shingles share at least m. A document whose prefix
 holds frequent shingles would meet many candidates; it gets a longer prefix (a larger m), and a pair must
-share as many prefix shingles as the smaller of its two m before it is verified on the whole sets.
+share as many prefix shingles as the smaller of its two m, and what follows the last of them must leave room for
+the required overlap, before it is verified on the whole sets.
 
 How the work stays in proportion:
 
@@ -135,7 +136,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, k
     members = pairs.join(load, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.col("member").alias("hi"), F.lit(True).alias("is_member"))
     pivots = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("hi"), F.lit(False).alias("is_member"))
     wanted = keep(members.unionByName(pivots).join(nodes.select("hi", F.col("first_id").alias("doc_id")), "hi"), "wanted")
-    side = F.broadcast(wanted) if small(wanted) else wanted
+    side = F.broadcast(wanted) if small(wanted, 200_000) else wanted
     texts = docs.alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.pivot", "w.salt", "w.hi", "w.is_member")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +183,14 @@ def _alike(x: str, y: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
+def _candidates(pairs: DataFrame, pivot: str, member: str, n: tuple, need: tuple, rest: tuple, percent: int) -> DataFrame:
+    """The (pivot, member) that share enough prefix shingles, and whose sets can still overlap enough after the last of them."""
+    met = pairs.groupBy(F.col(pivot).alias("pivot"), F.col(member).alias("member")).agg(
+        F.count("*").alias("met"), F.min(F.least(*need)).alias("need"), F.min(F.col(n[0]) + F.col(n[1])).alias("sizes"), F.least(F.min(rest[0]), F.min(rest[1])).alias("rest")
+    )
+    return met.where(f"met >= need AND {100 + percent} * (met + rest) >= {percent} * sizes").select("pivot", "member")
+
+
 def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -193,30 +202,30 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     spare = keep(rows.where("hi IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().join(nodes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_anti"), "spare")
     firsts = docs.join(F.broadcast(spare) if small(spare) else spare, "doc_id", "left_anti")
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
-    postings = prefixes.select("hi", "n", "need", F.explode("tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("n", "hi", "need")).alias("first"), F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi"))
+    # rest: how much of the set comes after the shingle
+    postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos")).drop("pos")
+    lists = postings.groupBy("token").agg(F.min(F.struct("n", "hi", "need", "rest")).alias("first"), F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi"))
     lists = keep(lists.where("lo_hi <> up_hi").select("token", "first"), "lists")
     shared = keep(postings.join(lists, "token"), "postings")
 
     # every member of a list against the list's smallest
     pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent))
-    pairs = pairs.groupBy(F.col("first.hi").alias("pivot"), F.col("hi").alias("member")).agg(F.count("*").alias("met"), F.min(F.least("need", "first.need")).alias("need"))
-    tried = keep(pairs.where("met >= need").select("pivot", "member"), "pairs")
+    tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), percent), "pairs")
     links = keep(_verify(docs, nodes, tried, percent, k), "links")
     joined = keep(components(links), "classes")
 
     # then every pair of a list that could still join two components
     roots = joined.groupBy(F.split("node", ":")[0].cast("long").alias("hi")).agg(F.min("root").alias("root"), F.max("root").alias("other"))
     roots = roots.select("hi", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root"))
-    placed = shared.select("token", "hi", "n", "need").join(roots, "hi", "left").withColumn("root", F.coalesce("root", F.col("hi").cast("string")))
+    placed = shared.select("token", "hi", "n", "need", "rest").join(roots, "hi", "left").withColumn("root", F.coalesce("root", F.col("hi").cast("string")))
     placed = keep(placed, "placed")
     apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     left = keep(placed.join(apart, "token"), "apart")
     a, b = left.alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent))
-    pairs = pairs.groupBy(F.col("a.hi").alias("pivot"), F.col("b.hi").alias("member")).agg(F.count("*").alias("met"), F.min(F.least("a.need", "b.need")).alias("need"))
+    pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), percent)
     done = tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
-    more = keep(pairs.where("met >= need").select("pivot", "member").join(done, ["pivot", "member"], "left_anti"), "more")
+    more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.unionByName(keep(_verify(docs, nodes, more, percent, k), "links"))
         joined = keep(components(links), "classes")
