@@ -11,10 +11,10 @@ How the work stays in proportion:
 * Equal sets are one node, found by a 128-bit fingerprint, so copies are never compared.
 * The order comes from counts of shingles that repeat within pieces of text; only the most frequent ones
   are named, all others count as rare. Any order gives the same result, this one avoids long lists.
-* The documents of a prefix shingle's list are first compared with the list's smallest member only. The
-  links found join most of a group of near copies; then only pairs whose components still differ
-  are enumerated, so no pair is emitted inside a group that is already joined. No pair that could join two
-  components is left out.
+* The documents of a prefix shingle's list are first compared with one member only: the one in which the fewest rarer
+  shingles come before it, which is what near copies were made from. The links found join most of a group;
+  then only pairs whose components still differ are enumerated, and of these only where what follows the
+  shared shingle leaves room for the required overlap. No pair that could join two components is left out.
 * A much-compared document is replicated over salts, and its partners are dealt over them.
 
 Edge cases: null or wordless texts have no shingles, no links, and their own id as component. Fewer than k words
@@ -42,6 +42,8 @@ FREQUENT = 1 << 17
 #: Bytes of text whose repeated shingles are counted together, and repeats below which they count as rare.
 COUNTED = 16 << 20
 REPEATS = 4
+#: Meetings that a prefix's frequent shingles may cost before it asks for a second match; each further one takes four times as many.
+COST = 2048
 #: Partners of one document that meet in one task.
 PARTNERS = 2000
 
@@ -116,7 +118,7 @@ def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> Dat
                     continue
                 overlap = -(-percent * n // 100)
                 least = n - overlap + 1
-                need = 1 + int(np.log2(1 + cost[a : a + least].sum() / 32))
+                need = 1 + int(np.log2(1 + cost[a : a + least].sum() / COST) / 2)
                 need = min(need, overlap)
                 out.append((_fingerprint(values[a:z])[0], n, need, ranked[a : a + least + need - 1]))
             if out:
@@ -183,6 +185,11 @@ def _alike(x: str, y: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
+def _room(need_a: str, need_b: str, rest_a: str, rest_b: str, n_a: str, n_b: str, percent: int) -> F.Column:
+    """Whether a shingle can be among the first matches that a pair needs: what follows it must allow the required overlap."""
+    return F.expr(f"{100 + percent} * (least({need_a}, {need_b}) + least({rest_a}, {rest_b})) >= {percent} * ({n_a} + {n_b})")
+
+
 def _candidates(pairs: DataFrame, pivot: str, member: str, n: tuple, need: tuple, rest: tuple, percent: int) -> DataFrame:
     """The (pivot, member) that share enough prefix shingles, and whose sets can still overlap enough after the last of them."""
     met = pairs.groupBy(F.col(pivot).alias("pivot"), F.col(member).alias("member")).agg(
@@ -203,13 +210,13 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     firsts = docs.join(F.broadcast(spare) if small(spare) else spare, "doc_id", "left_anti")
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
     # rest: how much of the set comes after the shingle
-    postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos")).drop("pos")
-    lists = postings.groupBy("token").agg(F.min(F.struct("n", "hi", "need", "rest")).alias("first"), F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi"))
+    postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos"))
+    lists = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "hi", "need", "rest")).alias("first"), F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi"))
     lists = keep(lists.where("lo_hi <> up_hi").select("token", "first"), "lists")
-    shared = keep(postings.join(lists, "token"), "postings")
+    shared = keep(postings.join(lists, "token").drop("pos"), "postings")
 
-    # every member of a list against the list's smallest
-    pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent))
+    # every member of a list against the one in which the fewest rarer shingles come before: what the others were made from
+    pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent) & _room("need", "first.need", "rest", "first.rest", "n", "first.n", percent))
     tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), percent), "pairs")
     links = keep(_verify(docs, nodes, tried, percent, k), "links")
     joined = keep(components(links), "classes")
@@ -222,7 +229,7 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     left = keep(placed.join(apart, "token"), "apart")
     a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent) & _room("a.need", "b.need", "a.rest", "b.rest", "a.n", "b.n", percent))
     pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), percent)
     done = tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
     more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more")
