@@ -83,7 +83,9 @@ class Index:
                 keys = (part[:, None] ^ _NEAR[None, :]).astype(np.int64)
                 which = np.repeat(np.arange(len(own)), len(_NEAR))
                 order = np.argsort(keys.ravel(), kind="stable")
-                blocks.append((keys.ravel()[order], which[order]))
+                some = np.zeros(1 << WIDTH, bool)
+                some[keys.ravel()] = True
+                blocks.append((some, keys.ravel()[order], which[order]))
             self.tables[length] = (np.array(own), marks, blocks)
 
     def votes(self, hashes: np.ndarray) -> np.ndarray:
@@ -103,11 +105,13 @@ class Index:
         """(window, item) pairs within the radius."""
         own, items, blocks = self.tables[length]
         found = []
-        for b, (keys, which) in enumerate(blocks):
+        for b, (some, keys, which) in enumerate(blocks):
             part = ((marks >> np.uint64(b * WIDTH)) & np.uint64(0xFFFF)).astype(np.int64)
+            at = np.flatnonzero(some[part])
+            part = part[at]
             lo, hi = np.searchsorted(keys, part), np.searchsorted(keys, part, side="right")
             n = hi - lo
-            window = np.repeat(np.arange(len(marks)), n)
+            window = np.repeat(at, n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             found.append(window * len(own) + which[place])
         window, item = np.divmod(np.unique(np.concatenate(found)), len(own))
@@ -144,22 +148,25 @@ class Index:
     def matches(self, of: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, words): each item's best window in each document, the first of equals."""
         found = self.windows(of, hashes)
-        for part in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else ():
-            doc = int(part[0, 0])
-            start = int(np.searchsorted(of, doc))
-            own = hashes[start : np.searchsorted(of, doc, side="right")]
-            sums = self.votes(own)
-            best: dict[int, tuple[float, int, int]] = {}
-            for run in np.split(part, np.flatnonzero(np.diff(part[:, 1])) + 1):
-                place, size = run[:, 2] - start, run[:, 3]
-                window, item = self.candidates(int(run[0, 1]), self.fingerprints(sums, place, place + size))
-                for w, i in zip(window.tolist(), item.tolist()):
-                    p, n = int(place[w]), int(size[w])
-                    s = self.similarity(own[p : p + n], i)
-                    if s >= self.threshold and s > best.get(i, (0.0,))[0]:
-                        best[i] = (s, p, n)
-            for i in sorted(best):
-                yield doc, i, *best[i]
+        marks = np.zeros(len(found), np.uint64)
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(found[:, 0]) != 0, [True]))) if len(found) else ()
+        for a, z in zip(edges[:-1], edges[1:]):
+            start, end = np.searchsorted(of, found[a, 0]), np.searchsorted(of, found[a, 0], side="right")
+            sums = self.votes(hashes[start:end])
+            for i in range(a, z, 1 << 16):
+                place = found[i : min(z, i + (1 << 16)), 2] - start
+                marks[i : i + len(place)] = self.fingerprints(sums, place, place + found[i : i + len(place), 3])
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        order = np.argsort(found[:, 1], kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(found[order, 1])) + 1) if len(found) else ():
+            window, item = self.candidates(int(found[run[0], 1]), marks[run])
+            for w, i in zip(run[window].tolist(), item.tolist()):
+                doc, _, p, n = found[w].tolist()
+                s = self.similarity(hashes[p : p + n], i)
+                if s >= self.threshold and s > best.get((doc, i), (0.0,))[0]:
+                    best[doc, i] = (s, p - int(np.searchsorted(of, doc)), n)
+        for (doc, i), found_at in sorted(best.items()):
+            yield doc, i, *found_at
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
