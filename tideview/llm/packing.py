@@ -16,6 +16,8 @@ no rows. Special tokens' names inside a text are taken as the tokenizer takes th
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,13 @@ SLACK = 8
 #: Partitions whose open windows are merged together.
 MERGED = 32
 #: Words whose tokens a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+
+#: How the tokenizer marks the end of a piece, and marks that are a piece of their own after letters.
+WORD_END = "</w>"
+#: Letters that stay one letter when normalised and lower-cased (fixed values: Latin without U+0130, and Cyrillic).
+LETTERS = r"^[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}\x{0400}-\x{0481}]+$"
+MARKS = ".,;:!?%$&#*()"
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -46,10 +54,42 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece of the text
+        self.last[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+
+    def _each(self, some: list[str]) -> None:
+        for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _letters(self, some: list[str]) -> None:
+        """Words of letters only: the tokenizer takes each as one piece, so many can be encoded as one text."""
+        for i in range(0, len(some), 2000):
+            part = some[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self._each(part)  # some letter became several pieces when lower-cased
+                continue
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            for w, a, z in zip(part, [0, *ends], ends):
+                self.known[w] = raw[a:z]
+
+    def _learn(self, fresh: list[str]) -> None:
+        stems = pc.utf8_rtrim(pa.array(fresh, pa.string()), characters=MARKS)
+        plain = pc.match_substring_regex(stems, LETTERS).to_pylist()
+        parts = [(w, s, w[len(s) :]) for w, s, ok in zip(fresh, stems.to_pylist(), plain) if ok]
+        tails = dict.fromkeys(t for _, _, t in parts if t and t not in self.known)
+        self._each([w for w, ok in zip(fresh, plain) if not ok and w not in tails] + list(tails))
+        self._letters(list(dict.fromkeys(s for _, s, _ in parts if s not in self.known)))
+        for w, s, t in parts:
+            if t:
+                self.known[w] = self.known[s] + self.known[t]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end token, and the texts' offsets in them."""
@@ -59,15 +99,12 @@ class Encoder:
         coded = flat.dictionary_encode()
         vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in vocab if w not in self.known]
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32)
+            # the words of this piece are the ones most likely to come again
+            self.known = {w: self.known[w] for w in vocab if w in self.known}
+        self._learn([w for w in vocab if w not in self.known])
         each = [self.known[w] for w in vocab]
-        size = np.array([len(x) for x in each] + [1])
-        pool = np.concatenate([*each, np.array([self.end], np.uint32)])
+        size = np.array([*map(len, each), 4]) >> 2
+        pool = np.frombuffer(b"".join(each) + np.array([self.end], np.uint32).tobytes(), np.uint32)
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         # the end of each text as one more word, after its last
         order = np.argsort(np.concatenate((of, np.arange(len(texts)))), kind="stable")
