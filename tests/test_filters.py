@@ -98,6 +98,21 @@ def test_options_become_rules():
     assert fl.rules_from_options(filter="exclude: q.*", include_dbs="a")[0].database.text == "q"
 
 
+def test_option_lists_with_regular_expressions():
+    rules = fl.rules_from_options(exclude_tables="/^t{1,2}$/, `u`", include_column_values="x=/a,b/, y='c, d'")
+    assert [(r.kind, r.table.kind, r.table.text, r.column, r.value and r.value.text) for r in rules] == [
+        ("exclude", "regex", "^t{1,2}$", None, None),
+        ("exclude", "name", "u", None, None),
+        ("exclude", "any", "", "x", ""),
+        ("include", "any", "", "x", "a,b"),
+        ("exclude", "any", "", "y", ""),
+        ("include", "any", "", "y", "c, d"),
+    ]
+    for bad in ({"include_dbs": "a=b"}, {"include_column_values": "a"}, {"include_dbs": "a b"}, {"exclude_dbs": "/a"}):
+        with pytest.raises(fl.FilterError):
+            fl.rules_from_options(**bad)
+
+
 @pytest.mark.parametrize("text", ["allow: a.b", "exclude a.b", "exclude: a", "exclude: a.b.c", "exclude: a.b c"])
 def test_bad_rules(text):
     with pytest.raises(fl.FilterError):

@@ -95,28 +95,66 @@ def rules_from_options(
     blacklist_tables: str | None = None,
     include_column_values: str | None = None,
 ) -> list[Rule]:
-    """Rules from separate comma lists; ignored when a ``filter`` text is given.
+    """Rules from separate lists, for use where there is no ``filter`` text.
 
-    The order is fixed because the last matching rule wins.
+    The last rule that matches a change decides, so the lists stand here from the weakest to the strongest: a table list
+    over a database list, excluding over including, values of columns over both. Blacklists decide by themselves,
+    wherever they stand. A list that names what to include excludes all the rest.
     """
     if filter:
         return parse_rules(filter)
+    everything = Pattern("any")
+
+    def database(name: Pattern) -> tuple[Pattern, Pattern]:
+        return name, everything
+
+    def table(name: Pattern) -> tuple[Pattern, Pattern]:
+        return everything, name
+
+    strength = (
+        ("blacklist", database, _listed(blacklist_dbs)),
+        ("blacklist", table, _listed(blacklist_tables)),
+        ("exclude", database, [everything] if include_dbs or include_tables else []),
+        ("include", database, _listed(include_dbs)),
+        ("exclude", database, _listed(exclude_dbs)),
+        ("include", table, _listed(include_tables)),
+        ("exclude", table, _listed(exclude_tables)),
+    )
+    rules = [Rule(kind, *scope(name)) for kind, scope, listed in strength for name in listed]
+    for column, value in _listed_values(include_column_values):
+        # rows that have the column stay only with that value
+        rules.append(Rule("exclude", everything, everything, column, everything))
+        rules.append(Rule("include", everything, everything, column, value))
+    return rules
+
+
+_ITEM = re.compile(rf"\s*(?:(?P<col>\w+)\s*=\s*)?(?P<name>{_NAME})\s*(?:,|$)")
+
+
+def _items(text: str | None) -> list[tuple[str | None, Pattern]]:
+    """The entries of a comma list; a comma inside ``/regex/`` or quotes separates nothing."""
+    out, at = [], 0
+    while text and text[at:].strip():
+        m = _ITEM.match(text, at)
+        if m is None:
+            raise FilterError(f"cannot read list at: {text[at:]!r}")
+        out.append((m["col"], _pattern(m["name"])))
+        at = m.end()
+    return out
+
+
+def _listed(text: str | None) -> list[Pattern]:
+    items = _items(text)
+    if any(column for column, _ in items):
+        raise FilterError(f"a list of names holds a value: {text!r}")
+    return [name for _, name in items]
+
 
-    def names(text: str | None) -> list[str]:
-        return [s.strip() for s in text.split(",")] if text else []
-
-    text = [f"blacklist: {d}.*" for d in names(blacklist_dbs)]
-    text += [f"blacklist: *.{t}" for t in names(blacklist_tables)]
-    if include_dbs or include_tables:
-        text.append("exclude: *.*")
-    text += [f"include: {d}.*" for d in names(include_dbs)]
-    text += [f"exclude: {d}.*" for d in names(exclude_dbs)]
-    text += [f"include: *.{t}" for t in names(include_tables)]
-    text += [f"exclude: *.{t}" for t in names(exclude_tables)]
-    for pair in names(include_column_values):
-        column, _, value = pair.partition("=")
-        text += [f"exclude: *.*.{column}=*", f"include: *.*.{column}={value}"]
-    return parse_rules(", ".join(text))
+def _listed_values(text: str | None) -> list[tuple[str, Pattern]]:
+    items = _items(text)
+    if not all(column for column, _ in items):
+        raise FilterError(f"a list of column values holds a bare name: {text!r}")
+    return items
 
 
 def feed_filter(rules: str | list[Rule], data: str = "data") -> Column:

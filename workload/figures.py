@@ -66,11 +66,10 @@ def transaction_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k5_rows_per_transaction_histogram",
-    f"SELECT c AS value, count(*) AS n FROM (SELECT count(*) AS c FROM ({fd.FEED_E_SQL}) WHERE event_type <> 'error' GROUP BY xid) GROUP BY c",
+    f"SELECT c AS value, count(*) AS n FROM (SELECT count(*) AS c FROM ({fd.FEED_E_SQL}) GROUP BY xid) GROUP BY c",
 )
 def rows_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    kept = _e(spark, sf).filter(F.col("data")["event_type"] != "error")
-    return mx.histogram(mx.transaction_metrics(kept), "row_count")
+    return mx.histogram(mx.transaction_metrics(_e(spark, sf)), "row_count")
 
 
 @query(
@@ -123,18 +122,18 @@ def heartbeat_lag(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "i9_heartbeats_due",
-    f"""SELECT event_id, CASE WHEN ps IS NULL THEN 'first' WHEN seq <> ps THEN 'file' WHEN (event_id - pe) * 300 > 1000 THEN 'bytes'
+    f"""SELECT event_id, CASE WHEN ps IS NULL THEN 'first' WHEN seq <> ps THEN 'file' WHEN place - pp > 1000 THEN 'bytes'
                WHEN ts_ms - pt >= 10000 THEN 'time' END AS due
-        FROM (SELECT event_id, seq, ts_ms, lag(seq) OVER w AS ps, lag(event_id) OVER w AS pe, lag(ts_ms) OVER w AS pt
-              FROM ({fd.FEED_E_SQL}) WHERE event_id % 11 NOT IN (1, 2, 3, 4) WINDOW w AS (ORDER BY seq, event_id))
-        WHERE ps IS NULL OR seq <> ps OR (event_id - pe) * 300 > 1000 OR ts_ms - pt >= 10000""",
+        FROM (SELECT *, lag(seq) OVER w AS ps, lag(place) OVER w AS pp, lag(ts_ms) OVER w AS pt
+              FROM (SELECT event_id, seq, ts_ms, event_id * 300 + event_id // 11 * 1500 AS place FROM ({fd.FEED_E_SQL})) WINDOW w AS (ORDER BY seq, event_id))
+        WHERE ps IS NULL OR seq <> ps OR place - pp > 1000 OR ts_ms - pt >= 10000""",
 )
 def due(spark: SparkSession, sf: str) -> DataFrame:
-    """Offsets 300 bytes apart with gaps; small slots, so the row before is often in another one."""
-    e = _e(spark, sf).filter(~(F.col("position.offset") % 11).isin(1, 2, 3, 4))
-    p = F.col("position")
-    e = e.withColumn("position", F.struct(p["file"].alias("file"), p["file_seq"].alias("file_seq"), (p["offset"] * 300).alias("offset")))
-    out = hb.heartbeats_due(e, slot=2000)
+    """Offsets 300 bytes apart, and 1800 after every eleventh."""
+    e, p = _e(spark, sf), F.col("position")
+    at = p["offset"] * 300 + F.floor(p["offset"] / 11) * 1500
+    e = e.withColumn("position", F.struct(p["file"].alias("file"), p["file_seq"].alias("file_seq"), at.alias("offset")))
+    out = hb.heartbeats_due(e)
     return out.select(F.col("data")["event_id"].cast("bigint").alias("event_id"), "due")
 
 
@@ -150,8 +149,9 @@ def recovered(spark: SparkSession, sf: str) -> DataFrame:
     known = feed.filter((F.col("type") == "heartbeat") & (F.col("position.file_seq") == 7)).agg(
         F.max_by("ts_ms", F.col("position.offset")).alias("h")
     )
-    value = known.first()["h"]
-    return hb.recover_position(feed, value if value is not None else -1)
+    # one row at most; the join keeps the rows of the whole feed that hold this heartbeat
+    held = feed.withColumn("h", F.col("data")["heartbeat"].try_cast("bigint")).join(known.where("h IS NOT NULL"), "h")
+    return hb.recover_position(held, F.col("h"))
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,14 +26,20 @@ _FALLBACK: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the cluster names; a temporary one where none is set."""
+    """A fresh folder in the shared place that ``spark.checkpoint.dir`` names.
+
+    Where it is unset a local session gets one temporary folder per process. On a cluster that folder would
+    be another one on every machine, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        # only without a cluster: one temporary folder per process
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _FALLBACK:
             _FALLBACK.append(tempfile.mkdtemp(prefix="tideview-"))
         root = _FALLBACK[0]
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def shared_cut(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
