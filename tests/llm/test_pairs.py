@@ -46,6 +46,22 @@ def test_join_with_frequent_shingles_named(docs, monkeypatch):
     check_join(docs, corpus(2))
 
 
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 16, 17, 300, 5000):
+        for share in (0.0, 0.5, 0.85, 1.0):
+            both = rng.integers(0, 2**63, int(n * share), dtype=np.uint64)
+            a = np.unique(np.append(both, rng.integers(0, 2**63, n - len(both) + 1, dtype=np.uint64)))
+            b = np.unique(np.append(both, rng.integers(0, 2**63, 2 * (n - len(both)) + 1, dtype=np.uint64)))
+            most = jj.most_shared(jj._sketch(a), jj._sketch(b), len(a), len(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    a, b = (rng.integers(0, 2**63, 2000, dtype=np.uint64) for _ in "ab")
+    assert jj.most_shared(jj._sketch(a), jj._sketch(b), 2000, 2000) < 1000
+    assert jj.most_shared(jj._sketch(a), jj._sketch(a[:1]), 2000, 1) == 1
+
+
 def test_join_edges(docs):
     t = "a b c d e f g h"
     check_join(docs, [(5, t), (2, t.upper()), (2, t.upper()), (9, None), (8, ""), (7, " \t\n"), (4, "a b"), (3, "A  b"), (1, "a\u00a0b"), (None, "lone text of no one at all"), (6, "x " * 30000)])

@@ -15,6 +15,9 @@ How the work stays in proportion:
   shingles come before it, which is what near copies were made from. The links found join most of a group;
   then only pairs whose components still differ are enumerated, and of these only where what follows the
   shared shingle leaves room for the required overlap. No pair that could join two components is left out.
+* Candidates are first compared by sketches, bitmaps of their sets with four bits or more for each shingle: an element
+  whose bit the other lacks is not shared, so the overlap has an upper bound, and only pairs that it leaves open
+  are verified. No link is lost by it.
 * A much-compared document is replicated over salts, and its partners are dealt over them.
 
 Edge cases: null or wordless texts have no shingles, no links, and their own id as component. Fewer than k words
@@ -58,6 +61,30 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _sketch(values: np.ndarray) -> bytes:
+    """A set as a bitmap: its size is a power of two, four to eight times the set's, and 64 bits at least."""
+    size = 64
+    while size < 4 * len(values):
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[(values & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """An upper bound of the overlap of two sets of ``n_a`` and ``n_b`` elements, from their sketches."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size = 8 * max(len(a), len(b))
+    for _ in range(size.bit_length()):
+        if 8 * min(len(a), len(b)) >= size:
+            break
+        # the longer one is folded: halves laid over each other are the sketch of half the size
+        size //= 2
+        low = (1 << size) - 1
+        x, y = (x >> size) | (x & low), (y >> size) | (y & low)
+    return min(n_a - (x & ~y).bit_count(), n_b - (y & ~x).bit_count())
+
+
 def _survey(docs: DataFrame, k: int) -> DataFrame:
     """One row per document (times null) with its set's size and fingerprint, and rows of repeated shingles."""
 
@@ -93,7 +120,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> DataFrame:
-    """(hi, n, need, tokens): the prefix of each document's set and the matches it asks for."""
+    """(hi, n, need, tokens, sketch): the prefix of each document's set, the matches it asks for, and the set's sketch."""
     named = frequent.collect()  # at most FREQUENT rows of two numbers
     token = np.array([r.token for r in named], np.int64).view(np.uint64)
     times = np.array([r.times for r in named], np.int64)
@@ -120,16 +147,16 @@ def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> Dat
                 least = n - overlap + 1
                 need = 1 + int(np.log2(1 + cost[a : a + least].sum() / COST) / 2)
                 need = min(need, overlap)
-                out.append((_fingerprint(values[a:z])[0], n, need, ranked[a : a + least + need - 1]))
+                out.append((_fingerprint(values[a:z])[0], n, need, ranked[a : a + least + need - 1], _sketch(values[a:z])))
             if out:
-                hi, n, need, tokens = zip(*out)
+                hi, n, need, tokens, sketch = zip(*out)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hi, pa.int64()), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))],
-                    names=["hi", "n", "need", "tokens"],
+                    [pa.array(hi, pa.int64()), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens))), pa.array(sketch, pa.binary())],
+                    names=["hi", "n", "need", "tokens", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "hi long, n long, need int, tokens array<long>")
+    return docs.mapInArrow(run, "hi long, n long, need int, tokens array<long>, sketch binary")
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -198,6 +225,22 @@ def _candidates(pairs: DataFrame, pivot: str, member: str, n: tuple, need: tuple
     return met.where(f"met >= need AND {100 + percent} * (met + rest) >= {percent} * sizes").select("pivot", "member")
 
 
+def _open(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (pivot, member) that their sketches do not rule out."""
+    held = prefixes.select("hi", "n", "sketch")
+    both = pairs.join(held.select(F.col("hi").alias("pivot"), F.col("n").alias("n_a"), F.col("sketch").alias("a")), "pivot")
+    both = both.join(held.select(F.col("hi").alias("member"), F.col("n").alias("n_b"), F.col("sketch").alias("b")), "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (column(batch, x).to_pylist() for x in ("a", "b", "n_a", "n_b"))
+            may = [(100 + percent) * most_shared(*x) >= percent * (x[2] + x[3]) for x in zip(a, b, n_a, n_b)]
+            yield batch.select(["pivot", "member"]).filter(pa.array(may, pa.bool_()))
+
+    # distinct: two sets may have one name
+    return both.select("pivot", "member", "a", "b", "n_a", "n_b").mapInArrow(run, "pivot long, member long").distinct()
+
+
 def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -218,7 +261,7 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     # every member of a list against the one in which the fewest rarer shingles come before: what the others were made from
     pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent) & _room("need", "first.need", "rest", "first.rest", "n", "first.n", percent))
     tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), percent), "pairs")
-    links = keep(_verify(docs, nodes, tried, percent, k), "links")
+    links = keep(_verify(docs, nodes, keep(_open(tried, prefixes, percent), "open"), percent, k), "links")
     joined = keep(components(links), "classes")
 
     # then every pair of a list that could still join two components
@@ -233,6 +276,7 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), percent)
     done = tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
     more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more")
+    more = keep(_open(more, prefixes, percent), "open")
     if not more.isEmpty():
         links = links.unionByName(keep(_verify(docs, nodes, more, percent, k), "links"))
         joined = keep(components(links), "classes")
