@@ -254,9 +254,11 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
     # rest: how much of the set comes after the shingle
     postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "hi", "need", "rest")).alias("first"), F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi"))
-    lists = keep(lists.where("lo_hi <> up_hi").select("token", "first"), "lists")
-    shared = keep(postings.join(lists, "token").drop("pos"), "postings")
+    # most shingles occur in one prefix only: they go first, by the least that tells
+    lists = postings.groupBy("token").agg(F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi")).where("lo_hi <> up_hi").select("token")
+    met = keep(postings.join(keep(lists, "lists"), "token"), "met")
+    first = met.groupBy("token").agg(F.min(F.struct("pos", "n", "hi", "need", "rest")).alias("first"))
+    shared = keep(met.join(first, "token").drop("pos"), "postings")
 
     # every member of a list against the one in which the fewest rarer shingles come before: what the others were made from
     pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent) & _room("need", "first.need", "rest", "first.rest", "n", "first.n", percent))
