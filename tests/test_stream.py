@@ -100,7 +100,7 @@ def test_replay_split_and_lost_commit(spark, folder):
     version = m.store.manifest()["version"]
     m.apply_batch(lines, 0)  # a batch seen before is skipped whole
     assert m.store.manifest()["version"] == version
-    m.apply_batch(lines, 1)  # lines seen before are below the stored position
+    m.apply_batch(lines, 1)  # lines seen before are not newer than the rows they set
     check(spark, m, source)
     rows = sorted(r["value"] for r in lines.collect())
     source.update("login", 3, user_id=10)
@@ -133,6 +133,99 @@ def test_open_transaction_waits(spark, folder):
     assert m.store.read_log("_pending") is None
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_files_in_any_order(spark, folder, seed):
+    """Lines in random order, split over batches inside transactions, some of them twice."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd, source = random.Random(seed), Source()
+    m = maintainer(spark, source, folder, (LOGIN, USERS))
+    m.build()
+    source.update("login", 1, login_note="one")
+    source.update("login", 1, id=50)
+    source.update("login", 50, login_note="two")
+    source.delete("user", 10)
+    source.insert("user", 10, "Ann2", None)
+    source.delete("login", 2)
+    source.insert("role", 7, "new")
+    source.update("login", 3, user_id=10)
+    source.delete("role", 1)
+    feed = source.take(spark)
+    n = feed.count()
+    # transactions of three rows, the last one of each with the commit
+    place = F.col("position.offset")
+    order = {r[0]: i for i, r in enumerate(feed.select(place).orderBy(place).collect())}
+    index = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[place]
+    feed = feed.withColumn("xid", (F.floor(index / 3) + 1000).cast("bigint")).withColumn("commit", (index % 3 == 2) | (index == n - 1))
+    lines = [r["value"] for r in to_change_json(feed, options(source.frames(spark))).collect()]
+    rnd.shuffle(lines)
+    lines += rnd.sample(lines, 3)
+    cuts = [0, 4, 8, len(lines)]
+    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        m.apply_batch(spark.createDataFrame([(v,) for v in lines[i:j]], "value string"), b)
+    check(spark, m, source, (LOGIN, USERS))
+    # old marks go, and what they guarded against is then below the start
+    m.forget_deleted((1, source.offset))
+    m.apply_batch(spark.createDataFrame([(v,) for v in lines], "value string"), 99)
+    check(spark, m, source, (LOGIN, USERS))
+
+
+def test_no_key_absent_columns_and_late_partial_images(spark, folder):
+    from pyspark.sql import functions as F
+
+    source = Source()
+    m = maintainer(spark, source, folder)
+    m.build()
+    row = {"database": "shop", "table": "login", "type": "insert", "ts": 1, "server_id": 1, "data": {"login_note": "x"}}
+    for i, data in enumerate(({}, {"id": "q"}, {"id": None})):
+        line = json.dumps(row | {"position": f"log.000001:{i + 1}", "data": row["data"] | data})
+        m.apply_batch(spark.createDataFrame([(line,)], "value string"), i)
+    assert [r["reason"] for r in m.rejects().collect()] == ["no usable key"] * 3
+    check(spark, m, source)
+    part = json.dumps(row | {"type": "update", "position": "log.000001:9", "data": {"id": 1, "login_note": "x"}, "old": {"login_note": "a"}})
+    part = spark.createDataFrame([(part,)], "value string")
+    with pytest.raises(ValueError, match="lack columns"):
+        m.apply_batch(part, 3)
+    partial = maintainer(spark, source, folder, full_images=False)
+    partial.apply_batch(part, 3)
+    got = rows_by_id(partial.view("login_mv"))[1]
+    assert got["note"] == "x" and got["role_name"] == "admin"
+    with pytest.raises(ValueError, match="log order"):
+        partial.apply_batch(part.withColumn("value", F.replace("value", F.lit(":9"), F.lit(":8"))), 4)
+
+
+def test_view_added_later_and_keys_that_differ(spark, folder):
+    """A second view needs one more column of a table that is followed already."""
+    small = ViewSpec.load(
+        {"id": 5, "name": "small", "master": "user", "pk": "id", "columns": [{"name": "n", "table": "user", "column": "name"}]}
+    )
+    wide = ViewSpec.load(
+        {"id": 6, "name": "wide", "master": "user", "pk": "id", "columns": [{"name": "i", "table": "user", "column": "info"}]}
+    )
+    source = Source()
+    m = maintainer(spark, source, folder, (small,))
+    m.build()
+    source.update("user", 10, name="B", info="b")
+    source.delete("user", 11)
+    deliver(spark, source, folder, 2)
+    m.run_available()
+    source.update("user", 10, info="c")
+    m = maintainer(spark, source, folder, (small, wide))
+    m.build()
+    deliver(spark, source, folder, 1)
+    m.run_available()
+    check(spark, m, source, (small, wide))
+    m.apply_batch(spark.read.text(f"{folder}/feed"), 99)
+    check(spark, m, source, (small, wide))
+    by_name = ViewSpec.load(
+        {"id": 7, "name": "by_name", "master": "user", "pk": "name", "columns": [{"name": "i", "table": "user", "column": "info"}]}
+    )
+    with pytest.raises(ValueError, match="different keys"):
+        maintainer(spark, source, folder, (small, by_name))
+
+
 def test_rejects_rules_hook_and_partial_images(spark, folder):
     from pyspark.sql import functions as F
 

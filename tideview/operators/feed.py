@@ -90,17 +90,22 @@ def assemble_transactions(df: DataFrame, slot: int = SLOT) -> DataFrame:
     return numbered.select(*df.columns).unionAll(df.filter(F.col("xid").isNull()))
 
 
-def committed_only(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def committed_only(df: DataFrame, *, late: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split into (ready, pending): pending rows belong to transactions with no commit row yet.
 
+    ``late`` names a column that marks rows the feed had already passed: their commit row lies
+    behind them in the log and may have come with an earlier batch, so they close their transaction too.
+
     Open transactions are few, so the set to test against is small; adaptive execution sees
     its real size and chooses the join.
     """
     server = F.coalesce("server_id", F.lit(0).cast("bigint"))
+    done = F.coalesce("commit", F.lit(False))
+    done = done if late is None else done | F.col(late)
     open_tx = (
         df.filter(F.col("xid").isNotNull())
         .groupBy(server.alias("_s"), F.col("xid").alias("_x"))
-        .agg(F.max(F.coalesce("commit", F.lit(False))).alias("_done"))
+        .agg(F.max(done).alias("_done"))
         .filter(~F.col("_done"))
     )
     same = (server == F.col("_s")) & (F.col("xid") == F.col("_x"))
@@ -181,7 +186,7 @@ def keyed_changes(
         image = f"CASE WHEN {moved} AND {lacking} THEN cast(raise_error({error}) AS {_EMPTY}) ELSE data END"
 
     def part(k: str, deleted: str, step: int) -> str:
-        at = f"struct({POSITION_KEY} AS pos, {step} AS step)"
+        at = f"struct({POSITION_KEY} AS pos, {step} AS step, coalesce(server_id, 0L) AS server)"
         row = f"CASE WHEN NOT {deleted} THEN {image} END"
         return f"struct({k} AS _key, {deleted} AS _deleted, {at} AS _at, {row} AS data)"
 
@@ -190,12 +195,40 @@ def keyed_changes(
     both = f"array({part(was, 'true', 0)}, {part(now, 'false', 1)})"
     gone = "(type = 'delete')"
     one = f"array({part(now, gone, 1)})"
-    # a row without a key can be neither stored nor looked up
+    # a row without a key can be neither stored nor looked up; without_key finds those changes
     return rows.selectExpr(f"inline(CASE WHEN {moved} THEN {both} ELSE {one} END)").filter("_key IS NOT NULL")
 
 
+def without_key(table: str, key: str, dtype: T.DataType) -> Column:
+    """Is it a row change of the table whose key, old or new, is absent, NULL or of another type?
+    ``net_changes`` leaves such keys out; a caller that must not lose them sends the changes elsewhere."""
+    now, was = (typed_sql(entry_sql(image, key), dtype) for image in ("data", "old"))
+    kinds = ", ".join(f"'{t}'" for t in ROW_TYPES)
+    moved = f"type = 'update' AND coalesce(map_contains_key(old, {literal(key)}), false)"
+    return F.expr(
+        f"coalesce(`table` = {literal(table)} AND type IN ({kinds}), false)"
+        f" AND ({now} IS NULL OR ({moved} AND {was} IS NULL))"
+    )
+
+
+def lacks_columns(table: str, columns: list[str]) -> Column:
+    """Is it an insert or update of the table whose image has no entry at all for one of the columns?"""
+    every = ", ".join(literal(c) for c in columns)
+    kinds = ", ".join(f"'{t}'" for t in ROW_TYPES if t != "delete")
+    return F.expr(
+        f"coalesce(`table` = {literal(table)} AND type IN ({kinds}), false)"
+        f" AND size(array_except(array({every}), coalesce(map_keys(data), array()))) > 0"
+    )
+
+
 def net_changes(
-    changes: DataFrame, table: str, key: str, schema: T.StructType, *, current: DataFrame | None = None
+    changes: DataFrame,
+    table: str,
+    key: str,
+    schema: T.StructType,
+    *,
+    current: DataFrame | None = None,
+    stamp: str | None = None,
 ) -> DataFrame:
     """Fold all changes of a table to the last one per key: (_key, _deleted, <columns of schema>).
 
@@ -203,20 +236,26 @@ def net_changes(
     per task in the shuffle. ``current`` (the table before the changes) is needed only when
     images may lack columns: the missing ones are taken first from earlier images of the same
     row in this feed and then from the stored row. A change of the key itself must carry the
-    whole row.
+    whole row. ``stamp`` names one more column for the place in the log of the last change.
     """
+    stamps = [] if stamp is None else [f"_last AS {quoted(stamp)}"]
     if current is None:
         parts = keyed_changes(changes, table, key, schema)
-        last = parts.groupBy("_key").agg(F.max_by(F.struct("_deleted", "data"), "_at").alias("_l"))
+        last = parts.groupBy("_key").agg(
+            F.max_by(F.struct("_deleted", "data"), "_at").alias("_l"), F.max("_at").alias("_last")
+        )
         return last.selectExpr(
             "_key",
             "_l._deleted AS _deleted",
+            *stamps,
             *[f"{typed_sql(entry_sql('_l.data', f.name), f.dataType)} AS {quoted(f.name)}" for f in schema.fields],
         )
-    return _fold_partial(keyed_changes(changes, table, key, schema, whole_moves=True), key, schema, current)
+    return _fold_partial(keyed_changes(changes, table, key, schema, whole_moves=True), key, schema, current, stamps)
 
 
-def _fold_partial(parts: DataFrame, key: str, schema: T.StructType, current: DataFrame) -> DataFrame:
+def _fold_partial(
+    parts: DataFrame, key: str, schema: T.StructType, current: DataFrame, stamps: list[str]
+) -> DataFrame:
     """Per key and column the last value given since the key was last deleted.
 
     Two aggregations, by (key, column) and then by key: no step holds more of one key than
@@ -238,12 +277,14 @@ def _fold_partial(parts: DataFrame, key: str, schema: T.StructType, current: Dat
     per_key = per_cell.groupBy("_key").agg(
         F.max(F.when(is_marker, F.col("l.dead"))).alias("_deleted"),
         F.max("died").alias("_died"),
+        F.max("at").alias("_last"),
         F.collect_list(F.when(~is_marker, F.struct("col", F.col("l.val").alias("val"), "at"))).alias("cells"),
     )
     alive = F.filter("cells", lambda c: F.col("_died").isNull() | (c["at"] > F.col("_died")))
     folded = per_key.select(
         "_key",
         "_deleted",
+        "_last",
         F.col("_died").isNull().alias("_continues"),
         F.map_from_entries(F.transform(alive, lambda c: F.struct(c["col"], c["val"]))).alias("data"),
     )
@@ -256,4 +297,4 @@ def _fold_partial(parts: DataFrame, key: str, schema: T.StructType, current: Dat
         known = f"map_contains_key(data, {literal(f.name)})"
         return f"CASE WHEN {known} THEN {given} ELSE _stored.{quoted(f.name)} END AS {quoted(f.name)}"
 
-    return joined.selectExpr("_key", "_deleted", *[value(f) for f in schema.fields])
+    return joined.selectExpr("_key", "_deleted", *stamps, *[value(f) for f in schema.fields])

@@ -8,10 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideview.operators.feed import committed_only, net_changes
+from tideview.operators.feed import committed_only, lacks_columns, net_changes, without_key
 from tideview.operators.filters import Rule, feed_filter
 from tideview.operators.heartbeats import RecoveryError, committed_position, progress, recover_position
 from tideview.operators.hooks import drop_suppressed, with_hook
@@ -19,14 +20,22 @@ from tideview.operators.maintain import lookup_guard, relevant_changes, visible
 from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_deltas
 from tideview.plans.build import UPDATED_TIME, build_view, count_source
 from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, source_columns
-from tideview.sources.change import CHANGE, after_position, after_positions
+from tideview.sources.change import CHANGE, after_position
 from tideview.sources.feed import parse_changes, parse_lines, parse_schema_events, split_parsed
 from tideview.sources.tables import read_table
-from tideview.streaming.store import Commit, Store
+from tideview.streaming.store import Commit, Store, _View
 
 _MIRROR = "src_"
 _VIEW = "mv_"
 
+#: Of each mirror row the place in the log of the change that set it, and whether that change deleted it.
+_STAMP, _GONE = "_stamp", "_gone"
+_STAMP_TYPE = (
+    "struct<epoch:int,at:struct<pos:struct<file_seq:bigint,offset:bigint,ts_ms:bigint,xid:bigint,xoffset:bigint>,"
+    "step:int,server:bigint>>"
+)
+_NO_KEY = "no usable key"
+
 
 def _index(spec: ViewSpec, lk: LookupSpec) -> str:
     """Finds view rows by the lookup key of their master row."""
@@ -57,8 +66,16 @@ class Maintainer:
     ``store``: the folder that views, mirrors and progress are kept in.
 
     ``hook`` is a DataFrame function (see ``with_hook``), ``sinks`` are called with each batch
-    of row changes that was applied, ``on_error(kind, view, error)`` hears of failures with
-    kind ``build``, ``increment`` or ``other``.
+    of row changes (at least once: again after a lost commit, and with lines that are fed again),
+    ``on_error(kind, view, error)`` hears of failures with kind ``build``, ``increment`` or ``other``.
+
+    Files may arrive in any order and more than once: each mirror row keeps the place in the log of
+    the change that set it, deleted ones too, and only a newer change of its key replaces it. Places
+    of different servers do not compare; between those the later arrival counts. With
+    ``full_images=False`` a change older than its row's last one stops the batch with an error,
+    since the columns it should still set are not known. With full images an absent column is an
+    error too, unless ``absent_is_null`` says that the feed leaves NULLs out. Changes whose key is
+    absent or unreadable go to ``rejects``.
     """
 
     def __init__(
@@ -74,6 +91,7 @@ class Maintainer:
         sinks: tuple[Callable[[DataFrame, int], None], ...] = (),
         on_error: Callable[[str, str | None, Exception], None] | None = None,
         full_images: bool = True,
+        absent_is_null: bool = False,
         secret_key: str | None = None,
         start_position: tuple[int, int] | None = None,
         feed_options: dict | None = None,
@@ -88,10 +106,15 @@ class Maintainer:
             s.validate(self.sources)
         self.columns = source_columns(self.specs, self.sources)
         self.keys = {t: s.row_key(t) for s in self.specs for t in s.tables}
+        for s in self.specs:
+            for t in s.tables:
+                if s.row_key(t) != self.keys[t]:
+                    raise ValueError(f"views know {t} by different keys, {s.row_key(t)} and {self.keys[t]}; give the lookup a pk")
         self.feed, self.store_path = feed, store.rstrip("/")
         self.store = Store(spark, store, buckets=buckets, compact_after=compact_after)
         self.rules, self.hook, self.sinks, self.on_error = rules, hook, tuple(sinks), on_error
         self.full_images, self.secret_key, self.start_position = full_images, secret_key, start_position
+        self.absent_is_null = absent_is_null
         self.feed_options = {k: str(v) for k, v in (feed_options or {}).items()}
         self.workers, self.dry_run = workers, dry_run
         self.query = None
@@ -135,8 +158,9 @@ class Maintainer:
         for t, cols in self.columns.items():
             if _MIRROR + t not in c.m["tables"]:
                 rows = self.sources[t].select(*cols).filter(F.col(self.keys[t]).isNotNull())
-                c.replace(_MIRROR + t, rows, self.keys[t])
-        mirrors = {t: c.read(_MIRROR + t) for t in self.columns}
+                unset = F.lit(None).cast(_STAMP_TYPE).alias(_STAMP)
+                c.replace(_MIRROR + t, rows.select("*", unset, F.lit(False).alias(_GONE)), self.keys[t])
+        mirrors = {t: self._rows(c, t) for t in self.columns}
 
         def one(spec: ViewSpec) -> dict:
             started = time.time()
@@ -165,11 +189,39 @@ class Maintainer:
             c.publish()
 
     def _add_mirror_columns(self, c: Commit) -> None:
-        """A view was added: copy again the tables whose mirrors lack a column."""
+        """A view was added: copy again the tables whose mirrors lack a column.
+
+        The copy keeps the stamps, so changes that were applied before do not come back, and those
+        that the copy holds already are applied again, to the other views as well, when they arrive.
+        """
         for t, cols in self.columns.items():
-            name = _MIRROR + t
+            name, key = _MIRROR + t, self.keys[t]
             if name in c.m["tables"] and set(cols) - set(c.schema(name).names):
-                raise BuildError(t, ValueError("the stored mirror lacks columns of the new view; start a new store"))
+                old = c.read(name).select(F.col(key).alias("_old_key"), _STAMP)
+                new = self.sources[t].select(*cols).filter(F.col(key).isNotNull())
+                named = [F.coalesce(key, "_old_key").alias(key) if n == key else F.col(n) for n in cols]
+                both = new.join(old, F.col(key) == F.col("_old_key"), "full_outer")
+                c.replace(name, both.select(*named, _STAMP, F.col(key).isNull().alias(_GONE)), key)
+
+    @staticmethod
+    def _rows(view: _View, table: str, keys: DataFrame | None = None, *, touched: set[int] | None = None) -> DataFrame:
+        """A source table as mirrored, without stamps and deleted rows."""
+        return view.read(_MIRROR + table, keys, touched=touched).filter(~F.col(_GONE)).drop(_STAMP, _GONE)
+
+    @staticmethod
+    def _schema(view: _View, table: str) -> T.StructType:
+        return T.StructType([f for f in view.schema(_MIRROR + table).fields if f.name not in (_STAMP, _GONE)])
+
+    def forget_deleted(self, before: tuple[int, int]) -> None:
+        """Drop the marks of rows deleted at or before a position. From then on changes up to that
+        position are not applied any more, so all of them must have arrived."""
+        c = self.store.begin()
+        at = F.col(f"{_STAMP}.at.pos")
+        old = (at["file_seq"] < before[0]) | ((at["file_seq"] == before[0]) & (at["offset"] <= before[1]))
+        for t in self.columns:
+            c.replace(_MIRROR + t, c.read(_MIRROR + t).filter(~(F.col(_GONE) & F.coalesce(old, F.lit(False)))), self.keys[t])
+        c.state["start"] = list(max(tuple(before), tuple(c.state.get("start") or before)))
+        c.publish()
 
     def _pooled(self, fn):
         def run(spec):
@@ -201,6 +253,7 @@ class Maintainer:
         if found is None:
             raise RecoveryError(f"the feed does not hold heartbeat {want}")
         c.state["start"], c.state["positions"] = [found["file_seq"], found["offset"]], {}
+        c.state["epoch"] = c.state.get("epoch", 0) + 1  # places of the feed before do not compare
         c.publish()
         return found["file_seq"], found["offset"]
 
@@ -284,16 +337,17 @@ class Maintainer:
             seen, F.count_if(F.col("reason").isNotNull()).alias("others")
         )
         changes, others = split_parsed(c.scratch("parsed", rows))
+        rejects = []
         if seen.get["others"]:
             # schema events have no row image, so they are among the lines that are no row changes
             lost = breaking_deltas(parse_schema_events(others), self.columns).limit(1).collect()
             if lost:
                 raise SchemaChanged(f"{lost[0]['table']}: {lost[0]['reason']}")
             about_schema = F.coalesce(F.get_json_object("value", "$.type").isin(*SCHEMA_EVENT_TYPES), F.lit(False))
-            c.log("_rejects", others.filter(~about_schema))
+            rejects.append(others.filter(~about_schema))
         if self.rules is not None:
             changes = changes.filter(feed_filter(self.rules))
-        changes = self._not_seen(c, changes)
+        changes = after_position(changes, tuple(c.state["start"]) if c.state.get("start") else None)
         if self.hook is not None:
             changes = with_hook(changes, self.hook)
         else:
@@ -304,9 +358,10 @@ class Maintainer:
             changes = held.unionAll(changes)
         if self.hook is not None:
             changes = c.scratch("changes", changes)
-        ready, pending = committed_only(changes)
+        changes = changes.withColumn("_late", self._late(c))
+        ready, pending = committed_only(changes, late="_late")
         if pending.limit(1).count():
-            c.log("_pending", pending, append=False)
+            c.log("_pending", pending.drop("_late"), append=False)
         else:
             c.m["logs"].pop("_pending", None)
             ready = changes
@@ -314,46 +369,72 @@ class Maintainer:
         try:
             for p in progress(ready).collect():
                 if p["file_seq"] is not None:
-                    c.state.setdefault("positions", {})[str(p["server_id"])] = [p["file"], p["file_seq"], p["offset"]]
+                    stored = c.state.setdefault("positions", {})
+                    newest = [p["file"], p["file_seq"], p["offset"]]
+                    stored[str(p["server_id"])] = max(newest, stored.get(str(p["server_id"]), newest), key=lambda x: x[1:])
                 if p["heartbeat"] is not None:
                     c.state["heartbeat"] = max(p["heartbeat"], c.state.get("heartbeat", 0))
-            self._apply(c, relevant_changes(drop_suppressed(ready), self.specs, self._mirrors(c)))
+            kept = drop_suppressed(ready)
+            seen_late = self._checked(c, kept, rejects)
+            if rejects:
+                c.log("_rejects", reduce(DataFrame.unionAll, rejects))
+            self._apply(c, relevant_changes(kept, self.specs, self._mirrors(c)), seen_late)
             c.state.setdefault("batches", {})[source] = batch_id
             if self.dry_run:
                 return
             for name in list(c.m["tables"]):
                 c.compact(name)
             for sink in self.sinks:
-                sink(drop_suppressed(ready).drop("suppressed"), batch_id)
+                sink(kept.drop("suppressed", "_late"), batch_id)
             c.publish()
         finally:
             ready.unpersist()
 
     def _mirrors(self, c: Commit) -> dict[str, DataFrame]:
-        return {t: self.spark.createDataFrame([], c.schema(_MIRROR + t)) for t in self.columns}
+        return {t: self.spark.createDataFrame([], self._schema(c, t)) for t in self.columns}
 
-    def _not_seen(self, c: Commit, changes: DataFrame) -> DataFrame:
-        """Rows beyond the stored position of their server."""
-        changes = after_position(changes, tuple(c.state["start"]) if c.state.get("start") else None)
-        stored = c.state.get("positions", {})
-        if not stored:
-            return changes
-        rows = [(int(s), p[1], p[2]) for s, p in stored.items()]
-        positions = F.broadcast(self.spark.createDataFrame(rows, "server_id bigint, file_seq bigint, offset bigint"))
-        named = changes.withColumn("server_id", F.coalesce("server_id", F.lit(0).cast("bigint")))
-        return after_positions(named, positions)
-
-    def _apply(self, c: Commit, changes: DataFrame) -> None:
+    @staticmethod
+    def _late(c: Commit) -> Column:
+        """Is the row at or below the newest position applied for its server, so replayed or out of
+        order? There is one branch per server."""
+        late, p = F.lit(False), F.col("position")
+        for server, (_, seq, offset) in c.state.get("positions", {}).items():
+            below = (p["file_seq"] < seq) | ((p["file_seq"] == seq) & (p["offset"] <= offset))
+            late = late | ((F.coalesce("server_id", F.lit(0)) == int(server)) & F.coalesce(below, F.lit(False)))
+        return late
+
+    def _checked(self, c: Commit, changes: DataFrame, rejects: list[DataFrame]) -> bool:
+        """Look at the batch once: are there late rows, rows without a key, images that lack columns?"""
+        no_key, lacking = F.lit(False), F.lit(False)
+        for t, cols in self.columns.items():
+            no_key = no_key | without_key(t, self.keys[t], self._schema(c, t)[self.keys[t]].dataType)
+            lacking = lacking | lacks_columns(t, cols)
+        found = changes.agg(
+            F.count_if("_late").alias("late"), F.count_if(no_key).alias("no_key"), F.count_if(lacking & ~no_key).alias("lacking")
+        ).first()
+        if found["no_key"]:
+            text = F.to_json(F.struct(*CHANGE.names)).alias("value")
+            rejects.append(changes.filter(no_key).select(text, F.lit(_NO_KEY).alias("reason")))
+        if found["lacking"] and self.full_images and not self.absent_is_null:
+            raise ValueError(
+                f"{found['lacking']} row images lack columns; set full_images=False, or absent_is_null=True "
+                "for a feed that leaves NULLs out"
+            )
+        return found["late"] > 0
+
+    def _apply(self, c: Commit, changes: DataFrame, late: bool) -> None:
         """Net changes into the mirrors, then each view that reads a changed table."""
         found = [r["table"] for r in changes.select("table").distinct().collect()]
 
         def mirror(t: str) -> DataFrame:
-            schema, key, current = c.schema(_MIRROR + t), self.keys[t], None
+            schema, key, current = self._schema(c, t), self.keys[t], None
             if not self.full_images:
                 mine = changes.filter(F.col("table") == t)
                 ids = mine.select(F.col("data")[key].try_cast(schema[key].dataType).alias("k"))
-                current = c.before.read(_MIRROR + t, ids)
-            return c.change_net(_MIRROR + t, net_changes(changes, t, key, schema, current=current))
+                current = self._rows(c.before, t, ids)
+            net = net_changes(changes, t, key, schema, current=current, stamp="_at")
+            # in a batch without late rows every change is newer than all that was applied
+            return self._set_rows(c, t, self._newest(c, t, net) if late else net)
 
         def one(spec: ViewSpec) -> None:
             try:
@@ -368,6 +449,35 @@ class Maintainer:
             net = dict(zip(found, pool.map(thread(mirror), found)))
             list(pool.map(thread(self._pooled(one)), touched))
 
+    def _newest(self, c: Commit, table: str, net: DataFrame) -> DataFrame:
+        """Net changes that are newer than the change that set their row."""
+        if not self.full_images:
+            net = c.scratch(f"late_{table}", net)
+        stored = c.before.read(_MIRROR + table, net.select("_key"))
+        stored = stored.select(F.col(self.keys[table]).alias("_stored_key"), F.col(_STAMP).alias("_old"))
+        joined = net.join(stored, F.col("_key") == F.col("_stored_key"), "left")
+        new, old = F.col("_at"), F.col("_old.at")
+        epoch = F.lit(c.state.get("epoch", 0))
+        newer = (
+            old.isNull()
+            | (F.col("_old.epoch") < epoch)
+            | (old["server"] != new["server"])
+            | new["pos"]["file_seq"].isNull()
+            | (F.struct(new["pos"], new["step"]) > F.struct(old["pos"], old["step"]))
+        )
+        if not self.full_images and joined.filter(~newer).limit(1).count():
+            raise ValueError(f"changes of {table} arrive after newer ones of the same row; images that lack columns need log order")
+        return joined.filter(newer).select(*net.columns)
+
+    def _set_rows(self, c: Commit, table: str, net: DataFrame) -> DataFrame:
+        """Write net changes with their stamps, deletions as rows too, and give them back as stored."""
+        name, key = _MIRROR + table, self.keys[table]
+        stamp = F.struct(F.lit(c.state.get("epoch", 0)).alias("epoch"), F.col("_at").alias("at")).cast(_STAMP_TYPE)
+        cols = [F.col("_key").alias(key) if n == key else F.col(n) for n in self._schema(c, table).names]
+        c.change(name, net.select(*cols, stamp.alias(_STAMP), F.col("_deleted").alias(_GONE)))
+        own = c.own_delta(name).drop("_deleted", _STAMP)
+        return own.withColumnRenamed(_GONE, "_deleted").withColumn("_key", F.col(key))
+
     def _apply_view(self, c: Commit, spec: ViewSpec, net: dict[str, DataFrame]) -> None:
         name = _VIEW + spec.name
         parts = []
@@ -387,7 +497,7 @@ class Maintainer:
             if lk.row_key == lk.key:
                 tables[lk.table] = self._narrowed(c, lk.table, master.select(lk.master_column))
             else:
-                tables[lk.table] = c.read(_MIRROR + lk.table)
+                tables[lk.table] = self._rows(c, lk.table)
         c.change(name, self._stamped(build_view(spec, tables, match_columns=True)), ids)
         if spec.master in net:
             # only a change of the master row can give it another lookup key
@@ -396,19 +506,19 @@ class Maintainer:
             for lk in spec.lookups:
                 c.change(_index(spec, lk), moved.filter(F.col(lk.match_column).isNotNull()))
 
-    @staticmethod
-    def _narrowed(c: Commit, table: str, keys: DataFrame) -> DataFrame:
+    @classmethod
+    def _narrowed(cls, c: Commit, table: str, keys: DataFrame) -> DataFrame:
         """A mirror's rows with the given keys; only buckets that hold one of them are read."""
-        return c.read(_MIRROR + table, keys, touched=c.touched(_MIRROR + table, keys))
+        return cls._rows(c, table, keys, touched=c.touched(_MIRROR + table, keys))
 
-    @staticmethod
-    def _changed_keys(c: Commit, lk: LookupSpec, net: DataFrame) -> DataFrame:
+    @classmethod
+    def _changed_keys(cls, c: Commit, lk: LookupSpec, net: DataFrame) -> DataFrame:
         """Join keys that lookup rows had before the batch or have after it."""
         if lk.row_key == lk.key:
             return net.select(F.col("_key").alias("_lk"))
-        before = c.before.read(_MIRROR + lk.table, net.select("_key")).select(F.col(lk.key).alias("_lk"))
+        before = cls._rows(c.before, lk.table, net.select("_key")).select(F.col(lk.key).alias("_lk"))
         after = net.filter(~F.col("_deleted")).select(F.col(lk.key).alias("_lk"))
-        now = c.read(_MIRROR + lk.table).join(after, F.col(lk.key) == F.col("_lk"), "left_semi")
+        now = cls._rows(c, lk.table).join(after, F.col(lk.key) == F.col("_lk"), "left_semi")
         if now.groupBy(lk.key).count().filter("count > 1").limit(1).collect():
             raise ValueError(f"lookup keys of {lk.table}.{lk.key} are not unique any more")
         return before.unionAll(after)

@@ -220,13 +220,6 @@ class Commit(_View):
             )
         self._write_delta(name, out)
 
-    def change_net(self, name: str, net: DataFrame) -> DataFrame:
-        """Add net changes, (_key, _deleted, <columns>), as a delta and give them back as stored."""
-        key = self.m["tables"][name]["key"]
-        names = self.schema(name).names
-        self._write_delta(name, net.select(*[F.col("_key" if n == key else n).alias(n) for n in names], "_deleted"))
-        return self.own_delta(name).withColumn("_key", F.col(key))
-
     def own_delta(self, name: str) -> DataFrame:
         """The delta this commit wrote, with ``_deleted``."""
         stored = T.StructType([*self.schema(name).fields, T.StructField("_deleted", T.BooleanType())])
