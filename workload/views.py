@@ -425,3 +425,22 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
         to_change_json(part, options).write.mode("append").text(f"{root}/feed")
     m.run_available()
     return m.view("orders_mv")
+
+
+@query("e11_files_out_of_order", fd.orders_mv_sql(fd.orders_sql(), fd.customer_sql()))
+def out_of_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Newer changes of a row arrive in an earlier batch than older ones, and transactions are torn apart."""
+    from tideview.sources.feed import OutputOptions, to_change_json
+    from tideview.streaming.maintainer import Maintainer
+
+    root = scratch(spark, "e11")
+    t = fd.tables(spark, sf, fd.ORDERS)
+    m = Maintainer(spark, [fd.ORDERS], t, f"{root}/feed", f"{root}/store", start_position=(0, 0), buckets=8)
+    options = OutputOptions(position=True, server_id=True, tables={n: df.schema for n, df in t.items()})
+    orders = fd.feed_m(t["orders"])
+    # the last digit of an offset is the step of a change within its row
+    first = F.col("position.offset") % 10 == 0
+    for part in (orders.filter(~first).unionByName(fd.feed_l(t["customer"])), orders.filter(first)):
+        to_change_json(part, options).write.mode("append").text(f"{root}/feed")
+        m.run_available()
+    return m.view("orders_mv")
