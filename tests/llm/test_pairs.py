@@ -178,3 +178,25 @@ def test_topk_is_brute_force(spark, monkeypatch):
             want |= {(q, n + 1): (v, -s) for n, (s, v) in enumerate(best)}
     assert got == want
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_keep_first_keeps_one_row_of_each_group(docs):
+    """Copies of the first row go, nameless ones too, and no group goes whole because its id has another text."""
+    t, near = (" ".join(WORDS[a : a + 60]) for a in (0, 1))
+    lone, other = (" ".join(WORDS[a : a + 60]) for a in (100, 200))
+    rows = [(1, t), (1, t), (1, t), (5, near), (5, lone), (6, lone), (None, other), (None, other), (None, other + " more"), (8, None), (8, None)]
+    kept = [(r.doc_id, r.text) for r in jj.keep_first(docs([(i, x, "en", "s") for i, x in rows])).collect()]
+    nameless = [x for i, x in kept if i is None]
+    assert len(nameless) == 1 and nameless[0] in (other, other + " more")
+    assert sorted((i, x or "") for i, x in kept if i is not None) == [(1, t), (5, lone), (8, ""), (8, "")]
+    both = [(i, x) for i, x in [(2, t), (2, near), (2, t)]]
+    assert jj.keep_first(docs([(i, x, "en", "s") for i, x in both])).count() == 1
+
+
+def test_only_rows_with_passages_go(spark, docs):
+    item = " ".join(WORDS[:30])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "before " + item), (1, "a clean text of the same id"), (2, "clean"), (None, item + " after"), (None, "nameless and clean"), (3, None), (None, None)]
+    kept = dc.drop_contaminated(docs([(i, x, "en", "s") for i, x in rows]), items)
+    assert "_mark" not in kept.columns and "node" in kept.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == [(0, ""), (0, "nameless and clean"), (1, "a clean text of the same id"), (2, "clean"), (3, "")]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.shared import keep, small
+from tideview.llm.shared import keep, small, text_mark
 from tideview.llm.texts import column, mix, names, pieces, places, words
 
 RADIUS, BLOCKS, WIDTH = 15, 4, 16
@@ -176,9 +176,9 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == b) for b in range(parts)]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): each benchmark item found in each document, its best window."""
-    texts, out = docs.select("doc_id", "text"), None
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, mark: F.Column) -> DataFrame:
+    """What ``find_passages`` gives, with the documents' marks."""
+    texts, out = docs.select("doc_id", mark.alias("mark"), "text"), None
     for block in _blocks(benchmark):
         rows = sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         shared = docs.sparkSession.sparkContext.broadcast(rows)
@@ -188,21 +188,28 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
             for batch, part in pieces(batches):
                 of, codes, vocab = words(_plain(part))
                 hashes = names(vocab)[codes] if len(of) else np.zeros(0, np.uint64)
-                ids = column(batch, "doc_id").to_pylist()
-                hits = [(ids[d], index.items[i][0], *m) for d, i, *m in index.matches(of, hashes)]
+                ids, marks = column(batch, "doc_id").to_pylist(), column(batch, "mark")
+                hits = [(d, ids[d], index.items[i][0], *m) for d, i, *m in index.matches(of, hashes)]
                 if hits:
-                    doc, item, s, p, n = zip(*hits)
+                    at, doc, item, s, p, n = zip(*hits)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(s), pa.array(p, pa.int64()), pa.array(n, pa.int64())],
-                        names=["doc_id", "item_id", "similarity", "first_word", "n_words"],
+                        [pa.array(doc, pa.int64()), marks.take(pa.array(at)), pa.array(item, pa.int64()), pa.array(s), pa.array(p, pa.int64()), pa.array(n, pa.int64())],
+                        names=["doc_id", "mark", "item_id", "similarity", "first_word", "n_words"],
                     )
 
-        found = texts.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        found = texts.mapInArrow(run, "doc_id long, mark binary, item_id long, similarity double, first_word long, n_words long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words): each benchmark item found in each document, its best window."""
+    return _found(docs, benchmark, threshold, F.lit(None).cast("binary")).drop("mark")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose id holds a benchmark item; rows with a null id stay."""
-    gone = keep(find_passages(docs, benchmark, threshold).where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return docs.join(F.broadcast(gone) if small(gone) else gone, "doc_id", "left_anti")
+    """``docs`` without the rows that hold a benchmark item, told by id, null too, and text: other texts of their id stay."""
+    found = _found(docs, benchmark, threshold, text_mark())
+    gone = keep(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    return docs.withColumn("_mark", text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti").select(*docs.columns)

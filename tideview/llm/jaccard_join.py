@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.llm.components import components
-from tideview.llm.shared import keep, small
+from tideview.llm.shared import keep, small, text_mark
 from tideview.llm.texts import column, names, pieces, shingles, words
 
 #: Frequent shingles that the order knows by name; only the order depends on it, never the result.
@@ -86,7 +86,7 @@ def most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (times null) with its set's size and fingerprint, and rows of repeated shingles."""
+    """One row per document (times null) with its mark and its set's size and fingerprint, and rows of repeated shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -97,15 +97,15 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
             many = times >= REPEATS
             n = int(many.sum())
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[many].view(np.int64)), pa.array(times[many])], names=fields)
+            return pa.RecordBatch.from_arrays([none, pa.nulls(n, pa.binary()), none, none, none, pa.array(values[many].view(np.int64)), pa.array(times[many])], names=fields)
 
-        fields = ["doc_id", "n", "hi", "lo", "token", "times"]
+        fields = ["doc_id", "mark", "n", "hi", "lo", "token", "times"]
         for batch, texts in pieces(batches):
             ends, values = _sets(texts, k)
             marks = [_fingerprint(values[a:z]) if z > a else (None, None) for a, z in zip(ends[:-1], ends[1:])]
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(np.diff(ends)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none],
+                [column(batch, "doc_id"), column(batch, "mark"), pa.array(np.diff(ends)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none],
                 names=fields,
             )
             held.append(values)
@@ -116,7 +116,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, mark binary, n long, hi long, lo long, token long, times long")
 
 
 def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> DataFrame:
@@ -241,12 +241,17 @@ def _open(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return both.select("pivot", "member", "a", "b", "n_a", "n_b").mapInArrow(run, "pivot long, member long").distinct()
 
 
-def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+def _classes(docs: DataFrame, mark: F.Column, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, hi, lo), and for each set that has copies or links (hi, lo, component_id, first, nameless).
+
+    ``first`` is the component's smallest (doc_id, mark) with an id, ``nameless`` its smallest mark without one.
+    """
+    survey = keep(_survey(docs.select("doc_id", "text", mark.alias("mark")), k), "survey")
     docs = docs.select("doc_id", "text")
-    survey = keep(_survey(docs, k), "survey")
     rows = survey.where("times IS NULL")
-    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
+    has_id = F.col("doc_id").isNotNull()
+    first = F.min(F.when(has_id, F.struct("doc_id", "mark"))).alias("first"), F.min(F.when(~has_id, F.col("mark"))).alias("nameless")
+    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *first), "nodes")
     frequent = survey.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
 
     spare = keep(rows.where("hi IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().join(nodes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_anti"), "spare")
@@ -285,18 +290,34 @@ def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
 
     named = nodes.withColumn("node", F.concat_ws(":", "hi", "lo")).join(joined, "node", "left")
     named = named.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "node")).where("linked OR copies > 1")
-    named = keep(named.select("hi", "lo", "root", "first_id"), "named")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "root").select("hi", "lo", "component_id")
-    out = rows.join(named, ["hi", "lo"], "left")
+    named = keep(named.select("hi", "lo", "root", "first_id", "first", "nameless"), "named")
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"), F.min("nameless").alias("nameless"))
+    return rows, named.select("hi", "lo", "root").join(ids, "root").drop("root")
+
+
+def link_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    rows, named = _classes(docs, F.lit(None).cast("binary"), percent, k)
+    out = rows.join(named.select("hi", "lo", "component_id"), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """``docs`` without all but one document of each component: the one with the smallest id stays.
+    """``docs`` with one row of each component: of those with the smallest id, one with the smallest hash of its text.
 
-    Of rows that repeat the smallest id all stay; documents with a null id stay.
+    Rows are told apart by id and text, so another text of a dropped row's id stays. Rows without an id are told apart
+    from those with one: of them, too, one of each component stays. Rows without words are in no component and stay.
     """
-    found = link_components(docs, percent, k)
-    gone = keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if small(gone) else gone, "doc_id", "left_anti")
+    rows, named = _classes(docs, text_mark(), percent, k)
+    stays = F.when(F.col("doc_id").isNull(), F.col("mark") == F.col("nameless")).otherwise(F.struct("doc_id", "mark") == F.col("first"))
+    held = keep(rows.join(named, ["hi", "lo"]).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), stays.alias("stays")), "held")
+    gone = keep(held.where("NOT stays").select("_id", "_of").distinct(), "gone")
+    # those that stay and are written several times
+    again = keep(held.where("stays").groupBy("_id", "_of").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_of"), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    left = docs.withColumn("_mark", text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    side = F.broadcast(again) if small(again) else again
+    one = left.join(side, same, "left_semi").groupBy("doc_id", "_mark").agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(side, same, "left_anti").select(*docs.columns).unionByName(one)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +30,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_mark(text: str = "text") -> Column:
+    """128 bits of a text, null for null; with the id it tells a row from others of its id."""
+    return F.unhex(F.md5(text))
+
+
 #: Rows of two or three numbers that a broadcast may hold: some tens of MB.
 SMALL_ROWS = 1_000_000
 
