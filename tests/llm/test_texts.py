@@ -244,3 +244,18 @@ def test_pipeline(spark):
     assert len({t for t in rows.values()}) == len(rows) and all(not base_spans(t) for t in rows.values())
     packed = cp.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == set(rows)
+
+
+def test_learned_in_generations(docs):
+    """Values of a first context teach a second one, where names without digits stand; patterns after a value and spaced values count too."""
+    rows = [(i, f"word write to user{'abcdefghij'[i % 10] * (1 + i // 10)}@mail.org today", "en", "s") for i in range(40)]
+    mids = [f"member{'klmnopqrst'[i]}{i}0-home" for i in range(10)]
+    rows += [(100 + i, f"please write to {m} today", "en", "s") for i, m in enumerate(mids)]
+    rows += [(200 + i, f"badge holder {m} is known", "en", "s") for i, m in enumerate(mids)]
+    rows += [(300, "badge holder Annabel is absent", "en", "s"), (301, "the Annabelle holder is known", "en", "s")]
+    rows += [(400 + i, f"sent from user{'abcdefghij'[i % 10] * (1 + i // 10)}@mail.org at noon", "en", "s") for i in range(40)]
+    rows += [(500, "sent from Mary (Ann) at noon", "en", "s"), (501, "it was Zoe-Lou, at noon", "en", "s"), (502, "the the the common words", "en", "s")]
+    got = {r.doc_id: r.s for r in pii.find_pii(docs(rows)).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert got[100] == f"email:16:{16 + len(mids[0])}" and got[200] == f"email:13:{13 + len(mids[0])}"
+    assert got[300] == "email:13:20" and got[301] == ""
+    assert got[500] == "email:10:19" and got[501] == "email:7:14" and got[502] == ""

@@ -1,12 +1,13 @@
 """Personal data by patterns, and by contexts that are learned from what the patterns found.
 
-The fixed kinds (email, ip, card, phone) come from regular expressions. Their finds are the seeds of a bootstrap:
-the two words before a find are a lexical context. Contexts and identifier-like tokens (with a digit, six characters
-or more) form a graph, scored in turns: a context's confidence is the share of *all* its occurrences in the
-corpus that lead to something believed to be personal data; a token is believed as far as some context
-it follows is reliable. Tokens believed at the end get the kind of their best context, and are added at
-every place where they follow a reliable context. Contexts need several different finds, so a chance neighbour of
-a single find teaches nothing.
+The fixed kinds (email, ip, card, phone) come from regular expressions. Their finds are the seeds of a bootstrap.
+Its patterns are the two words before a token, the two after it, and both around one to four tokens. In each turn the
+patterns are made anew from everywhere that the values believed so far stand, and need several different ones, so a
+chance neighbour teaches nothing. A pattern's confidence is the share of *all* its occurrences in the corpus that
+hold something believed. What stands in a reliable pattern is believed as far as its best pattern is; a value
+without a digit, or shorter than six characters, only as far as it stands in such places and not elsewhere, so common
+words are not. New values make new patterns, until a turn changes nothing. What is believed then gets the kind of its best pattern, and is
+added wherever it stands in a reliable one.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. The regular expressions
 are written with possessive repeats, which match the same and stay linear on long runs of one kind of character.
@@ -30,11 +31,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
+OPENING, CLOSING = "([{<\x22\x27", ".,;:!?)]}>\x22\x27"
+#: White space, and what stands for it inside a base span.
+BLANKS, GLUE = "\x20\x09\x0a\x0b\x0c\x0d", "\ue000"
 
-#: Different finds that a context needs, its least confidence, and turns of scoring.
-SUPPORT, CONFIDENCE, TURNS = 5, 0.6, 3
+#: Different values that a pattern needs, and its least confidence.
+SUPPORT, CONFIDENCE = 5, 0.6
+#: Tokens that a slot between two contexts holds at most.
+SLOT = 4
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -99,69 +105,150 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.withColumn("base", F.array_sort(F.concat(*each))).drop("_digit", *(f"_{k}" for k in KINDS))
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased, if they end within 200 characters; else null."""
-    part = F.substring(text, F.greatest(F.lit(1), start - 199), F.least(start, F.lit(200)))
-    found = F.regexp_extract(F.lower(part), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 0)
-    return F.when(found != "", F.regexp_replace(F.trim(F.regexp_replace(found, SPACE, " ")), "[0-9]", "0"))
+def _core(token: Column) -> Column:
+    """A token without the marks around it."""
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
 
 
-def occurrences(marked: DataFrame) -> DataFrame:
-    """(doc_id, mark, context, value, kind, start, end): finds with their kind, other identifier-like tokens with null."""
-    text = F.coalesce("text", F.lit(""))
-    seeds = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), b["kind"].alias("kind")))
-    others = F.transform(
-        F.filter(located(text, TOKEN), lambda t: (F.char_length(t["value"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(None).cast("string").alias("kind")),
+def _glued(text: Column) -> Column:
+    """``text`` with the white space inside base spans replaced, character by character, so that each span is one token."""
+    spaced = F.filter("base", lambda b: b["value"].rlike(SPACE))
+    return F.aggregate(spaced, text, lambda acc, b: F.overlay(acc, F.translate(b["value"], BLANKS, GLUE * len(BLANKS)), b["start"] + 1, b["end"] - b["start"]))
+
+
+def tokens(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, i, before, held, after) of each token of ``glued``: two words before, cores of up to SLOT tokens, words after the first."""
+    low = F.translate(F.lower("glued"), "123456789", "0" * 9)
+    some = texts.select("doc_id", "mark", *(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias(n) for t, n in ((F.col("glued"), "w"), (low, "low"))))
+    row = lambda _, i: F.struct(
+        i.alias("i"),
+        F.when(i > 1, F.concat_ws(" ", F.get("low", i - 2), F.get("low", i - 1))).alias("before"),
+        F.transform(F.slice("w", i + 1, SLOT), _core).alias("held"),
+        F.slice("low", i + 2, SLOT + 1).alias("after"),
     )
-    some = marked.where(text.rlike("[0-9]") | (F.size("base") > 0))
-    some = some.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.explode(F.concat(seeds, others)).alias("m"))
-    return some.select("doc_id", "mark", _before(F.col("text"), F.col("m.start")).alias("context"), "m.value", "m.kind", "m.start", "m.end").where("context IS NOT NULL")
-
-
-def _followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(context, total): how often each context occurs before a further word, in all texts."""
-    pieces = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), SPACE)
-    grams = docs.where("text IS NOT NULL").select(pieces.alias("w")).where(F.size("w") > 2)
-    pairs = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("context"))
-    side = F.broadcast(contexts) if small(contexts) else contexts
-    return pairs.join(side, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
-
-
-def learned(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, turns: int = TURNS) -> DataFrame | None:
-    """(context, value, kind) of the tokens that the bootstrap believes; None where nothing was learned."""
-    edges = keep(found.groupBy("context", "value").agg(F.count("*").alias("times"), F.min("kind").alias("kind")), "edges")
-    # a context counts if it leads to enough different finds and to some token that is no find yet
-    known = edges.groupBy("context").agg(F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("open")).where((F.col("seeds") >= support) & (F.col("open") > 0))
-    known = keep(known.select("context"), "contexts")
-    if known.isEmpty():
-        return None
-    totals = keep(_followers(docs, known), "totals")
-    graph = keep(edges.join(totals, "context"), "graph")
-    belief = graph.select("value", F.col("kind").isNotNull().cast("double").alias("belief")).groupBy("value").agg(F.max("belief").alias("belief"))
-    for turn in range(turns):
-        score = graph.join(belief, "value").groupBy("context").agg((F.sum(F.col("times") * F.col("belief")) / (F.max("total") + 1)).alias("confidence"))
-        score = keep(score.where(F.col("confidence") >= confidence), f"confidence-{turn}")
-        belief = keep(graph.join(score, "context", "left").groupBy("value").agg(F.greatest(F.max(F.col("kind").isNotNull().cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("belief")), f"belief-{turn}")
-    kinds = graph.where("kind IS NOT NULL").groupBy("context", "kind").agg(F.count("*").alias("n")).groupBy("context").agg(F.max_by("kind", F.struct("n", "kind")).alias("as_kind"))
-    believed = graph.where("kind IS NULL").join(score, "context").join(kinds, "context")
-    best = keep(believed.groupBy("value").agg(F.max_by("as_kind", F.struct("confidence", "context")).alias("as_kind")), "believed")
-    if best.isEmpty():
-        return None
-    return believed.select("context", "value").join(best, "value").select("context", "value", F.col("as_kind").alias("kind"))
+    return some.select("doc_id", "mark", F.inline(F.transform("w", row)))
+
+
+def _right(width: int) -> Column:
+    """The two words after a slot of ``width`` tokens, null where there are not two."""
+    first, second = F.get("after", F.lit(width - 1)), F.get("after", F.lit(width))
+    return F.when(second.isNotNull(), F.concat_ws(" ", first, second))
+
+
+def _value(width: int) -> Column:
+    return F.array_join(F.slice("held", 1, width), " ")
+
+
+def _slots(side: str) -> Column:
+    """The patterns of a place as struct<pattern, value, width>; only those that begin with the words before, or only the other one."""
+    frame = lambda w: F.concat(F.lit("B "), F.col("before"), F.lit(" _ "), _right(w))
+    names = [(F.concat(F.lit("L "), F.col("before")), 1), *((frame(w), w) for w in range(1, SLOT + 1))] if side == "left" else [(F.concat(F.lit("R "), _right(1)), 1)]
+    return F.filter(F.array(*(F.struct(n.alias("pattern"), _value(w).alias("value"), F.lit(w).alias("width")) for n, w in names)), lambda x: x["pattern"].isNotNull())
+
+
+def _side(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if small(table, 200_000) else table
+
+
+def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, mark, i, pattern, value, width) of all places where ``patterns`` (pattern) stand."""
+    left = patterns.where("pattern NOT LIKE 'R %'").select(F.expr("split(substring(pattern, 3), ' _ ')[0]").alias("before"), F.lit(True).alias("l")).distinct()
+    right = patterns.where("pattern LIKE 'R %'").select(F.expr("substring(pattern, 3)").alias("_right"), F.lit(True).alias("r"))
+    near = tokens(texts).withColumn("_right", _right(1)).join(_side(left), "before", "left").join(_side(right), "_right", "left").where("l OR r")
+    none = F.array().cast("array<struct<pattern:string,value:string,width:int>>")
+    both = F.concat(*(F.when(F.col(c), _slots(side)).otherwise(none) for c, side in (("l", "left"), ("r", "right"))))
+    found = near.select("doc_id", "mark", "i", F.inline(both)).where("value <> ''")
+    return found.join(_side(patterns.select("pattern")), "pattern", "left_semi")
+
+
+def _where(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """The tokens at which ``values`` (value) begin, with value and width."""
+    parts = F.split("value", " ")
+    wanted = values.select("value", parts[0].alias("_first"), F.size(parts).alias("width"))
+    place = tokens(texts).withColumn("_first", F.get("held", F.lit(0)))
+    return place.join(_side(wanted), "_first").where(F.array_join(F.slice("held", F.lit(1), F.col("width")), " ") == F.col("value")).drop("_first")
+
+
+def _induced(found: DataFrame, support: int) -> DataFrame:
+    """(pattern): what stands around ``support`` different values or more."""
+    of_width = lambda p: F.filter(F.concat(_slots("left"), _slots("right")), lambda x: (x["width"] == F.col("width")) & (x["value"] == F.col("value")))
+    near = found.select("value", F.explode(of_width(found)["pattern"]).alias("pattern")).distinct()
+    return near.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
+
+
+def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(pattern, value, kind) that the bootstrap believes beyond ``seeds`` (value, kind); None where nothing was learned.
+
+    Each turn starts from all values believed so far and ends when a turn changes no belief. Beliefs only grow, in steps of a thousandth.
+    """
+    seeds = keep(seeds, "seeds")
+    believed, mark = seeds.select("value", "kind", F.lit(1.0).alias("belief")), None
+    places = texts.where("seeded")  # the seeds are nowhere else
+    while True:
+        patterns = keep(_induced(_where(places, believed.select("value")), support), "patterns")
+        if patterns.isEmpty():
+            return None
+        graph = keep(_places(texts, patterns).groupBy("pattern", "value").agg(F.count("*").alias("times"), F.max("width").alias("width")), "graph")
+        known = graph.join(believed, "value", "left")
+        score = known.groupBy("pattern").agg((F.sum(F.col("times") * F.coalesce("belief", F.lit(0.0))) / (F.sum("times") + 1)).alias("confidence")).where(F.col("confidence") >= confidence)
+        kinds = known.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("belief").alias("n")).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("as_kind"))
+        score = keep(score.join(kinds, "pattern"), "reliable")
+        held = keep(graph.join(score, "pattern").join(seeds.select("value"), "value", "left_anti"), "held")
+        if held.isEmpty():
+            return None
+        sides = held.groupBy("value", F.substring("pattern", 1, 1).alias("side")).agg(F.sum("times").alias("n"), F.max(F.struct("confidence", "pattern", "as_kind")).alias("best"))
+        inside = keep(sides.groupBy("value").agg(F.max("n").alias("n"), F.max("best").alias("best")), "inside")
+        total = _where(texts, inside.select("value")).groupBy("value").agg(F.count("*").alias("total"))
+        plain = ~(F.col("value").rlike("[0-9]") & (F.char_length("value") >= 6))
+        sure = F.col("best.confidence") * F.when(plain, F.least(F.lit(1.0), F.col("n") / F.col("total"))).otherwise(1.0)
+        more = inside.join(total, "value").select("value", F.col("best.as_kind").alias("kind"), (F.floor(sure * 1000) / 1000).alias("belief"))
+        more = more.where(F.col("belief") >= F.floor(F.lit(confidence * 1000)) / 1000)
+        if mark is not None:
+            more = more.unionByName(believed.join(seeds.select("value"), "value", "left_anti").select("value", "kind", "belief"))
+        more = keep(more.groupBy("value").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"), F.max("belief").alias("belief")), "believed")
+        now = tuple(more.agg(F.count("*"), F.coalesce(F.sum(F.round(F.col("belief") * 1000).cast("long")), F.lit(0))).first())
+        if not now[0]:
+            return None
+        if now == mark:
+            return held.join(more, "value").select("pattern", "value", "kind")
+        mark, places = now, texts
+        believed = more.unionByName(seeds.select("value", "kind", F.lit(1.0).alias("belief")))
+
+
+def _spans(marked: DataFrame, at: DataFrame) -> DataFrame:
+    """(doc_id, mark, _added): ``at`` (doc_id, mark, i, width, kind) as spans of the rows of ``marked``, without those that meet a base span."""
+    lists = keep(at.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("i", "width", "kind")).alias("at")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "at")
+    rows = marked.dropDuplicates(["doc_id", "mark"]).join(_side(lists), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark")))
+    rows = rows.withColumns({"w": F.regexp_extract_all("glued", F.lit(WORD), F.lit(0)), "gap": F.transform(F.split("glued", WORD, -1), F.char_length)})
+    rows = rows.select("doc_id", "mark", "base", "w", "gap", F.explode("at").alias("m")).select("doc_id", "mark", "base", "w", "gap", "m.*")
+    add = lambda items: F.aggregate(items, F.lit(0), lambda a, n: a + n)
+    size = lambda n: add(F.transform(F.slice("w", F.lit(1), n), F.char_length))
+    begin = lambda n: add(F.slice("gap", F.lit(1), n + 1)) + size(n)
+    last = F.col("i") + F.col("width") - 1
+    opened = lambda n: F.char_length(F.get("w", n)) - F.char_length(F.ltrim(F.get("w", n), F.lit(OPENING)))
+    start = begin(F.col("i")) + opened(F.col("i"))
+    end = begin(last) + opened(last) + F.char_length(_core(F.get("w", last)))
+    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
+    rows = rows.withColumns({"start": start, "end": end, "rank": rank}).where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
+    rows = rows.withColumn("value", F.array_join(F.transform(F.slice("w", F.col("i") + 1, F.col("width")), _core), " "))
+    found = rows.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "rank", "end", "kind", "value")).alias("all"))
+    # of those inside one another the longest
+    inner = lambda x: F.exists("all", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["end"] - x["start"] < y["end"] - y["start"]))
+    return found.select("doc_id", "mark", F.filter("all", lambda x: ~inner(x)).alias("_added"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of struct<start, rank, end, kind, value>; spans hold the learned ones too."""
     marked = base_spans(docs.drop("base", "spans"))
-    seen = keep(occurrences(marked.select("doc_id", "text", "base")), "occurrences")
-    more = learned(docs, seen)
+    own = marked.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), "base", _glued(F.col("text")).alias("glued"))
+    own = keep(own.withColumn("seeded", F.size("base") > 0), "texts")
+    seeds = own.select(F.explode("base").alias("b")).select(F.translate("b.value", BLANKS, GLUE * len(BLANKS)).alias("value"), "b.kind").groupBy("value").agg(F.min("kind").alias("kind"))
+    more = learned(own, seeds)
     if more is None:
         return marked.withColumn("spans", F.col("base"))
-    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
-    added = seen.drop("kind").join(more, ["context", "value"])
-    added = added.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind", "value")).alias("_added"))
-    added = keep(added.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "added")
+    more = keep(more, "learned")
+    at = _places(own, more.select("pattern").distinct()).join(_side(more), ["pattern", "value"]).groupBy("doc_id", "mark", "i", "width").agg(F.min("kind").alias("kind"))
+    added = keep(_spans(own, at).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "added")
     side = F.broadcast(added) if small(added, 100_000) else added
     whole = marked.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
