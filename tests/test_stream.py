@@ -196,6 +196,30 @@ def test_no_key_absent_columns_and_late_partial_images(spark, folder):
         partial.apply_batch(part.withColumn("value", F.replace("value", F.lit(":9"), F.lit(":8"))), 4)
 
 
+def test_partial_images_that_move_rows(spark, folder):
+    """Updates carry the key and what changed; rows move in one batch, over batches, and onto keys that others left."""
+    from pyspark.sql import functions as F
+
+    def slim(feed):
+        kept = F.map_filter("data", lambda k, v: (k == "id") | F.map_contains_key("old", k))
+        return feed.withColumn("data", F.when(F.col("type") == "update", kept).otherwise(F.col("data")))
+
+    source = Source()
+    m = maintainer(spark, source, folder, (LOGIN, USERS), full_images=False)
+    m.build()
+    steps = [
+        lambda: (source.update("login", 1, id=70, login_note="m"), source.update("login", 70, id=71), source.update("login", 2, id=1)),
+        lambda: (source.update("login", 71, id=72, role_id=2), source.update("user", 10, id=12), source.update("login", 1, user_id=12)),
+        lambda: (source.update("user", 12, id=10, name="Eve"), source.delete("login", 72), source.update("login", 1, id=72)),
+    ]
+    for step in steps:
+        n = len(source.changes)
+        step()
+        deliver(spark, source, folder, len(source.changes) - n, edit=slim)
+        m.run_available()
+        check(spark, m, source, (LOGIN, USERS))
+
+
 def test_view_added_later_and_keys_that_differ(spark, folder):
     """A second view needs one more column of a table that is followed already."""
     small = ViewSpec.load(

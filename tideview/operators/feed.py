@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.operators.ordered import SLOT, row_index
+from tideview.operators.moves import cells_of, fold_moved
+from tideview.operators.ordered import SLOT, previous_row, row_index
 from tideview.sources.change import (
     POSITION_KEY,
     ROW_TYPES,
@@ -17,9 +20,9 @@ from tideview.sources.change import (
     quoted,
     typed_sql,
 )
+from tideview.sources.shared import shared_cut
 
 _EMPTY = "map<string,string>"
-_CELLS = "array<struct<col:string,val:string>>"
 
 
 # -- row images ----------------------------------------------------------------------------
@@ -118,8 +121,6 @@ def attach_statement(df: DataFrame, slot: int = SLOT) -> DataFrame:
     A ``query`` row announces the statement of the next row change of its transaction.
     Announcing rows are dropped.
     """
-    from tideview.operators.ordered import previous_row
-
     server = F.coalesce("server_id", F.lit(0).cast("bigint"))
     df2 = df.withColumn("_server", server).withColumn("_is_query", F.col("type") == "query")
     prior = previous_row(df2, ["_server"], {"_prev_query": F.when(F.col("_is_query"), F.col("query")), "_prev_xid": F.col("xid")}, slot)
@@ -167,32 +168,25 @@ def newer_than(df: DataFrame, other: str) -> Column:
 # -- net effect ----------------------------------------------------------------------------
 
 
-def keyed_changes(
-    changes: DataFrame, table: str, key: str, schema: T.StructType, *, whole_moves: bool = False
-) -> DataFrame:
-    """Row changes of one table as (_key, _deleted, _at, data).
+def keyed_changes(changes: DataFrame, table: str, key: str, schema: T.StructType) -> DataFrame:
+    """Row changes of one table as (_key, _deleted, _at, data, _move, _other).
 
-    An update that moves the key becomes a delete of the old key and an upsert of the new one
-    at the same position. ``whole_moves`` makes a move that lacks columns an error.
+    An update that moves the key becomes a delete of the old key (``_move`` is ``out``) and an upsert of the new one
+    (``in``) at the same position; ``_other`` is the key at the other end.
     """
     name, dtype = literal(key), schema[key].dataType
     now, was = (typed_sql(entry_sql(image, key), dtype) for image in ("data", "old"))
     moved = f"(type = 'update' AND coalesce(map_contains_key(old, {name}), false) AND NOT ({was} <=> {now}))"
-    image = "data"
-    if whole_moves:
-        every = ", ".join(literal(n) for n in schema.names)
-        lacking = f"size(array_except(array({every}), map_keys(data))) > 0"
-        error = literal(f"a key change of {table} must carry the whole row")
-        image = f"CASE WHEN {moved} AND {lacking} THEN cast(raise_error({error}) AS {_EMPTY}) ELSE data END"
-
-    def part(k: str, deleted: str, step: int) -> str:
+    none = f"cast(null AS {dtype.simpleString()})"
+
+    def part(k: str, deleted: str, step: int, move: str = "cast(null AS string)", other: str = none) -> str:
         at = f"struct({POSITION_KEY} AS pos, {step} AS step, coalesce(server_id, 0L) AS server)"
-        row = f"CASE WHEN NOT {deleted} THEN {image} END"
-        return f"struct({k} AS _key, {deleted} AS _deleted, {at} AS _at, {row} AS data)"
+        row = f"CASE WHEN NOT {deleted} THEN data END"
+        return f"struct({k} AS _key, {deleted} AS _deleted, {at} AS _at, {row} AS data, {move} AS _move, {other} AS _other)"
 
     kinds = ", ".join(f"'{t}'" for t in ROW_TYPES)
     rows = changes.filter(f"`table` = {literal(table)} AND type IN ({kinds})")
-    both = f"array({part(was, 'true', 0)}, {part(now, 'false', 1)})"
+    both = f"array({part(was, 'true', 0, literal('out'), now)}, {part(now, 'false', 1, literal('in'), was)})"
     gone = "(type = 'delete')"
     one = f"array({part(now, gone, 1)})"
     # a row without a key can be neither stored nor looked up; without_key finds those changes
@@ -229,14 +223,16 @@ def net_changes(
     *,
     current: DataFrame | None = None,
     stamp: str | None = None,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Fold all changes of a table to the last one per key: (_key, _deleted, <columns of schema>).
 
     The fold is an aggregation with a map-side step, so a key changed very often costs one row
     per task in the shuffle. ``current`` (the table before the changes) is needed only when
     images may lack columns: the missing ones are taken first from earlier images of the same
-    row in this feed and then from the stored row. A change of the key itself must carry the
-    whole row. ``stamp`` names one more column for the place in the log of the last change.
+    row in this feed, on whatever keys it was, and then from the stored row it began as. ``stamp`` names one more
+    column for the place in the log of the last change. ``cut`` stores a frame and returns it as a source; it is used
+    where images lack columns and keys move, by default with the session's shared folder.
     """
     stamps = [] if stamp is None else [f"_last AS {quoted(stamp)}"]
     if current is None:
@@ -250,25 +246,46 @@ def net_changes(
             *stamps,
             *[f"{typed_sql(entry_sql('_l.data', f.name), f.dataType)} AS {quoted(f.name)}" for f in schema.fields],
         )
-    return _fold_partial(keyed_changes(changes, table, key, schema, whole_moves=True), key, schema, current, stamps)
+    return _fold_partial(keyed_changes(changes, table, key, schema), key, schema, current, stamps, cut)
 
 
 def _fold_partial(
-    parts: DataFrame, key: str, schema: T.StructType, current: DataFrame, stamps: list[str]
+    parts: DataFrame,
+    key: str,
+    schema: T.StructType,
+    current: DataFrame,
+    stamps: list[str],
+    cut: Callable[[DataFrame], DataFrame] | None,
 ) -> DataFrame:
-    """Per key and column the last value given since the key was last deleted.
+    """Per key and column the last value given to the row that is on the key in the end."""
+    moved = parts.filter("_move IS NOT NULL").select(F.col("_key").alias("_moved")).distinct()
+    if moved.isEmpty():
+        folded = _fold_still(parts)
+    else:
+        cut = cut or shared_cut(parts.sparkSession, "moves")
+        moved = cut(moved)
+        on = F.col("_key") == F.col("_moved")
+        folded = _fold_still(parts.join(moved, on, "left_anti")).unionByName(fold_moved(parts.join(moved, on, "left_semi"), cut))
+    stored = current.select(F.col(key).alias("_stored_key"), F.struct(*schema.names).alias("_stored"))
+    joined = folded.join(stored, F.col("_origin") == F.col("_stored_key"), "left")
+
+    def value(f: T.StructField) -> str:
+        given = typed_sql(entry_sql("data", f.name), f.dataType)
+        known = f"map_contains_key(data, {literal(f.name)})"
+        return f"CASE WHEN {known} THEN {given} ELSE _stored.{quoted(f.name)} END AS {quoted(f.name)}"
+
+    return joined.selectExpr("_key", "_deleted", *stamps, *[value(f) for f in schema.fields])
+
+
+def _fold_still(parts: DataFrame) -> DataFrame:
+    """(_key, _deleted, _last, _origin, data) of keys that no row moved from or to: what was given since the last deletion.
 
     Two aggregations, by (key, column) and then by key: no step holds more of one key than
-    one value per column.
+    one value per column. ``_origin`` is the key itself, or NULL after a deletion: a row that was put back
+    takes nothing from what is stored.
     """
-    text = T.StringType()
-    marker = F.array(F.struct(F.lit(None).cast(text).alias("col"), F.lit(None).cast(text).alias("val")))
-    given = F.transform(F.map_entries("data"), lambda e: F.struct(e["key"].alias("col"), e["value"].alias("val")))
-    cells = parts.select(
-        "_key", "_deleted", "_at", F.explode(F.concat(marker, F.coalesce(given, F.array().cast(_CELLS)))).alias("c")
-    )
-    per_cell = cells.groupBy("_key", F.col("c.col").alias("col")).agg(
-        F.max_by(F.struct(F.col("c.val").alias("val"), F.col("_deleted").alias("dead")), "_at").alias("l"),
+    per_cell = cells_of(parts, "_key").groupBy("_key", "col").agg(
+        F.max_by(F.struct("val", F.col("_deleted").alias("dead")), "_at").alias("l"),
         F.max("_at").alias("at"),
         F.max(F.when(F.col("_deleted"), F.col("_at"))).alias("died"),
     )
@@ -281,20 +298,10 @@ def _fold_partial(
         F.collect_list(F.when(~is_marker, F.struct("col", F.col("l.val").alias("val"), "at"))).alias("cells"),
     )
     alive = F.filter("cells", lambda c: F.col("_died").isNull() | (c["at"] > F.col("_died")))
-    folded = per_key.select(
+    return per_key.select(
         "_key",
         "_deleted",
         "_last",
-        F.col("_died").isNull().alias("_continues"),
+        F.when(F.col("_died").isNull(), F.col("_key")).alias("_origin"),
         F.map_from_entries(F.transform(alive, lambda c: F.struct(c["col"], c["val"]))).alias("data"),
     )
-    stored = current.select(F.col(key).alias("_stored_key"), F.struct(*schema.names).alias("_stored"))
-    # a row that was deleted and put back takes nothing from what is stored
-    joined = folded.join(stored, (F.col("_key") == F.col("_stored_key")) & F.col("_continues"), "left")
-
-    def value(f: T.StructField) -> str:
-        given = typed_sql(entry_sql("data", f.name), f.dataType)
-        known = f"map_contains_key(data, {literal(f.name)})"
-        return f"CASE WHEN {known} THEN {given} ELSE _stored.{quoted(f.name)} END AS {quoted(f.name)}"
-
-    return joined.selectExpr("_key", "_deleted", *stamps, *[value(f) for f in schema.fields])

@@ -32,12 +32,17 @@ def relevant_changes(changes: DataFrame, specs: Iterable[ViewSpec], tables: dict
 
 
 def net_by_table(
-    spec: ViewSpec, tables: dict[str, DataFrame], changes: DataFrame, *, full_images: bool = True
+    spec: ViewSpec,
+    tables: dict[str, DataFrame],
+    changes: DataFrame,
+    *,
+    full_images: bool = True,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Net effect of the changes for each table of the view."""
     return {
         t: net_changes(
-            changes, t, spec.row_key(t), tables[t].schema, current=None if full_images else tables[t]
+            changes, t, spec.row_key(t), tables[t].schema, current=None if full_images else tables[t], cut=cut
         )
         for t in spec.tables
     }
@@ -111,7 +116,7 @@ def apply_changes(
     they are computed again at each use, which suits small batches only.
     """
     changes = relevant_changes(changes, [spec], tables)
-    net = net_by_table(spec, tables, changes, full_images=full_images)
+    net = net_by_table(spec, tables, changes, full_images=full_images, cut=cut)
     if cut is not None:
         stored = inheritable_thread_target(changes.sparkSession)(cut)
         with ThreadPoolExecutor(len(net)) as pool:

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import count
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -430,9 +431,13 @@ class Maintainer:
             schema, key, current = self._schema(c, t), self.keys[t], None
             if not self.full_images:
                 mine = changes.filter(F.col("table") == t)
-                ids = mine.select(F.col("data")[key].try_cast(schema[key].dataType).alias("k"))
-                current = self._rows(c.before, t, ids)
-            net = net_changes(changes, t, key, schema, current=current, stamp="_at")
+                # a row that moved continues the stored row of its old key
+                keys = F.filter(F.array(*(F.col(image)[key].try_cast(schema[key].dataType) for image in ("data", "old"))), lambda k: k.isNotNull())
+                current = self._rows(c.before, t, mine.select(F.explode(keys).alias("k")))
+            number = count()
+            net = net_changes(
+                changes, t, key, schema, current=current, stamp="_at", cut=lambda df: c.scratch(f"moves_{t}_{next(number)}", df)
+            )
             # in a batch without late rows every change is newer than all that was applied
             return self._set_rows(c, t, self._newest(c, t, net) if late else net)
 

@@ -413,9 +413,9 @@ def merged_images(spark: SparkSession, sf: str) -> DataFrame:
         FROM ({fd.FEED_E_SQL}) WHERE event_type <> 'error'""",
 )
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered after a filter took rows out; small slots, so transactions span several."""
+    """Numbered after a filter took rows out."""
     kept = _e(spark, sf).filter(fl.feed_filter("exclude: *.events.event_type=error"))
-    out = op.assemble_transactions(kept, slot=3)
+    out = op.assemble_transactions(kept)
     return out.select(_id(), "xid", "xoffset", F.col("commit").alias("is_commit"))
 
 
@@ -428,7 +428,7 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
 def giant_transaction(spark: SparkSession, sf: str) -> DataFrame:
     e = _e(spark, sf)
     e = e.withColumn("xid", F.when(F.col("position.offset") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("xid")))
-    out = op.assemble_transactions(e, slot=256)
+    out = op.assemble_transactions(e)
     return out.select(_id(), "xid", "xoffset", F.col("commit").alias("is_commit"))
 
 
@@ -574,7 +574,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("position.offset")
     e = _e(spark, sf).withColumn("type", F.when(n % 10 == 0, "query").otherwise("insert"))
     e = e.withColumn("query", F.when(n % 10 == 0, F.concat(F.lit("statement "), n.cast("string"))))
-    return op.attach_statement(e, slot=7).select(_id(), F.col("query").alias("statement"))
+    return op.attach_statement(e).select(_id(), F.col("query").alias("statement"))
 
 
 # -- hooks ---------------------------------------------------------------------------------

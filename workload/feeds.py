@@ -69,6 +69,8 @@ ORDERS, EVENTS, DOCUMENTS, CUSTOMER = load_views(
 
 DELETE, PRICE, LEAVE, ENTER, MOVE, COPY, LATE, TWICE = 3, 5, 7, 9, 11, 13, 15, 17
 ALL_M = (DELETE, PRICE, LEAVE, ENTER, MOVE, COPY, LATE, TWICE)
+#: For images that hold only the key and what changed: a row that moves three times and is changed on the way.
+CHAIN = 1
 
 
 def feed_m(orders: DataFrame, rules: tuple[int, ...] = ALL_M, database: str = "shop") -> DataFrame:
@@ -89,6 +91,12 @@ def feed_m(orders: DataFrame, rules: tuple[int, ...] = ALL_M, database: str = "s
             ("insert", 2, copied),
             ("delete", 3, copied),
         ],
+        CHAIN: [
+            ("update", 0, {"o_orderkey": key + _big(40_000_000), "o_totalprice": price + 1}),
+            ("update", 1, {"o_orderkey": key + _big(50_000_000)}, {"o_orderkey": key + _big(40_000_000)}),
+            ("update", 2, {"o_orderkey": key + _big(60_000_000), "o_orderstatus": F.lit("M")}, {"o_orderkey": key + _big(50_000_000)}),
+            ("update", 3, {"o_orderkey": key + _big(60_000_000), "o_totalprice": price + 5}, {"o_orderkey": key + _big(60_000_000)}),
+        ],
     }
     return _changes(orders, F.pmod(key, F.lit(20)), {r: made[r] for r in rules}, "orders", "o_orderkey", database)
 
@@ -189,11 +197,11 @@ def feed_e(events: DataFrame, database: str = "shop") -> DataFrame:
 
 def orders_sql(rules: tuple[int, ...] = ALL_M) -> str:
     on = lambda r, then, other: (f"CASE WHEN o_orderkey % 20 = {r} THEN {then} ELSE {other} END" if r in rules else other)
-    price = on(PRICE, "o_totalprice + 100", on(TWICE, "o_totalprice + 2", "o_totalprice"))
+    price = on(PRICE, "o_totalprice + 100", on(TWICE, "o_totalprice + 2", on(CHAIN, "o_totalprice + 5", "o_totalprice")))
     date = on(LEAVE, "TIMESTAMP '1995-06-01 00:00:00'", on(ENTER, "TIMESTAMP '2000-01-01 00:00:00'", "o_orderdate"))
     text = (
-        f"SELECT {on(MOVE, 'o_orderkey + 10000000', 'o_orderkey')} AS o_orderkey, "
-        f"{on(LATE, 'CAST(-1 AS BIGINT)', 'o_custkey')} AS o_custkey, o_orderstatus, {price} AS o_totalprice, "
+        f"SELECT {on(MOVE, 'o_orderkey + 10000000', on(CHAIN, 'o_orderkey + 60000000', 'o_orderkey'))} AS o_orderkey, "
+        f"{on(LATE, 'CAST(-1 AS BIGINT)', 'o_custkey')} AS o_custkey, {on(CHAIN, chr(39) + 'M' + chr(39), 'o_orderstatus')} AS o_orderstatus, {price} AS o_totalprice, "
         f"{date} AS o_orderdate, o_orderpriority FROM orders"
     )
     if DELETE in rules:

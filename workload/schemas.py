@@ -28,9 +28,9 @@ _AS_OF = """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN eve
 
 @query("d5_h5_schema_version_as_of", _AS_OF)
 def as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest version at or before each change; small slots, so versions carry across."""
+    """The newest version at or before each change; versions carry across the files of the feed."""
     e = fd.feed_e(fd.table(spark, sf, "events"))
-    out = sh.schema_as_of(e, _history(spark, sf), slot=64)
+    out = sh.schema_as_of(e, _history(spark, sf))
     return out.select(F.col("data")["event_id"].cast("bigint").alias("event_id"), "schema_id")
 
 
@@ -42,7 +42,7 @@ def as_of(spark: SparkSession, sf: str) -> DataFrame:
 def conformed(spark: SparkSession, sf: str) -> DataFrame:
     """Versions with an even number know three columns; others know the whole table."""
     events = fd.table(spark, sf, "events")
-    e = sh.schema_as_of(fd.feed_e(events), _history(spark, sf), slot=64)
+    e = sh.schema_as_of(fd.feed_e(events), _history(spark, sf))
     names = lambda xs: F.array(*[F.struct(F.lit(x).alias("name")) for x in xs])
     versions = _history(spark, sf).select(
         "schema_id", F.lit("shop").alias("database"), F.lit("events").alias("table"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideview.operators import maintain as mt
+from tideview.operators.feed import net_changes
 from tideview.operators.filters import in_scope, touches_view, used_by_views
 from tideview.plans import build as pb
 from tideview.plans import builds
@@ -396,19 +397,31 @@ def two_batches(spark: SparkSession, sf: str) -> DataFrame:
     return mt.visible(view)
 
 
-@query("e10_partial_images", fd.orders_mv_sql(fd.orders_sql((fd.DELETE, fd.PRICE, fd.LEAVE, fd.ENTER, fd.COPY, fd.LATE, fd.TWICE))))
-def partial_images(spark: SparkSession, sf: str) -> DataFrame:
+def _slim(m: DataFrame) -> DataFrame:
     """Updates whose images hold only the key and what changed."""
+    kept = F.map_filter("data", lambda k, v: (k == "o_orderkey") | F.map_contains_key("old", k))
+    return m.withColumn("data", F.when(F.col("type") == "update", kept).otherwise(F.col("data")))
+
+
+@query("e10_partial_images", fd.orders_mv_sql(fd.orders_sql((*fd.ALL_M, fd.CHAIN))))
+def partial_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images that lack columns, with rows that change their key, some three times in the batch."""
     t = fd.tables(spark, sf, fd.ORDERS)
-    rules = (fd.DELETE, fd.PRICE, fd.LEAVE, fd.ENTER, fd.COPY, fd.LATE, fd.TWICE)
-    m = fd.feed_m(t["orders"], rules)
-    slim = F.map_filter("data", lambda k, v: (k == "o_orderkey") | F.map_contains_key("old", k))
-    m = m.withColumn("data", F.when(F.col("type") == "update", slim).otherwise(F.col("data")))
+    m = _slim(fd.feed_m(t["orders"], (*fd.ALL_M, fd.CHAIN)))
     view = pb.build_view(fd.ORDERS, t, match_columns=True)
     after, _ = mt.apply_changes(fd.ORDERS, view, t, m, full_images=False, cut=shared_cut(spark, "e10"))
     return mt.visible(after)
 
 
+@query("e4_f8_rows_moved_on_partial_images", fd.orders_sql((*fd.ALL_M, fd.CHAIN)))
+def moved_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The master table itself after moves whose images lack columns."""
+    orders = fd.table(spark, sf, "orders")
+    m = _slim(fd.feed_m(orders, (*fd.ALL_M, fd.CHAIN)))
+    net = net_changes(m, "orders", "o_orderkey", orders.schema, current=orders, cut=shared_cut(spark, "e4"))
+    return mt.update_table(orders, shared_cut(spark, "e4")(net), "o_orderkey")
+
+
 @query("e11_streamed_views", fd.orders_mv_sql(fd.orders_sql(), fd.customer_sql()))
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: build, then follow the feed as a stream of JSON files into the store."""
