@@ -243,11 +243,51 @@ def test_view_added_later_and_keys_that_differ(spark, folder):
     check(spark, m, source, (small, wide))
     m.apply_batch(spark.read.text(f"{folder}/feed"), 99)
     check(spark, m, source, (small, wide))
+
+
+def test_views_that_key_a_table_differently(spark, folder):
+    """Users as master by id and by name, and as lookup by name; names are changed, swapped, cleared and taken again."""
     by_name = ViewSpec.load(
         {"id": 7, "name": "by_name", "master": "user", "pk": "name", "columns": [{"name": "i", "table": "user", "column": "info"}]}
     )
-    with pytest.raises(ValueError, match="different keys"):
-        maintainer(spark, source, folder, (small, by_name))
+    noted = ViewSpec.load(
+        {
+            "id": 8, "name": "noted", "master": "login", "pk": "id", "columns": [{"name": "i", "table": "user", "column": "info"}],
+            "lookups": [{"table": "user", "master_column": "login_note", "key": "name"}],
+        }
+    )
+    source, specs = Source(), (noted, by_name, USERS)
+    m = maintainer(spark, source, folder, specs)
+    assert m.keys["user"] == "name" and m.found_by["user"] == ["id"]  # the first view that has it as master
+    m = maintainer(spark, source, folder, specs, row_keys={"user": "id"})
+    assert m.keys["user"] == "id" and m.found_by == {"login": [], "user": ["name"]}
+    m.build()
+
+    def held():
+        frames = source.frames(spark)
+        frames["user"] = frames["user"].filter("name IS NOT NULL")
+        for s in specs:
+            want = pb.build_view(s, frames if s is not USERS else source.frames(spark))
+            assert rows_by_id(m.view(s.name)) == rows_by_id(want), s.name
+
+    held()
+    steps = [
+        lambda: (source.update("login", 1, login_note="Ann"), source.update("user", 11, name="a"), source.insert("user", 12, "Cy", "z")),
+        lambda: (source.update("user", 10, name=None), source.update("user", 11, name="Ann", info="now Ann"), source.update("user", 12, name="a")),
+        lambda: (source.update("user", 11, id=13), source.delete("user", 12), source.insert("user", 14, "a", "again"), source.update("user", 10, name="Cy")),
+    ]
+    for step in steps:
+        n = len(source.changes)
+        step()
+        deliver(spark, source, folder, len(source.changes) - n)
+        m.run_available()
+        held()
+    m = maintainer(spark, source, folder, specs)
+    assert m.keys["user"] == "id"  # as stored
+    source.update("user", 10, name="a")
+    deliver(spark, source, folder, 1)
+    with pytest.raises(Exception, match="not unique any more"):
+        m.run_available()
 
 
 def test_rejects_rules_hook_and_partial_images(spark, folder):

@@ -21,12 +21,15 @@ from tideview.plans.build import build_view
 from tideview.plans.spec import VIEW_KEY, ViewSpec
 
 
-def relevant_changes(changes: DataFrame, specs: Iterable[ViewSpec], tables: dict[str, DataFrame]) -> DataFrame:
-    """Drop changes of unused tables and updates that touch no column any view depends on."""
+def relevant_changes(
+    changes: DataFrame, specs: Iterable[ViewSpec], tables: dict[str, DataFrame], row_keys: dict[str, str] | None = None
+) -> DataFrame:
+    """Drop changes of unused tables and updates that touch no column any view depends on, nor the table's row key."""
     specs = list(specs)
     keep = F.lit(False)
     for t in sorted({t for s in specs for t in s.tables}):
-        cols = sorted({c for s in specs if t in s.tables for c in s.relevant_columns(t, tables.get(s.master))})
+        cols = {c for s in specs if t in s.tables for c in s.relevant_columns(t, tables.get(s.master))}
+        cols = sorted(cols | ({row_keys[t]} if row_keys else set()))
         keep = keep | ((F.col("table") == t) & touches_view(cols))
     return changes.filter(used_by_views(specs) & keep)
 

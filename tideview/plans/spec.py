@@ -216,5 +216,34 @@ def source_columns(specs: list[ViewSpec], tables: dict[str, DataFrame]) -> dict[
     return needed
 
 
+def row_keys(specs: list[ViewSpec], given: dict[str, str] | None = None) -> dict[str, str]:
+    """Per source table the one column by which its rows are told apart, however many views know it by another one.
+
+    A given key comes first, then the key of a view whose master it is, then the ``pk`` of a lookup, then a join column.
+    """
+    keys = dict(given or {})
+    for wanted in (
+        lambda s, t: s.pk if t == s.master else None,
+        lambda s, t: s.lookup(t).pk if t != s.master else None,
+        lambda s, t: s.row_key(t),
+    ):
+        for s in specs:
+            for t in s.tables:
+                if t not in keys and wanted(s, t):
+                    keys[t] = wanted(s, t)
+    return keys
+
+
+def other_keys(specs: list[ViewSpec], keys: dict[str, str]) -> dict[str, list[str]]:
+    """Per source table the columns by which views find its rows, apart from the row key."""
+    out: dict[str, list[str]] = {t: [] for t in keys}
+    for s in specs:
+        for t in s.tables:
+            by = s.pk if t == s.master else s.lookup(t).key
+            if by != keys[t] and by not in out[t]:
+                out[t].append(by)
+    return out
+
+
 def _snake(key: str) -> str:
     return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", key).replace("-", "_").lower()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -20,7 +21,8 @@ from tideview.operators.hooks import drop_suppressed, with_hook
 from tideview.operators.maintain import lookup_guard, relevant_changes, visible
 from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_deltas
 from tideview.plans.build import UPDATED_TIME, build_view, count_source
-from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, source_columns
+from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, other_keys, source_columns
+from tideview.plans.spec import row_keys as known_by
 from tideview.sources.change import CHANGE, after_position
 from tideview.sources.feed import parse_changes, parse_lines, parse_schema_events, split_parsed
 from tideview.sources.tables import read_table
@@ -43,6 +45,11 @@ def _index(spec: ViewSpec, lk: LookupSpec) -> str:
     return f"ix_{spec.name}_{lk.table}"
 
 
+def _key_index(table: str, column: str) -> str:
+    """Finds rows of a mirror by a column that is not its row key."""
+    return f"kx_{table}_{column}"
+
+
 class BuildError(RuntimeError):
     def __init__(self, view: str, cause: Exception):
         super().__init__(f"building {view} failed: {cause}")
@@ -77,6 +84,10 @@ class Maintainer:
     since the columns it should still set are not known. With full images an absent column is an
     error too, unless ``absent_is_null`` says that the feed leaves NULLs out. Changes whose key is
     absent or unreadable go to ``rejects``.
+
+    Views may know a table by different keys, as master or as lookup. Its mirror has one row key, ``row_keys`` or else
+    the key of a view whose master it is; for each other column there is an index from it to the row key, which the net
+    changes keep. Rows whose row key is NULL are in no view.
     """
 
     def __init__(
@@ -93,6 +104,7 @@ class Maintainer:
         on_error: Callable[[str, str | None, Exception], None] | None = None,
         full_images: bool = True,
         absent_is_null: bool = False,
+        row_keys: dict[str, str] | None = None,
         secret_key: str | None = None,
         start_position: tuple[int, int] | None = None,
         feed_options: dict | None = None,
@@ -105,14 +117,15 @@ class Maintainer:
         self.sources = {t: s if isinstance(s, DataFrame) else read_table(spark, s) for t, s in sources.items()}
         for s in self.specs:
             s.validate(self.sources)
-        self.columns = source_columns(self.specs, self.sources)
-        self.keys = {t: s.row_key(t) for s in self.specs for t in s.tables}
-        for s in self.specs:
-            for t in s.tables:
-                if s.row_key(t) != self.keys[t]:
-                    raise ValueError(f"views know {t} by different keys, {s.row_key(t)} and {self.keys[t]}; give the lookup a pk")
         self.feed, self.store_path = feed, store.rstrip("/")
         self.store = Store(spark, store, buckets=buckets, compact_after=compact_after)
+        stored = {n.removeprefix(_MIRROR): t["key"] for n, t in self.store.manifest()["tables"].items() if n.startswith(_MIRROR)}
+        self.keys = known_by(self.specs, {**(row_keys or {}), **stored})
+        self.found_by = other_keys(self.specs, {t: self.keys[t] for s in self.specs for t in s.tables})
+        self.columns = source_columns(self.specs, self.sources)
+        for t, cols in self.columns.items():
+            if self.keys[t] not in cols:
+                cols.append(self.keys[t])
         self.rules, self.hook, self.sinks, self.on_error = rules, hook, tuple(sinks), on_error
         self.full_images, self.secret_key, self.start_position = full_images, secret_key, start_position
         self.absent_is_null = absent_is_null
@@ -162,14 +175,19 @@ class Maintainer:
                 unset = F.lit(None).cast(_STAMP_TYPE).alias(_STAMP)
                 c.replace(_MIRROR + t, rows.select("*", unset, F.lit(False).alias(_GONE)), self.keys[t])
         mirrors = {t: self._rows(c, t) for t in self.columns}
+        for t, cols in self.found_by.items():
+            for col in cols:
+                if _key_index(t, col) not in c.m["tables"]:
+                    c.replace_index(_key_index(t, col), mirrors[t].select(self.keys[t], col).filter(F.col(col).isNotNull()), col)
 
         def one(spec: ViewSpec) -> dict:
             started = time.time()
             try:
-                lookup_guard(spec, mirrors)
-                total = count_source(spec, mirrors).first()["total_rows"]
+                tables = mirrors | {spec.master: self._keyed(spec, mirrors[spec.master])}
+                lookup_guard(spec, tables)
+                total = count_source(spec, tables).first()["total_rows"]
                 seen = Observation()
-                rows = build_view(spec, mirrors, match_columns=True).observe(seen, F.count(F.lit(1)).alias("n"))
+                rows = build_view(spec, tables, match_columns=True).observe(seen, F.count(F.lit(1)).alias("n"))
                 c.replace(_VIEW + spec.name, self._stamped(rows), VIEW_KEY)
                 for lk in spec.lookups:
                     pairs = c.read(_VIEW + spec.name).select(VIEW_KEY, lk.match_column)
@@ -379,7 +397,7 @@ class Maintainer:
             seen_late = self._checked(c, kept, rejects)
             if rejects:
                 c.log("_rejects", reduce(DataFrame.unionAll, rejects))
-            self._apply(c, relevant_changes(kept, self.specs, self._mirrors(c)), seen_late)
+            self._apply(c, relevant_changes(kept, self.specs, self._mirrors(c), self.keys), seen_late)
             c.state.setdefault("batches", {})[source] = batch_id
             if self.dry_run:
                 return
@@ -481,49 +499,57 @@ class Maintainer:
         cols = [F.col("_key").alias(key) if n == key else F.col(n) for n in self._schema(c, table).names]
         c.change(name, net.select(*cols, stamp.alias(_STAMP), F.col("_deleted").alias(_GONE)))
         own = c.own_delta(name).drop("_deleted", _STAMP)
-        return own.withColumnRenamed(_GONE, "_deleted").withColumn("_key", F.col(key))
+        own = own.withColumnRenamed(_GONE, "_deleted").withColumn("_key", F.col(key))
+        for col in self.found_by[table]:
+            c.change(_key_index(table, col), own.filter(~F.col("_deleted") & F.col(col).isNotNull()))
+        return own
 
     def _apply_view(self, c: Commit, spec: ViewSpec, net: dict[str, DataFrame]) -> None:
         name = _VIEW + spec.name
         parts = []
         if spec.master in net:
-            parts.append(net[spec.master].select(F.col("_key").alias(VIEW_KEY)))
+            own = self._changed_values(c, spec.master, spec.pk, net[spec.master]).withColumnRenamed("_value", VIEW_KEY)
+            parts.append(own)
         for lk in spec.lookups:
             if lk.table in net:
-                keys = self._changed_keys(c, lk, net[lk.table])
+                keys = self._changed_values(c, lk.table, lk.key, net[lk.table])
                 stored = c.read_index(_index(spec, lk), keys)
-                hit = stored.join(keys, F.col(lk.match_column) == F.col("_lk"), "left_semi")
+                hit = stored.join(keys, F.col(lk.match_column) == F.col("_value"), "left_semi")
                 parts.append(hit.select(VIEW_KEY))
         ids = c.scratch(f"ids_{spec.name}", reduce(DataFrame.unionAll, parts))
-        master = c.scratch(f"master_{spec.name}", self._narrowed(c, spec.master, ids))
+        master = c.scratch(f"master_{spec.name}", self._found(c, spec.master, spec.pk, ids))
         tables = {spec.master: master}
         for lk in spec.lookups:
-            # a mirror is keyed by its own key, so it can be narrowed only where that is the join key
-            if lk.row_key == lk.key:
-                tables[lk.table] = self._narrowed(c, lk.table, master.select(lk.master_column))
-            else:
-                tables[lk.table] = self._rows(c, lk.table)
+            tables[lk.table] = self._found(c, lk.table, lk.key, master.select(lk.master_column))
         c.change(name, self._stamped(build_view(spec, tables, match_columns=True)), ids)
         if spec.master in net:
             # only a change of the master row can give it another lookup key
             written = c.own_delta(name).filter(~F.col("_deleted"))
-            moved = written.join(net[spec.master].select("_key"), F.col(VIEW_KEY) == F.col("_key"), "left_semi")
+            moved = written.join(own.select(F.col(VIEW_KEY).alias("_own")), F.col(VIEW_KEY) == F.col("_own"), "left_semi")
             for lk in spec.lookups:
                 c.change(_index(spec, lk), moved.filter(F.col(lk.match_column).isNotNull()))
 
-    @classmethod
-    def _narrowed(cls, c: Commit, table: str, keys: DataFrame) -> DataFrame:
-        """A mirror's rows with the given keys; only buckets that hold one of them are read."""
-        return cls._rows(c, table, keys, touched=c.touched(_MIRROR + table, keys))
-
-    @classmethod
-    def _changed_keys(cls, c: Commit, lk: LookupSpec, net: DataFrame) -> DataFrame:
-        """Join keys that lookup rows had before the batch or have after it."""
-        if lk.row_key == lk.key:
-            return net.select(F.col("_key").alias("_lk"))
-        before = cls._rows(c.before, lk.table, net.select("_key")).select(F.col(lk.key).alias("_lk"))
-        after = net.filter(~F.col("_deleted")).select(F.col(lk.key).alias("_lk"))
-        now = cls._rows(c, lk.table).join(after, F.col(lk.key) == F.col("_lk"), "left_semi")
-        if now.groupBy(lk.key).count().filter("count > 1").limit(1).collect():
-            raise ValueError(f"lookup keys of {lk.table}.{lk.key} are not unique any more")
-        return before.unionAll(after)
+    def _keyed(self, spec: ViewSpec, master: DataFrame) -> DataFrame:
+        """Master rows that have the view's key."""
+        return master if spec.pk == self.keys[spec.master] else master.filter(F.col(spec.pk).isNotNull())
+
+    def _found(self, c: Commit, table: str, by: str, keys: DataFrame) -> DataFrame:
+        """A mirror's rows whose column ``by`` is one of ``keys``; only buckets that may hold one of them are read."""
+        if by == self.keys[table]:
+            return self._rows(c, table, keys, touched=c.touched(_MIRROR + table, keys))
+        wanted = c.scratch(f"wanted_{table}_{uuid.uuid4().hex[:8]}", keys.select(F.col(keys.columns[0]).alias("_wanted")).distinct())
+        pairs = c.read_index(_key_index(table, by), wanted).join(wanted, F.col(by) == F.col("_wanted"), "left_semi")
+        ids = pairs.select(self.keys[table]).distinct()
+        rows = self._rows(c, table, ids, touched=c.touched(_MIRROR + table, ids))
+        # the index may hold pairs that no longer apply
+        return rows.join(wanted, F.col(by) == F.col("_wanted"), "left_semi")
+
+    def _changed_values(self, c: Commit, table: str, by: str, net: DataFrame) -> DataFrame:
+        """Values (_value) of a column that finds rows which the changed rows had before the batch or have after it."""
+        if by == self.keys[table]:
+            return net.select(F.col("_key").alias("_value"))
+        before = self._rows(c.before, table, net.select("_key")).select(F.col(by).alias("_value"))
+        after = net.filter(~F.col("_deleted")).select(F.col(by).alias("_value"))
+        if self._found(c, table, by, after.filter("_value IS NOT NULL")).groupBy(by).count().filter("count > 1").limit(1).collect():
+            raise ValueError(f"keys of {table}.{by} are not unique any more")
+        return before.unionAll(after).filter(F.col("_value").isNotNull())

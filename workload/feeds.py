@@ -105,6 +105,8 @@ def feed_m(orders: DataFrame, rules: tuple[int, ...] = ALL_M, database: str = "s
 
 GONE, CHANGED, REKEY, NULLED, ARRIVE = 2, 4, 6, 8, -1
 ALL_L = (GONE, CHANGED, REKEY, NULLED, ARRIVE)
+#: For views that find customers by name: another name, and an old name that another customer takes on.
+RENAME, HANDED = 1, 5
 
 
 def feed_l(customer: DataFrame, rules: tuple[int, ...] = ALL_L, database: str = "shop") -> DataFrame:
@@ -116,6 +118,8 @@ def feed_l(customer: DataFrame, rules: tuple[int, ...] = ALL_L, database: str =
         REKEY: [("update", 0, {"c_custkey": key + _big(10_000_000)})],
         NULLED: [("update", 0, {"c_mktsegment": F.lit(None).cast("string")})],
         ARRIVE: [("insert", 9, {})],
+        RENAME: [("update", 0, {"c_name": F.concat(F.lit("New "), F.col("c_name"))})],
+        HANDED: [("delete", 0, {}), ("insert", 1, {"c_custkey": key + _big(70_000_000), "c_acctbal": F.lit(0.5)})],
     }
     late = customer.sparkSession.range(1).select(
         _big(-1).alias("c_custkey"), F.lit("Customer#LATE").alias("c_name"), F.lit(0).cast("int").alias("c_nationkey"),
@@ -218,7 +222,8 @@ def customer_sql(rules: tuple[int, ...] = ALL_L) -> str:
     on = lambda r, then, other: (f"CASE WHEN c_custkey % 10 = {r} THEN {then} ELSE {other} END" if r in rules else other)
     segment = on(CHANGED, "'CHANGED'", on(NULLED, "NULL", "c_mktsegment"))
     text = (
-        f"SELECT {on(REKEY, 'c_custkey + 10000000', 'c_custkey')} AS c_custkey, c_name, c_nationkey, c_acctbal, "
+        f"SELECT {on(REKEY, 'c_custkey + 10000000', on(HANDED, 'c_custkey + 70000000', 'c_custkey'))} AS c_custkey, "
+        f"{on(RENAME, chr(39) + 'New ' + chr(39) + ' || c_name', 'c_name')} AS c_name, c_nationkey, {on(HANDED, '0.5::DOUBLE', 'c_acctbal')} AS c_acctbal, "
         f"{segment} AS c_mktsegment FROM customer"
     )
     if GONE in rules:

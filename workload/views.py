@@ -10,7 +10,7 @@ from tideview.operators.feed import net_changes
 from tideview.operators.filters import in_scope, touches_view, used_by_views
 from tideview.plans import build as pb
 from tideview.plans import builds
-from tideview.plans.spec import ViewSpec
+from tideview.plans.spec import ViewSpec, load_views
 from tideview.sources.tables import read_table
 from tideview.streaming.store import Store
 from workload import feeds as fd
@@ -385,6 +385,56 @@ def many_views(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_ALL_NAMED = (*fd.ALL_L, fd.RENAME, fd.HANDED)
+
+#: The customer table as master by its id, as master by its name, and as lookup by its name.
+BY_ID, BY_NAME, SOLD = load_views(
+    [
+        dict(id=11, name="customers_by_id", master="customer", pk="c_custkey", columns=fd._columns(name="customer.c_name", balance="customer.c_acctbal")),
+        dict(
+            id=12, name="customers_by_name", master="customer", pk="c_name", where="c_acctbal > 0",
+            columns=fd._columns(custkey="customer.c_custkey", segment="customer.c_mktsegment", nation="nation.n_name"),
+            lookups=[dict(table="nation", master_column="c_nationkey", key="n_nationkey")],
+        ),
+        dict(
+            id=13, name="sales_by_name", master="sales", pk="o_orderkey",
+            columns=fd._columns(total="sales.o_totalprice", segment="customer.c_mktsegment", balance="customer.c_acctbal"),
+            lookups=[dict(table="customer", master_column="sold_to", key="c_name")],
+        ),
+    ]
+)
+
+
+@query(
+    "e9_views_with_different_keys",
+    f"""WITH c AS ({fd.customer_sql(_ALL_NAMED)}),
+             o AS (SELECT *, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS sold_to FROM orders)
+        SELECT 'customers_by_id' AS view_name, c_custkey::VARCHAR AS id, c_name AS name, CAST(NULL AS VARCHAR) AS segment, c_acctbal AS amount FROM c
+        UNION ALL SELECT 'customers_by_name', c_name, n_name, c_mktsegment, c_custkey::DOUBLE FROM c LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0
+        UNION ALL SELECT 'sales_by_name', o_orderkey::VARCHAR, c_name, c_mktsegment, o_totalprice + coalesce(c_acctbal, 0) FROM o LEFT JOIN c ON sold_to = c_name""",
+)
+def views_by_other_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """One stream of customer changes keeps three views that know customers by id or by name."""
+    from tideview.sources.feed import OutputOptions, to_change_json
+    from tideview.streaming.maintainer import Maintainer
+
+    root = scratch(spark, "e9")
+    t = fd.tables(spark, sf, fd.CUSTOMER)
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    t["sales"] = fd.table(spark, sf, "orders").withColumn("sold_to", name)
+    m = Maintainer(spark, [BY_NAME, SOLD, BY_ID], t, f"{root}/feed", f"{root}/store", row_keys={"customer": "c_custkey"}, start_position=(0, 0), buckets=8)
+    options = OutputOptions(position=True, server_id=True, tables={n: df.schema for n, df in t.items()})
+    to_change_json(fd.feed_l(t["customer"], _ALL_NAMED), options).write.text(f"{root}/feed")
+    m.run_available()
+    text = "cast(null AS string)"
+    by_id = m.view("customers_by_id").selectExpr("'customers_by_id' AS view_name", "cast(id AS string) AS id", "name", f"{text} AS segment", "balance AS amount")
+    by_name = m.view("customers_by_name").selectExpr("'customers_by_name' AS view_name", "id", "nation AS name", "segment", "cast(custkey AS double) AS amount")
+    sold = m.view("sales_by_name").selectExpr(
+        "'sales_by_name' AS view_name", "cast(id AS string) AS id", "customer_c_name AS name", "segment", "total + coalesce(balance, 0) AS amount"
+    )
+    return by_id.unionAll(by_name).unionAll(sold)
+
+
 @query("e10_two_batches", fd.orders_mv_sql(fd.orders_sql(), fd.customer_sql()))
 def two_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Orders first, then customers: the second batch starts from the first one's result."""
