@@ -119,5 +119,5 @@ def last_known(rows: DataFrame, marks: DataFrame, by: list[str], value: str, slo
 def _same(keys: list[str], prefix: str = "s") -> Column:
     cond = F.lit(True)
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"{prefix}{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
     return cond

@@ -354,6 +354,28 @@ def schema_as_of(changes: DataFrame, history: DataFrame, slot: int = SLOT) -> Da
     return out.select(*[F.col(f"`{c}`") for c in changes.columns if c != "schema_id"], "schema_id")
 
 
+def conform_as_of(changes: DataFrame, history: DataFrame, slot: int = SLOT) -> DataFrame:
+    """Keep in the images only columns that the row's table had at the row's position.
+
+    ``history``: (position, database, table, def), and maybe ``server_id``: what each statement made of a table, with a
+    NULL ``def`` where it is gone. Each definition's names are carried along the log of its table, so no key of all rows of
+    a version is joined on. Rows before their table's first definition, or after its end, keep their images.
+    """
+    by = ["_server", "database", "table"]
+    server = F.coalesce("server_id", F.lit(0).cast("bigint")).alias("_server")
+    names = F.struct(F.transform("def", lambda c: c["name"]).alias("names"))
+    marks = history.select(server if "server_id" in history.columns else F.lit(0).cast("bigint").alias("_server"), "database", "table", "position", names.alias("_known"))
+    found = last_known(changes.withColumn("_server", server), marks, by, "_known", slot)
+    return _only_known(found, F.col("_known.names")).select(*changes.columns)
+
+
+def _only_known(changes: DataFrame, names: Column) -> DataFrame:
+    def known(image: str) -> Column:
+        return F.when(names.isNull(), F.col(image)).otherwise(F.map_filter(image, lambda k, x: F.array_contains(names, k)))
+
+    return changes.withColumn("data", known("data")).withColumn("old", known("old"))
+
+
 def conform(changes: DataFrame, versions: DataFrame) -> DataFrame:
     """Keep in the images only columns that the row's schema version knows.
 
@@ -366,14 +388,7 @@ def conform(changes: DataFrame, versions: DataFrame) -> DataFrame:
         F.transform("def", lambda c: c["name"]).alias("_known"),
     )
     on = (F.col("schema_id") == F.col("_sid")) & (F.col("database") == F.col("_db")) & (F.col("table") == F.col("_tbl"))
-    joined = changes.join(v, on, "left")
-
-    def known(image: str) -> Column:
-        return F.when(F.col("_known").isNull(), F.col(image)).otherwise(
-            F.map_filter(image, lambda k, x: F.array_contains("_known", k))
-        )
-
-    return joined.withColumn("data", known("data")).withColumn("old", known("old")).select(*changes.columns)
+    return _only_known(changes.join(v, on, "left"), F.col("_known")).select(*changes.columns)
 
 
 # -- schema events as a feed ---------------------------------------------------------------

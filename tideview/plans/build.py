@@ -10,8 +10,10 @@ from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec
 
 UPDATED_TIME = "_updated_time"
 
-# NULL keys match nothing in a left join, so they may go to any reducer.
-_NULL_SPREAD = 64
+#: A lookup key is hot when it holds one in so many master rows, so there are at most that many hot keys.
+HOT_SHARE = 100
+#: Keys that the sketch of the frequent ones tracks; a key's count is off by a small part of rows / TRACKED.
+TRACKED = 10_000
 
 
 def build_view(
@@ -45,9 +47,11 @@ def build_view(
         *[F.col(f"{spec.master}.{c.column}").alias(c.name) for c in out if c.table == spec.master],
         *[F.col(f"{spec.master}.{lk.master_column}").alias(lk.match_column) for lk in hidden],
     )
+    base = rows
     for lk in lookups:
         wanted = [(c.column, c.name) for c in out if c.table == lk.table]
-        rows = _join_lookup(rows, tables[lk.table], lk, wanted)
+        hot = hot_keys(base, lk.match_column, lk.salt) if lk.salt > 1 else None
+        rows = _join_lookup(rows, split_lookup(tables[lk.table], lk, wanted, hot), lk, wanted, hot)
     names = [c.name for c in out]
     if match_columns:
         names += [lk.match_column for lk in spec.lookups]
@@ -55,29 +59,47 @@ def build_view(
     return rows.orderBy(VIEW_KEY) if ordered else rows
 
 
-def _join_lookup(rows: DataFrame, lookup: DataFrame, lk: LookupSpec, wanted: list[tuple[str, str]]) -> DataFrame:
+def hot_keys(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """(_hot, _pieces): the keys that hold at least one in ``HOT_SHARE`` of the rows that have a key, and over how many
+    pieces each is spread, ``most`` at most.
+
+    One pass over the key column with a sketch of frequent items, merged map-side first. Its result, at most ``HOT_SHARE``
+    rows, is taken to the driver, since both sides of the join must agree on it.
+    """
+    known = rows.filter(F.col(column).isNotNull())
+    found = known.agg(F.expr(f"approx_top_k(`{column}`, {HOT_SHARE}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    hot = [(t["item"], min(most, -(-HOT_SHARE * t["count"] // found["n"]))) for t in found["top"] or [] if t["count"] * HOT_SHARE >= found["n"]]
+    schema = T.StructType([T.StructField("_hot", rows.schema[column].dataType), T.StructField("_pieces", T.LongType())])
+    return rows.sparkSession.createDataFrame([h for h in hot if h[1] > 1], schema)
+
+
+def split_lookup(lookup: DataFrame, lk: LookupSpec, wanted: list[tuple[str, str]], hot: DataFrame | None = None) -> DataFrame:
+    """A lookup's rows as (_key, _v_<name>..., _key_salt): those of hot keys once for each piece, all others once."""
+    right = lookup.select(F.col(lk.key).alias("_key"), *[F.col(c).alias(f"_v_{n}") for c, n in wanted])
+    if hot is None:
+        # computed from the key, so that it stays an equi-join key and is not folded away as a constant
+        return right.withColumn("_key_salt", F.pmod(F.xxhash64("_key"), F.lit(1).cast("bigint")))
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1).cast("bigint")) - 1)
+    spread = right.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+    return spread.withColumn("_key_salt", F.explode(pieces)).drop("_hot", "_pieces")
+
+
+def _join_lookup(rows: DataFrame, right: DataFrame, lk: LookupSpec, wanted: list[tuple[str, str]], hot: DataFrame | None) -> DataFrame:
     """Left join one lookup, keeping any single join key from landing on one reducer.
 
-    A second join key is derived on both sides. For NULL master keys it spreads rows that
-    cannot match; with ``salt`` > 1 it also splits real keys, each lookup row being repeated
-    once per salt. The lookup's copy is computed from its key so that it stays an equi-join
-    key and is not folded away as a constant. Skew left after that is split by adaptive
+    A second join key spreads the master's rows: those with a NULL key, which match nothing, over all
+    reducers, those with a hot key over the key's pieces. Skew left after that is split by adaptive
     execution, which may split the left side of a left join.
     """
     key = F.col(lk.match_column)
     row_hash = F.xxhash64(VIEW_KEY)
-    right = lookup.select(
-        F.col(lk.key).alias("_key"),
-        *[F.col(c).alias(f"_v_{n}") for c, n in wanted],
-    )
-    if lk.salt > 1:
-        right = right.withColumn("_key_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lk.salt - 1).cast("bigint"))))
+    none = F.lit(0).cast("bigint")
+    if hot is None:
+        salt = F.when(key.isNull(), row_hash).otherwise(none)
     else:
-        right = right.withColumn("_key_salt", F.pmod(F.xxhash64("_key"), F.lit(1).cast("bigint")))
-    salt = F.when(key.isNull(), F.pmod(row_hash, F.lit(_NULL_SPREAD).cast("bigint"))).otherwise(
-        F.pmod(row_hash, F.lit(lk.salt).cast("bigint"))
-    )
-    joined = rows.withColumn("_salt", salt).join(
+        rows_hot = rows.join(F.broadcast(hot), key == F.col("_hot"), "left")
+        salt = F.when(key.isNull(), row_hash).when(F.col("_pieces").isNotNull(), F.pmod(row_hash, F.col("_pieces"))).otherwise(none)
+    joined = (rows if hot is None else rows_hot).withColumn("_salt", salt).join(
         right, (F.col(lk.match_column) == F.col("_key")) & (F.col("_salt") == F.col("_key_salt")), "left"
     )
     return joined.select(

@@ -42,13 +42,12 @@ def as_of(spark: SparkSession, sf: str) -> DataFrame:
 def conformed(spark: SparkSession, sf: str) -> DataFrame:
     """Versions with an even number know three columns; others know the whole table."""
     events = fd.table(spark, sf, "events")
-    e = sh.schema_as_of(fd.feed_e(events), _history(spark, sf))
     names = lambda xs: F.array(*[F.struct(F.lit(x).alias("name")) for x in xs])
-    versions = _history(spark, sf).select(
-        "schema_id", F.lit("shop").alias("database"), F.lit("events").alias("table"),
+    history = _history(spark, sf).select(
+        "server_id", "position", F.lit("shop").alias("database"), F.lit("events").alias("table"),
         F.when(F.col("schema_id") % 2 == 0, names(["event_id", "ts", "value"])).otherwise(names(events.columns)).alias("def"),
     )
-    out = sh.conform(e, versions)
+    out = sh.conform_as_of(fd.feed_e(events), history)
     # rows before the first version have none and keep everything
     return out.select(
         F.coalesce(F.col("data")["event_id"]).cast("bigint").alias("event_id"),

@@ -104,6 +104,25 @@ def hot_lookup_key(spark: SparkSession, sf: str) -> DataFrame:
     return pb.build_view(_HOT, {**t, "orders": t["orders"].withColumn("o_custkey", key)})
 
 
+_HOT_SQL = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE o_custkey END AS k FROM orders"
+
+
+@query(
+    "d1_only_hot_lookup_rows_repeated",
+    f"""WITH k AS (SELECT k, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_HOT_SQL}) WHERE k IS NOT NULL GROUP BY k)
+        SELECT c_custkey, CASE WHEN n * 100 >= total THEN least(8, (100 * n + total - 1) // total) ELSE 1 END::BIGINT AS copies
+        FROM customer LEFT JOIN k ON k = c_custkey""",
+)
+def hot_rows_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each customer goes into the join: only those that a hundredth of the orders point at more than once."""
+    t = fd.tables(spark, sf, _HOT)
+    r = F.col("o_orderkey") % 3
+    key = F.when(r == 0, F.lit(7).cast("bigint")).when(r == 1, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey"))
+    hot = pb.hot_keys(t["orders"].withColumn("o_custkey", key), "o_custkey", _HOT.lookups[0].salt)
+    spread = pb.split_lookup(t["customer"], _HOT.lookups[0], [], hot)
+    return spread.groupBy(F.col("_key").alias("c_custkey")).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query(
     "b3_projection_and_rename",
     "SELECT o_orderkey AS id, o_orderpriority AS priority, c_custkey AS who FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
