@@ -347,10 +347,13 @@ def test_errors_are_told(spark, folder):
     m = maintainer(spark, source, folder, on_error=lambda kind, view, e: told.append((kind, view)))
     with pytest.raises(BuildError):
         m.build()
-    assert told == [("build", "login_mv")] and m.store.manifest()["version"] == 0
+    assert told == [("build", "login_mv")]
+    (run,) = m.build_runs().collect()
+    assert run["status"] == "failed" and "role.1" in run["error"] and run["inserted_rows"] is None
     del source.rows["role"][9]
     m = maintainer(spark, source, folder, on_error=lambda kind, view, e: told.append((kind, view)))
     m.build()
+    assert [r["status"] for r in m.build_log().collect()] == ["started", "failed", "started", "counted", "complete"]
     bad = lambda *a: (_ for _ in ()).throw(RuntimeError("sink"))
     m.sinks = (bad,)
     source.update("login", 1, login_note="s")
@@ -365,6 +368,27 @@ def test_errors_are_told(spark, folder):
         m._batch(spark.createDataFrame([(1,)], "value int"), 99)
 
 
+def test_a_view_that_fails_leaves_the_others(spark, folder):
+    """Views are published one by one; what is left is built later, on the tables as they are then."""
+    source, specs = Source(), (LOGIN, USERS)
+    source.rows["role"][9] = (1, "admin twice")
+    m = maintainer(spark, source, folder, specs)
+    with pytest.raises(BuildError, match="login_mv"):
+        m.build()
+    check(spark, m, source, (USERS,))
+    assert [s.name for s in m.unfinished()] == ["login_mv"]
+    assert {r["view"]: r["status"] for r in m.build_runs().collect()} == {"login_mv": "failed", "user_mv": "complete"}
+    del source.rows["role"][9]
+    source.rows["role"][3] = (3, "new")
+    source.update("user", 10, name="Eve")
+    deliver(spark, source, folder)
+    m = maintainer(spark, source, folder, specs)
+    m.run_available()
+    check(spark, m, source, specs)
+    built = [r["view"] for r in m.build_log().collect() if r["status"] == "complete"]
+    assert built == ["user_mv", "login_mv"]
+
+
 def test_schema_event_stops_only_when_a_used_column_goes(spark, folder):
     source = Source()
     m = maintainer(spark, source, folder)

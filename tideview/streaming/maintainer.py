@@ -8,6 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import count
+from threading import Lock
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -53,7 +54,7 @@ def _key_index(table: str, column: str) -> str:
 class BuildError(RuntimeError):
     def __init__(self, view: str, cause: Exception):
         super().__init__(f"building {view} failed: {cause}")
-        self.view = view
+        self.view, self.__cause__ = view, cause
 
 
 class IncrementError(RuntimeError):
@@ -137,26 +138,44 @@ class Maintainer:
     # -- full builds -------------------------------------------------------------------
 
     def build_runs(self) -> DataFrame:
-        """Registered builds: one row per view of the configuration that was ever started."""
+        """Registered builds: one row per view of the configuration that was ever started, as far as it is."""
         rows = [
-            (b["view_id"], b["view"], b["status"], b["total_rows"], b["inserted_rows"], b["started_at"], b["completed_at"])
+            (b["view_id"], b["view"], b["status"], b["total_rows"], b["inserted_rows"], b["started_at"], b["completed_at"], b.get("error"))
             for b in self.store.state().get("builds", [])
         ]
         return self.spark.createDataFrame(
             rows,
             "view_id int, view string, status string, total_rows bigint, inserted_rows bigint, "
-            "started_at double, completed_at double",
+            "started_at double, completed_at double, error string",
+        )
+
+    def build_log(self) -> DataFrame:
+        """All that was ever noted of builds, in order: started, counted, complete or failed."""
+        return self.spark.createDataFrame(
+            [(b["view_id"], b["view"], b["status"], b["rows"], b["at"]) for b in self.store.state().get("build_log", [])],
+            "view_id int, view string, status string, rows bigint, at double",
         )
 
     def unfinished(self) -> list[ViewSpec]:
         done = {b["view_id"] for b in self.store.state().get("builds", []) if b["status"] == "complete"}
         return [s for s in self.specs if s.id not in done]
 
+    @staticmethod
+    def _note(c: Commit, run: dict) -> None:
+        """Set the row of a build and add what changed to the log of builds."""
+        c.state["builds"] = [*(b for b in c.state.get("builds", []) if b["view_id"] != run["view_id"]), run]
+        rows = run["inserted_rows"] if run["status"] == "complete" else run["total_rows"]
+        seen = {"view_id": run["view_id"], "view": run["view"], "status": run["status"], "rows": rows, "at": time.time()}
+        c.state["build_log"] = [*c.state.get("build_log", []), seen]
+
     def build(self) -> None:
         """Build the views that have no complete build.
 
         The feed's position is taken first, then tables are copied; changes after that position
-        are applied again later, which does no harm since applying sets rows by key.
+        are applied again later, which does no harm since applying sets rows by key. The copies are published together with
+        a started row for each view; then each view is published alone as soon as it is complete, whatever becomes of the
+        others. A view that fails keeps its row, with the error, and is built again by the next call; changes are not followed
+        before all views stand.
         """
         todo = self.unfinished()
         if not todo:
@@ -165,9 +184,12 @@ class Maintainer:
         if not c.m["tables"]:
             c.state["start"] = list(self.start_position or self.feed_end() or ()) or None
             c.state["started_views"] = [s.id for s in self.specs]
-        elif any(s.id not in c.state.get("started_views", []) for s in todo):
-            # mirrors hold only the columns of the views they were made for
-            self._add_mirror_columns(c)
+        else:
+            # mirrors hold only the columns of the views they were made for, and what made a build fail may be mended
+            tried = {b["view_id"] for b in c.state.get("builds", [])}
+            again = {t for s in todo if s.id in tried for t in s.tables}
+            again |= {t for t, cols in self.columns.items() if _MIRROR + t in c.m["tables"] and set(cols) - set(c.schema(_MIRROR + t).names)}
+            self._copy_again(c, again)
             c.state["started_views"] = [s.id for s in self.specs]
         for t, cols in self.columns.items():
             if _MIRROR + t not in c.m["tables"]:
@@ -179,48 +201,69 @@ class Maintainer:
             for col in cols:
                 if _key_index(t, col) not in c.m["tables"]:
                     c.replace_index(_key_index(t, col), mirrors[t].select(self.keys[t], col).filter(F.col(col).isNotNull()), col)
-
-        def one(spec: ViewSpec) -> dict:
-            started = time.time()
+        runs = {}
+        for spec in todo:
+            runs[spec.id] = {
+                "view_id": spec.id, "view": spec.name, "status": "started", "total_rows": None, "inserted_rows": None,
+                "started_at": time.time(), "completed_at": None,
+            }
+            self._note(c, runs[spec.id])
+        if not self.dry_run:
+            c.publish()
+        turn = Lock()
+
+        def publish(run: dict, made: dict | None = None) -> None:
+            """One commit for what is new of one view; the views' threads take turns."""
+            with turn:
+                own = c if self.dry_run else self.store.begin()
+                own.m["tables"].update(made or {})
+                self._note(own, run)
+                if not self.dry_run:
+                    own.publish()
+
+        def one(spec: ViewSpec) -> Exception | None:
+            run = runs[spec.id]
             try:
                 tables = mirrors | {spec.master: self._keyed(spec, mirrors[spec.master])}
                 lookup_guard(spec, tables)
-                total = count_source(spec, tables).first()["total_rows"]
+                run = run | {"status": "counted", "total_rows": count_source(spec, tables).first()["total_rows"]}
+                publish(run)
+                own = c if self.dry_run else self.store.begin()
                 seen = Observation()
                 rows = build_view(spec, tables, match_columns=True).observe(seen, F.count(F.lit(1)).alias("n"))
-                c.replace(_VIEW + spec.name, self._stamped(rows), VIEW_KEY)
+                own.replace(_VIEW + spec.name, self._stamped(rows), VIEW_KEY)
                 for lk in spec.lookups:
-                    pairs = c.read(_VIEW + spec.name).select(VIEW_KEY, lk.match_column)
-                    c.replace_index(_index(spec, lk), pairs.filter(F.col(lk.match_column).isNotNull()), lk.match_column)
-                return {
-                    "view_id": spec.id, "view": spec.name, "status": "complete", "total_rows": total,
-                    "inserted_rows": seen.get["n"], "started_at": started, "completed_at": time.time(),
-                }
+                    pairs = own.read(_VIEW + spec.name).select(VIEW_KEY, lk.match_column)
+                    own.replace_index(_index(spec, lk), pairs.filter(F.col(lk.match_column).isNotNull()), lk.match_column)
+                names = [_VIEW + spec.name, *(_index(spec, lk) for lk in spec.lookups)]
+                run = run | {"status": "complete", "inserted_rows": seen.get["n"], "completed_at": time.time()}
+                publish(run, {n: own.m["tables"][n] for n in names})
             except Exception as e:
+                publish(run | {"status": "failed", "error": str(e).splitlines()[0][:500] if str(e) else type(e).__name__})
                 self._tell("build", spec.name, e)
-                raise BuildError(spec.name, e) from e
+                return BuildError(spec.name, e)
 
         with ThreadPoolExecutor(self.workers) as pool:
-            runs = list(pool.map(inheritable_thread_target(self.spark)(self._pooled(one)), todo))
-        others = [b for b in c.state.get("builds", []) if b["view_id"] not in {r["view_id"] for r in runs}]
-        c.state["builds"] = [*others, *runs]
-        if not self.dry_run:
-            c.publish()
+            failed = [e for e in pool.map(inheritable_thread_target(self.spark)(self._pooled(one)), todo) if e is not None]
+        if failed:
+            raise failed[0]
 
-    def _add_mirror_columns(self, c: Commit) -> None:
-        """A view was added: copy again the tables whose mirrors lack a column.
+    def _copy_again(self, c: Commit, tables: set[str]) -> None:
+        """Copy mirrors again: a view was added that needs more columns, or a build failed.
 
         The copy keeps the stamps, so changes that were applied before do not come back, and those
         that the copy holds already are applied again, to the other views as well, when they arrive.
         """
-        for t, cols in self.columns.items():
+        for t in sorted(tables):
             name, key = _MIRROR + t, self.keys[t]
-            if name in c.m["tables"] and set(cols) - set(c.schema(name).names):
-                old = c.read(name).select(F.col(key).alias("_old_key"), _STAMP)
-                new = self.sources[t].select(*cols).filter(F.col(key).isNotNull())
-                named = [F.coalesce(key, "_old_key").alias(key) if n == key else F.col(n) for n in cols]
-                both = new.join(old, F.col(key) == F.col("_old_key"), "full_outer")
-                c.replace(name, both.select(*named, _STAMP, F.col(key).isNull().alias(_GONE)), key)
+            # a key that is not unique in the copy before would stay so
+            old = c.read(name).groupBy(F.col(key).alias("_old_key")).agg(F.max(_STAMP).alias(_STAMP))
+            new = self.sources[t].select(*self.columns[t]).filter(F.col(key).isNotNull())
+            named = [F.coalesce(key, "_old_key").alias(key) if n == key else F.col(n) for n in self.columns[t]]
+            both = new.join(old, F.col(key) == F.col("_old_key"), "full_outer")
+            c.replace(name, both.select(*named, _STAMP, F.col(key).isNull().alias(_GONE)), key)
+            for col in self.found_by[t]:
+                c.m["tables"].pop(_key_index(t, col), None)  # made anew
 
     @staticmethod
     def _rows(view: _View, table: str, keys: DataFrame | None = None, *, touched: set[int] | None = None) -> DataFrame:

@@ -214,6 +214,29 @@ def unfinished(spark: SparkSession, sf: str) -> DataFrame:
     return builds.unfinished_builds(tasks).select("id", "started_at")
 
 
+@query(
+    "i6_i7_builds_as_they_stand",
+    """SELECT 'customer_mv' AS view_name, status, CASE status WHEN 'started' THEN NULL ELSE (SELECT count(*) FROM customer) END AS n
+       FROM (VALUES ('started'), ('counted'), ('complete')) s(status)
+       UNION ALL SELECT 'many', status, NULL FROM (VALUES ('started'), ('failed')) s(status)
+       UNION ALL SELECT 'rows of customer_mv', 'readable', count(*) FROM customer""",
+)
+def builds_as_they_stand(spark: SparkSession, sf: str) -> DataFrame:
+    """Two builds at once: one view stands, the other one's lookup keys are not unique and its row says that it failed."""
+    from tideview.streaming.maintainer import BuildError, Maintainer
+
+    root = scratch(spark, "i6")
+    m = Maintainer(spark, [_MANY, fd.CUSTOMER], fd.tables(spark, sf, _MANY, fd.CUSTOMER), f"{root}/feed", f"{root}/store", start_position=(0, 0), buckets=8)
+    try:
+        m.build()
+    except BuildError as e:
+        if e.view != _MANY.name or [s.name for s in m.unfinished()] != [_MANY.name]:
+            raise
+    log = m.build_log().select(F.col("view").alias("view_name"), "status", F.col("rows").alias("n"))
+    read = m.view(fd.CUSTOMER.name).agg(F.count(F.lit(1)).alias("n"))
+    return log.unionAll(read.select(F.lit("rows of customer_mv"), F.lit("readable"), "n"))
+
+
 @query(
     "k8_source_row_count",
     "SELECT 'orders_mv' AS view_name, count(*) AS total_rows FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'",
