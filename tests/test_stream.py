@@ -462,6 +462,49 @@ def test_resume_in_another_servers_feed(spark, folder):
     check(spark, m, source)
 
 
+def test_feed_with_a_folder_per_log_file(spark, folder):
+    """The start is found in the newest log file alone, a heartbeat in the newest that holds it; the stream follows such a feed."""
+    from pyspark.sql import functions as F
+
+    from tideview.operators.heartbeats import recover_position
+    from tideview.sources.feed import write_changes
+    from tideview.sources.places import feed_files, newest_first
+
+    def filed(feed):
+        seq = 1 + F.floor(F.col("position.offset") / 20).cast("bigint")
+        name = F.concat(F.lit("log."), F.lpad(seq.cast("string"), 6, "0"))
+        return feed.withColumn("position", F.struct(name.alias("file"), seq.alias("file_seq"), F.col("position.offset").alias("offset")))
+
+    def write(n):
+        write_changes(filed(source.take(spark, n)), f"{folder}/feed", options(source.frames(spark)), by_file=True)
+
+    source = Source()
+    for i in range(12):
+        source.update("login", 1, login_note=f"n{i}")
+    write(12)
+    lines = spark.read.text(f"{folder}/feed")
+    assert feed_files(lines) == [7, 6, 5, 4, 3, 2, 1]
+    seen = []
+
+    def note(changes):
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        seen.append("PartitionFilters: [isnotnull(file_seq" in plan and sorted(r[0] for r in changes.select("position.file_seq").distinct().collect()))
+        return changes.filter("position.file_seq = 3").first()
+
+    found, read = newest_first(spark, f"{folder}/feed", note)
+    assert found["position"]["file_seq"] == 3 and read == 7 and seen == [[7], [5, 6], [1, 2, 3, 4]]
+    assert newest_first(spark, f"{folder}/feed", lambda c: recover_position(c, 5).first()) == (None, 7)
+
+    m = maintainer(spark, source, folder, start_position=None)
+    m.build()
+    assert m.store.state()["start"] == [7, 120]
+    source.update("login", 1, login_note="after")
+    source.insert("login", 9, 11, 2, "2022-01-01 00:00:00", "new")
+    write(2)
+    m.run_available()
+    check(spark, m, source)
+
+
 def test_second_writer_is_refused(spark, folder):
     store = Store(spark, f"{folder}/s", buckets=2)
     a, b = store.begin(), store.begin()

@@ -323,8 +323,15 @@ def _entries(m: Column, render, nulls: bool, rename) -> Column:
     return F.array_join(pairs, ",")
 
 
-def write_changes(df: DataFrame, path: str, options: OutputOptions | None = None, mode: str = "append") -> None:
-    to_change_json(df, options).write.mode(mode).text(path)
+def write_changes(
+    df: DataFrame, path: str, options: OutputOptions | None = None, mode: str = "append", *, by_file: bool = False
+) -> None:
+    """Write changes as JSON lines; ``by_file`` makes a folder for each log file, in which places are found fast."""
+    if not by_file:
+        to_change_json(df, options).write.mode(mode).text(path)
+        return
+    lines = to_change_json(df.withColumn("file_seq", F.col("position.file_seq")), options, carry=("file_seq",))
+    lines.write.mode(mode).partitionBy("file_seq").text(path)
 
 
 def parse_schema_events(lines: DataFrame) -> DataFrame:

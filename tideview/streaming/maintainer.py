@@ -25,7 +25,8 @@ from tideview.plans.build import UPDATED_TIME, build_view, count_source
 from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, other_keys, source_columns
 from tideview.plans.spec import row_keys as known_by
 from tideview.sources.change import CHANGE, after_position
-from tideview.sources.feed import parse_changes, parse_lines, parse_schema_events, split_parsed
+from tideview.sources.feed import parse_lines, parse_schema_events, split_parsed
+from tideview.sources.places import newest_first
 from tideview.sources.tables import read_table
 from tideview.streaming.store import Commit, Store, _View
 
@@ -300,18 +301,18 @@ class Maintainer:
         """Newest committed position now in the feed folder; None for an empty or unseen feed."""
         if not isinstance(self.feed, str):
             return None
-        lines = self.spark.read.text(self.feed)
-        changes, _ = parse_changes(lines, key=self.secret_key)
-        row = committed_position(changes).orderBy(F.desc("file_seq"), F.desc("offset")).first()
-        return (row["file_seq"], row["offset"]) if row and row["file_seq"] is not None else None
+        newest = lambda changes: committed_position(changes).filter("file_seq IS NOT NULL").orderBy(F.desc("file_seq"), F.desc("offset")).first()
+        row, _ = newest_first(self.spark, self.feed, newest, key=self.secret_key)
+        return (row["file_seq"], row["offset"]) if row else None
 
     def recover(self, heartbeat: int | None = None) -> tuple[int, int]:
         """After a fail-over to another server: resume where its feed, now in the feed folder,
         holds the last heartbeat that was read."""
         c = self.store.begin()
         want = heartbeat if heartbeat is not None else c.state.get("heartbeat")
-        changes, _ = parse_changes(self.spark.read.text(self.feed), key=self.secret_key)
-        found = recover_position(changes, want).first() if want is not None else None
+        found = None
+        if want is not None:
+            found, _ = newest_first(self.spark, self.feed, lambda changes: recover_position(changes, want).first(), key=self.secret_key)
         if found is None:
             raise RecoveryError(f"the feed does not hold heartbeat {want}")
         c.state["start"], c.state["positions"] = [found["file_seq"], found["offset"]], {}
