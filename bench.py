@@ -18,6 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: How many times the orders of the larger of the two sizes at which feeds are applied.
+GROWN = 20
 
 HEADLINE = (
     "a1_snapshot_scan",
@@ -91,26 +93,39 @@ def maintenance(spark: SparkSession) -> dict:
 
     root = scratch(spark, "bench")
     t = fd.tables(spark, SF, fd.ORDERS)
-    rows = t["orders"].count()
-    build_view(fd.ORDERS, t, match_columns=True).write.parquet(f"{root}/view")
-    view = spark.read.parquet(f"{root}/view")
-    out = {"master_rows": rows}
-    rebuild = timed(lambda: drain(build_view(fd.ORDERS, t)))
-    out["build_rows_per_second"] = round(rows / rebuild)
-    for percent in (1, 10, 50):
-        after = t["orders"].withColumn(
-            "o_totalprice", F.when(F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < percent, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-        )
-        made = diff_snapshots(t["orders"], after, "o_orderkey", database="shop", table="orders")
-        key = F.col("data")["o_orderkey"].cast("bigint")
-        made = made.withColumn("position", position_struct(F.lit(fd.FILE), key * 10)).withColumn("ts", F.lit(1).cast("bigint"))
-        made.write.parquet(f"{root}/feed{percent}")
-        feed = spark.read.parquet(f"{root}/feed{percent}")
-        n = feed.count()
-        seconds = timed(lambda: drain(mt.apply_changes(fd.ORDERS, view, t, feed, cut=shared_cut(spark, "b"))[0]))  # noqa: B023
-        out[f"apply_{percent}_percent_seconds"] = seconds
-        out[f"apply_{percent}_percent_changes_per_second"] = round(n / seconds)
-        out[f"apply_{percent}_percent_over_rebuild"] = round(seconds / rebuild, 2)
+    out: dict = {"cores": CPUS}
+    for times in (1, GROWN):
+        big = dict(t)
+        if times > 1:
+            # the same orders under many keys
+            copies = t["orders"].withColumn("o_orderkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: F.col("o_orderkey") + i.cast("bigint") * 100_000_000)))
+            copies.write.parquet(f"{root}/orders{times}")
+            big["orders"] = spark.read.parquet(f"{root}/orders{times}")
+        name = "" if times == 1 else f"x{times}_"
+        build_view(fd.ORDERS, big, match_columns=True).write.parquet(f"{root}/{name}view")
+        view = spark.read.parquet(f"{root}/{name}view")
+        rows = big["orders"].count()
+        rebuild = timed(lambda: drain(build_view(fd.ORDERS, big)))  # noqa: B023
+        out |= {f"{name}master_rows": rows, f"{name}build_rows_per_second": round(rows / rebuild), f"{name}rebuild_seconds": rebuild}
+        for percent in (1, 10, 50):
+            orders = big["orders"]
+            after = orders.withColumn(
+                "o_totalprice", F.when(F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < percent, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+            )
+            made = diff_snapshots(orders, after, "o_orderkey", database="shop", table="orders")
+            key = F.col("data")["o_orderkey"].cast("bigint")
+            made = made.withColumn("position", position_struct(F.lit(fd.FILE), key * 10)).withColumn("ts", F.lit(1).cast("bigint"))
+            made.write.parquet(f"{root}/{name}feed{percent}")
+            feed = spark.read.parquet(f"{root}/{name}feed{percent}")
+            n = feed.count()
+            seconds = timed(lambda: drain(mt.apply_changes(fd.ORDERS, view, big, feed, cut=shared_cut(spark, "b"))[0]))  # noqa: B023
+            out[f"{name}apply_{percent}_percent_seconds"] = seconds
+            out[f"{name}apply_{percent}_percent_changes_per_second"] = round(n / seconds)
+            out[f"{name}apply_{percent}_percent_over_rebuild"] = round(seconds / rebuild, 2)
+            # what a sink by key has to write, without reading the rest of the view
+            delta = timed(lambda: drain(mt.view_delta(fd.ORDERS, view, big, feed, cut=shared_cut(spark, "b"))[0]))  # noqa: B023
+            out[f"{name}delta_{percent}_percent_seconds"] = delta
+            out[f"{name}delta_{percent}_percent_over_rebuild"] = round(delta / rebuild, 2)
     lines = to_change_json(spark.read.parquet(f"{root}/feed1"), OutputOptions(position=True, server_id=True, tables={"orders": t["orders"].schema}))
     lines.write.text(f"{root}/lines")
     spark.createDataFrame([], "value string").write.text(f"{root}/none")

@@ -126,6 +126,38 @@ def test_partial_images(spark):
     run(spark, PARTIAL, full_images=False, edit=_slim)
 
 
+@pytest.mark.parametrize("above", [None, 0.0, 1.0])
+def test_either_plan_gives_the_same_rows(spark, above):
+    """Narrowed scans, or a rebuild where more than a share of the master is affected."""
+    for scenario in (
+        lambda s: s.update("login", 1, login_note="x"),
+        lambda s: (s.update("user", 10, name="Eve"), s.delete("role", 1)),
+        lambda s: (s.update("login", 2, user_id=11), s.insert("user", 99, "Late", None), s.delete("login", 4)),
+    ):
+        source = Source()
+        tables = source.frames(spark)
+        view = pb.build_view(LOGIN, tables, match_columns=True)
+        scenario(source)
+        after, _ = mt.apply_changes(LOGIN, view, tables, source.take(spark), cut=shared_cut(spark, "t"), rebuild_above=above)
+        check(spark, source, after)
+
+
+def test_delta_reads_neither_master_nor_view_for_master_changes(spark, folder):
+    source = Source()
+    tables = {}
+    for t, df in source.frames(spark).items():
+        df.write.parquet(f"{folder}/{t}")
+        tables[t] = spark.read.parquet(f"{folder}/{t}")
+    pb.build_view(LOGIN, tables, match_columns=True).write.parquet(f"{folder}/view")
+    view = spark.read.parquet(f"{folder}/view")
+    source.update("login", 1, login_note="x", role_id=2)
+    rows, ids, _ = mt.view_delta(LOGIN, view, tables, source.take(spark), cut=shared_cut(spark, "t"))
+    assert [r["id"] for r in ids.collect()] == [1]
+    assert rows_by_id(mt.visible(rows)) == {1: rows_by_id(pb.build_view(LOGIN, source.frames(spark)))[1]}
+    read = {f.rsplit("/", 2)[-2] for f in rows.inputFiles() if folder in f}
+    assert read == {"user", "role"}
+
+
 def random_changes(rng, source, n):
     for _ in range(n):
         t = rng.choice(["login", "login", "login", "user", "role"])

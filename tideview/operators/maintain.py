@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -100,6 +101,38 @@ def affected_ids(
     return ids
 
 
+def master_rows_to_build(spec: ViewSpec, tables: dict[str, DataFrame], net: dict[str, DataFrame], on_lookups: DataFrame | None) -> DataFrame:
+    """The master rows, after the changes, whose view rows are affected.
+
+    Changed rows come from their net changes, so the table itself is read only for the unchanged rows that changed lookup keys
+    concern, ``on_lookups`` (one column), if there are any.
+    """
+    table, changed = tables[spec.master], net[spec.master]
+    rows = changed.filter(~F.col("_deleted")).select(*table.columns)
+    if on_lookups is None:
+        return rows
+    lo, hi = on_lookups.agg(F.min(VIEW_KEY), F.max(VIEW_KEY)).first()
+    # the range reaches the scan, which skips files and row groups without such keys
+    near = table.filter(F.col(spec.pk).between(F.lit(lo), F.lit(hi)))
+    wanted = on_lookups.select(F.col(on_lookups.columns[0]).alias("_wanted")).distinct()
+    others = near.join(wanted, F.col(spec.pk) == F.col("_wanted"), "left_semi")
+    others = others.join(changed.select(F.col("_key").alias("_changed")), F.col(spec.pk) == F.col("_changed"), "left_anti")
+    return rows.unionAll(others.select(*table.columns))
+
+
+def narrowed_lookups(spec: ViewSpec, after: dict[str, DataFrame], master: DataFrame) -> tuple[dict[str, DataFrame], int]:
+    """The lookups' rows that ``master``, stored rows, points at, and how many rows that are. One aggregation sums up the keys: their range
+    reaches the scans, and the keys themselves, folded, a semi join whose size is known when it runs."""
+    ends = [f(lk.master_column).alias(f"{n}_{lk.table}") for lk in spec.lookups for n, f in (("lo", F.min), ("hi", F.max))]
+    seen = master.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+    out = {}
+    for lk in spec.lookups:
+        keys = master.select(F.col(lk.master_column).alias("_wanted")).distinct()
+        near = after[lk.table].filter(F.col(lk.key).between(F.lit(seen[f"lo_{lk.table}"]), F.lit(seen[f"hi_{lk.table}"])))
+        out[lk.table] = near.join(keys, F.col(lk.key) == F.col("_wanted"), "left_semi")
+    return out, seen["n"]
+
+
 def apply_changes(
     spec: ViewSpec,
     view: DataFrame,
@@ -108,6 +141,7 @@ def apply_changes(
     *,
     full_images: bool = True,
     cut: Callable[[DataFrame], DataFrame] | None = None,
+    rebuild_above: float | None = None,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Bring a view and its source tables up to date: (view after, tables after).
 
@@ -116,7 +150,33 @@ def apply_changes(
 
     The net changes and the affected ids are each used several times. ``cut`` stores such a
     frame and returns it as a source, for example ``lambda df: df.checkpoint()``; without it
-    they are computed again at each use, which suits small batches only.
+    they are computed again at each use, which suits small batches only. With it the scans are narrowed as well: the
+    master is read only for rows that lookups concern, lookups only for keys that are needed.
+    Where more than ``rebuild_above`` of the master's rows are affected, the view is built anew on the tables after
+    the changes instead, which gives the same rows.
+    """
+    rows, ids, after = view_delta(spec, view, tables, changes, full_images=full_images, cut=cut, rebuild_above=rebuild_above)
+    if ids is None:
+        return rows, after
+    touched = ids.select(F.col(VIEW_KEY).alias("_touched"))
+    kept = view.join(touched, F.col(VIEW_KEY) == F.col("_touched"), "left_anti")
+    return kept.select(*rows.columns).unionAll(rows), after
+
+
+def view_delta(
+    spec: ViewSpec,
+    view: DataFrame,
+    tables: dict[str, DataFrame],
+    changes: DataFrame,
+    *,
+    full_images: bool = True,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
+    rebuild_above: float | None = None,
+) -> tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]:
+    """What a batch makes of a view, for a sink by key: (rows to write, ids to delete before, tables after).
+
+    With ``cut`` the view is read only for its match columns, and only if lookups changed, so the cost is that of the
+    batch. Ids are None when all rows are to be replaced. The arguments are those of ``apply_changes``.
     """
     changes = relevant_changes(changes, [spec], tables)
     net = net_by_table(spec, tables, changes, full_images=full_images, cut=cut)
@@ -127,12 +187,22 @@ def apply_changes(
     after = dict(tables)
     for t in spec.tables:
         after[t] = update_table(tables[t], net[t], spec.row_key(t))
-    ids = affected_ids(spec, view, changes, tables, net=net)
-    ids = cut(ids) if cut is not None else ids
-    rows = build_view(spec, after, keys=ids, match_columns=True)
-    touched = ids.select(F.col(VIEW_KEY).alias("_touched"))
-    kept = view.join(touched, F.col(VIEW_KEY) == F.col("_touched"), "left_anti")
-    return kept.select(*rows.columns).unionAll(rows), after
+    if cut is None:
+        ids = affected_ids(spec, view, changes, tables, net=net)
+        return build_view(spec, after, keys=ids, match_columns=True), ids, after
+    parts = []
+    for lk in spec.lookups:
+        if not net[lk.table].isEmpty():
+            parts.append(view_rows_on_keys(view, spec, lk.table, changed_lookup_keys(spec, lk.table, tables, net[lk.table])))
+    hit = cut(reduce(DataFrame.unionAll, parts)) if parts else None
+    hit = None if hit is None or hit.isEmpty() else hit
+    master = cut(master_rows_to_build(spec, tables, net, hit))
+    lookups, n = narrowed_lookups(spec, after, master)
+    if rebuild_above is not None and n > rebuild_above * tables[spec.master].count():
+        return build_view(spec, after, match_columns=True), None, after
+    ids = net[spec.master].select(F.col("_key").alias(VIEW_KEY))
+    ids = ids if hit is None else ids.unionAll(hit)
+    return build_view(spec, {spec.master: master, **lookups}, match_columns=True), ids, after
 
 
 def visible(view: DataFrame) -> DataFrame:
