@@ -184,16 +184,23 @@ def test_no_key_absent_columns_and_late_partial_images(spark, folder):
         m.apply_batch(spark.createDataFrame([(line,)], "value string"), i)
     assert [r["reason"] for r in m.rejects().collect()] == ["no usable key"] * 3
     check(spark, m, source)
+    told = []
+    m.on_error = lambda kind, view, e: told.append((kind, e.count, [r["reason"] for r in e.rows.collect()]))
+    odd = {"id": "8", "user_id": "1.7", "role_id": "1.0", "login_time": "soon", "login_note": "x"}
+    m.apply_batch(spark.createDataFrame([(json.dumps(row | {"position": "log.000001:5", "data": odd}),)], "value string"), 3)
+    assert told == [("value", 1, ["does not fit: login.login_time timestamp_ntz: soon; login.user_id bigint: 1.7"])]
+    assert [r["reason"] for r in m.rejects().collect()].count(told[0][2][0]) == 1
+    m.on_error = None
     part = json.dumps(row | {"type": "update", "position": "log.000001:9", "data": {"id": 1, "login_note": "x"}, "old": {"login_note": "a"}})
     part = spark.createDataFrame([(part,)], "value string")
     with pytest.raises(ValueError, match="lack columns"):
-        m.apply_batch(part, 3)
+        m.apply_batch(part, 4)
     partial = maintainer(spark, source, folder, full_images=False)
-    partial.apply_batch(part, 3)
+    partial.apply_batch(part, 4)
     got = rows_by_id(partial.view("login_mv"))[1]
     assert got["note"] == "x" and got["role_name"] == "admin"
     with pytest.raises(ValueError, match="log order"):
-        partial.apply_batch(part.withColumn("value", F.replace("value", F.lit(":9"), F.lit(":8"))), 4)
+        partial.apply_batch(part.withColumn("value", F.replace("value", F.lit(":9"), F.lit(":8"))), 5)
 
 
 def test_partial_images_that_move_rows(spark, folder):

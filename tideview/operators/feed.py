@@ -93,14 +93,14 @@ def assemble_transactions(df: DataFrame, slot: int = SLOT) -> DataFrame:
     return numbered.select(*df.columns).unionAll(df.filter(F.col("xid").isNull()))
 
 
-def committed_only(df: DataFrame, *, late: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split into (ready, pending): pending rows belong to transactions with no commit row yet.
+def mark_pending(df: DataFrame, *, late: str | None = None) -> DataFrame:
+    """``df`` with ``_pending``: whether the row's transaction has no commit row yet.
 
     ``late`` names a column that marks rows the feed had already passed: their commit row lies
     behind them in the log and may have come with an earlier batch, so they close their transaction too.
 
-    Open transactions are few, so the set to test against is small; adaptive execution sees
-    its real size and chooses the join.
+    One aggregation and one join: open transactions are few, and adaptive execution sees
+    their real size and chooses the join.
     """
     server = F.coalesce("server_id", F.lit(0).cast("bigint"))
     done = F.coalesce("commit", F.lit(False))
@@ -112,7 +112,16 @@ def committed_only(df: DataFrame, *, late: str | None = None) -> tuple[DataFrame
         .filter(~F.col("_done"))
     )
     same = (server == F.col("_s")) & (F.col("xid") == F.col("_x"))
-    return df.join(open_tx, same, "left_anti"), df.join(open_tx, same, "left_semi")
+    return df.join(open_tx, same, "left").withColumn("_pending", F.col("_x").isNotNull()).drop("_s", "_x", "_done")
+
+
+def committed_only(df: DataFrame, *, late: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split into (ready, pending): pending rows belong to transactions with no commit row yet.
+
+    Both are filters on ``mark_pending``; where both are needed, store that once and filter it.
+    """
+    marked = mark_pending(df, late=late)
+    return marked.filter(~F.col("_pending")).drop("_pending"), marked.filter("_pending").drop("_pending")
 
 
 def attach_statement(df: DataFrame, slot: int = SLOT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,79 +90,98 @@ def schema_rows_jdbc(spark: SparkSession, jdbc: dict, database: str) -> DataFram
 # -- differences ---------------------------------------------------------------------------
 
 
-def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+def schema_diff(
+    a: DataFrame,
+    b: DataFrame,
+    *,
+    databases: tuple[DataFrame, DataFrame] | None = None,
+    tables: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Differences of two snapshots: (database, table, column, difference, a_value, b_value).
 
     A table found on one side only is one row; otherwise each column gives a row per
-    property that differs. Column names are compared without case, as the source does.
-    """
-    ta, tb = _tables(a, "a"), _tables(b, "b")
-    both = ta.join(tb, (F.col("a_db") == F.col("b_db")) & (F.col("a_tbl") == F.col("b_tbl")), "full_outer")
-    lone = F.when(F.col("b_tbl").isNull(), "missing table in b").when(F.col("a_tbl").isNull(), "missing table in a")
-    none = F.lit(None).cast("string")
-    names = [F.coalesce("a_db", "b_db").alias("database"), F.coalesce("a_tbl", "b_tbl").alias("table")]
-    lone_tables = both.filter(lone.isNotNull()).select(
-        *names, none.alias("column"), lone.alias("difference"), none.alias("a_value"), none.alias("b_value")
-    )
-    keys = both.filter(lone.isNull() & ~F.col("a_pk").eqNullSafe(F.col("b_pk"))).select(
-        *names, none.alias("column"), F.lit("primary key").alias("difference"),
-        F.col("a_pk").alias("a_value"), F.col("b_pk").alias("b_value"),
-    )
+    property that differs. Column names are compared without case, as the source does. ``databases`` are both sides'
+    (database, charset): a database found on one side only is one row, without its tables. ``tables`` are both sides'
+    (database, table, charset), for tables without columns and the charsets of tables.
 
-    def side(df: DataFrame, p: str, other: DataFrame) -> DataFrame:
-        # only tables that both sides have are compared column by column
-        shared = other.select(F.col("database").alias("_d"), F.col("table").alias("_t"))
-        df = df.join(shared, (F.col("database") == F.col("_d")) & (F.col("table") == F.col("_t")), "left_semi")
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in SCHEMA_COLUMNS.names])
-
-    ca, cb = side(a, "a", b), side(b, "b", a)
-    on = (
-        (F.col("a_database") == F.col("b_database"))
-        & (F.col("a_table") == F.col("b_table"))
-        & (F.lower("a_name") == F.lower("b_name"))
+    The sides are one set of tagged rows, brought together once by table; a table's columns are compared as arrays.
+    """
+    column = T.StructType([f for f in SCHEMA_COLUMNS.fields if f.name not in ("database", "table")])
+    parts = []
+    for side, columns, listed in (("a", a, tables and tables[0]), ("b", b, tables and tables[1])):
+        tag, none = F.lit(side).alias("side"), F.lit(None).cast("string").alias("charset")
+        parts.append(columns.select("database", "table", tag, none, F.struct(*column.names).cast(column).alias("col")))
+        if listed is not None:
+            parts.append(listed.select("database", "table", tag, F.col("charset"), F.lit(None).cast(column).alias("col")))
+    on = lambda side: F.col("side") == side
+    held = reduce(DataFrame.unionAll, parts).groupBy("database", "table").agg(
+        *[F.collect_list(F.when(on(x), F.col("col"))).alias(f"{x}_cols") for x in "ab"],
+        *[F.coalesce(F.max(on(x)), F.lit(False)).alias(f"in_{x}") for x in "ab"],
+        *[F.max(F.when(on(x), F.col("charset"))).alias(f"{x}_charset") for x in "ab"],
     )
-    joined = ca.join(cb, on, "full_outer")
-    missing = F.when(F.col("b_name").isNull(), "missing column in b").when(F.col("a_name").isNull(), "missing column in a")
-    same_type = F.col("a_type") == F.col("b_type")
-
-    def entry(cond: Column, what: str, prop: str) -> Column:
-        show = (lambda c: F.array_join(c, ",")) if prop == "labels" else (lambda c: c.cast("string"))
-        return F.when(
-            cond,
-            F.struct(
-                F.lit(what).alias("difference"),
-                show(F.col(f"a_{prop}")).alias("a_value"),
-                show(F.col(f"b_{prop}")).alias("b_value"),
-            ),
+    out = []
+    if databases is not None:
+        both = [df.select("database", F.lit(x).alias("side"), "charset") for x, df in zip("ab", databases)]
+        known = both[0].unionAll(both[1]).groupBy("database").agg(
+            *[F.max(on(x)).alias(f"in_{x}") for x in "ab"], *[F.max(F.when(on(x), F.col("charset"))).alias(f"{x}_charset") for x in "ab"]
         )
-
-    def differs(prop: str) -> Column:
-        return missing.isNull() & same_type & ~F.col(f"a_{prop}").eqNullSafe(F.col(f"b_{prop}"))
-
-    found = F.array(
-        F.when(
-            missing.isNotNull(), F.struct(missing.alias("difference"), none.alias("a_value"), none.alias("b_value"))
+        # small next to the columns: one row for each database
+        lone = known.filter(~F.col("in_a") | ~F.col("in_b")).select(F.col("database").alias("_lone"))
+        held = held.join(lone, F.col("database") == F.col("_lone"), "left_anti")
+        found = F.array(_missing("database"), _differs("database charset", F.col("a_charset"), F.col("b_charset"), F.col("in_a") & F.col("in_b")))
+        out.append(known.select("database", F.lit(None).cast("string").alias("table"), F.inline(F.filter(found, lambda x: x.isNotNull()))))
+    found = F.concat(
+        F.array(
+            _missing("table"),
+            _differs("primary key", _pk("a_cols"), _pk("b_cols"), F.col("in_a") & F.col("in_b")),
+            _differs("table charset", F.col("a_charset"), F.col("b_charset"), F.col("in_a") & F.col("in_b")),
         ),
-        entry(missing.isNull() & ~same_type, "type", "type"),
-        entry(differs("position"), "position", "position"),
-        entry(differs("labels"), "labels", "labels"),
-        entry(differs("charset"), "charset", "charset"),
-        entry(differs("signed"), "signed", "signed"),
-    )
-    columns = joined.select(
-        F.coalesce("a_database", "b_database").alias("database"),
-        F.coalesce("a_table", "b_table").alias("table"),
-        F.coalesce("a_name", "b_name").alias("column"),
-        F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d"),
-    ).select("database", "table", "column", "d.difference", "d.a_value", "d.b_value")
-    return lone_tables.unionAll(keys).unionAll(columns)
-
-
-def _tables(rows: DataFrame, p: str) -> DataFrame:
-    pk = F.array_sort(F.collect_list(F.when(F.col("pk_position").isNotNull(), F.struct("pk_position", "name"))))
-    return rows.groupBy(F.col("database").alias(f"{p}_db"), F.col("table").alias(f"{p}_tbl")).agg(
-        F.array_join(F.transform(pk, lambda x: x["name"]), ",").alias(f"{p}_pk")
+        F.when(F.col("in_a") & F.col("in_b"), _column_differences()).otherwise(F.array().cast(_DIFFERENCES)),
     )
+    out.append(held.select("database", "table", F.inline(F.filter(found, lambda x: x.isNotNull()))))
+    return reduce(DataFrame.unionAll, out)
+
+
+_DIFFERENCE = "struct<column:string,difference:string,a_value:string,b_value:string>"
+_DIFFERENCES = f"array<{_DIFFERENCE}>"
+
+
+def _difference(cond: Column, what: Column, column: Column | None = None, a: Column | None = None, b: Column | None = None) -> Column:
+    none = F.lit(None)
+    values = [x if x is not None else none for x in (column, what, a, b)]
+    return F.when(cond, F.struct(*[v.cast("string").alias(n) for v, n in zip(values, ("column", "difference", "a_value", "b_value"))]))
+
+
+def _missing(what: str) -> Column:
+    side = F.when(~F.col("in_b"), F.lit(f"missing {what} in b")).when(~F.col("in_a"), F.lit(f"missing {what} in a"))
+    return _difference(side.isNotNull(), side)
+
+
+def _differs(what: str, a: Column, b: Column, cond: Column, column: Column | None = None) -> Column:
+    return _difference(cond & ~a.eqNullSafe(b), F.lit(what), column, a, b)
+
+
+def _pk(columns: str) -> Column:
+    keys = F.array_sort(F.transform(F.filter(columns, lambda c: c["pk_position"].isNotNull()), lambda c: F.struct(c["pk_position"], c["name"])))
+    return F.array_join(F.transform(keys, lambda k: k["name"]), ",")
+
+
+def _column_differences() -> Column:
+    by_name = [F.map_from_entries(F.transform(f"{x}_cols", lambda c: F.struct(F.lower(c["name"]), c))) for x in "ab"]
+    names = F.array_union(F.map_keys(by_name[0]), F.map_keys(by_name[1]))
+
+    def compared(n: Column) -> Column:
+        x, y = F.try_element_at(by_name[0], n), F.try_element_at(by_name[1], n)
+        name = F.coalesce(x["name"], y["name"])
+        missing = F.when(y["name"].isNull(), F.lit("missing column in b")).when(x["name"].isNull(), F.lit("missing column in a"))
+        same_type = missing.isNull() & (x["type"] == y["type"])
+        shown = lambda p: (F.array_join(x[p], ","), F.array_join(y[p], ",")) if p == "labels" else (x[p].cast("string"), y[p].cast("string"))
+        each = [_difference(same_type & ~x[p].eqNullSafe(y[p]), F.lit(p), name, *shown(p)) for p in ("position", "labels", "charset", "signed")]
+        return F.array(
+            _difference(missing.isNotNull(), missing, name), _difference(missing.isNull() & ~same_type, F.lit("type"), name, *shown("type")), *each
+        )
+
+    return F.flatten(F.transform(names, compared))
 
 
 # -- applying column deltas ----------------------------------------------------------------

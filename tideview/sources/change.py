@@ -133,10 +133,12 @@ def typed_sql(text: str, dtype: T.DataType) -> str:
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return f"from_json({text}, '{kind}')"
     if isinstance(dtype, T.IntegralType):
-        # booleans arrive as words, whole numbers may arrive as 1.0 or 1E3
+        # booleans arrive as words, whole numbers may arrive as 1.0 or 1E3; 1.7 or yes do not fit
+        whole = f"try_cast({text} AS decimal(38,0))"
+        is_whole = f"try_cast({text} AS decimal(38,18)) = cast({whole} AS decimal(38,18))"
         return (
-            f"coalesce(try_cast({text} AS {kind}), try_cast(try_cast({text} AS decimal(38,0)) AS {kind}), "
-            f"cast(try_cast({text} AS boolean) AS {kind}))"
+            f"coalesce(try_cast({text} AS {kind}), CASE WHEN {is_whole} THEN try_cast({whole} AS {kind}) END, "
+            f"CASE lower({text}) WHEN 'true' THEN cast(1 AS {kind}) WHEN 'false' THEN cast(0 AS {kind}) END)"
         )
     return f"try_cast({text} AS {kind})"
 
@@ -185,3 +187,24 @@ def typed_image(change: str, schema: T.StructType, image: str = "data") -> list[
             text = f"CASE WHEN {had} THEN {entry_sql(f'{change}.old', f.name)} ELSE {text} END"
         out.append(F.expr(f"{typed_sql(text, f.dataType)} AS {quoted(f.name)}"))
     return out
+
+
+def unfit_sql(image: str, schema: T.StructType) -> str:
+    """SQL for the values of an image that do not fit their column, as array<struct<column, type, value>>."""
+    parts = []
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            text = entry_sql(image, f.name)
+            bad = f"{text} IS NOT NULL AND {typed_sql(text, f.dataType)} IS NULL"
+            named = f"struct({literal(f.name)} AS column, {literal(f.dataType.simpleString())} AS type, {text} AS value)"
+            parts.append(f"CASE WHEN {bad} THEN {named} END")
+    if not parts:
+        return "cast(array() AS array<struct<column:string,type:string,value:string>>)"
+    return f"filter(array({', '.join(parts)}), x -> x IS NOT NULL)"
+
+
+def unfit_values(changes: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    """Row changes of a table that hold values which do not fit their column, as change columns and ``unfit``: array<struct<column,
+    type, value>>. Such values are read as NULL."""
+    rows = changes.filter((F.col("table") == table) & F.col("type").isin(*ROW_TYPES))
+    return rows.withColumn("unfit", F.expr(unfit_sql("data", schema))).filter(F.size("unfit") > 0)

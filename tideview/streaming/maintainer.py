@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.operators.feed import committed_only, lacks_columns, net_changes, without_key
+from tideview.operators.feed import lacks_columns, mark_pending, net_changes, without_key
 from tideview.operators.filters import Rule, feed_filter
 from tideview.operators.heartbeats import RecoveryError, committed_position, progress, recover_position
 from tideview.operators.hooks import drop_suppressed, with_hook
@@ -24,7 +24,7 @@ from tideview.operators.schema_history import SCHEMA_EVENT_TYPES, breaking_delta
 from tideview.plans.build import UPDATED_TIME, build_view, count_source
 from tideview.plans.spec import VIEW_KEY, LookupSpec, ViewSpec, other_keys, source_columns
 from tideview.plans.spec import row_keys as known_by
-from tideview.sources.change import CHANGE, after_position
+from tideview.sources.change import CHANGE, ROW_TYPES, after_position, unfit_sql
 from tideview.sources.feed import parse_lines, parse_schema_events, split_parsed
 from tideview.sources.places import newest_first
 from tideview.sources.tables import read_table
@@ -59,9 +59,19 @@ class BuildError(RuntimeError):
 
 
 class IncrementError(RuntimeError):
-    def __init__(self, view: str | None, batch_id: int, cause: Exception):
+    """``rows``: the lines of the batch, readable while the error is told."""
+
+    def __init__(self, view: str | None, batch_id: int, cause: Exception, rows: DataFrame | None = None):
         super().__init__(f"batch {batch_id} failed{f' on {view}' if view else ''}: {cause}")
-        self.view, self.batch_id = view, batch_id
+        self.view, self.batch_id, self.rows = view, batch_id, rows
+
+
+class UnfitValues(ValueError):
+    """Values do not fit their column and were read as NULL. ``rows``: their changes as (value, reason), as in ``rejects``."""
+
+    def __init__(self, count: int, rows: DataFrame):
+        super().__init__(f"{count} changes hold values that do not fit their column")
+        self.count, self.rows = count, rows
 
 
 class SchemaChanged(RuntimeError):
@@ -77,7 +87,8 @@ class Maintainer:
 
     ``hook`` is a DataFrame function (see ``with_hook``), ``sinks`` are called with each batch
     of row changes (at least once: again after a lost commit, and with lines that are fed again),
-    ``on_error(kind, view, error)`` hears of failures with kind ``build``, ``increment`` or ``other``.
+    ``on_error(kind, view, error)`` hears of failures with kind ``build``, ``increment`` or ``other``, and, with kind
+    ``value``, of changes whose values do not fit; increment and value errors have the ``rows``.
 
     Files may arrive in any order and more than once: each mirror row keeps the place in the log of
     the change that set it, deleted ones too, and only a newer change of its key replaces it. Places
@@ -385,8 +396,9 @@ class Maintainer:
             self.apply_batch(lines, batch_id)
         except Exception as e:
             view = getattr(e, "view", None)
-            self._tell("increment", view, e)
-            raise IncrementError(view, batch_id, e) from e
+            error = IncrementError(view, batch_id, e, lines)
+            self._tell("increment", view, error)
+            raise error from e
 
     def apply_batch(self, lines: DataFrame, batch_id: int, source: str = "feed") -> None:
         """Apply one batch of JSON lines; a batch that was applied before changes nothing."""
@@ -422,13 +434,12 @@ class Maintainer:
         if self.hook is not None:
             changes = c.scratch("changes", changes)
         changes = changes.withColumn("_late", self._late(c))
-        ready, pending = committed_only(changes, late="_late")
-        if pending.limit(1).count():
-            c.log("_pending", pending.drop("_late"), append=False)
-        else:
+        marked = mark_pending(changes, late="_late").persist(StorageLevel.MEMORY_AND_DISK)
+        ready, pending = marked.filter(~F.col("_pending")).drop("_pending"), marked.filter("_pending").drop("_pending")
+        if pending.isEmpty():
             c.m["logs"].pop("_pending", None)
-            ready = changes
-        ready.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            c.log("_pending", pending.drop("_late"), append=False)
         try:
             for p in progress(ready).collect():
                 if p["file_seq"] is not None:
@@ -451,7 +462,7 @@ class Maintainer:
                 sink(kept.drop("suppressed", "_late"), batch_id)
             c.publish()
         finally:
-            ready.unpersist()
+            marked.unpersist()
 
     def _mirrors(self, c: Commit) -> dict[str, DataFrame]:
         return {t: self.spark.createDataFrame([], self._schema(c, t)) for t in self.columns}
@@ -467,17 +478,26 @@ class Maintainer:
         return late
 
     def _checked(self, c: Commit, changes: DataFrame, rejects: list[DataFrame]) -> bool:
-        """Look at the batch once: are there late rows, rows without a key, images that lack columns?"""
-        no_key, lacking = F.lit(False), F.lit(False)
+        """Look at the batch once: are there late rows, rows without a key, images that lack columns, values that do not fit?"""
+        no_key, lacking, unfit = F.lit(False), F.lit(False), F.array().cast("array<struct<column:string,type:string,value:string>>")
         for t, cols in self.columns.items():
-            no_key = no_key | without_key(t, self.keys[t], self._schema(c, t)[self.keys[t]].dataType)
+            schema = self._schema(c, t)
+            no_key = no_key | without_key(t, self.keys[t], schema[self.keys[t]].dataType)
             lacking = lacking | lacks_columns(t, cols)
+            unfit = F.when((F.col("table") == t) & F.col("type").isin(*ROW_TYPES), F.expr(unfit_sql("data", schema))).otherwise(unfit)
+        unfits = ~no_key & (F.size(unfit) > 0)
         found = changes.agg(
-            F.count_if("_late").alias("late"), F.count_if(no_key).alias("no_key"), F.count_if(lacking & ~no_key).alias("lacking")
-        ).first()
+            F.count_if("_late").alias("late"), F.count_if(no_key).alias("no_key"), F.count_if(lacking & ~no_key).alias("lacking"),
+            F.count_if(unfits).alias("unfit"),
+        ).first()
+        text = F.to_json(F.struct(*CHANGE.names)).alias("value")
         if found["no_key"]:
-            text = F.to_json(F.struct(*CHANGE.names)).alias("value")
             rejects.append(changes.filter(no_key).select(text, F.lit(_NO_KEY).alias("reason")))
+        if found["unfit"]:
+            each = F.transform(unfit, lambda u: F.concat(F.col("table"), F.lit("."), u["column"], F.lit(" "), u["type"], F.lit(": "), u["value"]))
+            rows = changes.filter(unfits).select(text, F.concat(F.lit("does not fit: "), F.array_join(each, "; ")).alias("reason"))
+            rejects.append(rows)
+            self._tell("value", None, UnfitValues(found["unfit"], rows))
         if found["lacking"] and self.full_images and not self.absent_is_null:
             raise ValueError(
                 f"{found['lacking']} row images lack columns; set full_images=False, or absent_is_null=True "

@@ -12,7 +12,7 @@ from tideview.operators import keys as ky
 from tideview.operators.hooks import drop_suppressed, put, with_hook
 from tideview.plans.build import build_view
 from tideview.sources import feed as src
-from tideview.sources.change import after_positions, position_struct, typed_changes
+from tideview.sources.change import after_positions, as_changes, image_map, position_struct, typed_changes, unfit_values
 from workload import feeds as fd
 from workload.registry import query, scratch
 from workload.views import every_feed
@@ -403,6 +403,29 @@ def merged_images(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ODD = ("1.7", "yes", "abc", "3.0", "TRUE", "2E0", "99999999999")
+
+
+@query(
+    "a3_i15_values_that_do_not_fit",
+    """SELECT c_custkey, CASE c_custkey % 8 WHEN 3 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 2 WHEN 7 THEN c_nationkey END AS nation,
+              CASE c_custkey % 8 WHEN 0 THEN 'c_nationkey int: 1.7' WHEN 1 THEN 'c_nationkey int: yes' WHEN 2 THEN 'c_nationkey int: abc'
+                   WHEN 6 THEN 'c_nationkey int: 99999999999' END AS unfit FROM customer""",
+)
+def unfit(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd texts in an integer column: whole numbers and truth values are read, the others are NULL and reported."""
+    customer = fd.table(spark, sf, "customer")
+    key = F.col("data")["c_custkey"].cast("bigint")
+    feed = as_changes(customer.select(F.lit("customer").alias("table"), F.lit("insert").alias("type"), image_map(customer.schema).alias("data")))
+    odd = F.get(F.array(*[F.lit(x) for x in _ODD]), (key % 8).cast("int"))
+    feed = feed.withColumn("data", F.transform_values("data", lambda k, v: F.when((k == "c_nationkey") & odd.isNotNull(), odd).otherwise(v)))
+    bad = unfit_values(feed, "customer", customer.schema).select(
+        key.alias("_k"), F.array_join(F.transform("unfit", lambda u: F.concat(u["column"], F.lit(" "), u["type"], F.lit(": "), u["value"])), "; ").alias("unfit")
+    )
+    rows = typed_changes(feed, "customer", customer.schema).select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return rows.join(bad, F.col("c_custkey") == F.col("_k"), "left").drop("_k")
+
+
 # -- transactions and order ----------------------------------------------------------------
 
 
@@ -439,8 +462,7 @@ def giant_transaction(spark: SparkSession, sf: str) -> DataFrame:
 def committed(spark: SparkSession, sf: str) -> DataFrame:
     """Every seventh transaction has no commit row yet."""
     e = op.assemble_transactions(_e(spark, sf)).withColumn("commit", F.col("commit") & (F.col("xid") % 7 != 3))
-    ready, pending = op.committed_only(e)
-    return ready.select(_id(), F.lit("ready").alias("state")).unionAll(pending.select(_id(), F.lit("pending").alias("state")))
+    return op.mark_pending(e).select(_id(), F.when(F.col("_pending"), "pending").otherwise("ready").alias("state"))
 
 
 @query(

@@ -113,6 +113,32 @@ def differences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "h2_databases_and_charsets",
+    """WITH gone AS (SELECT min(p_brand) AS g FROM part)
+       SELECT p_brand AS db, CAST(NULL AS VARCHAR) AS t, 'missing database in b' AS difference, CAST(NULL AS VARCHAR) AS a_value, CAST(NULL AS VARCHAR) AS b_value
+       FROM part, gone WHERE p_brand = g GROUP BY p_brand
+       UNION ALL SELECT 'added', NULL, 'missing database in a', NULL, NULL
+       UNION ALL SELECT p_brand, NULL, 'database charset', 'utf8', 'latin1' FROM part, gone WHERE p_brand LIKE '%3' AND p_brand <> g GROUP BY p_brand
+       UNION ALL SELECT p_brand, 't' || p_partkey, 'table charset', 'utf8', 'latin1' FROM part, gone WHERE p_partkey % 5 = 0 AND p_brand <> g""",
+)
+def databases_differ(spark: SparkSession, sf: str) -> DataFrame:
+    """One database is gone with all its tables, one came, some and some of the tables changed their charset."""
+    a = _catalogue(spark, sf)
+    tables = a.groupBy("database", "table").agg(F.any_value("_k").alias("_k"))
+    names = tables.groupBy("database").agg(F.lit("utf8").alias("charset"))
+    gone = names.agg(F.min("database").alias("_gone"))
+    left = lambda df: df.join(gone, F.col("database") == F.col("_gone"), "left_anti")
+    added = spark.createDataFrame([("added", "utf8")], "database string, charset string")
+    now = left(names).withColumn("charset", F.when(F.col("database").endswith("3"), "latin1").otherwise(F.col("charset"))).unionAll(added)
+    charset = F.when(F.col("_k") % 5 == 0, "latin1").otherwise("utf8").alias("charset")
+    found = sh.schema_diff(
+        a.drop("_k"), left(a).drop("_k"), databases=(names, now),
+        tables=(tables.select("database", "table", F.lit("utf8").alias("charset")), left(tables).select("database", "table", charset)),
+    )
+    return found.select(F.col("database").alias("db"), F.col("table").alias("t"), "difference", "a_value", "b_value")
+
+
 @query(
     "h3_columns_evolved",
     """SELECT o_orderpriority AS priority, o_orderkey AS order_no, CAST(NULL AS BIGINT) AS note_no, o_orderdate,
