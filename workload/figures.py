@@ -156,22 +156,25 @@ def recovered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "i1_i11_places_found_from_the_newest_file",
-    f"""WITH e AS ({fd.FEED_E_SQL}), n AS (SELECT count(DISTINCT seq) AS files, count(DISTINCT seq) FILTER (WHERE seq >= 20) AS newer FROM e),
-             b AS (SELECT max(off) AS off FROM e WHERE seq = 20 AND off % 100 = 50), c AS (SELECT max(seq) AS seq FROM e)
-        SELECT 'heartbeat' AS what, CAST(20 AS BIGINT) AS file_seq, off AS "offset",
-               least(files, CAST(pow(2, ceil(log2(newer + 1))) - 1 AS BIGINT)) AS files_read FROM b, n
+    f"""WITH e AS ({fd.FEED_E_SQL}), b AS (SELECT seq, off, ts_ms FROM e WHERE off % 100 = 50),
+             w AS (SELECT ts_ms FROM b WHERE seq <= 20 ORDER BY seq DESC, off DESC LIMIT 1),
+             h AS (SELECT seq, min(off) AS off FROM b WHERE ts_ms = (SELECT ts_ms FROM w) GROUP BY seq ORDER BY seq DESC LIMIT 1),
+             n AS (SELECT count(DISTINCT e.seq) AS files, count(DISTINCT e.seq) FILTER (WHERE e.seq >= h.seq) AS newer FROM e, h),
+             c AS (SELECT max(seq) AS seq FROM e WHERE off % 5 = 4)
+        SELECT 'heartbeat' AS what, CAST(seq AS BIGINT) AS file_seq, off AS "offset",
+               least(files, CAST(pow(2, ceil(log2(newer + 1))) - 1 AS BIGINT)) AS files_read FROM h, n
         UNION ALL SELECT 'end', seq, (SELECT max(off) FROM e WHERE e.seq = c.seq AND off % 5 = 4), 1 FROM c""",
 )
 def places_found(spark: SparkSession, sf: str) -> DataFrame:
-    """A feed with a folder per log file: the last heartbeat of the twentieth, and the newest committed row."""
+    """A feed with a folder per log file: the last heartbeat up to the twentieth, and the newest committed row."""
     from tideview.sources.feed import OutputOptions, write_changes
     from tideview.sources.places import newest_first
 
     path = scratch(spark, "i11")
     feed = _beats(spark, sf).withColumn("commit", F.col("position.offset") % 5 == 4)
     write_changes(feed, path, OutputOptions(position=True, server_id=True), by_file=True)
-    beats = feed.filter((F.col("type") == "heartbeat") & (F.col("position.file_seq") == 20))
-    want = beats.agg(F.max_by("ts_ms", F.col("position.offset")).alias("h")).first()["h"]
+    beats = feed.filter((F.col("type") == "heartbeat") & (F.col("position.file_seq") <= 20))
+    want = beats.agg(F.max_by("ts_ms", F.struct("position.file_seq", "position.offset")).alias("h")).first()["h"]
     beat, read = newest_first(spark, path, lambda changes: hb.recover_position(changes, want).first())
     last, end_read = newest_first(spark, path, lambda changes: hb.committed_position(changes).orderBy(F.desc("file_seq"), F.desc("offset")).first())
     rows = [("heartbeat", beat["file_seq"], beat["offset"], read), ("end", last["file_seq"], last["offset"], end_read)]
