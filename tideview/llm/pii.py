@@ -7,7 +7,8 @@ chance neighbour teaches nothing. A pattern's confidence is the share of *all* i
 hold something believed. What stands in a reliable pattern is believed as far as its best pattern is; a value
 without a digit, or shorter than six characters, only as far as it stands in such places and not elsewhere, so common
 words are not. New values make new patterns, until a turn changes nothing. What is believed then gets the kind of its best pattern, and is
-added wherever it stands in a reliable one.
+added wherever it stands in a reliable one. Patterns are counted before their places are listed: those whose share
+among the texts that hold something believed is too small already are dropped by one aggregation of word pairs.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. The regular expressions
 are written with possessive repeats, which match the same and stay linear on long runs of one kind of character.
@@ -162,18 +163,56 @@ def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _where(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """The tokens at which ``values`` (value) begin, with value and width."""
+    """The tokens at which ``values`` (value, ...) begin, with their columns and the width."""
     parts = F.split("value", " ")
-    wanted = values.select("value", parts[0].alias("_first"), F.size(parts).alias("width"))
+    wanted = values.withColumns({"_first": parts[0], "width": F.size(parts)})
     place = tokens(texts).withColumn("_first", F.get("held", F.lit(0)))
     return place.join(_side(wanted), "_first").where(F.array_join(F.slice("held", F.lit(1), F.col("width")), " ") == F.col("value")).drop("_first")
 
 
 def _induced(found: DataFrame, support: int) -> DataFrame:
-    """(pattern): what stands around ``support`` different values or more."""
+    """(pattern, believed): what stands around ``support`` different values or more, and the sum of their beliefs there."""
     of_width = lambda p: F.filter(F.concat(_slots("left"), _slots("right")), lambda x: (x["width"] == F.col("width")) & (x["value"] == F.col("value")))
-    near = found.select("value", F.explode(of_width(found)["pattern"]).alias("pattern")).distinct()
-    return near.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
+    near = found.select("value", "belief", F.explode(of_width(found)["pattern"]).alias("pattern"))
+    each = near.groupBy("pattern", "value").agg(F.sum("belief").alias("believed"))
+    return each.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("believed").alias("believed")).where(F.col("n") >= support).drop("n")
+
+
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """(pair, followed, preceded): how often each two words in a row stand before a token, and after one."""
+    low = F.translate(F.lower("glued"), "123456789", "0" * 9)
+    full = F.transform("w", lambda w: F.when(_core(w) != "", 1).otherwise(0))
+    some = texts.select(F.regexp_extract_all(F.col("glued"), F.lit(WORD), F.lit(0)).alias("w"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("low"))
+    some = some.where(F.size("w") > 2).select("low", full.alias("full"))
+    none = F.lit(0)
+    row = lambda j: F.struct(
+        F.xxhash64(F.get("low", j), F.get("low", j + 1)).alias("pair"),
+        F.coalesce(F.get("full", j + 2), none).alias("followed"),
+        F.coalesce(F.get("full", j - 1), none).alias("preceded"),
+    )
+    pairs = some.select(F.inline(F.transform(F.sequence(none, F.size("low") - 2), row)))
+    return pairs.groupBy("pair").agg(F.sum("followed").alias("followed"), F.sum("preceded").alias("preceded"))
+
+
+def _hopeful(patterns: DataFrame, held: DataFrame, confidence: float) -> DataFrame:
+    """(pattern): those of ``patterns`` that can still be reliable.
+
+    ``held`` are the texts that hold something believed. A pattern's places there are a part of all its places and have all
+    its believed ones, so their share bounds its confidence from above. One aggregation of word pairs counts
+    them before any place is listed, and no pattern is lost by it.
+    """
+    words = F.split(F.expr("substring(pattern, 3)"), " ")
+    sides = patterns.where("pattern NOT LIKE 'B %'").withColumn("pair", F.xxhash64(words[0], words[1]))
+    counted = sides.join(_neighbours(held), "pair", "left")
+    places = F.coalesce(F.when(F.col("pattern").startswith("L "), F.col("followed")).otherwise(F.col("preceded")), F.lit(0))
+    open_ones = counted.where(F.col("believed") >= confidence * (places + 1) - 1e-6).select("pattern")
+    return open_ones.unionByName(patterns.where("pattern LIKE 'B %'").select("pattern"))
+
+
+def _holding(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts in which something was found."""
+    where = keep(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct(), "holding")
+    return texts.join(_side(where), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_of")), "left_semi")
 
 
 def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
@@ -185,7 +224,11 @@ def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confiden
     believed, mark = seeds.select("value", "kind", F.lit(1.0).alias("belief")), None
     places = texts.where("seeded")  # the seeds are nowhere else
     while True:
-        patterns = keep(_induced(_where(places, believed.select("value")), support), "patterns")
+        found = keep(_where(places, believed.select("value", "belief")).drop("i"), "found")
+        induced = keep(_induced(found, support), "induced")
+        if induced.isEmpty():
+            return None
+        patterns = keep(_hopeful(induced, places if mark is None else _holding(texts, found), confidence), "patterns")
         if patterns.isEmpty():
             return None
         graph = keep(_places(texts, patterns).groupBy("pattern", "value").agg(F.count("*").alias("times"), F.max("width").alias("width")), "graph")
