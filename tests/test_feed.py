@@ -203,3 +203,22 @@ def test_sinks(spark, folder):
     o = jdbc_options({"url": "jdbc:x", "query": "SELECT 1", "partition_column": "id", "lower": 0, "upper": 9, "partitions": 3})
     assert o["dbtable"] == "(SELECT 1) AS q" and o["numPartitions"] == "3"
     assert CHANGE.names[0] == "database"
+
+
+def test_images_conform_to_what_their_table_was(spark):
+    """By position: definitions of the row's own table count, from their statement on, until the table is gone."""
+    from pyspark.sql import functions as F
+
+    from tideview.operators.schema_history import conform_as_of
+    from tideview.sources.change import as_changes
+
+    place = "struct(concat('log.', file) AS file, cast(file AS bigint) AS file_seq, cast(at AS bigint) AS offset) AS position"
+    rows = [("t", 1, 5), ("t", 1, 10), ("u", 1, 11), ("t", 3, 1), ("t", 3, 9), (None, 3, 9)]
+    feed = spark.createDataFrame(rows, "`table` string, file int, at int").selectExpr("'d' AS database", "`table`", place, "1L AS server_id", "map('a', '1', 'b', '2') AS data", "map('b', '0') AS old")
+    history = spark.createDataFrame([("t", 1, 10, ["a"]), ("u", 1, 2, ["b"]), ("t", 3, 5, None)], "`table` string, file int, at int, names array<string>")
+    history = history.selectExpr("'d' AS database", "`table`", place, "1L AS server_id", "transform(names, n -> named_struct('name', n)) AS def")
+    out = conform_as_of(as_changes(feed), history, slot=4).select("table", "position.file_seq", "position.offset", F.sort_array(F.map_keys("data")).alias("k"), F.size("old").alias("n"))
+    assert sorted(map(tuple, out.filter("table IS NOT NULL").collect())) == [
+        ("t", 1, 5, ["a", "b"], 1), ("t", 1, 10, ["a"], 0), ("t", 3, 1, ["a"], 0), ("t", 3, 9, ["a", "b"], 1), ("u", 1, 11, ["b"], 1),
+    ]
+    assert out.count() == 6
