@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from plain import link_classes
 
 from tideview.llm import decontaminate as dc
@@ -47,8 +49,6 @@ def test_join_with_frequent_shingles_named(docs, monkeypatch):
 
 
 def test_sketches_never_rule_out_a_link():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     for n in (1, 16, 17, 300, 5000):
         for share in (0.0, 0.5, 0.85, 1.0):
@@ -67,6 +67,29 @@ def test_join_edges(docs):
     check_join(docs, [(5, t), (2, t.upper()), (2, t.upper()), (9, None), (8, ""), (7, " \t\n"), (4, "a b"), (3, "A  b"), (1, "a\u00a0b"), (None, "lone text of no one at all"), (6, "x " * 30000)])
 
 
+def test_join_without_ids_and_with_one_id_for_many_texts(docs):
+    """Each text meets its own node only: as many rows are compared as there are texts, not their square."""
+    rng = random.Random(9)
+    bases = [rng.choices(WORDS, k=60) for _ in range(60)]
+    near = lambda: " ".join(mutated(rng, rng.choice(bases), 0.01))
+    rows = [(None, near()) for _ in range(150)] + [(7, near()) for _ in range(150)] + [(8 + i, near()) for i in range(20)]
+    check_join(docs, rows)
+    frame = docs([(i, t, "en", "s") for i, t in rows]).selectExpr("doc_id", "xxhash64(text) AS tag").distinct()
+    sizes = frame.alias("a").join(frame.alias("b"), jj._same_row("a", "b")).count()
+    assert sizes == frame.count() == len(set(rows))
+
+
+def test_join_with_passages_of_many_documents(docs):
+    """Shingles of the same documents are one list; pairs that share several lists are still compared."""
+    rng = random.Random(4)
+    passages = [" ".join(rng.choices(WORDS, k=30)) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        some = rng.sample(passages, rng.randint(1, 5))
+        texts += [" ".join([*some, *rng.choices(WORDS, k=rng.choice([0, 1, 4, 30]))])]
+    check_join(docs, [(i + 1, t) for i, t in enumerate(texts + texts[:5])])
+
+
 def test_join_of_nothing(docs):
     assert jj.link_components(docs([])).collect() == []
 
@@ -160,7 +183,7 @@ def test_no_passages(spark, docs):
 def test_topk_is_brute_force(spark, monkeypatch):
     import math
 
-    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "BYTES", 8 * 24 * 50)  # several blocks of queries and of candidates
     rng = random.Random(7)
     rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(120)]
     rows += [(130 + i, rows[i][1]) for i in range(10)]
@@ -180,6 +203,33 @@ def test_topk_is_brute_force(spark, monkeypatch):
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_with_repeated_ids(spark):
+    """Vectors of one id are ranked each for itself and never match one another."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.25, 1.0]), (2, [0.25, 1.0])]
+    vectors = topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in topk.search(vectors, vectors.where("vec_id = 20"), 2).collect())
+    assert got == [(20, 1, 1, 4096), (20, 1, 2, 4096), (20, 2, 2, 1024), (20, 2, 2, 4096)]
+
+
+@pytest.mark.parametrize("scale", [1, 10**8])
+def test_topk_prunes_groups_and_loses_nothing(scale):
+    """On clustered vectors most pairs fall by their group or the coarse levels; doubles and whole numbers give the same."""
+    rng = np.random.default_rng(5)
+    centres = np.repeat(rng.normal(0, 40, (40, 8)), 8, axis=1)
+    x = (np.rint(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 4, (4000, 64))) * scale).astype(np.int64)
+    ids = np.arange(4000)
+    sample = x[:200] @ x[1000:2000].T  # thresholds as the search gives them
+    best = topk.Best(ids[:200], x[:200], 10, np.sort(sample, axis=1)[:, -10].astype(float))
+    for a in range(0, 4000, 1000):
+        best.add(ids[a : a + 1000], x[a : a + 1000])
+    assert best.tried == 800_000
+    assert best.kept[1] < 0.5 * best.tried and best.kept[-1] < 0.2 * best.tried
+    score = x[:200] @ x.T
+    score[ids[:200], ids[:200]] = -(2**62)
+    want = [(q, v, score[q, v]) for q in range(200) for v in np.lexsort((ids, -score[q]))[:10]]
+    assert list(zip(*(c.tolist() for c in best.found))) == want
+
+
 def test_keep_first_keeps_one_row_of_each_group(docs):
     """Copies of the first row go, nameless ones too, and no group goes whole because its id has another text."""
     t, near = (" ".join(WORDS[a : a + 60]) for a in (0, 1))

@@ -8,7 +8,10 @@ the required overlap, before it is verified on the whole sets.
 
 How the work stays in proportion:
 
-* Equal sets are one node, found by a 128-bit fingerprint, so copies are never compared.
+* Equal sets are one node, found by a 128-bit fingerprint, so copies are never compared. A node's text is found by id and
+  hash, so rows without an id, or many texts of one id, meet their own node only.
+* Shingles that the same documents hold, like those of one passage, are one list with their number: a pair meets once
+  for each such list, not once for each shingle.
 * The order comes from counts of shingles that repeat within pieces of text; only the most frequent ones
   are named, all others count as rare. Any order gives the same result, this one avoids long lists.
 * The documents of a prefix shingle's list are first compared with one member only: the one in which the fewest rarer
@@ -86,7 +89,7 @@ def most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (times null) with its mark and its set's size and fingerprint, and rows of repeated shingles."""
+    """One row per document (times null) with its mark, its text's hash and its set's size and fingerprint, and rows of repeated shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -97,15 +100,15 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
             many = times >= REPEATS
             n = int(many.sum())
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(n, pa.binary()), none, none, none, pa.array(values[many].view(np.int64)), pa.array(times[many])], names=fields)
+            return pa.RecordBatch.from_arrays([none, pa.nulls(n, pa.binary()), none, none, none, none, pa.array(values[many].view(np.int64)), pa.array(times[many])], names=fields)
 
-        fields = ["doc_id", "mark", "n", "hi", "lo", "token", "times"]
+        fields = ["doc_id", "mark", "tag", "n", "hi", "lo", "token", "times"]
         for batch, texts in pieces(batches):
             ends, values = _sets(texts, k)
             marks = [_fingerprint(values[a:z]) if z > a else (None, None) for a, z in zip(ends[:-1], ends[1:])]
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "mark"), pa.array(np.diff(ends)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none],
+                [column(batch, "doc_id"), column(batch, "mark"), column(batch, "tag"), pa.array(np.diff(ends)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none],
                 names=fields,
             )
             held.append(values)
@@ -116,7 +119,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, mark binary, n long, hi long, lo long, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, mark binary, tag long, n long, hi long, lo long, token long, times long")
 
 
 def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> DataFrame:
@@ -164,9 +167,9 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, k
     load = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     members = pairs.join(load, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.col("member").alias("hi"), F.lit(True).alias("is_member"))
     pivots = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("hi"), F.lit(False).alias("is_member"))
-    wanted = keep(members.unionByName(pivots).join(nodes.select("hi", F.col("first_id").alias("doc_id")), "hi"), "wanted")
+    wanted = keep(members.unionByName(pivots).join(nodes.select("hi", "held.doc_id", "held.tag"), "hi"), "wanted")
     side = F.broadcast(wanted) if small(wanted, 200_000) else wanted
-    texts = docs.alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.pivot", "w.salt", "w.hi", "w.is_member")
+    texts = docs.alias("d").join(side.alias("w"), _same_row("d", "w")).select("d.text", "w.pivot", "w.salt", "w.hi", "w.is_member")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in pieces(batches):
@@ -208,19 +211,27 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, k
     return dealt.mapInArrow(compare, "a string, b string")
 
 
+def _same_row(x: str, y: str) -> F.Column:
+    """The same id, or none, and the same text by its hash."""
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.tag") == F.col(f"{y}.tag"))
+
+
 def _alike(x: str, y: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
 def _room(need_a: str, need_b: str, rest_a: str, rest_b: str, n_a: str, n_b: str, percent: int) -> F.Column:
-    """Whether a shingle can be among the first matches that a pair needs: what follows it must allow the required overlap."""
+    """Whether a list's first shingle can be among the first matches that a pair needs: what follows it must allow the required overlap."""
     return F.expr(f"{100 + percent} * (least({need_a}, {need_b}) + least({rest_a}, {rest_b})) >= {percent} * ({n_a} + {n_b})")
 
 
-def _candidates(pairs: DataFrame, pivot: str, member: str, n: tuple, need: tuple, rest: tuple, percent: int) -> DataFrame:
-    """The (pivot, member) that share enough prefix shingles, and whose sets can still overlap enough after the last of them."""
+def _candidates(pairs: DataFrame, pivot: str, member: str, n: tuple, need: tuple, rest: tuple, times: tuple, percent: int) -> DataFrame:
+    """The (pivot, member) that share enough prefix shingles, and whose sets can still overlap enough after the last list's first one.
+
+    Lists are left out from some place of the order on, so all shared shingles up to that one are counted.
+    """
     met = pairs.groupBy(F.col(pivot).alias("pivot"), F.col(member).alias("member")).agg(
-        F.count("*").alias("met"), F.min(F.least(*need)).alias("need"), F.min(F.col(n[0]) + F.col(n[1])).alias("sizes"), F.least(F.min(rest[0]), F.min(rest[1])).alias("rest")
+        F.sum(F.least(*times)).alias("met"), F.min(F.least(*need)).alias("need"), F.min(F.col(n[0]) + F.col(n[1])).alias("sizes"), F.least(F.min(rest[0]), F.min(rest[1])).alias("rest")
     )
     return met.where(f"met >= need AND {100 + percent} * (met + rest) >= {percent} * sizes").select("pivot", "member")
 
@@ -246,41 +257,49 @@ def _classes(docs: DataFrame, mark: F.Column, percent: int, k: int) -> tuple[Dat
 
     ``first`` is the component's smallest (doc_id, mark) with an id, ``nameless`` its smallest mark without one.
     """
-    survey = keep(_survey(docs.select("doc_id", "text", mark.alias("mark")), k), "survey")
-    docs = docs.select("doc_id", "text")
+    tag = F.xxhash64("text").alias("tag")
+    survey = keep(_survey(docs.select("doc_id", "text", mark.alias("mark"), tag), k), "survey")
+    docs = docs.select("doc_id", "text", tag)
     rows = survey.where("times IS NULL")
     has_id = F.col("doc_id").isNotNull()
     first = F.min(F.when(has_id, F.struct("doc_id", "mark"))).alias("first"), F.min(F.when(~has_id, F.col("mark"))).alias("nameless")
-    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *first), "nodes")
+    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tag")).alias("held"), F.count("*").alias("copies"), *first), "nodes")
     frequent = survey.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
 
-    spare = keep(rows.where("hi IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().join(nodes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_anti"), "spare")
-    firsts = docs.join(F.broadcast(spare) if small(spare) else spare, "doc_id", "left_anti")
+    spare = rows.where("hi IS NOT NULL").select("doc_id", "tag").distinct().alias("r").join(nodes.select("held.*").alias("h"), _same_row("r", "h"), "left_anti")
+    spare = keep(spare, "spare")
+    firsts = docs.alias("d").join((F.broadcast(spare) if small(spare) else spare).alias("s"), _same_row("d", "s"), "left_anti")
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
     # rest: how much of the set comes after the shingle
     postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos"))
     # most shingles occur in one prefix only: they go first, by the least that tells
     lists = postings.groupBy("token").agg(F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi")).where("lo_hi <> up_hi").select("token")
-    met = keep(postings.join(keep(lists, "lists"), "token"), "met")
-    first = met.groupBy("token").agg(F.min(F.struct("pos", "n", "hi", "need", "rest")).alias("first"))
-    shared = keep(met.join(first, "token").drop("pos"), "postings")
+    # a row that is written several times counts once
+    met = postings.join(keep(lists, "lists"), "token").groupBy("token", "hi").agg(*(F.min(c).alias(c) for c in ("n", "need", "rest")))
+    met = keep(met, "met")
+    # shingles of the same documents are one list: how many they are, and what comes after the first of them
+    held = met.groupBy("token").agg(F.struct(F.count("*"), F.min("hi"), F.max("hi"), F.bit_xor(F.xxhash64("hi")), F.bit_xor(F.xxhash64("hi", F.lit(1)))).alias("list"))
+    merged = met.join(held, "token").groupBy("list", "hi").agg(F.min("n").alias("n"), F.min("need").alias("need"), F.max("rest").alias("rest"), F.count("*").alias("times"))
+    merged = keep(merged, "merged")
+    first = merged.groupBy("list").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("pos"), "n", "hi", "need", "rest", "times")).alias("first"))
+    shared = keep(merged.join(first, "list"), "postings")
 
     # every member of a list against the one in which the fewest rarer shingles come before: what the others were made from
     pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent) & _room("need", "first.need", "rest", "first.rest", "n", "first.n", percent))
-    tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), percent), "pairs")
+    tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), ("times", "first.times"), percent), "pairs")
     links = keep(_verify(docs, nodes, keep(_open(tried, prefixes, percent), "open"), percent, k), "links")
     joined = keep(components(links), "classes")
 
     # then every pair of a list that could still join two components
     roots = joined.groupBy(F.split("node", ":")[0].cast("long").alias("hi")).agg(F.min("root").alias("root"), F.max("root").alias("other"))
     roots = roots.select("hi", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root"))
-    placed = shared.select("token", "hi", "n", "need", "rest").join(roots, "hi", "left").withColumn("root", F.coalesce("root", F.col("hi").cast("string")))
+    placed = shared.select("list", "hi", "n", "need", "rest", "times").join(roots, "hi", "left").withColumn("root", F.coalesce("root", F.col("hi").cast("string")))
     placed = keep(placed, "placed")
-    apart = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left = keep(placed.join(apart, "token"), "apart")
+    apart = placed.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
+    left = keep(placed.join(apart, "list"), "apart")
     a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent) & _room("a.need", "b.need", "a.rest", "b.rest", "a.n", "b.n", percent))
-    pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), percent)
+    pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent) & _room("a.need", "b.need", "a.rest", "b.rest", "a.n", "b.n", percent))
+    pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), ("a.times", "b.times"), percent)
     done = tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
     more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more")
     more = keep(_open(more, prefixes, percent), "open")
