@@ -270,15 +270,16 @@ def _classes(docs: DataFrame, mark: F.Column, percent: int, k: int) -> tuple[Dat
     spare = keep(spare, "spare")
     firsts = docs.alias("d").join((F.broadcast(spare) if small(spare) else spare).alias("s"), _same_row("d", "s"), "left_anti")
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
+    if not prefixes.groupBy("hi", "n").count().where("count > 1").isEmpty():
+        prefixes = keep(prefixes.dropDuplicates(["hi", "n", "sketch"]), "prefixes")  # rows that are written several times
     # rest: how much of the set comes after the shingle
     postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos"))
     # most shingles occur in one prefix only: they go first, by the least that tells
-    lists = postings.groupBy("token").agg(F.min("hi").alias("lo_hi"), F.max("hi").alias("up_hi")).where("lo_hi <> up_hi").select("token")
-    # a row that is written several times counts once
-    met = postings.join(keep(lists, "lists"), "token").groupBy("token", "hi").agg(*(F.min(c).alias(c) for c in ("n", "need", "rest")))
-    met = keep(met, "met")
-    # shingles of the same documents are one list: how many they are, and what comes after the first of them
-    held = met.groupBy("token").agg(F.struct(F.count("*"), F.min("hi"), F.max("hi"), F.bit_xor(F.xxhash64("hi")), F.bit_xor(F.xxhash64("hi", F.lit(1)))).alias("list"))
+    lists = postings.groupBy("token").count().where("count > 1").select("token")
+    met = keep(postings.join(keep(lists, "lists"), "token"), "met")
+    # shingles of the same documents are one list: how many they are, and what comes after the first of them.
+    # Lists that met by their hash would only be compared once more than needed
+    held = met.groupBy("token").agg(F.xxhash64(F.count("*"), F.min("hi"), F.max("hi"), F.bit_xor(F.xxhash64("hi"))).alias("list"))
     merged = met.join(held, "token").groupBy("list", "hi").agg(F.min("n").alias("n"), F.min("need").alias("need"), F.max("rest").alias("rest"), F.count("*").alias("times"))
     merged = keep(merged, "merged")
     first = merged.groupBy("list").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("pos"), "n", "hi", "need", "rest", "times")).alias("first"))
