@@ -250,3 +250,16 @@ def test_only_rows_with_passages_go(spark, docs):
     kept = dc.drop_contaminated(docs([(i, x, "en", "s") for i, x in rows]), items)
     assert "_mark" not in kept.columns and "node" in kept.columns
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == [(0, ""), (0, "nameless and clean"), (1, "a clean text of the same id"), (2, "clean"), (3, "")]
+
+
+def test_filters_leave_clashing_columns_alone(spark, docs):
+    """Columns named like helper columns are neither ambiguous nor overwritten."""
+    item = " ".join(WORDS[:30])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = " ".join(WORDS[50:90])
+    rows = docs([(1, "before " + item, "en", "s"), (2, other, "en", "s"), (3, other, "en", "s"), (3, other, "en", "s")])
+    rows = rows.selectExpr("*", "'a' AS _id", "'b' AS _of", "'c' AS _mark", "'d' AS __mark")
+    for left, ids in ((dc.drop_contaminated(rows, items), [2, 3, 3]), (jj.keep_first(rows), [1, 2])):
+        assert left.columns == rows.columns
+        got = sorted(left.select("doc_id", "_id", "_of", "_mark", "__mark").collect())
+        assert [tuple(r) for r in got] == [(i, "a", "b", "c", "d") for i in ids]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.shared import keep, small, text_mark
+from tideview.llm.shared import free, keep, small, text_mark
 from tideview.llm.texts import column, mix, names, pieces, places, words
 
 RADIUS, BLOCKS, WIDTH = 15, 4, 16
@@ -210,6 +210,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, told by id, null too, and text: other texts of their id stay."""
     found = _found(docs, benchmark, threshold, text_mark())
-    gone = keep(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
-    return docs.withColumn("_mark", text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti").select(*docs.columns)
+    own, of, mark = free(docs, "_id", "_of", "_mark")
+    gone = keep(found.select(F.col("doc_id").alias(own), F.col("mark").alias(of)).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of))
+    return docs.withColumn(mark, text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti").select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.llm.components import components
-from tideview.llm.shared import keep, small, text_mark
+from tideview.llm.shared import free, keep, small, text_mark
 from tideview.llm.texts import column, names, pieces, shingles, words
 
 #: Frequent shingles that the order knows by name; only the order depends on it, never the result.
@@ -328,16 +328,17 @@ def keep_first(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     Rows are told apart by id and text, so another text of a dropped row's id stays. Rows without an id are told apart
     from those with one: of them, too, one of each component stays. Rows without words are in no component and stay.
     """
+    own, of, mark = free(docs, "_id", "_of", "_mark")
     rows, named = _classes(docs, text_mark(), percent, k)
     stays = F.when(F.col("doc_id").isNull(), F.col("mark") == F.col("nameless")).otherwise(F.struct("doc_id", "mark") == F.col("first"))
-    held = keep(rows.join(named, ["hi", "lo"]).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), stays.alias("stays")), "held")
-    gone = keep(held.where("NOT stays").select("_id", "_of").distinct(), "gone")
+    held = keep(rows.join(named, ["hi", "lo"]).select(F.col("doc_id").alias(own), F.col("mark").alias(of), stays.alias("stays")), "held")
+    gone = keep(held.where("NOT stays").select(own, of).distinct(), "gone")
     # those that stay and are written several times
-    again = keep(held.where("stays").groupBy("_id", "_of").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_of"), "again")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
-    left = docs.withColumn("_mark", text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti")
+    again = keep(held.where("stays").groupBy(own, of).agg(F.count("*").alias("n")).where("n > 1").select(own, of), "again")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of))
+    left = docs.withColumn(mark, text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
     side = F.broadcast(again) if small(again) else again
-    one = left.join(side, same, "left_semi").groupBy("doc_id", "_mark").agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*")
+    one = left.join(side, same, "left_semi").groupBy("doc_id", mark).agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*")
     return left.join(side, same, "left_anti").select(*docs.columns).unionByName(one)

@@ -35,6 +35,18 @@ def text_mark(text: str = "text") -> Column:
     return F.unhex(F.md5(text))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of two or three numbers that a broadcast may hold: some tens of MB.
 SMALL_ROWS = 1_000_000
 
