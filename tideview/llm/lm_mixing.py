@@ -1,20 +1,22 @@
-"""Log probabilities of texts by logistic context mixing over the bits of their words.
+"""Log probabilities of texts by online logistic context mixing.
 
-A text is its words, A-Z lower-cased, and an end. A word is coded as its bytes and a space (the end as one line
-feed), each byte as eight binary decisions. Six hashed contexts predict each decision: the last one, two, three, four and
-six bytes, and the whole word so far; all start with the kind of the word before (none, end of a
-sentence, other). Each context has counts of zeros and ones, gathered from *all* learning texts; their log odds
-are mixed by weights that a gate picks (how often the two longest contexts were seen, which bit), learned by online gradient
-steps, and the mix is refined by a map from (gate, log odds) to observed frequencies. In learning, a word's own
-occurrence is taken out of the counts first, so the weights learn how far to trust a context on new text.
+A text is its words, A-Z lower-cased, and an end. ``lm_words`` tells how a known word is coded: bits of a path in a tree of the
+known words, predicted by contexts of the words before it, and guesses from what the text itself repeats. An unknown word
+(not met in the learning texts) is spelled: its bytes and a space, each byte as eight bits. Six hashed contexts predict each bit:
+the last one, two, three, four and six bytes, and the whole word so far. Their counts come from all distinct words of
+the learning texts, each once; their weights are learned online on words met once, whose own occurrence is taken out
+of the counts first.
 
-A word's probability depends on the word and the kind of the word before only, so each distinct pair is scored
-once, and a text's score is a sum over its words. The most frequent words' scores are broadcast (no more than
-``NAMED`` words can reach their share of the tokens); the rest is joined.
+A path depends on the word and its kind of context only, so each distinct pair is scored once; the guesses run through
+each whole text. Neither counts, weights nor scores depend on how the input is cut to tasks (but for the last digits of sums):
+learners are dealt by a hash, in number by the vocabulary, and their weights averaged. The most frequent pairs' scores are
+broadcast (no more than ``NAMED`` pairs can reach their share of the tokens); the rest is joined.
+
+The chance of a wrong guess is not taken from the guessed word's path, so the scores of all texts sum to a little less than one.
 
 Edge cases: a null text is empty, so it is the end alone; rows with a null id are learned from and not held out. Repeated rows
-each count and each get their row. Words of any length are coded whole. Without any learning text the counts are
-empty, and every decision has an even chance. An empty table gives no rows. Other columns are not looked at.
+each count and each get their row. Words of any length are coded whole. Without any learning text every word is
+unknown and spelled with even chances. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,45 +31,31 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideview.llm import lm_words
 from tideview.llm.shared import keep
 from tideview.llm.texts import column, pieces, words
 
 #: Bits of each context's table: orders 1, 2, 3, 4, 6 and the word so far.
 ORDERS = (1, 2, 3, 4, 6)
 TABLES = (14, 18, 20, 20, 20, 20)
-#: Slots of a table that are summed together, bytes that are coded at once, words of one task's counts.
-BLOCK, CHUNK, TASK_WORDS = 1 << 16, 1 << 16, 500_000
-#: Words that can be named to all tasks: those with more than this part of all tokens.
+#: Slots of a table that are summed together, bytes that are coded at once, words that one learner learns from.
+BLOCK, CHUNK, TASK_WORDS = 1 << 16, 1 << 16, 200_000
+#: (word, kind) pairs that can be named to all tasks: those with more than this part of all tokens.
 NAMED = 100_000
-KINDS = 3
 GATES, STEPS, EDGE = 24, 33, 8.0
 RATE = 0.05
 
 END = "\n"
 
 
-def _kinds(of: np.ndarray, codes: np.ndarray, vocab: pa.Array) -> np.ndarray:
-    """The kind of the word before, for each word."""
-    stop = pc.match_substring_regex(vocab, r"[.!?;:]$").to_numpy(zero_copy_only=False)
-    kind = np.where(stop, 1, 2)[codes]
-    out = np.zeros(len(of), np.int64)
-    same = of[1:] == of[:-1]
-    out[1:][same] = kind[:-1][same]
-    return out
-
-
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(text, word, kind) of each token and the distinct words; each text's last token is the end."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, word) of each token and the distinct words; each text's last token is the end."""
     of, codes, vocab = words(texts)
-    of = of.astype(np.int64)
-    vocab = vocab.cast(pa.string())
     n = len(texts)
-    all_of = np.concatenate((of, np.arange(n)))
+    all_of = np.concatenate((of.astype(np.int64), np.arange(n)))
     all_codes = np.concatenate((codes.astype(np.int64), np.full(n, len(vocab))))
     order = np.argsort(all_of, kind="stable")
-    all_of, all_codes = all_of[order], all_codes[order]
-    everything = pa.concat_arrays([vocab, pa.array([END], pa.string())])
-    return all_of, all_codes, _kinds(all_of, all_codes, everything), everything.to_pylist()
+    return all_of[order], all_codes[order], [*vocab.to_pylist(), END]
 
 
 #: First bytes of a word that are compared with those of the word before.
@@ -168,6 +156,9 @@ class Mixer:
         grid = np.linspace(-EDGE, EDGE, STEPS)
         self.map = np.stack((1 / (1 + np.exp(grid)), 1 / (1 + np.exp(-grid))), axis=1)[None].repeat(GATES, 0) * 8.0
 
+    def state(self) -> tuple[np.ndarray, ...]:
+        return self.by_gate, self.by_bit, self.map
+
     def inputs(self, slots: list[np.ndarray], bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each context, a row for each, and the gate; with ``bit``, one such bit is taken out of the counts."""
         odds, seen = np.empty((len(slots) + 1, len(slots[0])), np.float32), []
@@ -227,43 +218,67 @@ class Mixer:
         return np.bincount(path.word, weights=total[path.edge], minlength=len(path.sizes))
 
 
-def vocabulary(docs: DataFrame, learned: Column) -> DataFrame:
-    """(word, n0..n2, present): each word's learning occurrences after each kind, and the kinds it has anywhere, as bits."""
+def _rows(word: list[str], kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(kind.astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "kind", "n"])
+
+
+ROWS = "word string, kind int, n long"
+
+
+def count_words(docs: DataFrame, learned: Column) -> DataFrame:
+    """(word, kind, n): the learning texts' words; under an empty word, which no token is, their guesses by run and outcome."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
-            of, codes, kinds, vocab = tokens(texts)
-            take = column(batch, "learned").to_numpy(zero_copy_only=False).astype(bool)[of]
-            key = codes * KINDS + kinds
-            n = np.bincount(key[take], minlength=len(vocab) * KINDS).reshape(-1, KINDS)
-            some = (np.bincount(key, minlength=len(vocab) * KINDS).reshape(-1, KINDS) > 0) @ (1 << np.arange(KINDS))
-            yield pa.RecordBatch.from_arrays([pa.array(vocab, pa.string()), *(pa.array(n[:, k]) for k in range(KINDS)), pa.array(some.astype(np.int32))], names=["word", *NS, "present"])
+        for _batch, texts in pieces(batches):
+            of, codes, vocab = tokens(texts)
+            n = np.bincount(codes, minlength=len(vocab))
+            yield _rows(vocab, np.zeros(len(vocab)), n)
+            _at, right, after = lm_words.guesses(of, codes)
+            n = np.bincount(after * 2 + right, minlength=2 * lm_words.RUNS)
+            yield _rows([""] * len(n), np.arange(len(n)), n)
 
-    rows = docs.select("text", learned.alias("learned")).mapInArrow(run, "word string, n0 long, n1 long, n2 long, present int")
-    return rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in NS), F.bit_or("present").alias("present"))
+    return docs.where(learned).select("text").mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-NS = ("n0", "n1", "n2")
+def _contexts(of: np.ndarray, codes: np.ndarray, vocab: list[str], names: dict[str, int]) -> np.ndarray:
+    return lm_words.kinds(of, np.array([names.get(w, -1) for w in vocab])[codes])
 
 
-def _known(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The (word, kind) pairs of a vocabulary batch that were learned, with their times."""
-    n = np.stack([column(batch, k).to_numpy(zero_copy_only=False) for k in NS], axis=1)
-    word, kind = np.nonzero(n)
-    names = column(batch, "word").to_pylist()
-    return [names[i] for i in word], kind, n[word, kind]
+def count_pairs(docs: DataFrame, learned: Column, names: dict[str, int]) -> DataFrame:
+    """(word, kind, n): how often each word of any text follows each kind of context in the learning texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            of, codes, vocab = tokens(texts)
+            take = column(batch, "learned").to_numpy(zero_copy_only=False).astype(bool)[of]
+            key = codes * lm_words.KINDS + _contexts(of, codes, vocab, names)
+            some = np.flatnonzero(np.bincount(key, minlength=1))
+            n = np.bincount(key[take], minlength=key.max(initial=0) + 1)[some]
+            code, kind = np.divmod(some, lm_words.KINDS)
+            yield _rows([vocab[i] for i in code], kind, n)
+
+    return docs.select("text", learned.alias("learned")).mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"))
+
+
+def by_word(pairs: DataFrame, total: int) -> DataFrame:
+    """(word, c, kinds, code, grp): each word with its kinds' counts (no more than ``KINDS``) and its place in the tree."""
+    rows = pairs.groupBy("word").agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
+    rare = F.when(F.col("c") > 0, F.least(F.lit((1 << lm_words.CLASS_BITS) - 1), F.floor(F.log2(F.lit(float(total)) / F.col("c"))).cast("long"))).otherwise(0)
+    hashed = lm_words.DEPTH - lm_words.CLASS_BITS
+    rows = rows.withColumn("code", F.shiftleft(rare, hashed) + F.xxhash64("word").bitwiseAND(F.lit((1 << hashed) - 1)))
+    return rows.withColumn("grp", F.shiftright("code", lm_words.LOW))
 
 
 def gather(vocab: DataFrame) -> list[np.ndarray]:
-    """All contexts' counts, summed over the vocabulary; a few tens of MB whatever its size."""
+    """All spelling contexts' counts, summed over the distinct words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tables = [np.zeros((1 << bits) * 2) for bits in TABLES]
         for batch in batches:
-            rows, kinds, times = _known(batch)
-            for at, path in _chunks(rows, kinds):
-                w = path.times(times[at])
+            rows = column(batch, "word").to_pylist()
+            for _at, path in _chunks(rows, np.zeros(len(rows), np.int64)):
+                w = path.times(np.ones(len(path.sizes)))
                 for _b, bit, slots in path.decisions():
                     for table, slot in zip(tables, slots):
                         np.add.at(table, bit * (len(table) // 2) + slot, w)
@@ -290,58 +305,116 @@ def gather(vocab: DataFrame) -> list[np.ndarray]:
     return [t.reshape(2, -1) for t in tables]
 
 
-def train(vocab: DataFrame) -> Mixer:
-    """Counts from the whole vocabulary, then weights and map: each task learns online over its share, and the tasks' results are averaged."""
-    mixer = Mixer(gather(vocab))
-    shared = vocab.sparkSession.sparkContext.broadcast(mixer.counts)
+def _learned(rows: DataFrame, learn, start) -> tuple[np.ndarray, ...]:
+    """Weights, averaged over the tasks' learners by what they learned from, and the maps, summed. ``learn(own, batches)`` tells that mass.
+
+    ``start()`` makes a learner; its ``state()`` is two tables of weights and a map.
+    """
+    fresh = start().state()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mass = Mixer(shared.value), 0.0
-        start = own.map.copy()
-        for batch in batches:
-            rows, kinds, times = _known(batch)
-            for at, path in _chunks(rows, kinds):
-                own.learn(path, times[at], RATE)
-                mass += float(times[at].sum())
+        own = start()
+        mass = learn(own, batches)
         if mass:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([mass]), pa.array([np.concatenate((own.by_gate.ravel(), own.by_bit.ravel())).astype(float).tobytes()], pa.binary()), pa.array([(own.map - start).tobytes()], pa.binary())], names=["mass", "weights", "seen"]
-            )
+            gate, other, seen = own.state()
+            arrays = [pa.array([mass]), *(pa.array([x.astype(float).tobytes()], pa.binary()) for x in (gate, other, seen - fresh[2]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["mass", "gate", "other", "seen"])
 
-    total, weights = 0.0, 0.0
-    for r in vocab.mapInArrow(run, "mass double, weights binary, seen binary").collect():
+    total, weights, seen = 0.0, [np.zeros(x.shape) for x in fresh[:2]], fresh[2].copy()
+    for r in rows.mapInArrow(run, "mass double, gate binary, other binary, seen binary").collect():
         total += r.mass
-        weights = weights + r.mass * np.frombuffer(bytes(r.weights))
-        mixer.map += np.frombuffer(bytes(r.seen)).reshape(mixer.map.shape)
-    if total:
-        weights = weights / total
-        mixer.by_gate = weights[: mixer.by_gate.size].reshape(mixer.by_gate.shape).astype(np.float32)
-        mixer.by_bit = weights[mixer.by_gate.size :].reshape(mixer.by_bit.shape).astype(np.float32)
+        for w, part in zip(weights, (r.gate, r.other)):
+            w += r.mass * np.frombuffer(bytes(part)).reshape(w.shape)
+        seen += np.frombuffer(bytes(r.seen)).reshape(seen.shape)
+    return (*(w / total for w in weights), seen) if total else fresh
+
+
+def train_spelling(known: DataFrame) -> Mixer:
+    """Counts from all learned words, weights and map from those met once."""
+    mixer = Mixer(gather(known.select("word")))
+    shared = known.sparkSession.sparkContext.broadcast(mixer.counts)
+    once = known.where("c = 1").select("word")
+    # words that begin alike come together, such groups in random order
+    dealt = once.repartition(max(1, -(-once.count() // TASK_WORDS)), "word").sortWithinPartitions(F.crc32(F.substring("word", 1, 3)), "word")
+
+    def learn(own: Mixer, batches: Iterator[pa.RecordBatch]) -> float:
+        n = 0
+        for batch in batches:
+            rows = column(batch, "word").to_pylist()
+            n += len(rows)
+            for _at, path in _chunks(rows, np.zeros(len(rows), np.int64)):
+                own.learn(path, np.ones(len(path.sizes)), RATE)
+        return float(n)
+
+    mixer.by_gate, mixer.by_bit, mixer.map = _learned(dealt, learn, lambda: Mixer(shared.value if TaskContext.get() else []))
+    return mixer
+
+
+def _tree(table: pa.Table, top: np.ndarray) -> tuple[lm_words.Tree, np.ndarray, np.ndarray]:
+    """The words of some whole groups as a tree, and for each entry its word's number and that word's learning occurrences."""
+    lists = table.column("kinds").combine_chunks()
+    flat = lists.flatten()
+    word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    kind, n = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("kind", "n"))
+    return lm_words.Tree(table.column("code").to_numpy(), word, kind, n, top), word, table.column("c").to_numpy()[word]
+
+
+def train_words(dealt: DataFrame, top: np.ndarray, counts: np.ndarray) -> lm_words.Mixer:
+    """Weights and map of the paths and of the bit that a word is unknown; ``counts``: (known, unknown) of each kind."""
+    shared = dealt.sparkSession.sparkContext.broadcast(top)
+
+    def learn(own: lm_words.Mixer, batches: Iterator[pa.RecordBatch]) -> float:
+        mass = 0.0
+        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS):
+            tree, _word, c = _tree(table, shared.value)
+            zeros, ones = lm_words.known_counts(counts, tree.kind)
+            use = tree.n > 0
+            own.learn(lm_words.KNOWN, (c[use] == 1).astype(np.int64), zeros[:, use], ones[:, use], tree.n[use].astype(float))
+            tree.learn(own, np.where(c > 1, tree.n, 0).astype(float))
+            mass += float(tree.n.sum())
+        return mass
+
+    mixer = lm_words.Mixer()
+    mixer.by_gate, mixer.by_level, mixer.map = _learned(dealt, learn, lm_words.Mixer)
     return mixer
 
 
-def scored(vocab: DataFrame, mixer: Mixer) -> DataFrame:
-    """(word, c, s0..s2): learning occurrences, and the log10 probability after each kind the word has."""
-    shared = vocab.sparkSession.sparkContext.broadcast((mixer.counts, mixer.by_gate, mixer.by_bit, mixer.map))
+SCORED = "word string, kind int, c long, s double"
+
+
+def score_known(dealt: DataFrame, top: np.ndarray, counts: np.ndarray, mixer: lm_words.Mixer) -> DataFrame:
+    """(word, kind, c, s) of the known words: learning occurrences, and the log10 probability after the kind."""
+    shared = dealt.sparkSession.sparkContext.broadcast((top, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, by_gate, by_bit, seen = shared.value
-        own = Mixer(counts)
-        own.by_gate, own.by_bit, own.map = by_gate, by_bit, seen
-        for batch in batches:
-            names = column(batch, "word").to_pylist()
-            present = column(batch, "present").to_numpy(zero_copy_only=False)
-            word, kind = np.nonzero(present[:, None] >> np.arange(KINDS) & 1)
-            out = np.zeros((len(names), KINDS))
-            for at, path in _chunks([names[i] for i in word], kind):
-                out[word[at], kind[at]] = own.score(path)
-            c = sum(column(batch, n).to_numpy(zero_copy_only=False) for n in NS)
-            yield pa.RecordBatch.from_arrays([column(batch, "word"), pa.array(c), *(pa.array(out[:, k]) for k in range(KINDS))], names=["word", "c", *SS])
+        top, mixer = shared.value
+        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS):
+            tree, word, c = _tree(table, top)
+            s = tree.score(mixer) + np.log10(1 - mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, tree.kind)))
+            names = table.column("word").combine_chunks().take(pa.array(word))
+            yield pa.RecordBatch.from_arrays([names, pa.array(tree.kind.astype(np.int32)), pa.array(c), pa.array(s)], names=["word", "kind", "c", "s"])
+
+    return dealt.mapInArrow(run, SCORED)
+
 
-    return vocab.mapInArrow(run, "word string, c long, s0 double, s1 double, s2 double")
+def score_unknown(unknown: DataFrame, counts: np.ndarray, mixer: lm_words.Mixer, spelling: Mixer) -> DataFrame:
+    """(word, kind, c, s) of the words that were not learned."""
+    chance = mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, np.arange(lm_words.KINDS))) if counts.any() else np.ones(lm_words.KINDS)
+    shared = unknown.sparkSession.sparkContext.broadcast(spelling)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = column(batch, "word")
+            rows = names.to_pylist()
+            spelled = np.zeros(len(rows))
+            for at, path in _chunks(rows, np.zeros(len(rows), np.int64)):
+                spelled[at] = shared.value.score(path)
+            lists = column(batch, "kinds")
+            word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            kind = lists.flatten().field("kind").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), pa.array(kind), pa.array(np.zeros(len(word), np.int64)), pa.array(spelled[word] + np.log10(chance)[kind])], names=["word", "kind", "c", "s"])
 
-SS = ("s0", "s1", "s2")
+    return unknown.mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -351,38 +424,62 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     added to each word's count.
     """
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    vocab = keep(vocabulary(docs, ~F.col("held_out")), "vocabulary")
-    n = F.expr("n0 + n1 + n2")
-    size, total, kinds = vocab.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0)), F.count_if(n > 0)).first()
-    # words that begin alike come together, such groups in random order
-    dealt = vocab.repartition(max(1, -(-size // TASK_WORDS)), "word").sortWithinPartitions(F.crc32(F.substring("word", 1, 3)), "word")
-    dealt = keep(dealt, "dealt")
-    mixer = train(dealt)
-    known = keep(scored(dealt, mixer), "scored")
-    # at most NAMED words can have more than this share of all tokens
-    named = known.where(F.col("c") * NAMED > total).collect()
-    shared = docs.sparkSession.sparkContext.broadcast({r.word: (r.c, r.s0, r.s1, r.s2) for r in named})
+    learned = ~F.col("held_out")
+    spark = docs.sparkSession
+    vocab = keep(count_words(docs, learned), "vocabulary")
+    total, size = vocab.where("word != ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    names = {r.word: i for i, r in enumerate(vocab.where(~F.col("word").isin("", END)).orderBy(F.desc("n"), "word").limit(lm_words.NAMES).collect())}
+    outcomes = np.full((lm_words.RUNS, 2), 0.5)
+    for r in vocab.where("word = ''").collect():
+        outcomes[r.kind // 2, r.kind % 2] += r.n
+    rates = outcomes[:, 1] / outcomes.sum(1)
+
+    words = keep(by_word(count_pairs(docs, learned, names), total), "words")
+    known = words.where("c > 0")
+    kinds = known.select("grp", "c", F.explode("kinds").alias("k")).select("grp", "c", "k.*")
+    counts = np.zeros((lm_words.KINDS, 2))
+    for r in kinds.groupBy("kind").agg(F.sum(F.when(F.col("c") > 1, F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c") == 1, F.col("n")).otherwise(0)).alias("one")).collect():
+        counts[r.kind] = r.more, r.one
+    upper = kinds.groupBy("grp", "kind").agg(F.sum("n").alias("n")).toArrow()
+    top = np.zeros((lm_words.KINDS, 1 << lm_words.TOP))
+    top[upper.column("kind").to_numpy(), upper.column("grp").to_numpy()] = upper.column("n").to_numpy()
+    dealt = known.repartition(max(1, -(-size // TASK_WORDS)), "grp").sortWithinPartitions("grp", "code", "word")
+    mixer = train_words(dealt, top, counts)
+    both = score_known(dealt, top, counts, mixer).unionByName(score_unknown(words.where("c = 0"), counts, mixer, train_spelling(known)))
+    scored = keep(both, "scored")
+    # at most NAMED pairs can have more than this share of all tokens
+    often = kinds_of(words).where(F.col("n") * NAMED > total).select("word", "kind")
+    named = scored.join(often, ["word", "kind"]).collect()
+    shared = spark.sparkContext.broadcast(({(r.word, r.kind): (r.c, r.s) for r in named}, names, rates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, row = shared.value, TaskContext.get().partitionId() << 40
+        index, names, rates = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch, texts in pieces(batches):
-            of, codes, kinds, vocab = tokens(texts)
-            found = [index.get(w) for w in vocab]
-            at = np.array([f is not None for f in found], bool)
-            values = np.array([f or (0, 0.0, 0.0, 0.0) for f in found]).reshape(-1, 1 + KINDS)
+            of, codes, vocab = tokens(texts)
             m = len(texts)
+            at, right, after = lm_words.guesses(of, codes)
+            guessed = np.zeros(len(of), np.int64)
+            guessed[at] = right
             size = np.where([w == END for w in vocab], 1, np.array([len(w.encode()) + 1 for w in vocab]))
-            near = at[codes]
-            logs = np.log10(values[:, 0] + 0.1)
-            base = np.bincount(of[near], weights=logs[codes[near]], minlength=m)
-            score = np.bincount(of[near], weights=values[codes[near], 1 + kinds[near]], minlength=m)
-            n_known = np.bincount(of[near], minlength=m)
-            # the others, each distinct (text, word, kind) once
-            key, times = np.unique((of[~near] * len(vocab) + codes[~near]) * KINDS + kinds[~near], return_counts=True)
-            key, kind = np.divmod(key, KINDS)
-            text, code = np.divmod(key, len(vocab))
-            rest = pa.StructArray.from_arrays([pa.array(vocab, pa.string()).take(pa.array(code)), pa.array(kind.astype(np.int32)), pa.array(times)], names=["word", "kind", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(m + 1)).astype(np.int32)), rest)
+            # each distinct (text, word, kind) once: how often, and how often not guessed
+            pair = codes * lm_words.KINDS + _contexts(of, codes, vocab, names)
+            pairs, of_pair = np.unique(pair, return_inverse=True)
+            key, place, times = np.unique(of * len(pairs) + of_pair, return_inverse=True, return_counts=True)
+            coded = times - np.bincount(place, weights=guessed, minlength=len(key)).astype(np.int64)
+            text, pair = np.divmod(key, len(pairs))
+            code, kind = np.divmod(pairs, lm_words.KINDS)
+            found = [index.get((vocab[c], k)) for c, k in zip(code.tolist(), kind.tolist())]
+            near = np.array([f is not None for f in found], bool)[pair]
+            values = np.array([f or (0, 0.0) for f in found]).reshape(-1, 2)[pair]
+            base = np.bincount(text[near], weights=(times * np.log10(values[:, 0] + 0.1))[near], minlength=m)
+            score = np.bincount(text[near], weights=(coded * values[:, 1])[near], minlength=m)
+            score += np.bincount(of[at], weights=lm_words.guess_cost(of, at, right, after, rates), minlength=m)
+            n_known = np.bincount(text[near], weights=times[near] * (values[near, 0] > 0), minlength=m).astype(np.int64)
+            far = ~near
+            word = pa.array(vocab, pa.string()).take(pa.array(code[pair[far]]))
+            rest = pa.StructArray.from_arrays([word, pa.array(kind[pair[far]].astype(np.int32)), pa.array(times[far]), pa.array(coded[far])], names=["word", "kind", "n", "coded"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[far], np.arange(m + 1)).astype(np.int32)), rest)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(m)), column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.bincount(of, minlength=m)),
@@ -392,18 +489,22 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             )
             row += m
 
-    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, rest array<struct<word:string,kind:int,n:long>>"
+    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, rest array<struct<word:string,kind:int,n:long,coded:long>>"
     made = keep(docs.mapInArrow(run, fields), "rows")
-    rest = made.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.kind", "r.n").join(known.where(F.col("c") * NAMED <= total), "word")
-    after = F.element_at(F.array(*SS), F.col("kind") + 1)
+    rest = made.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(scored, ["word", "kind"])
     none = F.lit(None)
     parts = rest.select(
         "row", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("long").alias("n_tokens"), none.cast("long").alias("n_bytes"),
-        F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base"), (F.col("n") * after).alias("score"),
+        F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base"), (F.col("coded") * F.col("s")).alias("score"),
     )
     rows = made.drop("rest").unionByName(parts).groupBy("row")
     whole = rows.agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
     return whole.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(total + 0.1 * (kinds + 1)))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(total + 0.1 * (size + 1)))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def kinds_of(words: DataFrame) -> DataFrame:
+    """(word, kind, n) again."""
+    return words.select("word", F.explode("kinds").alias("k")).select("word", "k.kind", "k.n")
