@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tideview.llm import lm_words
 from tideview.llm.shared import keep
-from tideview.llm.texts import column, pieces, words
+from tideview.llm.texts import column, mix, names, pieces, words
 
 #: Bits of each context's table: orders 1, 2, 3, 4, 6 and the word so far.
 ORDERS = (1, 2, 3, 4, 6)
@@ -41,7 +41,7 @@ TABLES = (14, 18, 20, 20, 20, 20)
 #: Slots of a table that are summed together, bytes that are coded at once, words that one learner learns from.
 BLOCK, CHUNK, TASK_WORDS = 1 << 16, 1 << 16, 200_000
 #: (word, kind) pairs that can be named to all tasks: those with more than this part of all tokens.
-NAMED = 100_000
+NAMED = 1_000_000
 GATES, STEPS, EDGE = 24, 33, 8.0
 RATE = 0.05
 
@@ -379,11 +379,20 @@ def train_words(dealt: DataFrame, top: np.ndarray, counts: np.ndarray) -> lm_wor
     return mixer
 
 
-SCORED = "word string, kind int, c long, s double"
+SCORED = "key long, n long, c long, s double"
+
+
+def _keys(hashed: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each pair of a word, by its own number, and a kind."""
+    return mix(hashed + (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+
+
+def _scored(hashed: np.ndarray, kind: np.ndarray, n: np.ndarray, c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(_keys(hashed, kind)), pa.array(n), pa.array(c), pa.array(s)], names=["key", "n", "c", "s"])
 
 
 def score_known(dealt: DataFrame, top: np.ndarray, counts: np.ndarray, mixer: lm_words.Mixer) -> DataFrame:
-    """(word, kind, c, s) of the known words: learning occurrences, and the log10 probability after the kind."""
+    """(key, n, c, s) of the known words and their kinds: learning occurrences of the pair and of the word, and the log10 probability after the kind."""
     shared = dealt.sparkSession.sparkContext.broadcast((top, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,32 +400,35 @@ def score_known(dealt: DataFrame, top: np.ndarray, counts: np.ndarray, mixer: lm
         for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS):
             tree, word, c = _tree(table, top)
             s = tree.score(mixer) + np.log10(1 - mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, tree.kind)))
-            names = table.column("word").combine_chunks().take(pa.array(word))
-            yield pa.RecordBatch.from_arrays([names, pa.array(tree.kind.astype(np.int32)), pa.array(c), pa.array(s)], names=["word", "kind", "c", "s"])
+            yield _scored(names(table.column("word").combine_chunks())[word], tree.kind, tree.n, c, s)
 
     return dealt.mapInArrow(run, SCORED)
 
 
 def score_unknown(unknown: DataFrame, counts: np.ndarray, mixer: lm_words.Mixer, spelling: Mixer) -> DataFrame:
-    """(word, kind, c, s) of the words that were not learned."""
+    """(key, n, c, s) of the words that were not learned."""
     chance = mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, np.arange(lm_words.KINDS))) if counts.any() else np.ones(lm_words.KINDS)
     shared = unknown.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = column(batch, "word")
-            rows = names.to_pylist()
+            rows = column(batch, "word").to_pylist()
             spelled = np.zeros(len(rows))
             for at, path in _chunks(rows, np.zeros(len(rows), np.int64)):
                 spelled[at] = shared.value.score(path)
             lists = column(batch, "kinds")
             word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             kind = lists.flatten().field("kind").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), pa.array(kind), pa.array(np.zeros(len(word), np.int64)), pa.array(spelled[word] + np.log10(chance)[kind])], names=["word", "kind", "c", "s"])
+            none = np.zeros(len(word), np.int64)
+            yield _scored(names(column(batch, "word"))[word], kind, none, none, spelled[word] + np.log10(chance)[kind])
 
     return unknown.mapInArrow(run, SCORED)
 
 
+#: What a text knows of itself before its other pairs are joined.
+OWN = ["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score"]
+
+
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
@@ -428,13 +440,13 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     vocab = keep(count_words(docs, learned), "vocabulary")
     total, size = vocab.where("word != ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    names = {r.word: i for i, r in enumerate(vocab.where(~F.col("word").isin("", END)).orderBy(F.desc("n"), "word").limit(lm_words.NAMES).collect())}
+    frequent = {r.word: i for i, r in enumerate(vocab.where(~F.col("word").isin("", END)).orderBy(F.desc("n"), "word").limit(lm_words.NAMES).collect())}
     outcomes = np.full((lm_words.RUNS, 2), 0.5)
     for r in vocab.where("word = ''").collect():
         outcomes[r.kind // 2, r.kind % 2] += r.n
     rates = outcomes[:, 1] / outcomes.sum(1)
 
-    words = keep(by_word(count_pairs(docs, learned, names), total), "words")
+    words = keep(by_word(count_pairs(docs, learned, frequent), total), "words")
     known = words.where("c > 0")
     kinds = known.select("grp", "c", F.explode("kinds").alias("k")).select("grp", "c", "k.*")
     counts = np.zeros((lm_words.KINDS, 2))
@@ -448,12 +460,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     both = score_known(dealt, top, counts, mixer).unionByName(score_unknown(words.where("c = 0"), counts, mixer, train_spelling(known)))
     scored = keep(both, "scored")
     # at most NAMED pairs can have more than this share of all tokens
-    often = kinds_of(words).where(F.col("n") * NAMED > total).select("word", "kind")
-    named = scored.join(often, ["word", "kind"]).collect()
-    shared = spark.sparkContext.broadcast(({(r.word, r.kind): (r.c, r.s) for r in named}, names, rates))
+    named = scored.where(F.col("n") * NAMED > total).select("key", "c", "s").toArrow().sort_by("key")
+    shared = spark.sparkContext.broadcast((*(named.column(i).to_numpy() for i in range(3)), frequent, rates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, names, rates = shared.value
+        index, known_c, known_s, frequent, rates = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch, texts in pieces(batches):
             of, codes, vocab = tokens(texts)
@@ -463,48 +474,43 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             guessed[at] = right
             size = np.where([w == END for w in vocab], 1, np.array([len(w.encode()) + 1 for w in vocab]))
             # each distinct (text, word, kind) once: how often, and how often not guessed
-            pair = codes * lm_words.KINDS + _contexts(of, codes, vocab, names)
+            pair = codes * lm_words.KINDS + _contexts(of, codes, vocab, frequent)
             pairs, of_pair = np.unique(pair, return_inverse=True)
             key, place, times = np.unique(of * len(pairs) + of_pair, return_inverse=True, return_counts=True)
             coded = times - np.bincount(place, weights=guessed, minlength=len(key)).astype(np.int64)
             text, pair = np.divmod(key, len(pairs))
             code, kind = np.divmod(pairs, lm_words.KINDS)
-            found = [index.get((vocab[c], k)) for c, k in zip(code.tolist(), kind.tolist())]
-            near = np.array([f is not None for f in found], bool)[pair]
-            values = np.array([f or (0, 0.0) for f in found]).reshape(-1, 2)[pair]
+            keys = _keys(names(pa.array(vocab, pa.string()))[code], kind)
+            found = np.minimum(np.searchsorted(index, keys), max(0, len(index) - 1))
+            is_named = index[found] == keys if len(index) else np.zeros(len(keys), bool)
+            near = is_named[pair]
+            values = np.zeros((len(keys), 2))
+            values[is_named] = np.stack((known_c[found[is_named]], known_s[found[is_named]]), axis=1)
+            values = values[pair]
             base = np.bincount(text[near], weights=(times * np.log10(values[:, 0] + 0.1))[near], minlength=m)
             score = np.bincount(text[near], weights=(coded * values[:, 1])[near], minlength=m)
             score += np.bincount(of[at], weights=lm_words.guess_cost(of, at, right, after, rates), minlength=m)
             n_known = np.bincount(text[near], weights=times[near] * (values[near, 0] > 0), minlength=m).astype(np.int64)
             far = ~near
-            word = pa.array(vocab, pa.string()).take(pa.array(code[pair[far]]))
-            rest = pa.StructArray.from_arrays([word, pa.array(kind[pair[far]].astype(np.int32)), pa.array(times[far]), pa.array(coded[far])], names=["word", "kind", "n", "coded"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[far], np.arange(m + 1)).astype(np.int32)), rest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(m)), column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.bincount(of, minlength=m)),
-                    pa.array(np.bincount(of, weights=size[codes], minlength=m).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score), lists,
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "rest"],
-            )
+            own = [pa.array(row + np.arange(m)), column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.bincount(of, minlength=m)),
+                   pa.array(np.bincount(of, weights=size[codes], minlength=m).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score)]
+            zeros = pa.array(np.zeros(m, np.int64))
+            yield pa.RecordBatch.from_arrays([own[0], own[0], zeros, zeros, pa.StructArray.from_arrays(own[1:], names=OWN)], names=["row", "key", "n", "coded", "own"])
+            rest = [pa.array(x) for x in (row + text[far], keys[pair[far]], times[far], coded[far])]
+            yield pa.RecordBatch.from_arrays([*rest, pa.nulls(len(rest[0]), pa.struct(list(zip(OWN, (x.type for x in own[1:])))))], names=["row", "key", "n", "coded", "own"])
             row += m
 
-    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, rest array<struct<word:string,kind:int,n:long,coded:long>>"
-    made = keep(docs.mapInArrow(run, fields), "rows")
-    rest = made.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(scored, ["word", "kind"])
-    none = F.lit(None)
-    parts = rest.select(
-        "row", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("long").alias("n_tokens"), none.cast("long").alias("n_bytes"),
-        F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base"), (F.col("coded") * F.col("s")).alias("score"),
-    )
-    rows = made.drop("rest").unionByName(parts).groupBy("row")
-    whole = rows.agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
+    fields = "doc_id:long,held_out:boolean,n_tokens:long,n_bytes:long,n_known:long,base:double,score:double"
+    # a row of its own numbers for each text, which no pair meets, and one for each pair that is not broadcast
+    made = docs.mapInArrow(run, f"row long, key long, n long, coded long, own struct<{fields}>").join(scored.select("key", "c", "s"), "key", "left")
+    whole = made.groupBy("row").agg(
+        *(F.max(f"own.{c}").alias(c) for c in OWN[:4]),
+        F.sum(F.coalesce("own.n_known", F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
+        F.sum(F.coalesce("own.base", F.col("n") * F.log10(F.col("c") + 0.1))).alias("base"),
+        F.sum(F.coalesce("own.score", F.col("coded") * F.col("s"))).alias("score"),
+    )
     return whole.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(total + 0.1 * (size + 1)))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
-
-def kinds_of(words: DataFrame) -> DataFrame:
-    """(word, kind, n) again."""
-    return words.select("word", F.explode("kinds").alias("k")).select("word", "k.kind", "k.n")
