@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.shared import keep, small
+from tideview.llm.shared import aside, keep, small
 
 #: Kinds in the order in which they are listed at equal starts.
 KINDS = ("email", "ip", "card", "phone")
@@ -306,8 +306,10 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets, and n_chars brought up to date.
 
-    Where spans overlap, the earlier one is replaced whole and the later one from where the earlier ends.
+    Where spans overlap, the earlier one is replaced whole and the later one from where the earlier ends. Columns of ``docs``
+    that are named like those of ``find_pii`` stay as they are.
     """
+    docs, back = aside(docs, "base", "spans")
     found = find_pii(docs)
     text = F.col("text")
     done = F.aggregate(
@@ -324,4 +326,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text)).drop("base", "spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(back)

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideview.llm.shared import aside
 from tideview.llm.texts import column, mix, names, pieces, words
 
 #: Labelled documents per grade that a fit uses at most.
@@ -172,3 +173,9 @@ def classify(docs: DataFrame, model: Ordinal | None, at_least: int = 2, probabil
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *fields])
 
     return kept.mapInArrow(score, schema)
+
+
+def select(docs: DataFrame, model: Ordinal | None) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` selects, all columns as they are, also those named like its own."""
+    rows, back = aside(docs, "expected_grade", "tail_prob", "selected")
+    return classify(rows, model).where("selected").select(*rows.columns).withColumnsRenamed(back)

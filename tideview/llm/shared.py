@@ -47,6 +47,14 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its own columns of these names, in any case, renamed out of the way, and how to name them back."""
+    wanted = {n.lower() for n in names}
+    mine = [c for c in df.columns if c.lower() in wanted]
+    new = free(df, *(f"_{c}" for c in mine))
+    return df.withColumnsRenamed(dict(zip(mine, new))), dict(zip(new, mine))
+
+
 #: Rows of two or three numbers that a broadcast may hold: some tens of MB.
 SMALL_ROWS = 1_000_000
 
