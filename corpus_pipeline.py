@@ -13,7 +13,7 @@ from tideview.llm.shared import keep
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier selects; the model is fitted on the labelled ones among them."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("selected").select(*docs.columns)
+    return quality.select(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
