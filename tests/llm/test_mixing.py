@@ -147,3 +147,29 @@ def test_long_and_repeating_text(docs):
     got = {r.doc_id: r for r in lm_mixing.score_documents(docs(rows), F.col("doc_id") >= 1000).collect()}
     assert got[1000].n_tokens == 30_001 and got[1000].bits_per_byte < 0.05
     assert got[1001].n_tokens == 2 and got[1001].score < 0
+
+
+def test_query(spark):
+    """The registered query's contract columns against plain counting, on whole tables."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    from tideview.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower)), None] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    c = Counter(w for i, t in texts.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    got = QUERIES["op2_lm_mixing"](spark, sf)
+    assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+        assert math.isfinite(r.score) and r.score < 0
