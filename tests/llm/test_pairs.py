@@ -173,6 +173,24 @@ def test_passages_are_brute_force(spark, docs):
     assert len(got) > 10
 
 
+def test_votes_are_summed_for_words_in_windows_only(monkeypatch):
+    """Marks of windows come out as from whole documents, though words outside of all windows are not summed up."""
+    rng = random.Random(9)
+    passage = rng.choices(WORDS, k=40)
+    index = dc.Index([(7, " ".join(passage)), (8, " ".join(passage[:12]))], 0.8)
+    far = lambda n: [f"far{rng.random()}" for _ in range(n)]
+    texts = [far(3000) + passage + far(500) + passage[:12], far(800), passage[:36], passage[2:] + far(50)]
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    hashes = dc.names(dc.pa.array([w for t in texts for w in t]))
+    summed = []
+    monkeypatch.setattr(dc, "VOTED", 16)
+    plain = dc.Index.votes
+    monkeypatch.setattr(dc.Index, "votes", lambda self, h: summed.append(len(h)) or plain(self, h))
+    found = {(d, i, p, n) for d, i, _s, p, n in index.matches(of, hashes)}
+    assert found == {(0, 0, 3000, 40), (0, 1, 3000, 12), (2, 0, 0, 36), (2, 1, 0, 12), (3, 0, 0, 40)}
+    assert sum(summed) < 400
+
+
 def test_no_passages(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert dc.find_passages(docs([(1, "a b c", "en", "s")]), empty).count() == 0

@@ -38,6 +38,8 @@ RADIUS, BLOCKS, WIDTH = 15, 4, 16
 #: Items, and bytes of their texts, that one scan looks for.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
 K = 5
+#: Words whose votes are summed up at once; one document's are never cut.
+VOTED = 1 << 16
 
 _NEAR = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(WIDTH), r)], np.uint64)
 
@@ -129,33 +131,41 @@ class Index:
         if not len(hashes) or not self.items:
             return none
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        known = np.concatenate(([0], np.cumsum(self.known[at] == hashes)))
+        known = np.concatenate(([0], np.cumsum(self.known[at] == hashes))).astype(np.int32)
         edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
         first, size = edges[:-1], np.diff(edges)
         out = []
         for length in self.by_length:
             if len(hashes) >= length:
-                full = (known[length:] - known[:-length]) * 5 >= length * 4
-                full = np.flatnonzero(full & (of[: len(of) - length + 1] == of[length - 1 :]))
+                full = np.flatnonzero(known[length:] - known[:-length] >= -(-length * 4 // 5))
+                full = full[of[full] == of[full + length - 1]]
                 out.append(np.stack((of[full], np.full(len(full), length), full, np.full(len(full), length)), axis=1))
             # documents shorter than the item, though long enough for four fifths of it, are one window
             short = np.flatnonzero((size < length) & (size * 5 >= length * 4))
             short = short[(known[first[short] + size[short]] - known[first[short]]) * 5 >= size[short] * 4]
             out.append(np.stack((of[first[short]], np.full(len(short), length), first[short], size[short]), axis=1))
         found = np.concatenate(out) if out else none
-        return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        # of one document and length they are in order already
+        return found[np.argsort(found[:, 0] * (found[:, 1].max(initial=0) + 1) + found[:, 1], kind="stable")]
 
     def matches(self, of: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, words): each item's best window in each document, the first of equals."""
         found = self.windows(of, hashes)
         marks = np.zeros(len(found), np.uint64)
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(found[:, 0]) != 0, [True]))) if len(found) else ()
+        # only words that lie in some window are summed up; ``rank`` counts them
+        n = len(of) + 1
+        covered = np.cumsum(np.bincount(found[:, 2], minlength=n) - np.bincount(found[:, 2] + found[:, 3], minlength=n))[:-1] > 0
+        rank = np.concatenate(([0], np.cumsum(covered)))
+        voting = hashes[covered]
+        begin = rank[np.searchsorted(of, found[:, 0])]
+        first, last = rank[found[:, 2]], rank[found[:, 2] + found[:, 3]]
+        edges = [0, *(np.flatnonzero(np.diff(begin // VOTED)) + 1).tolist(), len(found)] if len(found) else []
         for a, z in zip(edges[:-1], edges[1:]):
-            start, end = np.searchsorted(of, found[a, 0]), np.searchsorted(of, found[a, 0], side="right")
-            sums = self.votes(hashes[start:end])
+            low = begin[a]
+            sums = self.votes(voting[low : last[a:z].max()])
             for i in range(a, z, 1 << 16):
-                place = found[i : min(z, i + (1 << 16)), 2] - start
-                marks[i : i + len(place)] = self.fingerprints(sums, place, place + found[i : i + len(place), 3])
+                j = min(z, i + (1 << 16))
+                marks[i:j] = self.fingerprints(sums, first[i:j] - low, last[i:j] - low)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         order = np.argsort(found[:, 1], kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(found[order, 1])) + 1) if len(found) else ():

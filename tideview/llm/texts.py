@@ -42,9 +42,14 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return of[full.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """The strings as a list: by way of one array, which is several times faster than one by one."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def names(strings: pa.Array) -> np.ndarray:
     """A 64-bit number for each string, the same in every process."""
-    return pd.util.hash_array(np.asarray(strings.to_pylist(), dtype=object), categorize=False)
+    return pd.util.hash_array(np.asarray(strings.to_numpy(zero_copy_only=False), dtype=object), categorize=False)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
