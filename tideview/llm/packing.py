@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.llm.shared import keep
-from tideview.llm.texts import column, pieces
+from tideview.llm.texts import column, listed, pieces
 
 OPEN = 64
 #: Free tokens in the fullest window up to which it is emitted as it is; beyond, a document is cut to fill it.
@@ -37,6 +37,8 @@ SLACK = 8
 MERGED = 32
 #: Words whose tokens a task remembers.
 REMEMBERED = 1 << 19
+#: Bytes of text whose distinct words are looked up at once.
+PIECE = 8 << 20
 
 #: How the tokenizer marks the end of a piece, and marks that are a piece of their own after letters.
 WORD_END = "</w>"
@@ -81,15 +83,19 @@ class Encoder:
                 self.known[w] = raw[a:z]
 
     def _learn(self, fresh: list[str]) -> None:
+        known = self.known
         stems = pc.utf8_rtrim(pa.array(fresh, pa.string()), characters=MARKS)
-        plain = pc.match_substring_regex(stems, LETTERS).to_pylist()
-        parts = [(w, s, w[len(s) :]) for w, s, ok in zip(fresh, stems.to_pylist(), plain) if ok]
-        tails = dict.fromkeys(t for _, _, t in parts if t and t not in self.known)
+        plain = pc.match_substring_regex(stems, LETTERS).to_numpy(zero_copy_only=False).tolist()
+        # the tokenizer lower-cases, so such letters in any case are the same tokens
+        parts = [(w, s, w[len(s) :]) for w, s, ok in zip(fresh, listed(pc.utf8_lower(stems)), plain) if ok]
+        tails = dict.fromkeys(t for _, _, t in parts if t and t not in known)
         self._each([w for w, ok in zip(fresh, plain) if not ok and w not in tails] + list(tails))
-        self._letters(list(dict.fromkeys(s for _, s, _ in parts if s not in self.known)))
+        self._letters(list(dict.fromkeys(s for _, s, _ in parts if s not in known)))
         for w, s, t in parts:
             if t:
-                self.known[w] = self.known[s] + self.known[t]
+                known[w] = known[s] + known[t]
+            elif w is not s:
+                known[w] = known[s]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end token, and the texts' offsets in them."""
@@ -97,7 +103,7 @@ class Encoder:
         flat = parts.flatten()
         of = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
         coded = flat.dictionary_encode()
-        vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        vocab, codes = listed(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:
             # the words of this piece are the ones most likely to come again
             self.known = {w: self.known[w] for w in vocab if w in self.known}
@@ -192,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096) -> Dat
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode, packer = Encoder(tokenizer, end), Packer(size, part << 32)
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             ids, at = encode(texts)
             out: list[tuple] = []
             for doc, a, z in zip(column(batch, "doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
