@@ -156,3 +156,20 @@ def test_carry_keeps_each_window_short(spark):
     windows = [x for x in plan.splitlines() if " Window [" in x]
     assert len(windows) >= 3 and sum("_slot" in x for x in windows) == len(windows) - 1
     assert all("_file" in x for x in windows)
+
+
+def test_partial_images_are_made_once(spark, folder):
+    """The net changes rest on stored frames only; the feed behind them is not read again by each step."""
+    lines = [("update", 1, i, {"k": str(i), "a": "x"}, {"a": None}) for i in range(1, 5)]
+    lines += [("update", 1, 10, {"k": "9"}, {"k": "1"}), ("update", 1, 11, {"k": "2", "b": "7"}, {"b": "2"}), ("delete", 1, 12, {"k": "3"}, {})]
+    lines += [("insert", 1, 13, {"k": "3", "c": "new"}, {}), ("insert", 1, 14, {"k": "6", "a": None}, {}), ("delete", 1, 15, {"k": "4"}, {})]
+    _feed(spark, lines).write.parquet(f"{folder}/changes")
+    changes = spark.read.parquet(f"{folder}/changes")
+    table = spark.createDataFrame([(i, "old", i, f"c{i}") for i in range(1, 5)], SCHEMA)
+    net = net_changes(changes, "t", "k", table.schema, current=table, cut=shared_cut(spark, "once"))
+    got = {r._key: (r._deleted, r.a, r.b, r.c) for r in net.collect()}
+    assert {k: v for k, v in got.items() if not v[0]} == {
+        9: (False, "x", 1, "c1"), 2: (False, "x", 7, "c2"), 3: (False, None, None, "new"), 6: (False, None, None, None),
+    }
+    assert got[1][0] and got[4][0]
+    assert not [f for f in net.inputFiles() if f"{folder}/changes" in f]
