@@ -87,6 +87,18 @@ def test_stream_of_files_with_rejects(spark, folder):
     assert spark.table("seen_changes").count() == 1 and rejects.isStreaming
 
 
+def test_lines_without_extras_are_not_parsed_for_them(spark):
+    """Only a line with a field of its own is parsed again; what is read stays the same, odd lines included."""
+    raw = ['{"type":"x","data":{"zz":1}}', '{"type":"x","zz":{"q":1}}', "{}", "nope", "[1]", None, '{"type":"x"} tail', '{"type":null,"c":1,"c":2}']
+    want = [{}, {"zz": '{"q":1}'}, {}, None, None, None, {}, {"c": "2"}]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, value string")
+    made = df.select("i", src._extras(F.col("value"), ["type", "data"]).alias("extra"))
+    assert [r.extra for r in made.orderBy("i").collect()] == want
+    # for lines whose fields are all known the plan needs no map of the whole line
+    known = df.where("i = 0").select(src._extras(F.col("value"), ["type", "data"]).alias("extra"))
+    assert "json_object_keys" in known._jdf.queryExecution().analyzed().toString()
+
+
 def test_extra_attributes_and_protected_names(spark):
     df = as_changes(spark.createDataFrame([({"id": "1"},)], "data map<string,string>"))
     assert src.with_extra(src.with_extra(df, a=1), a=2, b="x", comment="c").first()["extra"] == {"a": "2", "b": "x"}
