@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tideview.llm import lm_words
 from tideview.llm.shared import keep
-from tideview.llm.texts import column, mix, names, pieces, words
+from tideview.llm.texts import column, listed, mix, names, pieces, words
 
 #: Bits of each context's table: orders 1, 2, 3, 4, 6 and the word so far.
 ORDERS = (1, 2, 3, 4, 6)
@@ -55,7 +55,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     all_of = np.concatenate((of.astype(np.int64), np.arange(n)))
     all_codes = np.concatenate((codes.astype(np.int64), np.full(n, len(vocab))))
     order = np.argsort(all_of, kind="stable")
-    return all_of[order], all_codes[order], [*vocab.to_pylist(), END]
+    return all_of[order], all_codes[order], [*listed(vocab), END]
 
 
 #: First bytes of a word that are compared with those of the word before.
