@@ -173,3 +173,61 @@ def test_query(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
         assert math.isfinite(r.score) and r.score < 0
+
+
+def test_pairs_named(spark):
+    """As many of the most frequent pairs are broadcast as may be, and all where they fit."""
+    scored = spark.createDataFrame([(i, n) for i, n in enumerate([0, 0, 0, 1, 1, 2, 7, 7, 9])], "key long, n long")
+    for most, least in ((9, 0), (8, 1), (6, 1), (5, 2), (3, 7), (2, 9)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm_mixing, "NAMED", most)
+            assert lm_mixing.least_named(scored) == least
+
+
+def test_counted_pairs(spark, docs):
+    """A word's counts leave a task in one row, however many pieces of text it read, and add up to those of plain counting."""
+    rows = [(i, f"a b word{i % 7} " * 40, "en", "s") for i in range(60)] + [(100, None, "en", "s")]
+    table = docs(rows).coalesce(1)
+    learned = F.col("doc_id") % 2 == 0
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_mixing.pieces, "__defaults__", ("text", 500))
+        made = lm_mixing.count_pairs(table, learned, {"a": 0, "b": 1})
+    assert made.count() == made.select("word").distinct().count() == 10
+    want = defaultdict(lambda: defaultdict(int))
+    for i, t, _lang, _s in rows:
+        kind = 0
+        for j, w in enumerate([*(t or "").split(), "\n"]):
+            want[w][kind] += i % 2 == 0
+            kind = {"a": 2, "b": 4}.get(w, kind - 1 if kind and kind % 2 == 0 else kind)
+    got = {r.word: r for r in lm_mixing.by_word(made, 1000).collect()}
+    assert {w: {k % lm_words.KINDS: k // lm_words.KINDS for k in r.kinds} for w, r in got.items()} == want
+    assert all(r.c == sum(want[w].values()) for w, r in got.items())
+
+
+def test_rare_words_left_out(docs):
+    """Words are left out where that cannot change the most frequent ones; else nothing is decided."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.2)), 60)}" for _ in range(400)) for _ in range(30)]
+    table = docs([(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(5)
+    whole = lm_mixing.count_words(table, F.lit(True))
+    want = lm_mixing.frequent_words(whole, 0)
+    assert len(want) == lm_words.NAMES
+    for share, sure in ((200, False), (20_000, True)):
+        part = lm_mixing.count_words(table, F.lit(True), share)
+        r = part.where("word = '' AND kind = -1").first()
+        assert r.n == sum(len(t.split()) + 1 for t in texts) and (r.least > 0) != sure
+        got = lm_mixing.frequent_words(part, r.least)
+        assert got == want or (not sure and got is None)
+
+
+def test_names_and_joins_agree(docs):
+    """Scores do not depend on which pairs are broadcast and which are joined."""
+    rng = random.Random(8)
+    table = docs([(i, " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(50)), "en", "s") for i in range(40)])
+    got = []
+    for most in (0, 30, 1_000_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm_mixing, "NAMED", most)
+            got.append({r.doc_id: r for r in lm_mixing.score_documents(table, F.col("doc_id") % 10 == 0).collect()})
+    for other in got[1:]:
+        assert all(o.score == pytest.approx(got[0][i].score) and o.n_known == got[0][i].n_known and o.base_score == pytest.approx(got[0][i].base_score) for i, o in other.items())

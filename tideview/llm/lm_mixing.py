@@ -9,8 +9,8 @@ of the counts first.
 
 A path depends on the word and its kind of context only, so each distinct pair is scored once; the guesses run through
 each whole text. Neither counts, weights nor scores depend on how the input is cut to tasks (but for the last digits of sums):
-learners are dealt by a hash, in number by the vocabulary, and their weights averaged. The most frequent pairs' scores are
-broadcast (no more than ``NAMED`` pairs can reach their share of the tokens); the rest is joined.
+learners are dealt by a hash, in number by the vocabulary, and their weights averaged. The scores of the ``NAMED`` most frequent
+pairs are broadcast; the rest is joined.
 
 The chance of a wrong guess is not taken from the guessed word's path, so the scores of all texts sum to a little less than one.
 
@@ -40,8 +40,12 @@ ORDERS = (1, 2, 3, 4, 6)
 TABLES = (14, 18, 20, 20, 20, 20)
 #: Slots of a table that are summed together, bytes that are coded at once, words that one learner learns from.
 BLOCK, CHUNK, TASK_WORDS = 1 << 16, 1 << 16, 200_000
-#: (word, kind) pairs that can be named to all tasks: those with more than this part of all tokens.
+#: Words whose spellings one task counts, tasks whose tables are summed at once, words whose pairs one task sums before they are shuffled.
+COUNT_WORDS, FAN, HELD = 1_000_000, 16, 400_000
+#: (word, kind) pairs that are named to all tasks.
 NAMED = 1_000_000
+#: A word that is no more than this part of some bytes' tokens is not counted there when the most frequent words are looked for.
+SHARE = 1 << 14
 GATES, STEPS, EDGE = 24, 33, 8.0
 RATE = 0.05
 
@@ -218,59 +222,124 @@ class Mixer:
         return np.bincount(path.word, weights=total[path.edge], minlength=len(path.sizes))
 
 
-def _rows(word: list[str], kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(kind.astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "kind", "n"])
+ROWS = "word string, kind int, n long, least long"
 
 
-ROWS = "word string, kind int, n long"
+def count_words(docs: DataFrame, learned: Column, share: int | None = None) -> DataFrame:
+    """(word, kind, n, least): the learning texts' words; under an empty word, which no token is, their guesses by run and outcome.
 
-
-def count_words(docs: DataFrame, learned: Column) -> DataFrame:
-    """(word, kind, n): the learning texts' words; under an empty word, which no token is, their guesses by run and outcome."""
+    With ``share``, words that are rare in a piece of the input are left out there: no more than a number of occurrences
+    that is summed for each word over the pieces that have it (least), and over all pieces under the empty word and kind -1,
+    where ``n`` is the number of all tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _batch, texts in pieces(batches):
             of, codes, vocab = tokens(texts)
             n = np.bincount(codes, minlength=len(vocab))
-            yield _rows(vocab, np.zeros(len(vocab)), n)
+            least = len(codes) // share if share else 0
+            some = np.flatnonzero(n > least)
             _at, right, after = lm_words.guesses(of, codes)
-            n = np.bincount(after * 2 + right, minlength=2 * lm_words.RUNS)
-            yield _rows([""] * len(n), np.arange(len(n)), n)
+            outcomes = np.bincount(after * 2 + right, minlength=2 * lm_words.RUNS)
+            word = [vocab[i] for i in some] + [""] * (len(outcomes) + 1)
+            kind = np.concatenate((np.zeros(len(some), np.int32), np.arange(-1, len(outcomes), dtype=np.int32)))
+            arrays = [pa.array(word, pa.string()), pa.array(kind), pa.array(np.concatenate((n[some], [len(codes)], outcomes))), pa.array(np.full(len(word), least))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["word", "kind", "n", "least"])
+
+    return docs.where(learned).select("text").mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"), F.sum("least").alias("least"))
 
-    return docs.where(learned).select("text").mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"))
+
+def frequent_words(vocab: DataFrame, missing: int) -> dict[str, int] | None:
+    """The most frequent words by number; None where ``missing`` uncounted occurrences a word may change which they are."""
+    plain = vocab.where(~F.col("word").isin("", END))
+    top = [(r.word, r.n) for r in plain.orderBy(F.desc("n"), "word").limit(lm_words.NAMES).collect()]
+    if missing:
+        other = plain.where(~F.col("word").isin([w for w, _n in top])).agg(F.max(F.col("n") - F.col("least"))).first()[0]
+        if len(top) < lm_words.NAMES or top[-1][1] <= missing + max(0, other or 0):
+            return None
+    return {w: i for i, (w, _n) in enumerate(top)}
 
 
 def _contexts(of: np.ndarray, codes: np.ndarray, vocab: list[str], names: dict[str, int]) -> np.ndarray:
     return lm_words.kinds(of, np.array([names.get(w, -1) for w in vocab])[codes])
 
 
+WORDS = "word string, hash long, c long, kinds array<long>"
+
+
+def _lists(word: np.ndarray, n_words: int, kind: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Each word's kinds, with how often, as one number each: ``kind + KINDS * n``."""
+    ends = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=n_words))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n * lm_words.KINDS + kind, pa.int64()))
+
+
+def _unlisted(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, kind, n) of the entries of ``_lists``."""
+    word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, kind = np.divmod(lists.flatten().to_numpy(zero_copy_only=False), lm_words.KINDS)
+    return word, kind, n
+
+
+def _summed(word: np.ndarray, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """One list for each word, from rows whose words are ``word`` (every number from 0 occurs), and each word's occurrences."""
+    row, kind, n = _unlisted(lists)
+    key = word[row] * lm_words.KINDS + kind
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    one, kind = np.divmod(key[first], lm_words.KINDS)
+    n = np.add.reduceat(n[order], first)
+    return _lists(one, one[-1] + 1, kind, n), np.add.reduceat(n, np.flatnonzero(np.diff(one, prepend=-1)))
+
+
 def count_pairs(docs: DataFrame, learned: Column, names: dict[str, int]) -> DataFrame:
-    """(word, kind, n): how often each word of any text follows each kind of context in the learning texts."""
+    """(word, kinds): for parts of the input, how often each word of any text follows each kind of context in the learning texts."""
+
+    def together(held: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([w for w, _l in held]).dictionary_encode()
+        lists, _c = _summed(coded.indices.to_numpy().astype(np.int64), pa.concat_arrays([x for _w, x in held]))
+        return pa.RecordBatch.from_arrays([coded.dictionary, lists], names=["word", "kinds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch, texts in pieces(batches):
             of, codes, vocab = tokens(texts)
             take = column(batch, "learned").to_numpy(zero_copy_only=False).astype(bool)[of]
-            key = codes * lm_words.KINDS + _contexts(of, codes, vocab, names)
-            some = np.flatnonzero(np.bincount(key, minlength=1))
-            n = np.bincount(key[take], minlength=key.max(initial=0) + 1)[some]
-            code, kind = np.divmod(some, lm_words.KINDS)
-            yield _rows([vocab[i] for i in code], kind, n)
+            key = np.sort((codes * lm_words.KINDS + _contexts(of, codes, vocab, names)) * 2 + take)
+            first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+            code, kind = np.divmod(key[first] >> 1, lm_words.KINDS)
+            held.append((pa.array(vocab, pa.string()), _lists(code, len(vocab), kind, np.add.reduceat(key & 1, first))))
+            if sum(len(w) for w, _l in held) >= HELD:
+                yield together(held)
+                held = []
+        if held:
+            yield together(held)
 
-    return docs.select("text", learned.alias("learned")).mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    return docs.select("text", learned.alias("learned")).mapInArrow(run, "word string, kinds array<long>")
 
 
 def by_word(pairs: DataFrame, total: int) -> DataFrame:
-    """(word, c, kinds, code, grp): each word with its kinds' counts (no more than ``KINDS``) and its place in the tree."""
-    rows = pairs.groupBy("word").agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
+    """(word, c, kinds, code): each word once with its kinds' counts (no more than ``KINDS``) and its place in the tree."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS, "hash"):
+            word, hashed, lists = (table.column(x).combine_chunks() for x in ("word", "hash", "kinds"))
+            fresh = np.ones(len(word), bool)
+            fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            lists, c = _summed(np.cumsum(fresh) - 1, lists)
+            once = pa.array(np.flatnonzero(fresh))
+            arrays = [word.take(once), hashed.take(once), pa.array(c), lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["word", "hash", "c", "kinds"])
+
+    dealt = pairs.repartition(F.xxhash64("word")).select("word", F.xxhash64("word").alias("hash"), "kinds").sortWithinPartitions("hash", "word")
     rare = F.when(F.col("c") > 0, F.least(F.lit((1 << lm_words.CLASS_BITS) - 1), F.floor(F.log2(F.lit(float(total)) / F.col("c"))).cast("long"))).otherwise(0)
     hashed = lm_words.DEPTH - lm_words.CLASS_BITS
-    rows = rows.withColumn("code", F.shiftleft(rare, hashed) + F.xxhash64("word").bitwiseAND(F.lit((1 << hashed) - 1)))
-    return rows.withColumn("grp", F.shiftright("code", lm_words.LOW))
+    code = F.shiftleft(rare, hashed) + F.col("hash").bitwiseAND(F.lit((1 << hashed) - 1))
+    return dealt.mapInArrow(add, WORDS).select("word", "c", "kinds", code.alias("code"))
 
 
-def gather(vocab: DataFrame) -> list[np.ndarray]:
-    """All spelling contexts' counts, summed over the distinct words."""
+def gather(vocab: DataFrame, size: int) -> list[np.ndarray]:
+    """All spelling contexts' counts, summed over the ``size`` distinct words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -287,7 +356,7 @@ def gather(vocab: DataFrame) -> list[np.ndarray]:
                 block = table[k : k + BLOCK]
                 if block.any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([t], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([zlib.compress(block.astype(np.int64).tobytes(), 1)], pa.binary())],
+                        [pa.array([t], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([zlib.compress(block.astype(np.int64).tobytes(), 1)], pa.binary())],
                         names=["t", "block", "half", "counts"],
                     )
 
@@ -297,7 +366,12 @@ def gather(vocab: DataFrame) -> list[np.ndarray]:
         return first.append_column("counts", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
 
     schema = "t int, block int, half int, counts binary"
-    made = vocab.mapInArrow(count, schema).groupBy("t", "block", "half").applyInArrow(add, schema).groupBy("t", "block").applyInArrow(add, schema)
+    # a task's tables hardly grow with its words, so they are few
+    tasks = max(1, -(-size // COUNT_WORDS))
+    made = vocab.coalesce(tasks).mapInArrow(count, schema)
+    if tasks > FAN:
+        made = made.groupBy("t", "block", "half").applyInArrow(add, schema)
+    made = made.groupBy("t", "block").applyInArrow(add, schema)
     tables = [np.zeros((1 << bits) * 2, np.float32) for bits in TABLES]
     for r in made.collect():
         part = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
@@ -329,9 +403,9 @@ def _learned(rows: DataFrame, learn, start) -> tuple[np.ndarray, ...]:
     return (*(w / total for w in weights), seen) if total else fresh
 
 
-def train_spelling(known: DataFrame) -> Mixer:
+def train_spelling(known: DataFrame, size: int) -> Mixer:
     """Counts from all learned words, weights and map from those met once."""
-    mixer = Mixer(gather(known.select("word")))
+    mixer = Mixer(gather(known.select("word"), size))
     shared = known.sparkSession.sparkContext.broadcast(mixer.counts)
     once = known.where("c = 1").select("word")
     # words that begin alike come together, such groups in random order
@@ -352,10 +426,7 @@ def train_spelling(known: DataFrame) -> Mixer:
 
 def _tree(table: pa.Table, top: np.ndarray) -> tuple[lm_words.Tree, np.ndarray, np.ndarray]:
     """The words of some whole groups as a tree, and for each entry its word's number and that word's learning occurrences."""
-    lists = table.column("kinds").combine_chunks()
-    flat = lists.flatten()
-    word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    kind, n = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("kind", "n"))
+    word, kind, n = _unlisted(table.column("kinds").combine_chunks())
     return lm_words.Tree(table.column("code").to_numpy(), word, kind, n, top), word, table.column("c").to_numpy()[word]
 
 
@@ -365,7 +436,7 @@ def train_words(dealt: DataFrame, top: np.ndarray, counts: np.ndarray) -> lm_wor
 
     def learn(own: lm_words.Mixer, batches: Iterator[pa.RecordBatch]) -> float:
         mass = 0.0
-        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS):
+        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS, "code", lm_words.LOW):
             tree, _word, c = _tree(table, shared.value)
             zeros, ones = lm_words.known_counts(counts, tree.kind)
             use = tree.n > 0
@@ -397,7 +468,7 @@ def score_known(dealt: DataFrame, top: np.ndarray, counts: np.ndarray, mixer: lm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, mixer = shared.value
-        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS):
+        for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS, "code", lm_words.LOW):
             tree, word, c = _tree(table, top)
             s = tree.score(mixer) + np.log10(1 - mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, tree.kind)))
             yield _scored(names(table.column("word").combine_chunks())[word], tree.kind, tree.n, c, s)
@@ -416,15 +487,24 @@ def score_unknown(unknown: DataFrame, counts: np.ndarray, mixer: lm_words.Mixer,
             spelled = np.zeros(len(rows))
             for at, path in _chunks(rows, np.zeros(len(rows), np.int64)):
                 spelled[at] = shared.value.score(path)
-            lists = column(batch, "kinds")
-            word = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            kind = lists.flatten().field("kind").to_numpy(zero_copy_only=False)
+            word, kind, _n = _unlisted(column(batch, "kinds"))
             none = np.zeros(len(word), np.int64)
             yield _scored(names(column(batch, "word"))[word], kind, none, none, spelled[word] + np.log10(chance)[kind])
 
     return unknown.mapInArrow(run, SCORED)
 
 
+def least_named(scored: DataFrame) -> int:
+    """The smallest number of occurrences such that no more than ``NAMED`` pairs have as many or more."""
+    least, pairs = np.iinfo(np.int64).max, 0
+    for r in scored.groupBy("n").count().orderBy(F.desc("n")).collect():
+        pairs += r["count"]
+        if pairs > NAMED:
+            break
+        least = r.n
+    return int(least)
+
+
 #: What a text knows of itself before its other pairs are joined.
 OWN = ["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score"]
 
@@ -438,29 +518,40 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     learned = ~F.col("held_out")
     spark = docs.sparkSession
-    vocab = keep(count_words(docs, learned), "vocabulary")
-    total, size = vocab.where("word != ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = {r.word: i for i, r in enumerate(vocab.where(~F.col("word").isin("", END)).orderBy(F.desc("n"), "word").limit(lm_words.NAMES).collect())}
-    outcomes = np.full((lm_words.RUNS, 2), 0.5)
-    for r in vocab.where("word = ''").collect():
-        outcomes[r.kind // 2, r.kind % 2] += r.n
+    for share in (SHARE, None):
+        vocab = keep(count_words(docs, learned, share), "vocabulary")
+        outcomes, total, missing = np.full((lm_words.RUNS, 2), 0.5), 0, 0
+        for r in vocab.where("word = ''").collect():
+            if r.kind < 0:
+                total, missing = r.n, r.least
+            else:
+                outcomes[r.kind // 2, r.kind % 2] += r.n
+        frequent = frequent_words(vocab, missing)
+        if frequent is not None:
+            break
     rates = outcomes[:, 1] / outcomes.sum(1)
 
     words = keep(by_word(count_pairs(docs, learned, frequent), total), "words")
     known = words.where("c > 0")
-    kinds = known.select("grp", "c", F.explode("kinds").alias("k")).select("grp", "c", "k.*")
+    size = known.count()
+    group = F.shiftright("code", lm_words.LOW)
+    kinds = known.select(group.alias("grp"), "c", F.explode("kinds").alias("k"))
+    kinds = kinds.select("grp", "c", F.expr(f"int(k % {lm_words.KINDS})").alias("kind"), F.expr(f"k div {lm_words.KINDS}").alias("n"))
     counts = np.zeros((lm_words.KINDS, 2))
     for r in kinds.groupBy("kind").agg(F.sum(F.when(F.col("c") > 1, F.col("n")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c") == 1, F.col("n")).otherwise(0)).alias("one")).collect():
         counts[r.kind] = r.more, r.one
     upper = kinds.groupBy("grp", "kind").agg(F.sum("n").alias("n")).toArrow()
     top = np.zeros((lm_words.KINDS, 1 << lm_words.TOP))
     top[upper.column("kind").to_numpy(), upper.column("grp").to_numpy()] = upper.column("n").to_numpy()
-    dealt = known.repartition(max(1, -(-size // TASK_WORDS)), "grp").sortWithinPartitions("grp", "code", "word")
-    mixer = train_words(dealt, top, counts)
-    both = score_known(dealt, top, counts, mixer).unionByName(score_unknown(words.where("c = 0"), counts, mixer, train_spelling(known)))
+    learners = max(1, -(-size // TASK_WORDS))
+    # learning needs no words, so they are not shuffled for it
+    plain = known.select("c", "kinds", "code").repartition(learners, group).sortWithinPartitions("code", "c")
+    dealt = known.repartition(learners, group).sortWithinPartitions("code", "word")
+    mixer = train_words(plain, top, counts)
+    both = score_known(dealt, top, counts, mixer).unionByName(score_unknown(words.where("c = 0"), counts, mixer, train_spelling(known, size)))
     scored = keep(both, "scored")
-    # at most NAMED pairs can have more than this share of all tokens
-    named = scored.where(F.col("n") * NAMED > total).select("key", "c", "s").toArrow().sort_by("key")
+    least = least_named(scored)
+    named = scored.where(F.col("n") >= least).select("key", "c", "s").toArrow().sort_by("key")
     shared = spark.sparkContext.broadcast((*(named.column(i).to_numpy() for i in range(3)), frequent, rates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,23 +563,34 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             at, right, after = lm_words.guesses(of, codes)
             guessed = np.zeros(len(of), np.int64)
             guessed[at] = right
-            size = np.where([w == END for w in vocab], 1, np.array([len(w.encode()) + 1 for w in vocab]))
+            spelled = pa.array(vocab, pa.string())
+            size = pc.binary_length(spelled).to_numpy().astype(np.int64) + 1
+            size[-1] = 1  # the end
             # each distinct (text, word, kind) once: how often, and how often not guessed
-            pair = codes * lm_words.KINDS + _contexts(of, codes, vocab, frequent)
-            pairs, of_pair = np.unique(pair, return_inverse=True)
-            key, place, times = np.unique(of * len(pairs) + of_pair, return_inverse=True, return_counts=True)
-            coded = times - np.bincount(place, weights=guessed, minlength=len(key)).astype(np.int64)
-            text, pair = np.divmod(key, len(pairs))
+            most = len(vocab) * lm_words.KINDS
+            key = np.sort((of * most + codes * lm_words.KINDS + _contexts(of, codes, vocab, frequent)) * 2 + guessed)
+            first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+            times = np.diff(first, append=len(key))
+            coded = times - np.add.reduceat(key & 1, first)
+            text, pair = np.divmod(key[first] >> 1, most)
+            number = np.zeros(most, np.int32)
+            number[pair] = 1
+            pairs = np.flatnonzero(number)
+            number[pairs] = np.arange(len(pairs))
+            pair = number[pair]
             code, kind = np.divmod(pairs, lm_words.KINDS)
-            keys = _keys(names(pa.array(vocab, pa.string()))[code], kind)
-            found = np.minimum(np.searchsorted(index, keys), max(0, len(index) - 1))
+            keys = _keys(names(spelled)[code], kind)
+            # sorted, they are found several times faster
+            order = np.argsort(keys)
+            found = np.empty(len(keys), np.int64)
+            found[order] = np.minimum(np.searchsorted(index, keys[order]), max(0, len(index) - 1))
             is_named = index[found] == keys if len(index) else np.zeros(len(keys), bool)
             near = is_named[pair]
             values = np.zeros((len(keys), 2))
             values[is_named] = np.stack((known_c[found[is_named]], known_s[found[is_named]]), axis=1)
             values = values[pair]
-            base = np.bincount(text[near], weights=(times * np.log10(values[:, 0] + 0.1))[near], minlength=m)
-            score = np.bincount(text[near], weights=(coded * values[:, 1])[near], minlength=m)
+            base = np.bincount(text[near], weights=(times * np.log10(values[:, 0] + 0.1))[near], minlength=m).astype(float)
+            score = np.bincount(text[near], weights=(coded * values[:, 1])[near], minlength=m).astype(float)
             score += np.bincount(of[at], weights=lm_words.guess_cost(of, at, right, after, rates), minlength=m)
             n_known = np.bincount(text[near], weights=times[near] * (values[near, 0] > 0), minlength=m).astype(np.int64)
             far = ~near
@@ -502,7 +604,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     fields = "doc_id:long,held_out:boolean,n_tokens:long,n_bytes:long,n_known:long,base:double,score:double"
     # a row of its own numbers for each text, which no pair meets, and one for each pair that is not broadcast
-    made = docs.mapInArrow(run, f"row long, key long, n long, coded long, own struct<{fields}>").join(scored.select("key", "c", "s"), "key", "left")
+    made = docs.mapInArrow(run, f"row long, key long, n long, coded long, own struct<{fields}>").join(scored.where(F.col("n") < least).select("key", "c", "s"), "key", "left")
     whole = made.groupBy("row").agg(
         *(F.max(f"own.{c}").alias(c) for c in OWN[:4]),
         F.sum(F.coalesce("own.n_known", F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),

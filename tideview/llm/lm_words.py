@@ -64,8 +64,13 @@ def guesses(of: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(of)
     first = starts(of)
     at = np.flatnonzero(np.arange(n) - first >= 2)
-    pair = codes[at - 2] * (codes.max(initial=0) + 1) + codes[at - 1]
-    order = np.lexsort((pair, of[at]))
+    n_codes = int(codes.max(initial=0)) + 1
+    pair = codes[at - 2] * n_codes + codes[at - 1]
+    if (int(of.max(initial=0)) + 1) * n_codes * n_codes * max(1, len(at)) < 1 << 63:
+        # text, pair and place as one number: the same order, several times faster
+        order = np.sort((of[at] * (n_codes * n_codes) + pair) * len(at) + np.arange(len(at))) % max(1, len(at))
+    else:
+        order = np.lexsort((pair, of[at]))
     again = np.zeros(len(at), bool)
     again[1:] = (pair[order][1:] == pair[order][:-1]) & (of[at][order][1:] == of[at][order][:-1])
     now, then = at[order[again]], at[order[np.flatnonzero(again) - 1]]
@@ -111,8 +116,8 @@ class Mixer:
         odds = np.full((CONTEXTS + 1, zeros.shape[1]), 0.3)
         np.log((ones + 0.3) / (zeros + 0.3), out=odds[:CONTEXTS])
         np.clip(odds, -EDGE, EDGE, out=odds)
-        seen = np.searchsorted(SEEN, zeros + ones, side="right")
-        gate = seen[1] * (len(SEEN) + 1) + seen[2]
+        seen = sum((zeros[1:] + ones[1:] >= t).astype(np.int64) for t in SEEN)
+        gate = seen[0] * (len(SEEN) + 1) + seen[1]
         weights = self.by_gate + self.by_level[level]
         return odds, gate, np.clip((weights[gate].T * odds).sum(0), -EDGE, EDGE)
 
@@ -150,9 +155,11 @@ class Tree:
 
     def __init__(self, codes: np.ndarray, word: np.ndarray, kind: np.ndarray, n: np.ndarray, top: np.ndarray):
         self.codes, self.kind, self.n = codes[word], kind, n
+        # above level TOP a group's words with the same kind are alike; one entry stands for them
+        _both, self.first, self.alike = np.unique((self.codes >> LOW) * KINDS + kind, return_index=True, return_inverse=True)
         rows = (np.zeros_like(kind), _names(kind), kind)
         tops = (top.sum(0)[None], np.stack([top[_names(np.arange(KINDS)) == j].sum(0) for j in range(NAMES + 1)]), top)
-        self.upper = [(r, np.concatenate((np.zeros((len(t), 1)), np.cumsum(t, axis=1)), axis=1)) for r, t in zip(rows, tops)]
+        self.upper = [(r[self.first], np.concatenate((np.zeros((len(t), 1)), np.cumsum(t, axis=1)), axis=1)) for r, t in zip(rows, tops)]
         self.lower = []
         for r in rows:
             key = (r << DEPTH) + self.codes
@@ -161,8 +168,8 @@ class Tree:
         self.distinct = codes
 
     def decisions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(level, entries, bit, zeros, ones by context) wherever both ways lead to known words."""
-        group = self.codes >> LOW
+        """(level, entries, bit, zeros, ones by context) wherever both ways lead to known words; above ``TOP`` of the entries ``first``."""
+        group = self.codes[self.first] >> LOW
         low, high = np.zeros(len(group), np.int64), np.full(len(group), 1 << TOP)
         for level in range(TOP):
             mid = (low + high) // 2
@@ -170,8 +177,9 @@ class Tree:
             bit = (group >= mid).astype(np.int64)
             at = np.flatnonzero((sums[0][0] > 0) & (sums[0][1] > 0))
             if len(at):
-                yield level, at, bit[at], np.stack([z[at] for z, _o in sums]), np.stack([o[at] for _z, o in sums])
+                yield level, self.first[at], bit[at], np.stack([z[at] for z, _o in sums]), np.stack([o[at] for _z, o in sums])
             low, high = np.where(bit, mid, low), np.where(bit, high, mid)
+        group = self.codes >> LOW
         at = np.arange(len(group))
         bounds = [[np.searchsorted(key, base + (group + j << LOW)) for j in (0, 1)] for base, key, _s in self.lower]
         words = [np.searchsorted(self.distinct, group + j << LOW) for j in (0, 1)]
@@ -196,18 +204,21 @@ class Tree:
 
     def score(self, mixer: Mixer) -> np.ndarray:
         """log10 probability of each entry's word after its kind, given that the word is known."""
-        total = np.zeros(len(self.codes))
+        total, above = np.zeros(len(self.codes)), np.zeros(len(self.codes))
         for level, at, bit, zeros, ones in self.decisions():
             p = mixer.chance(level, zeros, ones)
-            total[at] += np.log10(np.where(bit == 1, p, 1 - p))
+            (above if level < TOP else total)[at] += np.log10(np.where(bit == 1, p, 1 - p))
         same = np.searchsorted(self.distinct, self.codes, side="right") - np.searchsorted(self.distinct, self.codes)
-        return total - np.log10(same)
+        return total + above[self.first][self.alike] - np.log10(same)
 
     def learn(self, mixer: Mixer, times: np.ndarray) -> None:
+        above = np.zeros(len(times))
+        above[self.first] = np.bincount(self.alike, weights=times)
         for level, at, bit, zeros, ones in self.decisions():
-            use = times[at] > 0
+            now = (above if level < TOP else times)[at]
+            use = now > 0
             if use.any():
-                mixer.learn(level, bit[use], zeros[:, use], ones[:, use], times[at][use])
+                mixer.learn(level, bit[use], zeros[:, use], ones[:, use], now[use])
 
 
 def known_counts(counts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +228,11 @@ def known_counts(counts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.n
     return np.stack([r[:, 0] for r in rows]), np.stack([r[:, 1] for r in rows])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """The batches, which are sorted by ``grp``, put together to at least ``rows`` rows, never cutting a group."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int, by: str = "grp", shift: int = 0) -> Iterator[pa.Table]:
+    """The batches, which are sorted by ``by``, put together to at least ``rows`` rows, never cutting a group.
+
+    A group's rows have the same ``by`` but for its lowest ``shift`` bits.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -229,7 +243,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Ta
         if size < rows:
             continue
         table = pa.Table.from_batches(held)
-        group = table.column("grp").to_numpy()
+        group = table.column(by).to_numpy() >> shift
         cuts = np.flatnonzero(np.diff(group)) + 1
         begin = 0
         for cut in cuts.tolist():
