@@ -326,12 +326,16 @@ def by_word(pairs: DataFrame, total: int) -> DataFrame:
             word, hashed, lists = (table.column(x).combine_chunks() for x in ("word", "hash", "kinds"))
             fresh = np.ones(len(word), bool)
             fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            if (fresh[1:] & (np.diff(hashed.to_numpy()) == 0)).any():  # words with one hash may alternate
+                order = pc.sort_indices(table, [("hash", "ascending"), ("word", "ascending")])
+                word, hashed, lists = word.take(order), hashed.take(order), lists.take(order)
+                fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
             lists, c = _summed(np.cumsum(fresh) - 1, lists)
             once = pa.array(np.flatnonzero(fresh))
             arrays = [word.take(once), hashed.take(once), pa.array(c), lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["word", "hash", "c", "kinds"])
 
-    dealt = pairs.repartition(F.xxhash64("word")).select("word", F.xxhash64("word").alias("hash"), "kinds").sortWithinPartitions("hash", "word")
+    dealt = pairs.repartition(F.xxhash64("word")).select("word", F.xxhash64("word").alias("hash"), "kinds").sortWithinPartitions("hash")
     rare = F.when(F.col("c") > 0, F.least(F.lit((1 << lm_words.CLASS_BITS) - 1), F.floor(F.log2(F.lit(float(total)) / F.col("c"))).cast("long"))).otherwise(0)
     hashed = lm_words.DEPTH - lm_words.CLASS_BITS
     code = F.shiftleft(rare, hashed) + F.col("hash").bitwiseAND(F.lit((1 << hashed) - 1))
@@ -545,8 +549,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     top[upper.column("kind").to_numpy(), upper.column("grp").to_numpy()] = upper.column("n").to_numpy()
     learners = max(1, -(-size // TASK_WORDS))
     # learning needs no words, so they are not shuffled for it
-    plain = known.select("c", "kinds", "code").repartition(learners, group).sortWithinPartitions("code", "c")
-    dealt = known.repartition(learners, group).sortWithinPartitions("code", "word")
+    plain = known.select("c", "kinds", "code").repartition(learners, group).sortWithinPartitions("code")
+    dealt = known.repartition(learners, group).sortWithinPartitions("code")
     mixer = train_words(plain, top, counts)
     both = score_known(dealt, top, counts, mixer).unionByName(score_unknown(words.where("c = 0"), counts, mixer, train_spelling(known, size)))
     scored = keep(both, "scored")

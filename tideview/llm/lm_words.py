@@ -86,7 +86,7 @@ def guesses(of: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def guess_cost(of: np.ndarray, at: np.ndarray, right: np.ndarray, run: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """log10 probability of each guess's outcome, the text's own earlier outcomes counted in."""
     key = of[at] * RUNS + run
-    order = np.argsort(key, kind="stable")
+    order = np.sort(key * len(key) + np.arange(len(key))) % max(1, len(key))  # a stable order of the keys
     k, r = key[order], right[order].astype(float)
     begin = starts(k) if len(k) else k
     seen = np.arange(len(k)) - begin
