@@ -104,6 +104,32 @@ def test_tree_counts_plain():
     assert checked > 100
 
 
+def test_alike_decisions_once():
+    """Entries with the same kind, node and bit are one decision, and each entry's score is the sum of its own decisions."""
+    rng = np.random.default_rng(9)
+    codes = np.sort(rng.integers(0, 3 << lm_words.LOW, 300))
+    codes[1::50] = codes[::50]
+    word, kind = np.repeat(np.arange(300), 3), np.tile([0, 3, 4], 300)
+    n = rng.integers(0, 5, len(word))
+    top = np.zeros((lm_words.KINDS, 1 << lm_words.TOP))
+    np.add.at(top, (kind, codes[word] >> lm_words.LOW), n)
+    tree, mixer = lm_words.Tree(codes, word, kind, n, top), lm_words.Mixer()
+    tree.learn(mixer, n.astype(float))
+    want = np.zeros(len(word))
+    for level, at, bit, zeros, ones in tree.decisions():
+        node = codes[word] >> (lm_words.DEPTH - 1 - level)
+        if level >= lm_words.TOP:
+            made = list(zip(kind[at].tolist(), node[at].tolist()))
+            assert len(set(made)) == len(made)
+        else:
+            node = codes[word] >> lm_words.LOW
+        p = mixer.chance(level, zeros, ones)
+        cost = dict(zip(zip(kind[at].tolist(), node[at].tolist()), np.log10(np.where(bit == 1, p, 1 - p)).tolist()))
+        want += [cost.get(x, 0) for x in zip(kind.tolist(), node.tolist())]
+    _codes, same, times = np.unique(codes, return_inverse=True, return_counts=True)
+    assert np.allclose(tree.score(mixer), want - np.log10(times[same])[word])
+
+
 def test_whole_groups():
     import pyarrow as pa
 

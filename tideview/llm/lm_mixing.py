@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tideview.llm import lm_words
 from tideview.llm.shared import keep
-from tideview.llm.texts import column, listed, mix, names, pieces, words
+from tideview.llm.texts import column, mix, names, pieces, words
 
 #: Bits of each context's table: orders 1, 2, 3, 4, 6 and the word so far.
 ORDERS = (1, 2, 3, 4, 6)
@@ -52,14 +52,16 @@ RATE = 0.05
 END = "\n"
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(text, word) of each token and the distinct words; each text's last token is the end."""
     of, codes, vocab = words(texts)
     n = len(texts)
-    all_of = np.concatenate((of.astype(np.int64), np.arange(n)))
-    all_codes = np.concatenate((codes.astype(np.int64), np.full(n, len(vocab))))
-    order = np.argsort(all_of, kind="stable")
-    return all_of[order], all_codes[order], [*listed(vocab), END]
+    sizes = np.bincount(of, minlength=n) + 1
+    last = np.zeros(int(sizes.sum()), bool)
+    last[np.cumsum(sizes) - 1] = True
+    all_codes = np.full(len(last), len(vocab))
+    all_codes[~last] = codes
+    return np.repeat(np.arange(n), sizes), all_codes, pa.concat_arrays([vocab, pa.array([END], vocab.type)])
 
 
 #: First bytes of a word that are compared with those of the word before.
@@ -139,7 +141,8 @@ class Path:
 def _chunks(rows: list[str], kinds: np.ndarray) -> Iterator[tuple[np.ndarray, Path]]:
     """The rows cut to chunks, each with its rows' numbers; rows that begin alike are put next to each other."""
     coded = [(w if w == END else w + " ").encode() for w in rows]
-    order = sorted(range(len(rows)), key=lambda i: (kinds[i], coded[i]))
+    order = np.array(sorted(range(len(rows)), key=coded.__getitem__), np.int64)
+    order = order[np.argsort(kinds[order], kind="stable")].tolist()
     ends = np.cumsum([len(coded[i]) for i in order])
     cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(coded)]
     for a, z in zip(cuts[:-1], cuts[1:]):
@@ -241,9 +244,9 @@ def count_words(docs: DataFrame, learned: Column, share: int | None = None) -> D
             some = np.flatnonzero(n > least)
             _at, right, after = lm_words.guesses(of, codes)
             outcomes = np.bincount(after * 2 + right, minlength=2 * lm_words.RUNS)
-            word = [vocab[i] for i in some] + [""] * (len(outcomes) + 1)
+            word = pa.concat_arrays([vocab.take(pa.array(some)), pa.array([""] * (len(outcomes) + 1), vocab.type)])
             kind = np.concatenate((np.zeros(len(some), np.int32), np.arange(-1, len(outcomes), dtype=np.int32)))
-            arrays = [pa.array(word, pa.string()), pa.array(kind), pa.array(np.concatenate((n[some], [len(codes)], outcomes))), pa.array(np.full(len(word), least))]
+            arrays = [word, pa.array(kind), pa.array(np.concatenate((n[some], [len(codes)], outcomes))), pa.array(np.full(len(word), least))]
             yield pa.RecordBatch.from_arrays(arrays, names=["word", "kind", "n", "least"])
 
     return docs.where(learned).select("text").mapInArrow(run, ROWS).groupBy("word", "kind").agg(F.sum("n").alias("n"), F.sum("least").alias("least"))
@@ -260,8 +263,9 @@ def frequent_words(vocab: DataFrame, missing: int) -> dict[str, int] | None:
     return {w: i for i, (w, _n) in enumerate(top)}
 
 
-def _contexts(of: np.ndarray, codes: np.ndarray, vocab: list[str], names: dict[str, int]) -> np.ndarray:
-    return lm_words.kinds(of, np.array([names.get(w, -1) for w in vocab])[codes])
+def _contexts(of: np.ndarray, codes: np.ndarray, vocab: pa.Array, names: dict[str, int]) -> np.ndarray:
+    found = pc.fill_null(pc.index_in(vocab, value_set=pa.array(list(names), vocab.type)), -1).to_numpy()
+    return lm_words.kinds(of, np.array([*names.values(), -1], np.int64)[found][codes])
 
 
 WORDS = "word string, hash long, c long, kinds array<long>"
@@ -308,7 +312,7 @@ def count_pairs(docs: DataFrame, learned: Column, names: dict[str, int]) -> Data
             key = np.sort((codes * lm_words.KINDS + _contexts(of, codes, vocab, names)) * 2 + take)
             first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
             code, kind = np.divmod(key[first] >> 1, lm_words.KINDS)
-            held.append((pa.array(vocab, pa.string()), _lists(code, len(vocab), kind, np.add.reduceat(key & 1, first))))
+            held.append((vocab, _lists(code, len(vocab), kind, np.add.reduceat(key & 1, first))))
             if sum(len(w) for w, _l in held) >= HELD:
                 yield together(held)
                 held = []
@@ -438,9 +442,10 @@ def train_words(dealt: DataFrame, top: np.ndarray, counts: np.ndarray) -> lm_wor
         mass = 0.0
         for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS, "code", lm_words.LOW):
             tree, _word, c = _tree(table, shared.value)
-            zeros, ones = lm_words.known_counts(counts, tree.kind)
-            use = tree.n > 0
-            own.learn(lm_words.KNOWN, (c[use] == 1).astype(np.int64), zeros[:, use], ones[:, use], tree.n[use].astype(float))
+            # entries with the same kind and outcome make the same decision
+            n = np.bincount(tree.kind * 2 + (c == 1), weights=tree.n, minlength=2 * lm_words.KINDS)
+            use = np.flatnonzero(n)
+            own.learn(lm_words.KNOWN, use & 1, *lm_words.known_counts(counts, use >> 1), n[use])
             tree.learn(own, np.where(c > 1, tree.n, 0).astype(float))
             mass += float(tree.n.sum())
         return mass
@@ -468,9 +473,10 @@ def score_known(dealt: DataFrame, top: np.ndarray, counts: np.ndarray, mixer: lm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, mixer = shared.value
+        known = np.log10(1 - mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, np.arange(lm_words.KINDS))))
         for table in lm_words.whole_groups(batches, lm_words.STEP_WORDS, "code", lm_words.LOW):
             tree, word, c = _tree(table, top)
-            s = tree.score(mixer) + np.log10(1 - mixer.chance(lm_words.KNOWN, *lm_words.known_counts(counts, tree.kind)))
+            s = tree.score(mixer) + known[tree.kind]
             yield _scored(names(table.column("word").combine_chunks())[word], tree.kind, tree.n, c, s)
 
     return dealt.mapInArrow(run, SCORED)
@@ -563,8 +569,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             at, right, after = lm_words.guesses(of, codes)
             guessed = np.zeros(len(of), np.int64)
             guessed[at] = right
-            spelled = pa.array(vocab, pa.string())
-            size = pc.binary_length(spelled).to_numpy().astype(np.int64) + 1
+            size = pc.binary_length(vocab).to_numpy().astype(np.int64) + 1
             size[-1] = 1  # the end
             # each distinct (text, word, kind) once: how often, and how often not guessed
             most = len(vocab) * lm_words.KINDS
@@ -573,26 +578,27 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
             times = np.diff(first, append=len(key))
             coded = times - np.add.reduceat(key & 1, first)
             text, pair = np.divmod(key[first] >> 1, most)
-            number = np.zeros(most, np.int32)
-            number[pair] = 1
-            pairs = np.flatnonzero(number)
+            used = np.zeros(most, bool)
+            used[pair] = True
+            pairs = np.flatnonzero(used)
+            number = np.empty(most, np.int32)
             number[pairs] = np.arange(len(pairs))
             pair = number[pair]
             code, kind = np.divmod(pairs, lm_words.KINDS)
-            keys = _keys(names(spelled)[code], kind)
+            keys = _keys(names(vocab)[code], kind)
             # sorted, they are found several times faster
             order = np.argsort(keys)
             found = np.empty(len(keys), np.int64)
             found[order] = np.minimum(np.searchsorted(index, keys[order]), max(0, len(index) - 1))
             is_named = index[found] == keys if len(index) else np.zeros(len(keys), bool)
             near = is_named[pair]
-            values = np.zeros((len(keys), 2))
-            values[is_named] = np.stack((known_c[found[is_named]], known_s[found[is_named]]), axis=1)
-            values = values[pair]
-            base = np.bincount(text[near], weights=(times * np.log10(values[:, 0] + 0.1))[near], minlength=m).astype(float)
-            score = np.bincount(text[near], weights=(coded * values[:, 1])[near], minlength=m).astype(float)
+            c, s = np.zeros((2, len(keys)))
+            c[is_named], s[is_named] = known_c[found[is_named]], known_s[found[is_named]]
+            at_text, at_pair = text[near], pair[near]
+            base = np.bincount(at_text, weights=times[near] * np.log10(c + 0.1)[at_pair], minlength=m).astype(float)
+            score = np.bincount(at_text, weights=coded[near] * s[at_pair], minlength=m).astype(float)
             score += np.bincount(of[at], weights=lm_words.guess_cost(of, at, right, after, rates), minlength=m)
-            n_known = np.bincount(text[near], weights=times[near] * (values[near, 0] > 0), minlength=m).astype(np.int64)
+            n_known = np.bincount(at_text, weights=times[near] * (c > 0)[at_pair], minlength=m).astype(np.int64)
             far = ~near
             own = [pa.array(row + np.arange(m)), column(batch, "doc_id"), column(batch, "held_out"), pa.array(np.bincount(of, minlength=m)),
                    pa.array(np.bincount(of, weights=size[codes], minlength=m).astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score)]

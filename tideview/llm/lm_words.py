@@ -116,10 +116,15 @@ class Mixer:
         odds = np.full((CONTEXTS + 1, zeros.shape[1]), 0.3)
         np.log((ones + 0.3) / (zeros + 0.3), out=odds[:CONTEXTS])
         np.clip(odds, -EDGE, EDGE, out=odds)
-        seen = sum((zeros[1:] + ones[1:] >= t).astype(np.int64) for t in SEEN)
-        gate = seen[0] * (len(SEEN) + 1) + seen[1]
+        met, seen = zeros[1:] + ones[1:], np.zeros((CONTEXTS - 1, zeros.shape[1]), np.int8)
+        for t in SEEN:
+            seen += met >= t
+        gate = seen[0].astype(np.int64) * (len(SEEN) + 1) + seen[1]
         weights = self.by_gate + self.by_level[level]
-        return odds, gate, np.clip((weights[gate].T * odds).sum(0), -EDGE, EDGE)
+        mixed = weights[:, 0].take(gate) * odds[0]
+        for j in range(1, len(odds)):
+            mixed += weights[:, j].take(gate) * odds[j]
+        return odds, gate, np.clip(mixed, -EDGE, EDGE)
 
     def learn(self, level: int, bit: np.ndarray, zeros: np.ndarray, ones: np.ndarray, times: np.ndarray) -> None:
         """One step over tokens that were each met ``times`` times; their own count is taken out."""
@@ -150,26 +155,48 @@ def _names(kind: np.ndarray) -> np.ndarray:
     return (kind + 1) // 2
 
 
+def _numbered(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's number among the distinct keys, which are less than ``most``, in their order; and the distinct keys."""
+    used = np.zeros(most, bool)
+    used[key] = True
+    distinct = np.flatnonzero(used)
+    number = np.empty(most, np.int64)
+    number[distinct] = np.arange(len(distinct))
+    return number[key], distinct
+
+
+def _firsts(number: np.ndarray, n: int) -> np.ndarray:
+    """The first row of each number."""
+    first = np.empty(n, np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return first
+
+
 class Tree:
     """Words under some nodes of level ``TOP``, all words of each, by ascending code; entries are a word's kinds with their counts."""
 
     def __init__(self, codes: np.ndarray, word: np.ndarray, kind: np.ndarray, n: np.ndarray, top: np.ndarray):
-        self.codes, self.kind, self.n = codes[word], kind, n
+        self.distinct, self.word, self.kind, self.n = codes, word, kind, n
+        group = codes >> LOW
+        self.group = np.cumsum(np.diff(group, prepend=group[:1]) != 0)  # numbered in this table
         # above level TOP a group's words with the same kind are alike; one entry stands for them
-        _both, self.first, self.alike = np.unique((self.codes >> LOW) * KINDS + kind, return_index=True, return_inverse=True)
+        self.groups = int(self.group[-1]) + 1 if len(codes) else 0
+        self.alike, both = _numbered(self.group[word] * KINDS + kind, self.groups * KINDS)
+        self.first = _firsts(self.alike, len(both))
         rows = (np.zeros_like(kind), _names(kind), kind)
         tops = (top.sum(0)[None], np.stack([top[_names(np.arange(KINDS)) == j].sum(0) for j in range(NAMES + 1)]), top)
         self.upper = [(r[self.first], np.concatenate((np.zeros((len(t), 1)), np.cumsum(t, axis=1)), axis=1)) for r, t in zip(rows, tops)]
-        self.lower = []
-        for r in rows:
-            key = (r << DEPTH) + self.codes
-            order = np.argsort(key, kind="stable")
-            self.lower.append((r << DEPTH, key[order], np.concatenate(([0.0], np.cumsum(n[order])))))
-        self.distinct = codes
 
     def decisions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(level, entries, bit, zeros, ones by context) wherever both ways lead to known words; above ``TOP`` of the entries ``first``."""
-        group = self.codes[self.first] >> LOW
+        """(level, entries, bit, zeros, ones by context) wherever both ways lead to known words; one entry stands for those that are alike."""
+        for level, at, bit, zeros, ones in self._above():
+            yield level, self.first[at], bit, zeros, ones
+        for level, entries, _number, first, at, bit, zeros, ones in self._below(np.ones(self.groups, bool)):
+            yield level, entries[first[at]], bit, zeros, ones
+
+    def _above(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(level, places in ``first``, bit, zeros, ones by context) above level ``TOP``."""
+        group = self.distinct[self.word[self.first]] >> LOW
         low, high = np.zeros(len(group), np.int64), np.full(len(group), 1 << TOP)
         for level in range(TOP):
             mid = (low + high) // 2
@@ -177,45 +204,71 @@ class Tree:
             bit = (group >= mid).astype(np.int64)
             at = np.flatnonzero((sums[0][0] > 0) & (sums[0][1] > 0))
             if len(at):
-                yield level, self.first[at], bit[at], np.stack([z[at] for z, _o in sums]), np.stack([o[at] for _z, o in sums])
+                yield level, at, bit[at], np.stack([z[at] for z, _o in sums]), np.stack([o[at] for _z, o in sums])
             low, high = np.where(bit, mid, low), np.where(bit, high, mid)
-        group = self.codes >> LOW
-        at = np.arange(len(group))
-        bounds = [[np.searchsorted(key, base + (group + j << LOW)) for j in (0, 1)] for base, key, _s in self.lower]
-        words = [np.searchsorted(self.distinct, group + j << LOW) for j in (0, 1)]
+
+    def _below(self, groups: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(level, entries, decision of each, first entry's place of each decision, the decisions with two ways, their bit, zeros, ones).
+
+        Only the entries of ``groups`` are followed, down to where their word is alone. Entries with the same kind, node and bit
+        make the same decision. Nodes are numbered anew at each level: by words, by words and names, by words and kinds.
+        """
+        c = np.bincount(self.word, weights=self.n, minlength=len(self.distinct))
+        node = self.group
+        entries = np.flatnonzero(groups[node[self.word]])
+        word, n = self.word[entries], self.n[entries].astype(float)
+        by_name, names = _numbered(node[word] * (NAMES + 1) + _names(self.kind[entries]), self.groups * (NAMES + 1))
+        by_kind, kinds = _numbered(node[word] * KINDS + self.kind[entries], self.groups * KINDS)
+        sizes = [self.groups, len(names), len(kinds)]
+        words = np.bincount(node, minlength=self.groups)
         for level in range(TOP, DEPTH):
-            more = words[1] - words[0] > 1
-            at, words = at[more], [x[more] for x in words]
-            bounds = [[x[more] for x in b] for b in bounds]
-            if not len(at):
+            more = (words > 1)[node[word]]
+            if not more.all():
+                entries, word, n, by_name, by_kind = (x[more] for x in (entries, word, n, by_name, by_kind))
+            if not len(entries):
                 return
-            shift = DEPTH - 1 - level
-            half = (self.codes[at] >> shift | 1) << shift
-            bit = self.codes[at] >> shift & 1
-            mids = [np.searchsorted(key, base[at] + half) for base, key, _s in self.lower]
-            mid = np.searchsorted(self.distinct, half)
-            both = (mid > words[0]) & (mid < words[1])
-            if both.any():
-                zeros = np.stack([s[m] - s[b[0]] for m, b, (_b, _k, s) in zip(mids, bounds, self.lower)])
-                ones = np.stack([s[b[1]] - s[m] for m, b, (_b, _k, s) in zip(mids, bounds, self.lower)])
-                yield level, at[both], bit[both], zeros[:, both], ones[:, both]
-            bounds = [[np.where(bit, m, b[0]), np.where(bit, b[1], m)] for m, b in zip(mids, bounds)]
-            words = [np.where(bit, mid, words[0]), np.where(bit, words[1], mid)]
+            way = self.distinct >> (DEPTH - 1 - level) & 1
+            ways = node * 2 + way, by_name * 2 + way[word], by_kind * 2 + way[word]
+            sums = [np.bincount(x, weights=w, minlength=2 * k) for x, w, k in zip(ways, (c, n, n), sizes)]
+            words = np.bincount(ways[0], minlength=2 * sizes[0])
+            both = (words[::2] > 0) & (words[1::2] > 0)
+            number, distinct = _numbered(ways[2], 2 * sizes[2])
+            first = _firsts(number, len(distinct))
+            at = np.flatnonzero(both[node[word[first]]])
+            if len(at):
+                left = [x[first[at]] & ~1 for x in (ways[0][word], ways[1])] + [distinct[at] & ~1]
+                yield level, entries, number, first, at, distinct[at] & 1, np.stack([s[x] for s, x in zip(sums, left)]), np.stack([s[x + 1] for s, x in zip(sums, left)])
+            node, used = _numbered(ways[0], 2 * sizes[0])
+            words = words[used]
+            by_name, names = _numbered(ways[1], 2 * sizes[1])
+            by_kind, sizes = number, [len(used), len(names), len(distinct)]
 
     def score(self, mixer: Mixer) -> np.ndarray:
         """log10 probability of each entry's word after its kind, given that the word is known."""
-        total, above = np.zeros(len(self.codes)), np.zeros(len(self.codes))
-        for level, at, bit, zeros, ones in self.decisions():
+        total, above = np.zeros(len(self.word)), np.zeros(len(self.first))
+        for level, at, bit, zeros, ones in self._above():
+            p = mixer.chance(level, zeros, ones)
+            above[at] += np.log10(np.where(bit == 1, p, 1 - p))
+        for level, entries, number, first, at, bit, zeros, ones in self._below(np.ones(self.groups, bool)):
             p = mixer.chance(level, zeros, ones)
-            (above if level < TOP else total)[at] += np.log10(np.where(bit == 1, p, 1 - p))
-        same = np.searchsorted(self.distinct, self.codes, side="right") - np.searchsorted(self.distinct, self.codes)
-        return total + above[self.first][self.alike] - np.log10(same)
+            cost = np.zeros(len(first))
+            cost[at] = np.log10(np.where(bit == 1, p, 1 - p))
+            total[entries] += cost[number]
+        same = np.searchsorted(self.distinct, self.distinct, side="right") - np.searchsorted(self.distinct, self.distinct)
+        return total + above[self.alike] - np.log10(same)[self.word]
 
     def learn(self, mixer: Mixer, times: np.ndarray) -> None:
-        above = np.zeros(len(times))
-        above[self.first] = np.bincount(self.alike, weights=times)
-        for level, at, bit, zeros, ones in self.decisions():
-            now = (above if level < TOP else times)[at]
+        if not times.any():
+            return
+        above = np.bincount(self.alike, weights=times, minlength=len(self.first))
+        for level, at, bit, zeros, ones in self._above():
+            now = above[at]
+            use = now > 0
+            if use.any():
+                mixer.learn(level, bit[use], zeros[:, use], ones[:, use], now[use])
+        group = self.group[self.word]
+        for level, entries, number, first, at, bit, zeros, ones in self._below(np.bincount(group, weights=times, minlength=self.groups) > 0):
+            now = np.bincount(number, weights=times[entries], minlength=len(first))[at]
             use = now > 0
             if use.any():
                 mixer.learn(level, bit[use], zeros[:, use], ones[:, use], now[use])
