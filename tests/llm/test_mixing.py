@@ -230,6 +230,24 @@ def test_counted_pairs(spark, docs):
     assert all(r.c == sum(want[w].values()) for w, r in got.items())
 
 
+def test_words_of_one_hash(spark, docs):
+    """Words are kept apart where their hashes are equal, and their numbers cross a task's edge as bytes."""
+    import pyarrow as pa
+
+    lists = pa.array([[5, 1 << 40], [], [7], [1, 2, 3]], pa.list_(pa.int64()))
+    packed = lm_mixing._packed(lists)
+    assert packed.type == pa.binary() and lm_mixing._unpacked(packed).equals(lists)
+    assert lm_mixing._unpacked(packed.slice(1, 2)).to_pylist() == [[], [7]]
+    rows = [(i, " ".join(f"w{(i * j) % 9}" for j in range(20)), "en", "s") for i in range(40)]
+    made = lm_mixing.count_pairs(docs(rows).repartition(8), F.lit(True), {})
+    assert dict(made.dtypes)["kinds"] == "binary"
+    want = {r.word: (r.c, r.kinds) for r in lm_mixing.by_word(made, 800).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(F, "xxhash64", lambda *_c: F.lit(11).cast("long"))
+        got = lm_mixing.by_word(made, 800).collect()
+    assert {r.word: (r.c, r.kinds) for r in got} == want and len(got) == len(want) == 10
+
+
 def test_rare_words_left_out(docs):
     """Words are left out where that cannot change the most frequent ones; else nothing is decided."""
     rng = random.Random(7)

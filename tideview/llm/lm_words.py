@@ -4,7 +4,8 @@ Known words are the leaves of a binary tree: five bits of how rare the word is,
 at each node where both ways lead to known words one bit is predicted by three contexts: none, the last of the ``NAMES``
 most frequent words before the token wherever it stood (a sparse context), and the same with whether it stood directly
 before (a word pair). Their counts are exact sums over all learning tokens: the upper ``TOP`` levels are a table of fixed size,
-below it the words of one node stay together in one task, sorted, and a node's count is a difference of running sums.
+below it the words of one node stay together in one task, nodes are numbered level by level, and words that are alike
+down to a node are one decision there.
 So what is gathered grows with the vocabulary, and nothing but the upper table is sent to all tasks.
 
 The contexts' log odds are mixed by weights that a gate (how often the contexts were seen) and the level pick; the mix is
