@@ -121,6 +121,47 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_small_tables_are_written_to_few_files(spark, docs, monkeypatch):
+    """What the join stores on a small corpus goes to a file or two, however many shuffle partitions there are; the links stay whole."""
+    from tideview.llm import components as cc
+    from tideview.llm import shared
+
+    files = {}
+
+    def kept(df, name, *more):
+        out = shared.keep(df, name, *more)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jj, "keep", kept)
+    monkeypatch.setattr(cc, "keep", kept)
+    set_before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10], "a long, b long").coalesce(1)
+        assert {r.node: r.root for r in components(links).collect()} == {i: i - (i - 1) % 10 for i in range(1, 301)}
+        rows = corpus(4)
+        made = docs([(i, t, "en", "s") for i, t in rows]).coalesce(1)
+        got = jj.link_components(made).collect()
+        assert sorted(tuple(r) for r in got) == sorted(link_classes(rows))
+        assert jj.keep_first(made).count() == len({c for _, _, c in link_classes(rows)})
+    finally:
+        for k, v in set_before.items():
+            spark.conf.set(k, v)
+    assert {"nodes", "met", "pairs", "open", "wanted", "links", "large-star", "small-star", "classes", "held", "gone"} <= set(files)
+    assert max(n for each in files.values() for n in each) <= 2, files
+
+
+def test_kept_tables_of_many_rows_have_many_files(spark):
+    from tideview.llm.shared import keep
+
+    made = keep(spark.range(0, 1000, 1, 30), "numbers", 1000, 100)
+    assert len(made.inputFiles()) == 10 and made.count() == 1000
+    assert len(keep(spark.range(0, 1000, 1, 30), "numbers").inputFiles()) == 30
+    assert keep(spark.range(0), "numbers", 0).count() == 0
+
+
 def plain_passages(rows, items, threshold=0.8):
     """Best similarity by (doc, item) over all windows of the item's size."""
     import re
@@ -191,6 +232,23 @@ def test_votes_are_summed_for_words_in_windows_only(monkeypatch):
     assert sum(summed) < 400
 
 
+def test_fingerprints_are_made_of_few_windows_at_once(monkeypatch):
+    """However many windows a piece of text has, the same passages are found from small blocks of them."""
+    rng = random.Random(10)
+    passage = rng.choices(WORDS, k=40)
+    index = dc.Index([(7, " ".join(passage)), (8, " ".join(passage[:12]))], 0.8)
+    texts = [passage * 30, passage[:36], passage[2:] + ["far"] * 50]
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    hashes = dc.names(dc.pa.array([w for t in texts for w in t]))
+    found = list(index.matches(of, hashes))
+    made = []
+    plain = dc.Index.fingerprints
+    monkeypatch.setattr(dc, "MARKED", 16)
+    monkeypatch.setattr(dc.Index, "fingerprints", staticmethod(lambda sums, a, z: made.append(len(a)) or plain(sums, a, z)))
+    assert list(index.matches(of, hashes)) == found and len(found) >= 4
+    assert max(made) == 16 and sum(made) > 1000
+
+
 def test_no_passages(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert dc.find_passages(docs([(1, "a b c", "en", "s")]), empty).count() == 0

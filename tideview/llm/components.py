@@ -15,16 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round is two aggregations and joins over the links that are left, and its result is stored, so
     that a lost executor costs one round. Nodes never come together in one task: a node's neighbours
     are joined with their minimum, and adaptive execution may split a hot node. No links: no rows.
+    ``links`` are counted first, so they should be a kept table; no round has more of them.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    n = links.count()
+    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", n)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        large = keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star", n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = keep(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        edges = keep(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star", n)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -39,7 +39,9 @@ RADIUS, BLOCKS, WIDTH = 15, 4, 16
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
 K = 5
 #: Words whose votes are summed up at once; one document's are never cut.
-VOTED = 1 << 16
+VOTED = 1 << 14
+#: Windows whose fingerprints are made at once, and bytes of text that are looked through at once.
+MARKED, PIECE = 1 << 13, 1 << 20
 
 _NEAR = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(WIDTH), r)], np.uint64)
 
@@ -163,8 +165,8 @@ class Index:
         for a, z in zip(edges[:-1], edges[1:]):
             low = begin[a]
             sums = self.votes(voting[low : last[a:z].max()])
-            for i in range(a, z, 1 << 16):
-                j = min(z, i + (1 << 16))
+            for i in range(a, z, MARKED):
+                j = min(z, i + MARKED)
                 marks[i:j] = self.fingerprints(sums, first[i:j] - low, last[i:j] - low)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         order = np.argsort(found[:, 1], kind="stable")
@@ -195,7 +197,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, mark: F.Colu
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, threshold)
-            for batch, part in pieces(batches):
+            for batch, part in pieces(batches, limit=PIECE):
                 of, codes, vocab = words(_plain(part))
                 hashes = names(vocab)[codes] if len(of) else np.zeros(0, np.uint64)
                 ids, marks = column(batch, "doc_id").to_pylist(), column(batch, "mark")

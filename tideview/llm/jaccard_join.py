@@ -163,11 +163,11 @@ def _prefixes(docs: DataFrame, frequent: DataFrame, percent: int, k: int) -> Dat
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The links (a, b) among ``pairs`` (pivot, member), checked on whole sets."""
+    """The links (a, b) among ``pairs`` (pivot, member), a kept table, checked on whole sets."""
     load = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     members = pairs.join(load, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.col("member").alias("hi"), F.lit(True).alias("is_member"))
     pivots = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("hi"), F.lit(False).alias("is_member"))
-    wanted = keep(members.unionByName(pivots).join(nodes.select("hi", "held.doc_id", "held.tag"), "hi"), "wanted")
+    wanted = keep(members.unionByName(pivots).join(nodes.select("hi", "held.doc_id", "held.tag"), "hi"), "wanted", 2 * pairs.count())
     side = F.broadcast(wanted) if small(wanted, 200_000) else wanted
     texts = docs.alias("d").join(side.alias("w"), _same_row("d", "w")).select("d.text", "w.pivot", "w.salt", "w.hi", "w.is_member")
 
@@ -260,14 +260,15 @@ def _classes(docs: DataFrame, mark: F.Column, percent: int, k: int) -> tuple[Dat
     tag = F.xxhash64("text").alias("tag")
     survey = keep(_survey(docs.select("doc_id", "text", mark.alias("mark"), tag), k), "survey")
     docs = docs.select("doc_id", "text", tag)
+    n = survey.count()
     rows = survey.where("times IS NULL")
     has_id = F.col("doc_id").isNotNull()
     first = F.min(F.when(has_id, F.struct("doc_id", "mark"))).alias("first"), F.min(F.when(~has_id, F.col("mark"))).alias("nameless")
-    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tag")).alias("held"), F.count("*").alias("copies"), *first), "nodes")
+    nodes = keep(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "tag")).alias("held"), F.count("*").alias("copies"), *first), "nodes", n)
     frequent = survey.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
 
     spare = rows.where("hi IS NOT NULL").select("doc_id", "tag").distinct().alias("r").join(nodes.select("held.*").alias("h"), _same_row("r", "h"), "left_anti")
-    spare = keep(spare, "spare")
+    spare = keep(spare, "spare", n)
     firsts = docs.alias("d").join((F.broadcast(spare) if small(spare) else spare).alias("s"), _same_row("d", "s"), "left_anti")
     prefixes = keep(_prefixes(firsts, frequent, percent, k), "prefixes")
     if not prefixes.groupBy("hi", "n").count().where("count > 1").isEmpty():
@@ -276,41 +277,45 @@ def _classes(docs: DataFrame, mark: F.Column, percent: int, k: int) -> tuple[Dat
     postings = prefixes.select("hi", "n", "need", F.posexplode("tokens").alias("pos", "token")).withColumn("rest", F.col("n") - 1 - F.col("pos"))
     # most shingles occur in one prefix only: they go first, by the least that tells
     lists = postings.groupBy("token").count().where("count > 1").select("token")
-    met = keep(postings.join(keep(lists, "lists"), "token"), "met")
+    n_postings = prefixes.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    met = keep(postings.join(keep(lists, "lists", n_postings // 2), "token"), "met", n_postings)
     # shingles of the same documents are one list: how many they are, and what comes after the first of them.
     # Lists that met by their hash would only be compared once more than needed
     held = met.groupBy("token").agg(F.xxhash64(F.count("*"), F.min("hi"), F.max("hi"), F.bit_xor(F.xxhash64("hi"))).alias("list"))
     merged = met.join(held, "token").groupBy("list", "hi").agg(F.min("n").alias("n"), F.min("need").alias("need"), F.max("rest").alias("rest"), F.count("*").alias("times"))
-    merged = keep(merged, "merged")
+    merged = keep(merged, "merged", met.count())
+    n_merged = merged.count()
     first = merged.groupBy("list").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("pos"), "n", "hi", "need", "rest", "times")).alias("first"))
-    shared = keep(merged.join(first, "list"), "postings")
+    shared = keep(merged.join(first, "list"), "postings", n_merged)
 
     # every member of a list against the one in which the fewest rarer shingles come before: what the others were made from
     pairs = shared.where(F.col("hi") != F.col("first.hi")).where(_alike("n", "first.n", percent) & _room("need", "first.need", "rest", "first.rest", "n", "first.n", percent))
-    tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), ("times", "first.times"), percent), "pairs")
-    links = keep(_verify(docs, nodes, keep(_open(tried, prefixes, percent), "open"), percent, k), "links")
-    joined = keep(components(links), "classes")
+    tried = keep(_candidates(pairs, "first.hi", "hi", ("n", "first.n"), ("need", "first.need"), ("rest", "first.rest"), ("times", "first.times"), percent), "pairs", n_merged)
+    first_open = keep(_open(tried, prefixes, percent), "open", tried.count())
+    links = keep(_verify(docs, nodes, first_open, percent, k), "links", first_open.count(), PARTNERS)
+    joined = keep(components(links), "classes", 2 * links.count())
 
     # then every pair of a list that could still join two components
     roots = joined.groupBy(F.split("node", ":")[0].cast("long").alias("hi")).agg(F.min("root").alias("root"), F.max("root").alias("other"))
     roots = roots.select("hi", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root"))
     placed = shared.select("list", "hi", "n", "need", "rest", "times").join(roots, "hi", "left").withColumn("root", F.coalesce("root", F.col("hi").cast("string")))
-    placed = keep(placed, "placed")
+    placed = keep(placed, "placed", n_merged)
     apart = placed.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    left = keep(placed.join(apart, "list"), "apart")
+    left = keep(placed.join(apart, "list"), "apart", n_merged)
+    n_pairs = left.groupBy("list").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
     a, b = left.alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.hi") < F.col("b.hi")) & (F.col("a.root") != F.col("b.root")) & _alike("a.n", "b.n", percent) & _room("a.need", "b.need", "a.rest", "b.rest", "a.n", "b.n", percent))
     pairs = _candidates(pairs, "a.hi", "b.hi", ("a.n", "b.n"), ("a.need", "b.need"), ("a.rest", "b.rest"), ("a.times", "b.times"), percent)
     done = tried.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
-    more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more")
-    more = keep(_open(more, prefixes, percent), "open")
+    more = keep(pairs.join(done, ["pivot", "member"], "left_anti"), "more", n_pairs)
+    more = keep(_open(more, prefixes, percent), "open", more.count())
     if not more.isEmpty():
-        links = links.unionByName(keep(_verify(docs, nodes, more, percent, k), "links"))
-        joined = keep(components(links), "classes")
+        links = links.unionByName(keep(_verify(docs, nodes, more, percent, k), "links", more.count(), PARTNERS))
+        joined = keep(components(links), "classes", 2 * links.count())
 
     named = nodes.withColumn("node", F.concat_ws(":", "hi", "lo")).join(joined, "node", "left")
     named = named.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "node")).where("linked OR copies > 1")
-    named = keep(named.select("hi", "lo", "root", "first_id", "first", "nameless"), "named")
+    named = keep(named.select("hi", "lo", "root", "first_id", "first", "nameless"), "named", n)
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"), F.min("nameless").alias("nameless"))
     return rows, named.select("hi", "lo", "root").join(ids, "root").drop("root")
 
@@ -331,10 +336,11 @@ def keep_first(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     own, of, mark = free(docs, "_id", "_of", "_mark")
     rows, named = _classes(docs, text_mark(), percent, k)
     stays = F.when(F.col("doc_id").isNull(), F.col("mark") == F.col("nameless")).otherwise(F.struct("doc_id", "mark") == F.col("first"))
-    held = keep(rows.join(named, ["hi", "lo"]).select(F.col("doc_id").alias(own), F.col("mark").alias(of), stays.alias("stays")), "held")
-    gone = keep(held.where("NOT stays").select(own, of).distinct(), "gone")
+    held = keep(rows.join(named, ["hi", "lo"]).select(F.col("doc_id").alias(own), F.col("mark").alias(of), stays.alias("stays")), "held", rows.count())
+    n = held.count()
+    gone = keep(held.where("NOT stays").select(own, of).distinct(), "gone", n)
     # those that stay and are written several times
-    again = keep(held.where("stays").groupBy(own, of).agg(F.count("*").alias("n")).where("n > 1").select(own, of), "again")
+    again = keep(held.where("stays").groupBy(own, of).agg(F.count("*").alias("n")).where("n > 1").select(own, of), "again", n)
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of))
     left = docs.withColumn(mark, text_mark()).join(F.broadcast(gone) if small(gone) else gone, same, "left_anti")
     if again.isEmpty():

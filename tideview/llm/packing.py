@@ -36,9 +36,9 @@ SLACK = 8
 #: Partitions whose open windows are merged together.
 MERGED = 32
 #: Words whose tokens a task remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Bytes of text whose distinct words are looked up at once.
-PIECE = 8 << 20
+PIECE = 2 << 20
 
 #: How the tokenizer marks the end of a piece, and marks that are a piece of their own after letters.
 WORD_END = "</w>"

@@ -23,8 +23,19 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: computed once, and re-read after a loss."""
+#: Rows of a few numbers that are written to one file, where a kept table's size is known before.
+FILE_ROWS = 20_000
+
+
+def keep(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, and re-read after a loss.
+
+    ``rows``: about as many as there can be, where that is known. So many go to few files, however many shuffle partitions
+    there are. Each file costs several calls, and on a local file system Hadoop starts a process for each of them, which
+    until it runs its own program counts as another copy of the executor's memory.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
