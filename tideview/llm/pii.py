@@ -38,8 +38,13 @@ OPENING, CLOSING = "([{<\x22\x27", ".,;:!?)]}>\x22\x27"
 #: White space, and what stands for it inside a base span.
 BLANKS, GLUE = "\x20\x09\x0a\x0b\x0c\x0d", "\ue000"
 
+#: What each base span has in it.
+SEEDS = "[0-9@]"
+
 #: Different values that a pattern needs, and its least confidence.
 SUPPORT, CONFIDENCE = 5, 0.6
+#: How many tokens on a place is from where it is looked up: from the words before it, from those after it, from its own value.
+STEPS = {"left": 2, "right": -1, "one": 0, "more": 0}
 #: Tokens that a slot between two contexts holds at most.
 SLOT = 4
 
@@ -117,17 +122,49 @@ def _glued(text: Column) -> Column:
     return F.aggregate(spaced, text, lambda acc, b: F.overlay(acc, F.translate(b["value"], BLANKS, GLUE * len(BLANKS)), b["start"] + 1, b["end"] - b["start"]))
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """(doc_id, mark, i, before, held, after) of each token of ``glued``: two words before, cores of up to SLOT tokens, words after the first."""
-    low = F.translate(F.lower("glued"), "123456789", "0" * 9)
+def _words(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, w, low, i): one row for each token of ``glued``, i its place among them; low are they in small letters, with each digit as 0."""
+    low = F.when(F.col("glued").rlike("[1-9]"), F.translate(F.lower("glued"), "123456789", "0" * 9)).otherwise(F.lower("glued"))
     some = texts.select("doc_id", "mark", *(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias(n) for t, n in ((F.col("glued"), "w"), (low, "low"))))
-    row = lambda _, i: F.struct(
-        i.alias("i"),
-        F.when(i > 1, F.concat_ws(" ", F.get("low", i - 2), F.get("low", i - 1))).alias("before"),
-        F.transform(F.slice("w", i + 1, SLOT), _core).alias("held"),
-        F.slice("low", i + 2, SLOT + 1).alias("after"),
-    )
-    return some.select("doc_id", "mark", F.inline(F.transform("w", row)))
+    # the places come from a sequence: before an explode of the words themselves the optimizer lists them twice more, to leave out texts without any
+    return some.select("doc_id", "mark", "w", "low", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("i"))
+
+
+def _at(name: str, step: int) -> Column:
+    """The word so many places on."""
+    return F.get(name, F.col("i") + step)
+
+
+def _around() -> list[Column]:
+    """doc_id, mark, i, before, held, after of a token: two words before, cores of up to SLOT tokens, words after the first; null beyond the ends."""
+    return [
+        *(F.col(c) for c in ("doc_id", "mark", "i")),
+        F.when(F.col("i") > 1, F.concat_ws(" ", _at("low", -2), _at("low", -1))).alias("before"),
+        F.array(*(_core(_at("w", j)) for j in range(SLOT))).alias("held"),
+        F.array(*(_at("low", j) for j in range(1, SLOT + 2))).alias("after"),
+    ]
+
+
+def _near(texts: DataFrame, key: Column, hashes: DataFrame, only: Column | None = None, second: tuple[Column, DataFrame] | None = None) -> DataFrame:
+    """The tokens of ``_around`` with ``kind``, one of STEPS: so far from each token whose key is in ``hashes`` (hash, kind).
+
+    Tokens are looked up by hash alone in a table that goes to all tasks, and a token's surroundings are put together only
+    where it fits and, of kind ``more``, another key is in a table too. With more hashes than may go there the surroundings
+    cross a shuffle.
+    """
+    rows = _words(texts) if only is None else _words(texts).where(only)
+    hashes = hashes.toDF("_key", "kind").distinct()
+    step = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in STEPS.items()))
+    within = F.col("i").between(0, F.size("w") - 1)
+    if not (small(hashes) and (second is None or small(second[1]))):
+        kinds = [r.kind for r in hashes.select("kind").distinct().collect()]
+        rows = rows.select("*", key.alias("_key"), F.explode(F.array(*(F.lit(k) for k in kinds))).alias("kind"))
+        return rows.withColumn("i", F.col("i") + step).where(within).select(*_around(), "_key", "kind").join(hashes, ["_key", "kind"], "left_semi").drop("_key")
+    rows = rows.select("doc_id", "mark", "i", "w", "low", key.alias("_key")).join(F.broadcast(hashes), "_key")
+    if second is not None:
+        rows = rows.withColumn("_next", F.when(F.col("kind") == "more", second[0]))
+        rows = rows.join(F.broadcast(second[1].toDF("_of").distinct()), F.col("_next") == F.col("_of"), "left").where("kind <> 'more' OR _of IS NOT NULL")
+    return rows.withColumn("i", F.col("i") + step).where(within).select(*_around(), "kind")
 
 
 def _right(width: int) -> Column:
@@ -137,6 +174,8 @@ def _right(width: int) -> Column:
 
 
 def _value(width: int) -> Column:
+    if width == 1:
+        return F.get("held", F.lit(0))
     return F.array_join(F.slice("held", 1, width), " ")
 
 
@@ -153,21 +192,30 @@ def _side(table: DataFrame) -> DataFrame:
 
 def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, mark, i, pattern, value, width) of all places where ``patterns`` (pattern) stand."""
-    left = patterns.where("pattern NOT LIKE 'R %'").select(F.expr("split(substring(pattern, 3), ' _ ')[0]").alias("before"), F.lit(True).alias("l")).distinct()
-    right = patterns.where("pattern LIKE 'R %'").select(F.expr("substring(pattern, 3)").alias("_right"), F.lit(True).alias("r"))
-    near = tokens(texts).withColumn("_right", _right(1)).join(_side(left), "before", "left").join(_side(right), "_right", "left").where("l OR r")
+    pair = lambda text: F.xxhash64(F.split(text, " ")[0], F.get(F.split(text, " "), F.lit(1)))
+    left = patterns.where("pattern NOT LIKE 'R %'").select(pair(F.expr("split(substring(pattern, 3), ' _ ')[0]")), F.lit("left"))
+    right = patterns.where("pattern LIKE 'R %'").select(pair(F.expr("substring(pattern, 3)")), F.lit("right"))
+    near = _near(texts, F.xxhash64(_at("low", 0), _at("low", 1)), left.union(right))
     none = F.array().cast("array<struct<pattern:string,value:string,width:int>>")
-    both = F.concat(*(F.when(F.col(c), _slots(side)).otherwise(none) for c, side in (("l", "left"), ("r", "right"))))
+    both = F.concat(*(F.when(F.col("kind") == side, _slots(side)).otherwise(none) for side in ("left", "right")))
     found = near.select("doc_id", "mark", "i", F.inline(both)).where("value <> ''")
     return found.join(_side(patterns.select("pattern")), "pattern", "left_semi")
 
 
-def _where(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """The tokens at which ``values`` (value, ...) begin, with their columns and the width."""
+def _where(texts: DataFrame, values: DataFrame, only: Column | None = None) -> DataFrame:
+    """The tokens at which ``values`` (value) begin, with the value and its width; ``only``: a test that each value's first token passes."""
     parts = F.split("value", " ")
-    wanted = values.withColumns({"_first": parts[0], "width": F.size(parts)})
-    place = tokens(texts).withColumn("_first", F.get("held", F.lit(0)))
-    return place.join(_side(wanted), "_first").where(F.array_join(F.slice("held", F.lit(1), F.col("width")), " ") == F.col("value")).drop("_first")
+    wanted = values.select("value", F.size(parts).alias("width"))
+    core = lambda j: _core(_at("w", j))
+    one, longer = wanted.where("width = 1").select(F.xxhash64("value"), F.lit("one")), wanted.where("width > 1")
+    if longer.isEmpty():
+        place, widths = _near(texts, F.xxhash64(core(0)), one, only), 1
+    else:
+        more = longer.select(F.xxhash64(parts[0]), F.lit("more"))
+        place, widths = _near(texts, F.xxhash64(core(0)), one.union(more), only, (F.xxhash64(core(0), core(1)), longer.select(F.xxhash64(parts[0], F.get(parts, F.lit(1)))))), SLOT
+    of_width = lambda *widths: F.array(*(F.struct(_value(w).alias("value"), F.lit(w).alias("width")) for w in widths))
+    fits = of_width(1) if widths == 1 else F.when(F.col("kind") == "one", of_width(1)).otherwise(of_width(*range(2, SLOT + 1)))
+    return place.select("doc_id", "mark", "i", "before", "held", "after", F.inline(fits)).join(_side(wanted), ["value", "width"])
 
 
 def _induced(found: DataFrame, support: int) -> DataFrame:
@@ -178,41 +226,49 @@ def _induced(found: DataFrame, support: int) -> DataFrame:
     return each.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("believed").alias("believed")).where(F.col("n") >= support).drop("n")
 
 
-def _neighbours(texts: DataFrame) -> DataFrame:
-    """(pair, followed, preceded): how often each two words in a row stand before a token, and after one."""
-    low = F.translate(F.lower("glued"), "123456789", "0" * 9)
-    full = F.transform("w", lambda w: F.when(_core(w) != "", 1).otherwise(0))
-    some = texts.select(F.regexp_extract_all(F.col("glued"), F.lit(WORD), F.lit(0)).alias("w"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("low"))
-    some = some.where(F.size("w") > 2).select("low", full.alias("full"))
-    none = F.lit(0)
-    row = lambda j: F.struct(
-        F.xxhash64(F.get("low", j), F.get("low", j + 1)).alias("pair"),
-        F.coalesce(F.get("full", j + 2), none).alias("followed"),
-        F.coalesce(F.get("full", j - 1), none).alias("preceded"),
-    )
-    pairs = some.select(F.inline(F.transform(F.sequence(none, F.size("low") - 2), row)))
-    return pairs.groupBy("pair").agg(F.sum("followed").alias("followed"), F.sum("preceded").alias("preceded"))
+def _neighbours(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, followed, preceded): how often each of ``pairs`` of words in a row stands before a token, and after one."""
+    full = lambda j: F.when(_core(_at("w", j)) != "", 1).otherwise(0)
+    rows = _words(texts).where(F.col("i") < F.size("w") - 1).withColumn("pair", F.xxhash64(_at("low", 0), _at("low", 1)))
+    if small(pairs):
+        rows = rows.join(F.broadcast(pairs), "pair", "left_semi")
+    return rows.groupBy("pair").agg(F.sum(full(2)).alias("followed"), F.sum(full(-1)).alias("preceded"))
 
 
 def _hopeful(patterns: DataFrame, held: DataFrame, confidence: float) -> DataFrame:
     """(pattern): those of ``patterns`` that can still be reliable.
 
     ``held`` are the texts that hold something believed. A pattern's places there are a part of all its places and have all
-    its believed ones, so their share bounds its confidence from above. One aggregation of word pairs counts
+    its believed ones, so their share bounds its confidence from above. One aggregation of the patterns' word pairs counts
     them before any place is listed, and no pattern is lost by it.
     """
     words = F.split(F.expr("substring(pattern, 3)"), " ")
     sides = patterns.where("pattern NOT LIKE 'B %'").withColumn("pair", F.xxhash64(words[0], words[1]))
-    counted = sides.join(_neighbours(held), "pair", "left")
+    counted = sides.join(_neighbours(held, sides.select("pair").distinct()), "pair", "left")
     places = F.coalesce(F.when(F.col("pattern").startswith("L "), F.col("followed")).otherwise(F.col("preceded")), F.lit(0))
     open_ones = counted.where(F.col("believed") >= confidence * (places + 1) - 1e-6).select("pattern")
     return open_ones.unionByName(patterns.where("pattern LIKE 'B %'").select("pattern"))
 
 
+def _marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``texts`` whose mark is among ``marks`` (mark)."""
+    marks = marks.distinct()
+    return texts.join(F.broadcast(marks) if small(marks) else marks, "mark", "left_semi")
+
+
 def _holding(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The texts in which something was found."""
-    where = keep(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct(), "holding")
-    return texts.join(_side(where), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_of")), "left_semi")
+    """The texts that have a base span, or in which something was found."""
+    return texts.where("seeded").unionByName(_marked(texts.where("NOT seeded"), keep(found.select("mark").distinct(), "holding")))
+
+
+def _without(table: DataFrame, known: DataFrame | None, column: str) -> DataFrame:
+    """(column): what ``table`` has there and ``known`` has not."""
+    fresh = table.select(column).distinct()
+    return keep(fresh if known is None else fresh.join(known.select(column), column, "left_anti"), "fresh")
+
+
+def _with(table: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if table is None else table.unionByName(more)
 
 
 def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
@@ -222,16 +278,22 @@ def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confiden
     """
     seeds = keep(seeds, "seeds")
     believed, mark = seeds.select("value", "kind", F.lit(1.0).alias("belief")), None
-    places = texts.where("seeded")  # the seeds are nowhere else
+    # what a value or pattern once looked for has given holds for all turns, so each goes through the texts only once
+    places, listed_ones, totals, located = None, None, None, None
+    marks = F.get("w", F.col("i")).rlike(SEEDS)
+    found = keep(_where(texts.where("seeded"), seeds, marks).drop("i"), "found")
     while True:
-        found = keep(_where(places, believed.select("value", "belief")).drop("i"), "found")
-        induced = keep(_induced(found, support), "induced")
+        induced = keep(_induced(found.join(_side(believed.select("value", "belief")), "value"), support), "induced")
         if induced.isEmpty():
             return None
-        patterns = keep(_hopeful(induced, places if mark is None else _holding(texts, found), confidence), "patterns")
+        patterns = keep(_hopeful(induced, texts.where("seeded") if mark is None else _holding(texts, found), confidence), "patterns")
         if patterns.isEmpty():
             return None
-        graph = keep(_places(texts, patterns).groupBy("pattern", "value").agg(F.count("*").alias("times"), F.max("width").alias("width")), "graph")
+        fresh = _without(patterns, listed_ones, "pattern")
+        if not fresh.isEmpty():
+            listed_ones = _with(listed_ones, fresh)
+            places = _with(places, keep(_places(texts, fresh).groupBy("pattern", "value").agg(F.count("*").alias("times"), F.max("width").alias("width")), "graph"))
+        graph = places.join(_side(patterns), "pattern", "left_semi")
         known = graph.join(believed, "value", "left")
         score = known.groupBy("pattern").agg((F.sum(F.col("times") * F.coalesce("belief", F.lit(0.0))) / (F.sum("times") + 1)).alias("confidence")).where(F.col("confidence") >= confidence)
         kinds = known.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("belief").alias("n")).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("as_kind"))
@@ -241,10 +303,13 @@ def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confiden
             return None
         sides = held.groupBy("value", F.substring("pattern", 1, 1).alias("side")).agg(F.sum("times").alias("n"), F.max(F.struct("confidence", "pattern", "as_kind")).alias("best"))
         inside = keep(sides.groupBy("value").agg(F.max("n").alias("n"), F.max("best").alias("best")), "inside")
-        total = _where(texts, inside.select("value")).groupBy("value").agg(F.count("*").alias("total"))
         plain = ~(F.col("value").rlike("[0-9]") & (F.char_length("value") >= 6))
+        fresh = _without(inside.where(plain), totals, "value")
+        if not fresh.isEmpty():
+            totals = _with(totals, keep(_where(texts, fresh).groupBy("value").agg(F.count("*").alias("total")), "totals"))
+        counted = inside.withColumn("total", F.lit(None).cast("long")) if totals is None else inside.join(totals, "value", "left")
         sure = F.col("best.confidence") * F.when(plain, F.least(F.lit(1.0), F.col("n") / F.col("total"))).otherwise(1.0)
-        more = inside.join(total, "value").select("value", F.col("best.as_kind").alias("kind"), (F.floor(sure * 1000) / 1000).alias("belief"))
+        more = counted.select("value", F.col("best.as_kind").alias("kind"), (F.floor(sure * 1000) / 1000).alias("belief"))
         more = more.where(F.col("belief") >= F.floor(F.lit(confidence * 1000)) / 1000)
         if mark is not None:
             more = more.unionByName(believed.join(seeds.select("value"), "value", "left_anti").select("value", "kind", "belief"))
@@ -254,14 +319,21 @@ def learned(texts: DataFrame, seeds: DataFrame, support: int = SUPPORT, confiden
             return None
         if now == mark:
             return held.join(more, "value").select("pattern", "value", "kind")
-        mark, places = now, texts
+        if mark is None:  # texts without a base span may hold a seed too, such as the number of a card beside other numbers
+            found = _with(found, keep(_where(texts.where("NOT seeded").where(F.col("glued").rlike(SEEDS)), seeds, marks).drop("i"), "found"))
+        fresh = _without(more, located, "value")
+        if not fresh.isEmpty():
+            located = _with(located, fresh)
+            found = _with(found, keep(_where(texts, fresh).drop("i"), "found"))
+        mark = now
         believed = more.unionByName(seeds.select("value", "kind", F.lit(1.0).alias("belief")))
 
 
 def _spans(marked: DataFrame, at: DataFrame) -> DataFrame:
     """(doc_id, mark, _added): ``at`` (doc_id, mark, i, width, kind) as spans of the rows of ``marked``, without those that meet a base span."""
     lists = keep(at.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("i", "width", "kind")).alias("at")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "at")
-    rows = marked.dropDuplicates(["doc_id", "mark"]).join(_side(lists), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark")))
+    some = _marked(marked, lists.select(F.col("_mark").alias("mark")))
+    rows = some.join(_side(lists), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark"))).dropDuplicates(["doc_id", "mark"])
     rows = rows.withColumns({"w": F.regexp_extract_all("glued", F.lit(WORD), F.lit(0)), "gap": F.transform(F.split("glued", WORD, -1), F.char_length)})
     rows = rows.select("doc_id", "mark", "base", "w", "gap", F.explode("at").alias("m")).select("doc_id", "mark", "base", "w", "gap", "m.*")
     add = lambda items: F.aggregate(items, F.lit(0), lambda a, n: a + n)
