@@ -65,3 +65,21 @@ def test_shuffled_lookup_finds_the_same(docs, monkeypatch):
     assert all(got[str(200 + i)] == f"email:13:{13 + len(m)}" for i, m in enumerate(MIDS))
     monkeypatch.setattr(pii, "small", lambda *a: False)
     assert spans(table) == want
+
+
+def test_pipeline_stage_lists_a_pattern_twice_at_most(spark, docs, monkeypatch):
+    """Once to learn and once to redact, however many turns there are; rows stay whole."""
+    import corpus_pipeline
+
+    seen, places = [], pii._places
+
+    def noted(texts, wanted):
+        seen.extend(r[0] for r in wanted.select("pattern").distinct().collect())
+        return places(texts, wanted)
+
+    monkeypatch.setattr(pii, "_places", noted)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.redact_personal(spark, docs(rows()), "").collect()]
+    got = dict(out)
+    assert len(out) == len(rows()) and got[300] == "badge holder <EMAIL> is absent" and got[205] == "badge holder <EMAIL> is known"
+    assert (None, "badge holder <EMAIL> is absent") in out and got[501] is None and got[502] == "  "
+    assert seen and max(seen.count(p) for p in seen) <= 2
